@@ -38,9 +38,9 @@ def bracket_slice(text: Column) -> Column:
     return F.when(both, F.substr(text, first, F.greatest(last - first + 1, F.lit(0)))).otherwise(text)
 
 
-def json_text(raw: Column) -> Column:
-    """The part of a reply that is read as JSON."""
-    return strip(bracket_slice(unfence(drop_thinking(strip(raw)))))
+# The steps from a reply to the part that is read as JSON. Every step reads its input several times,
+# so they are applied one column after the other; as one expression they would multiply.
+STEPS = (strip, drop_thinking, unfence, bracket_slice, strip)
 
 
 def strict_json(text: Column) -> Column:

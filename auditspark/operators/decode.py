@@ -1,11 +1,15 @@
-"""Model replies: which of them count, and the findings inside."""
+"""Model replies: which of them count, and the findings inside.
+
+Decoding turns responses into one table of items. Numbering, findings, rejects and counts all read
+that table, so it is written once and the texts of the replies are parsed once.
+"""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditspark import fixed_values as V
 from auditspark import schemas
-from auditspark.functions.reply import items, json_text, strict_json, whole_number
+from auditspark.functions.reply import STEPS, items, strict_json, whole_number
 from auditspark.operators.joins import BROADCAST_ROWS, attach
 from auditspark.operators.numbering import block_of, running_sum
 from auditspark.session import materialize
@@ -45,57 +49,28 @@ def call_rejects(responses: DataFrame) -> DataFrame:
 
 def parse_replies(responses: DataFrame) -> DataFrame:
     """Add to each answered response its ``items``, or the reason why it has none."""
+    read = answered(responses).withColumn("text", F.col("raw"))
+    for step in STEPS:
+        read = read.withColumn("text", step(F.col("text")))
+    error = F.when(F.col("value").isNull(), F.lit("not_json")).when(
+        F.col("items").isNull(), F.lit("not_iterable")
+    )
     return (
-        answered(responses)
-        .withColumn("text", json_text(F.col("raw")))
-        .withColumn("value", strict_json(F.col("text")))
+        read.withColumn("value", strict_json(F.col("text")))
         .withColumn("items", items(F.col("value"), F.col("text")))
-        .withColumn(
-            "reply_error",
-            F.when(F.col("value").isNull(), F.lit("not_json")).when(
-                F.col("items").isNull(), F.lit("not_iterable")
-            ),
-        )
+        .withColumn("reply_error", error)
         .drop("value")
     )
 
 
-def reply_rejects(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(F.col("reply_error").isNotNull()).select(
-        "scan_id", "path", F.lit(None).cast("bigint").alias("seq"), F.lit("reply").alias("stage"),
-        F.col("reply_error").alias("reason"), F.col("raw").alias("payload"),
-    )
-
-
-def item_offsets(parsed: DataFrame) -> DataFrame:
-    """``scan_id, file_order, offset``: items in all earlier files of the scan.
-
-    The counts are written once, so that replies are parsed once for them, not once per branch.
-    """
-    counts = materialize(
-        parsed.select(
-            "scan_id", "file_order",
-            F.coalesce(F.size("items"), F.lit(0)).alias("n_items"),
-        )
-    )
-    blocked = counts.withColumn("_block", block_of(F.col("file_order")))
-    summed = running_sum(
-        blocked, ["scan_id"], ["_block"], ["file_order"], F.col("n_items"), "offset"
-    )
-    return summed.select("scan_id", "file_order", "offset")
-
-
-def _member(name: str) -> Column:
-    return F.try_variant_get("item", f"$.{name}", "variant")
-
-
-def _text(name: str) -> Column:
-    return F.try_variant_get("item", f"$.{name}", "string")
-
-
 def explode_items(parsed: DataFrame) -> DataFrame:
-    """One row per item with its position; an empty array has none."""
-    return parsed.select("scan_id", "path", "file_order", F.posexplode("items").alias("pos", "item"))
+    """One row per item with its position; a reply without items keeps one row without position."""
+    return parsed.select(
+        "scan_id", "path", "file_order", "reply_error",
+        F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"),
+        F.when(F.col("reply_error").isNotNull(), F.col("raw")).alias("reply"),
+        F.posexplode_outer("items").alias("pos", "item"),
+    )
 
 
 def typed_items(exploded: DataFrame) -> DataFrame:
@@ -104,14 +79,19 @@ def typed_items(exploded: DataFrame) -> DataFrame:
     A missing key takes its default; a key that is there must have the right type, and JSON null
     has the right type only for ``line``.
     """
-    kinds = exploded.select(
-        "*",
+    keys = (*_TEXT_FIELDS, "severity", "line")
+    members = exploded.select(
+        "*", *[F.try_variant_get("item", f"$.{key}", "variant").alias(f"_{key}") for key in keys]
+    )
+    kinds = members.select(
+        *exploded.columns,
         F.schema_of_variant("item").alias("_kind"),
-        F.schema_of_variant(_member("severity")).alias("_severity_kind"),
-        F.schema_of_variant(_member("line")).alias("_line_kind"),
-        *[F.schema_of_variant(_member(name)).alias(f"_{name}_kind") for name in _TEXT_FIELDS],
-        F.coalesce(_text("severity"), F.lit(V.DEFAULTS["severity"])).alias("severity"),
-        whole_number(_member("line")).alias("line"),
+        *[F.schema_of_variant(f"_{key}").alias(f"_{key}_kind") for key in keys],
+        *[
+            F.coalesce(F.try_variant_get(f"_{key}", "$", "string"), F.lit(default)).alias(key)
+            for key, default in V.DEFAULTS.items()
+        ],
+        whole_number(F.col("_line")).alias("line"),
     )
 
     def wrong(name: str) -> Column:
@@ -124,24 +104,49 @@ def typed_items(exploded: DataFrame) -> DataFrame:
         error = error.when(wrong(name), F.lit(f"bad_{name}"))
     no_number = F.col("line").isNull() & (F.coalesce("_line_kind", F.lit("VOID")) != "VOID")
     error = error.when(no_number, F.lit("bad_line"))
+    payload = F.coalesce(F.col("item").cast("string"), F.col("reply"))
 
     return kinds.select(
-        "scan_id", "path", "file_order", "pos", error.alias("item_error"),
-        *[F.coalesce(_text(name), F.lit(V.DEFAULTS[name])).alias(name) for name in _TEXT_FIELDS],
-        "severity", "line", F.col("item").cast("string").alias("payload"),
+        "scan_id", "path", "file_order", "reply_error", "n_items", "pos",
+        F.when(F.col("pos").isNotNull(), error).alias("item_error"),
+        *_TEXT_FIELDS, "severity", "line",
+        F.when(F.col("reply_error").isNotNull() | error.isNotNull(), payload).alias("payload"),
     )
 
 
-def number_items(typed: DataFrame, offsets: DataFrame) -> DataFrame:
-    """Add ``seq`` and ``id``; malformed items use up a number too."""
+def decode_items(responses: DataFrame) -> DataFrame:
+    """Items of all answered responses, typed and checked."""
+    return typed_items(explode_items(parse_replies(responses)))
+
+
+def is_finding():
+    return F.col("pos").isNotNull() & F.col("item_error").isNull()
+
+
+def item_offsets(items: DataFrame) -> DataFrame:
+    """``scan_id, file_order, offset``: items in all earlier files of the scan."""
+    once_per_reply = items.filter(F.coalesce("pos", F.lit(0)) == 0)
+    counts = once_per_reply.select(
+        "scan_id", "file_order", "n_items", block_of(F.col("file_order")).alias("_block")
+    )
+    summed = running_sum(
+        counts, ["scan_id"], ["_block"], ["file_order"], F.col("n_items"), "offset"
+    )
+    return summed.select("scan_id", "file_order", "offset")
+
+
+def number_items(items: DataFrame) -> DataFrame:
+    """Add ``seq`` and ``id``; malformed items use up a number too. ``items`` is a stored table."""
     seq = F.col("offset") + F.col("pos") + 1
-    numbered = typed.join(offsets, ["scan_id", "file_order"]).withColumn("seq", seq)
-    return numbered.withColumn("id", F.format_string(V.FINDING_ID_FORMAT, "seq")).drop("offset")
+    numbered = items.filter(F.col("pos").isNotNull()).join(
+        item_offsets(items), ["scan_id", "file_order"]
+    )
+    numbered = numbered.withColumn("seq", seq).drop("offset")
+    return numbered.withColumn("id", F.format_string(V.FINDING_ID_FORMAT, "seq"))
 
 
 def findings_of(numbered: DataFrame) -> DataFrame:
-    good = numbered.filter(F.col("item_error").isNull())
-    return good.select("scan_id", "path", "seq", *schemas.FINDING_FIELDS)
+    return numbered.filter(is_finding()).select("scan_id", "path", "seq", *schemas.FINDING_FIELDS)
 
 
 def item_rejects(numbered: DataFrame) -> DataFrame:
@@ -151,24 +156,29 @@ def item_rejects(numbered: DataFrame) -> DataFrame:
     )
 
 
+def reply_rejects(items: DataFrame) -> DataFrame:
+    return items.filter(F.col("reply_error").isNotNull()).select(
+        "scan_id", "path", F.lit(None).cast("bigint").alias("seq"), F.lit("reply").alias("stage"),
+        F.col("reply_error").alias("reason"), "payload",
+    )
+
+
 def decode(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Findings and rejects of all responses; responses behind a lost connection give neither."""
     reached = before_connection_loss(responses)
-    parsed = parse_replies(reached)
-    numbered = number_items(typed_items(explode_items(parsed)), item_offsets(parsed))
+    items = materialize(decode_items(reached))
+    numbered = number_items(items)
     rejects = (
         call_rejects(reached)
-        .unionByName(reply_rejects(parsed))
+        .unionByName(reply_rejects(items))
         .unionByName(item_rejects(numbered))
     )
     return findings_of(numbered), rejects
 
 
-def findings_per_file(parsed: DataFrame, typed: DataFrame) -> DataFrame:
+def findings_per_file(items: DataFrame) -> DataFrame:
     """Findings per answered file, and per scan in the rows whose ``path`` is NULL."""
-    good = typed.filter(F.col("item_error").isNull())
-    counts = good.groupBy("scan_id", "path").agg(F.count("*").alias("n"))
-    per_file = parsed.select("scan_id", "path").join(counts, ["scan_id", "path"], "left")
-    return per_file.groupingSets(
-        [[F.col("scan_id"), F.col("path")], [F.col("scan_id")]], F.col("scan_id"), F.col("path")
-    ).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_findings"))
+    scan, path = F.col("scan_id"), F.col("path")
+    per_file = items.groupBy(scan, path).agg(F.count_if(is_finding()).alias("n"))
+    totals = per_file.groupingSets([[scan, path], [scan]], scan, path)
+    return totals.agg(F.sum("n").alias("n_findings"))

@@ -12,18 +12,23 @@ from auditspark.functions.text import decoded
 from auditspark import schemas
 
 NAME = r"[A-Za-z_$][\w$]*"
-QUOTED = r'"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'|`(?:[^`\\]|\\.)*`'
+# Possessive quantifiers keep matching linear, and free of recursion, on lines of any length.
+QUOTED = (
+    r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    r"|'[^'\\]*+(?:\\.[^'\\]*+)*+'"
+    r"|`[^`\\]*+(?:\\.[^`\\]*+)*+`"
+)
 
 FUNCTION = rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+({NAME})\s*(?:<[^>]*>)?\s*\((.*)"
 ARROW = (
     rf"^\s*(?:export\s+)?(?:const|let)\s+({NAME})\s*(?::[^=]+)?=\s*(?:async\s+)?"
     rf"(?:\((.*?)\)(?:\s*:[^=]+)?|({NAME}))\s*=>"
 )
-CLASS = rf"^\s*(?:export\s+)?(?:default\s+)?class\s+({NAME})\s*(?:<[^>]*>)?(?:\s+extends\s+([\w$.]+))?"
+CLASS = rf"^\s*(?:export\s+)?(?:default\s+)?class\s+({NAME})(?:\s*<[^>]*>)?(?:\s+extends\s+([\w$.]+))?"
 IMPORT = r"(?m)^[ \t]*(import\s[^;'\"]*['\"][^'\"\n]*['\"];?)"
 DECLARED = rf"^\s*(?:export\s+)?(?:const|let)\s+({NAME})\s*(?::[^=]+?)?\s*(?:=(?![=>])\s*(.*?))?\s*;?\s*$"
 ASSIGNED = rf"^\s*({NAME}(?:\.{NAME}|\[[^\]]*\])*)\s*=(?![=>])\s*(.*?)\s*;?\s*$"
-CALL = rf"(?<![\w$])(?<!function )(?<!function\* )((?:new\s+)?{NAME}(?:\s*\??\.\s*{NAME})*)\s*\("
+CALL = rf"(?<![\w$])(?<!function )(?<!function\* )((?:new\s+)?{NAME}(?:\s*+\??\.\s*+{NAME})*+)\s*\("
 METHOD = rf"^\s*(?:static\s+|async\s+|get\s+|set\s+|\*\s*)*{NAME}\s*\([^()]*\)\s*(?::[^{{]+)?\{{\s*$"
 NOT_CALLS = ("if", "for", "while", "switch", "catch", "function", "return", "await", "typeof")
 
@@ -47,7 +52,7 @@ def _names(parameters: Column) -> Column:
 
 def _closed(rest: Column) -> Column:
     """Parameter text up to the parenthesis that closes it; one nested level is understood."""
-    return F.regexp_extract(rest, r"^((?:[^()]|\([^()]*\))*)", 1)
+    return F.regexp_extract(rest, r"^((?:[^()]++|\([^()]*+\))*+)", 1)
 
 
 def _functions(lines: Column) -> Column:
@@ -133,10 +138,14 @@ def _strings(lines: Column) -> Column:
     return F.flatten(F.transform(lines, of_line))
 
 
-def _unbalanced(lines: Column) -> Column:
+def _code(lines: Column) -> Column:
+    """The file without string literals and trailing comments."""
+    bare = F.regexp_replace(F.array_join(lines, "\n"), QUOTED, "")
+    return F.regexp_replace(bare, r"//[^\n]*+", "")
+
+
+def _unbalanced(code: Column) -> Column:
     """True when some delimiter is opened and closed a different number of times."""
-    code = F.regexp_replace(F.array_join(lines, "\n"), QUOTED, "")
-    code = F.regexp_replace(code, r"//[^\n]*", "")
 
     def count(mark: str) -> Column:
         return F.length(code) - F.length(F.replace(code, F.lit(mark), F.lit("")))
@@ -157,11 +166,13 @@ def js_facts(files: DataFrame) -> DataFrame:
     """One row of facts per file of ``files(scan_id, path, content, read_error)``."""
     read = files.select(
         "scan_id", "path", "read_error", decoded(F.col("content")).alias("_text")
-    ).withColumn("_lines", _lines(F.col("_text")))
+    )
+    read = read.withColumn("_lines", _lines(F.col("_text")))
+    read = read.withColumn("_code", _code(F.col("_lines")))
     error = (
         F.when(F.col("read_error").isNotNull(), F.col("read_error"))
         .when(F.col("_text").isNull(), F.lit("not valid UTF-8"))
-        .when(_unbalanced(F.col("_lines")), F.lit(V.JS_SYNTAX_ERROR))
+        .when(_unbalanced(F.col("_code")), F.lit(V.JS_SYNTAX_ERROR))
     )
     checked = read.withColumn("error", error)
 

@@ -32,6 +32,6 @@ def attach(
     if fits_broadcast(keys, max_rows):
         return large.join(F.broadcast(small), on, how)
     salted = large.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
-    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint")
-    repeated = small.select("*", every_salt.alias("_salt"))
+    every_salt = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+    repeated = small.select("*", F.explode(every_salt).alias("_salt"))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from auditspark.functions.text import is_below, package_key, version_triple
 from auditspark.operators.joins import BROADCAST_ROWS, attach
 
-PIN = r"([A-Za-z0-9_.-]+)==([0-9][^\"'\s,;]*)"
+# A name is taken whole or not at all, so a long run of name characters is read once.
+PIN = r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]++)==([0-9][^\"'\s,;]*)"
 
 
 def with_triple(installed: DataFrame) -> DataFrame:

@@ -47,7 +47,8 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(supp % 4 == 1, F.lit(0)).when(supp % 4 > 1, F.col("l_quantity").cast("bigint"))
         .cast("bigint").alias("line"),
         F.concat(
-            F.lit("Step one\n\n  step "), line.cast("string"), F.lit("\t\n  \nlast　")
+            F.lit("Step one\n\n  step "), line.cast("string"),
+            F.lit("\t\n \u00a0\nlast\u3000"),
         ).alias("remediation"),
     )
 

@@ -51,8 +51,8 @@ findings AS (
       WHEN l_linestatus = 'F' THEN 'medium' ELSE 'low' END AS severity,
     'src/f' || (l_partkey % 200) || '.py' AS file,
     CASE l_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS line,
-    'Step one' || chr(10) || chr(10) || '  step ' || l_linenumber || chr(9) || chr(10) || '  '
-      || chr(10) || 'last' || chr(12288) AS remediation
+    'Step one' || chr(10) || chr(10) || '  step ' || l_linenumber || chr(9) || chr(10) || ' '
+      || chr(160) || chr(10) || 'last' || chr(12288) AS remediation
   FROM lines),
 scans AS (
   SELECT DISTINCT CASE WHEN s_suppkey % 3 = 0 THEN 'hot' ELSE 's' || (s_suppkey % 10) END AS scan_id
@@ -120,16 +120,19 @@ sliced AS (
   SELECT *, trim(CASE WHEN contains(text2, '[') AND contains(text2, ']')
     THEN text2[strpos(text2, '['):length(text2) + 1 - strpos(reverse(text2), ']')] ELSE text2 END, {BLANKS}) AS text
   FROM fenced),
+-- This parser lets a comma pass before a closing bracket, so that is ruled out separately.
+judged AS (
+  SELECT *, json_valid(text) AND NOT regexp_matches(text, ',\\s*[\\]}}]') AS is_json FROM sliced),
 parsed AS (
   SELECT scan_id, path, file_order, text, CASE
-      WHEN NOT json_valid(text) THEN 'not_json'
+      WHEN NOT is_json THEN 'not_json'
       WHEN json_type(text) NOT IN ('ARRAY', 'OBJECT', 'VARCHAR') THEN 'not_iterable' END AS reply_error,
-    CASE WHEN NOT json_valid(text) THEN NULL
+    CASE WHEN NOT is_json THEN NULL
       WHEN json_type(text) = 'ARRAY' THEN json_extract(text, '$[*]')
       WHEN json_type(text) = 'OBJECT' THEN list_transform(json_keys(text), lambda k: to_json(k))
       WHEN json_type(text) = 'VARCHAR' THEN list_transform(
         string_split(json_extract_string(text, '$'), ''), lambda c: to_json(c)) END AS items
-  FROM sliced),
+  FROM judged),
 counted AS (
   SELECT *, CAST(coalesce(length(items), 0) AS BIGINT) AS n_items FROM parsed),
 offsets AS (
@@ -449,8 +452,8 @@ def all_oracles() -> dict[str, str]:
             SELECT scan_id, path, relevant FROM collected c WHERE relevant
               OR scan_id NOT IN (SELECT scan_id FROM collected WHERE relevant)""",
         "j4_selected_with_flag": files + """
-            SELECT scan_id, path FROM (SELECT *, bool_or(relevant) OVER (PARTITION BY scan_id) AS some FROM collected)
-            WHERE relevant OR NOT some""",
+            SELECT scan_id, path FROM (SELECT *, bool_or(relevant) OVER (PARTITION BY scan_id) AS any_one FROM collected)
+            WHERE relevant OR NOT any_one""",
         "a4_file_census": files + """
             SELECT scan_id, found, CASE WHEN n > 0 THEN n ELSE found END AS selected,
               CASE WHEN n > 0 THEN found - n ELSE 0 END AS excluded

@@ -300,7 +300,7 @@ def _parsed(spark, sf):
 
 
 def _typed(spark, sf):
-    return decode.typed_items(decode.explode_items(_parsed(spark, sf)))
+    return decode.decode_items(_reached(spark, sf)).filter(F.col("pos").isNotNull())
 
 
 @query
@@ -383,8 +383,7 @@ def o2_finding_ids(spark, sf):
 
 @query
 def a7_findings_per_file(spark, sf):
-    parsed = _parsed(spark, sf)
-    return decode.findings_per_file(parsed, decode.typed_items(decode.explode_items(parsed)))
+    return decode.findings_per_file(decode.decode_items(_reached(spark, sf)))
 
 
 # --- findings ----------------------------------------------------------------------------------------
