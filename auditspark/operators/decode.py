@@ -11,7 +11,7 @@ from auditspark import fixed_values as V
 from auditspark import schemas
 from auditspark.functions.reply import STEPS, items, strict_json, whole_number
 from auditspark.operators.joins import BROADCAST_ROWS, attach
-from auditspark.operators.numbering import block_of, running_sum
+from auditspark.operators.numbering import blocks_of, running_sum
 from auditspark.session import materialize
 
 _TEXT_FIELDS = ("owasp_id", "title", "description", "file", "remediation")
@@ -26,11 +26,8 @@ def envelope_text(responses: DataFrame, body: str = "body") -> DataFrame:
 def before_connection_loss(responses: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Responses of each scan up to, and without, its first lost connection."""
     lost = responses.filter(F.col("status") == "connect_error")
-    cut = lost.groupBy("scan_id").agg(F.min("file_order").alias("cut"))
-    kept = attach(
-        responses, cut, ["scan_id"], ["path"],
-        keys=lost.select("scan_id").distinct(), max_rows=max_rows,
-    )
+    cut = materialize(lost.groupBy("scan_id").agg(F.min("file_order").alias("cut")))
+    kept = attach(responses, cut, ["scan_id"], ["path"], max_rows=max_rows)
     return kept.filter(F.col("cut").isNull() | (F.col("file_order") < F.col("cut"))).drop("cut")
 
 
@@ -126,11 +123,10 @@ def is_finding():
 def item_offsets(items: DataFrame) -> DataFrame:
     """``scan_id, file_order, offset``: items in all earlier files of the scan."""
     once_per_reply = items.filter(F.coalesce("pos", F.lit(0)) == 0)
-    counts = once_per_reply.select(
-        "scan_id", "file_order", "n_items", block_of(F.col("file_order")).alias("_block")
-    )
+    blocks, levels = blocks_of("file_order")
+    counts = once_per_reply.select("scan_id", "file_order", "n_items", *blocks)
     summed = running_sum(
-        counts, ["scan_id"], ["_block"], ["file_order"], F.col("n_items"), "offset"
+        counts, ["scan_id"], levels, ["file_order"], F.col("n_items"), "offset"
     )
     return summed.select("scan_id", "file_order", "offset")
 

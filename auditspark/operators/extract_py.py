@@ -34,9 +34,16 @@ _ARROW = pa.schema([
     ("assignments", pa.list_(pa.struct([("targets", _TEXTS), ("value", pa.string()), _PLACE]))),
     ("strings", pa.list_(pa.struct([("value", pa.string()), _PLACE]))),
 ])
+# Source text per output batch: facts take many times the room of the text they come from.
+FLUSH_BYTES = 1 << 20
 _UNREADABLE = (SyntaxError, ValueError, RecursionError, MemoryError)
 
 
+def _source(node: ast.expr) -> str:
+    """An expression as source text; a bare name, by far the most frequent one, needs no unparser."""
+    return node.id if type(node) is ast.Name else ast.unparse(node)
+
+
 def _literal(text: str) -> str:
     """A cut literal in a form that Arrow can hold (lone surrogates become ``?``)."""
     return text[: V.LITERAL_CUT].encode("utf-8", "replace").decode("utf-8")
@@ -47,16 +54,16 @@ _SHAPES = {
         "name": n.name,
         "lineno": n.lineno,
         "args": [parameter.arg for parameter in n.args.args],
-        "decorators": [ast.unparse(mark) for mark in n.decorator_list],
+        "decorators": [_source(mark) for mark in n.decorator_list],
     },
     "classes": lambda n: {
-        "name": n.name, "lineno": n.lineno, "bases": [ast.unparse(base) for base in n.bases],
+        "name": n.name, "lineno": n.lineno, "bases": [_source(base) for base in n.bases],
     },
     "imports": ast.unparse,
     "calls": lambda n: {"call": ast.unparse(n), "lineno": n.lineno},
     "assignments": lambda n: {
-        "targets": [ast.unparse(target) for target in n.targets],
-        "value": ast.unparse(n.value),
+        "targets": [_source(target) for target in n.targets],
+        "value": _source(n.value),
         "lineno": n.lineno,
     },
     "strings": lambda n: {"value": _literal(n.value), "lineno": n.lineno},
@@ -87,13 +94,16 @@ def python_facts(files: DataFrame) -> DataFrame:
     """One row of facts per file of ``files(scan_id, path, content, read_error)``."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in source:
-            rows = [
-                {"scan_id": row["scan_id"], "path": row["path"], "lang": "py"}
-                | facts_of(row["path"], row["content"], row["read_error"])
-                for row in batch.to_pylist()
-            ]
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+            for row in batch.to_pylist():
+                known = {"scan_id": row["scan_id"], "path": row["path"], "lang": "py"}
+                rows.append(known | facts_of(row["path"], row["content"], row["read_error"]))
+                size += len(row["content"] or b"")
+                if size > FLUSH_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                    rows, size = [], 0
+        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     needed = files.select("scan_id", "path", "content", "read_error")
     return needed.mapInArrow(batches, schemas.FACTS)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from auditspark import fixed_values as V
 from auditspark.operators.extract_js import js_facts
 from auditspark.operators.extract_py import python_facts
+from auditspark.operators.joins import positions
 
 
 def extract(files: DataFrame) -> DataFrame:
@@ -16,7 +17,7 @@ def extract(files: DataFrame) -> DataFrame:
 
 def fact_rows(facts: DataFrame, kind: str) -> DataFrame:
     """One row per fact of one kind, with its position in the file."""
-    rows = facts.select("scan_id", "path", F.posexplode(kind).alias("pos", "fact"))
+    rows = positions(facts, ["scan_id", "path"], kind, item="fact")
     if kind == "imports":
         return rows.withColumnRenamed("fact", "import")
     return rows.select("scan_id", "path", "pos", "fact.*")

@@ -1,8 +1,8 @@
 """Positions and running sums per scan without handing a whole scan to one task.
 
 A plain window over ``scan_id`` sorts all rows of a scan in a single task. Here the rows of a scan
-are cut into consecutive blocks first: windows run inside blocks, and a second, small window runs
-over the totals of the blocks.
+are cut into consecutive blocks, blocks into larger blocks, and windows run inside each: over the
+rows of a block, over the totals of the blocks, over the totals of the larger blocks.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,46 +10,61 @@ from pyspark.sql import functions as F
 
 from auditspark.session import materialize
 
-BLOCK = 1 << 16
+# Each level holds at most this many bits' worth of distinct numbers per block of the level above.
+BLOCK_BITS = 16
 
 
-def block_of(number: Column) -> Column:
-    """Block of a whole number: consecutive, in order, at most ``BLOCK`` distinct numbers each."""
-    return F.floor(number / BLOCK)
+def blocks_of(number: str, lead: tuple[str, ...] = ()) -> tuple[list[Column], list[list[str]]]:
+    """Block columns of a whole-number column, and their levels for :func:`running_sum`.
+
+    Numbers need not be dense: two levels leave the last window one row per 2**32 numbers.
+    ``lead`` names columns that order rows ahead of the number, ``-`` for descending.
+    """
+    names = ["_block", "_superblock"]
+    columns = [
+        F.shiftright(number, BLOCK_BITS * (level + 1)).alias(name) for level, name in enumerate(names)
+    ]
+    return columns, [[*lead, name] for name in names]
+
+
+def _bare(names: list[str]) -> list[str]:
+    return [name.removeprefix("-") for name in names]
+
+
+def _directions(names: list[str]) -> list[Column]:
+    return [F.desc(name[1:]) if name.startswith("-") else F.asc(name) for name in names]
 
 
 def running_sum(
-    rows: DataFrame, by: list[str], block: list[str], order: list[str], weight: Column, out: str
+    rows: DataFrame,
+    by: list[str],
+    levels: list[list[str]],
+    order: list[str],
+    weight: Column,
+    out: str,
 ) -> DataFrame:
     """Add ``out``, the sum of ``weight`` over the rows of ``by`` that come before the row.
 
-    ``block`` names columns whose order agrees with ``order`` and whose groups are small; a leading
-    ``-`` means descending. ``rows`` is read twice, so it should be a stored table.
+    ``levels`` names columns, finest first, whose order agrees with ``order`` and whose groups are
+    small; ``-`` means descending. ``rows`` is read twice, so it should be a stored table.
     """
-    weighted = rows.withColumn("_w", weight.cast("bigint"))
-    groups = [*by, *[name.removeprefix("-") for name in block]]
-    inside = Window.partitionBy(*groups).orderBy(*_directions(order))
-    inside = inside.rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*by).orderBy(*_directions(block))
-    across = across.rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        weighted.groupBy(*groups)
-        .agg(F.sum("_w").alias("_total"))
-        .withColumn("_base", F.coalesce(F.sum("_total").over(across), F.lit(0)))
-        .drop("_total")
-    )
+    if not levels:
+        window = Window.partitionBy(*by).orderBy(*_directions(order))
+        window = window.rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn(out, F.coalesce(F.sum(weight).over(window), F.lit(0)))
+    group = [*by, *_bare(levels[0])]
+    coarser = [name for level in levels[1:] for name in _bare(level) if name not in group]
+    total, base, inside = f"{out}_total", f"{out}_base", f"{out}_inside"
+    totals = rows.groupBy(*group, *coarser).agg(F.sum(weight).alias(total))
+    bases = running_sum(totals, by, levels[1:], levels[0], F.col(total), base)
+    within = running_sum(rows, group, [], order, weight, inside)
     return (
-        weighted.withColumn("_inside", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
-        .join(blocks, groups)
-        .withColumn(out, F.col("_base") + F.col("_inside"))
-        .drop("_w", "_inside", "_base")
+        within.join(bases.select(*group, base), group)
+        .withColumn(out, F.col(base) + F.col(inside))
+        .drop(base, inside)
     )
 
 
-def _directions(names: list[str]) -> list[Column]:
-    return [F.desc(name[1:]) if name.startswith("-") else F.asc(name) for name in names]
-
-
 def number_by_text(rows: DataFrame, by: str, text: str, out: str) -> DataFrame:
     """Number the rows of each ``by`` from 1 in code-point order of the unique column ``text``.
 
@@ -61,5 +76,5 @@ def number_by_text(rows: DataFrame, by: str, text: str, out: str) -> DataFrame:
         .repartitionByRange(by, text)
         .withColumn("_slice", F.spark_partition_id())
     )
-    numbered = running_sum(ranged, [by], ["_slice"], [text], F.lit(1), "_before")
+    numbered = running_sum(ranged, [by], [["_slice"]], [text], F.lit(1), "_before")
     return numbered.select(by, text, (F.col("_before") + 1).alias(out))

@@ -28,15 +28,24 @@ def route(scans: DataFrame) -> DataFrame:
     )
 
 
+_ENCODER = json.JSONEncoder(indent=2)
+
+
+def _indented(document: dict) -> str:
+    """Indented JSON of one file's facts, cut at the limit; what lies behind it is never written."""
+    pieces, size = [], 0
+    for piece in _ENCODER.iterencode({document["filepath"]: document}):
+        pieces.append(piece)
+        size += len(piece)
+        if size > V.PROMPT_LIMIT:
+            return "".join(pieces)[: V.PROMPT_LIMIT] + V.PROMPT_CUT_MARK
+    return "".join(pieces)
+
+
 @F.arrow_udf(T.StringType())
 def _prompt_text(documents: pa.Array) -> pa.Array:
-    def text(document: dict) -> str:
-        facts = json.dumps({document["filepath"]: document}, indent=2)
-        if len(facts) > V.PROMPT_LIMIT:
-            facts = facts[: V.PROMPT_LIMIT] + V.PROMPT_CUT_MARK
-        return V.PROMPT_PREAMBLE + facts
-
-    return pa.array([text(document) for document in documents.to_pylist()], pa.string())
+    texts = (V.PROMPT_PREAMBLE + _indented(document.as_py()) for document in documents)
+    return pa.array(texts, pa.string())
 
 
 def prompts(facts: DataFrame) -> DataFrame:
@@ -54,14 +63,18 @@ def route_prompts(
 ) -> DataFrame:
     """Prompts with the endpoint each is meant for."""
     routed = route(scans).drop("model")
-    return attach(
-        prompts, routed, ["scan_id"], ["path"], keys=scans.select("scan_id"), max_rows=max_rows
-    )
+    return attach(prompts, routed, ["scan_id"], ["path"], max_rows=max_rows)
 
 
 def match_responses(prompts: DataFrame, responses: DataFrame) -> DataFrame:
-    """The response to each prompt; a prompt without one counts as a failed call."""
-    matched = prompts.select("scan_id", "path").join(responses, ["scan_id", "path"], "left")
+    """The response to each prompt, with the prompt's ``file_order``.
+
+    ``responses(scan_id, path, status, raw, detail)`` has one row per prompt; a prompt without one
+    counts as a failed call. Both sides are unique by scan and path, so no key is hot.
+    """
+    asked = prompts.select("scan_id", "path", "file_order")
+    given = responses.select("scan_id", "path", "status", "raw", "detail")
+    matched = asked.join(given, ["scan_id", "path"], "left")
     return matched.withColumn("status", F.coalesce("status", F.lit("error"))).withColumn(
         "detail", F.when(F.col("status") != "ok", F.coalesce("detail", F.lit("no response")))
     )

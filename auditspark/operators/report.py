@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from auditspark import fixed_values as V
 from auditspark import schemas
 from auditspark.functions.text import location, strip
-from auditspark.operators.joins import BROADCAST_ROWS, attach
+from auditspark.operators.joins import BROADCAST_ROWS, attach, positions
+from auditspark.session import materialize
 
 PART_SIZE = 10_000
 
@@ -77,10 +78,8 @@ def report(
         "total_findings",
         F.struct(*V.SEVERITY_RANK).alias("summary"),
     )
-    filled = attach(
-        parts, header, ["scan_id"], ["part_no"],
-        keys=scans.select("scan_id"), how="inner", max_rows=max_rows,
-    )
+    header = materialize(header)
+    filled = attach(parts, header, ["scan_id"], ["part_no"], how="inner", max_rows=max_rows)
     no_findings = F.array().cast(parts.schema["findings"].dataType)
     empty = header.filter(F.col("total_findings") == 0).select(
         "*", F.lit(0).cast("bigint").alias("part_no"), no_findings.alias("findings")
@@ -110,4 +109,4 @@ def findings_table(ranked: DataFrame) -> DataFrame:
 def remediation_steps(ranked: DataFrame) -> DataFrame:
     """Non-blank lines of each remediation, stripped, in order."""
     lines = F.filter(F.transform(F.split("remediation", "\n"), strip), lambda line: line != "")
-    return ranked.select("scan_id", "id", F.posexplode(lines).alias("step", "text"))
+    return positions(ranked, ["scan_id", "id"], lines, "step", "text")

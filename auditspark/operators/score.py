@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from auditspark import fixed_values as V
 from auditspark import schemas
 from auditspark.functions.text import severity_rank
-from auditspark.operators.numbering import block_of, running_sum
+from auditspark.operators.numbering import blocks_of, running_sum
 from auditspark.session import materialize
 
 DEDUP_KEY = ("file", "owasp_id", "title")
@@ -62,14 +62,12 @@ def deduplicate(findings: DataFrame) -> DataFrame:
 
 def rank(unique: DataFrame) -> DataFrame:
     """Add ``report_pos``: worst severity first, equal ones in order of ``first_seq``, from 1."""
-    keyed = unique.withColumn("_rank", severity_rank(F.col("severity"))).withColumn(
-        "_block", block_of(F.col("first_seq"))
-    )
-    keyed = materialize(keyed)
+    blocks, levels = blocks_of("first_seq", lead=("-_rank",))
+    keyed = unique.select("*", severity_rank(F.col("severity")).alias("_rank"), *blocks)
     summed = running_sum(
-        keyed, ["scan_id"], ["-_rank", "_block"], ["first_seq"], F.lit(1), "_before"
+        materialize(keyed), ["scan_id"], levels, ["first_seq"], F.lit(1), "_before"
     )
-    return summed.withColumn("report_pos", F.col("_before") + 1).drop("_before", "_rank", "_block")
+    return summed.select(*unique.columns, (F.col("_before") + 1).alias("report_pos"))
 
 
 def score(findings: DataFrame) -> DataFrame:

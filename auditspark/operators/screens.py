@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from auditspark import fixed_values as V
 from auditspark.operators import supply
 from auditspark.operators.facts import fact_rows
+from auditspark.operators.joins import positions
 
 USER_INPUT = r"(?i)user_?(?:input|query|message|request)|raw_?input"
 SINK_NAME = r"(?i)execute|command|sql|shell"
@@ -54,9 +55,8 @@ def _candidates(rows: DataFrame, vector: str, line: Column, evidence: Column) ->
 
 def lines_of(texts: DataFrame) -> DataFrame:
     """``scan_id, path, ext, lineno, line`` of ``texts(scan_id, path, ext, text)``."""
-    return texts.select(
-        "scan_id", "path", "ext", F.posexplode(F.split("text", "\n")).alias("at", "line")
-    ).select("scan_id", "path", "ext", (F.col("at") + 1).alias("lineno"), "line")
+    rows = positions(texts, ["scan_id", "path", "ext"], F.split("text", "\n"), "at", "line")
+    return rows.select("scan_id", "path", "ext", (F.col("at") + 1).alias("lineno"), "line")
 
 
 def _js_lines(texts: DataFrame) -> DataFrame:
@@ -80,13 +80,17 @@ def tool_misuse(facts: DataFrame, texts: DataFrame) -> DataFrame:
     parameters = F.flatten(F.transform("functions", lambda f: f["args"]))
     argument = F.regexp_extract("fact.call", EVAL_CALL, 1)
     evaluated = (
-        facts.select("scan_id", "path", parameters.alias("known"), F.explode("calls").alias("fact"))
+        positions(
+            facts.withColumn("known", parameters), ["scan_id", "path", "known"], "calls", item="fact"
+        )
         .filter((argument != "") & F.array_contains("known", argument))
         .select("scan_id", "path", "fact.lineno", argument.alias("name"))
     )
     js_parameters = (
         facts.filter(F.col("lang") == "js")
-        .select("scan_id", "path", F.explode(F.array_distinct(parameters)).alias("name"))
+    )
+    js_parameters = positions(
+        js_parameters, ["scan_id", "path"], F.array_distinct(parameters), item="name"
     )
     js_evaluated = (
         _js_lines(texts)
@@ -126,14 +130,20 @@ def unchecked_output(facts: DataFrame, texts: DataFrame) -> DataFrame:
     """Uses of a variable that holds model output, after its first such assignment.
 
     Only the first assignment per name matters, so the join has one row per file and name on one
-    side, and each use comes out once however often the name was assigned before.
+    side, and each use comes out once however often the name was assigned before. Files that never
+    speak of model output are left out by tests on their own row, before anything is exploded.
     """
-    speaks = _matches(F.col("value"), MODEL_OUTPUT) | F.exists(
-        "targets", lambda name: _matches(name, MODEL_OUTPUT)
-    )
+
+    def speaks(value: Column, targets: Column) -> Column:
+        return _matches(value, MODEL_OUTPUT) | F.exists(
+            targets, lambda name: _matches(name, MODEL_OUTPUT)
+        )
+
+    facts = facts.filter(F.exists("assignments", lambda a: speaks(a["value"], a["targets"])))
+    texts = texts.filter(_matches(F.col("text"), MODEL_OUTPUT))
     first = (
         fact_rows(facts, "assignments")
-        .filter(speaks)
+        .filter(speaks(F.col("value"), F.col("targets")))
         .select("scan_id", "path", "lineno", F.explode("targets").alias("name"))
         .groupBy("scan_id", "path", "name")
         .agg(F.min("lineno").alias("since"))

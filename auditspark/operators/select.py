@@ -73,35 +73,35 @@ def with_relevance(files: DataFrame) -> DataFrame:
     return files.withColumn("relevant", F.coalesce(readable & marked, F.lit(False)))
 
 
-def select_files(
-    files: DataFrame, scans: DataFrame | None = None, max_rows: int = BROADCAST_ROWS
-) -> DataFrame:
-    """Relevant files of each scan, or all its files when none is relevant.
-
-    Only scans without any relevant file need the second rule, and whether a scan is one of them is
-    a single row per scan: file contents are read twice but never shuffled.
-    """
-    marked = with_relevance(files)
-    any_relevant = marked.groupBy("scan_id").agg(F.bool_or("relevant").alias("any_relevant"))
-    keys = (scans if scans is not None else files).select("scan_id").distinct()
-    flagged = attach(
-        marked, any_relevant, ["scan_id"], ["path"], keys=keys, max_rows=max_rows
+def relevance_counts(files: DataFrame) -> DataFrame:
+    """``scan_id, found, relevant``: how many files a scan has, and how many look like agent code."""
+    return with_relevance(files).groupBy("scan_id").agg(
+        F.count("*").alias("found"), F.count_if("relevant").alias("n_relevant")
     )
-    return flagged.filter(F.col("relevant") | ~F.col("any_relevant")).drop("any_relevant")
 
 
-def census(files: DataFrame) -> DataFrame:
-    """Files found, selected and excluded per scan."""
-    counted = with_relevance(files).groupBy("scan_id").agg(
-        F.count("*").alias("found"), F.count_if("relevant").alias("relevant")
-    )
-    selected = F.when(F.col("relevant") > 0, F.col("relevant")).otherwise(F.col("found"))
-    return counted.select(
+def census(counts: DataFrame) -> DataFrame:
+    """Files found, selected and excluded per scan, from ``relevance_counts``."""
+    selected = F.when(F.col("n_relevant") > 0, F.col("n_relevant")).otherwise(F.col("found"))
+    return counts.select(
         "scan_id", "found", selected.alias("selected"),
         (F.col("found") - selected).alias("excluded"),
     )
 
 
+def select_files(
+    files: DataFrame, counts: DataFrame, max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Relevant files of each scan, or all its files when none is relevant.
+
+    ``counts`` is the stored result of ``relevance_counts``, one row per scan. Only scans without any
+    relevant file are joined, so contents are read once more here but do not move.
+    """
+    unmarked = counts.filter(F.col("n_relevant") == 0).select("scan_id", F.lit(True).alias("_all"))
+    flagged = attach(with_relevance(files), unmarked, ["scan_id"], ["path"], max_rows=max_rows)
+    return flagged.filter(F.col("relevant") | F.col("_all").isNotNull()).drop("_all")
+
+
 def pruned_directories(dirs: DataFrame) -> DataFrame:
     """Named pruned directories that a walk of each scan meets, with the first few sorted names.
 

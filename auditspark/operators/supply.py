@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditspark.functions.text import is_below, package_key, version_triple
-from auditspark.operators.joins import BROADCAST_ROWS, attach
+from auditspark.operators.joins import BROADCAST_ROWS, attach, positions
 
 # A name is taken whole or not at all, so a long run of name characters is read once.
 PIN = r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]++)==([0-9][^\"'\s,;]*)"
@@ -25,8 +25,7 @@ def vulnerable(
     keyed = installed.withColumn("_key", package_key(F.col("package"))).drop("package")
     known = advisories.withColumn("_key", package_key(F.col("package")))
     matched = attach(
-        keyed, known, ["_key"], ["scan_id", "version"],
-        keys=advisories, how="inner", max_rows=max_rows,
+        keyed, known, ["_key"], ["scan_id", "version"], how="inner", max_rows=max_rows
     )
     below = matched.filter(is_below(F.col("version"), F.col("affected_below")))
     return below.withColumnRenamed("version", "installed").drop("_key")
@@ -58,7 +57,7 @@ def status(found: DataFrame, scans: DataFrame) -> DataFrame:
 def pinned(texts: DataFrame) -> DataFrame:
     """``scan_id, path, package, version`` for each ``name==version`` in a text."""
     pins = F.regexp_extract_all("text", F.lit(PIN), 0)
-    return texts.select("scan_id", "path", F.explode(pins).alias("pin")).select(
+    return positions(texts, ["scan_id", "path"], pins, item="pin").select(
         "scan_id", "path",
         F.substring_index("pin", "==", 1).alias("package"),
         F.regexp_extract("pin", r"(?s)==(.*)\z", 1).alias("version"),

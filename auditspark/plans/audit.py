@@ -6,6 +6,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 
 from auditspark.operators import decode, facts, prompt, report, score, select, supply
+from auditspark.session import materialize
 
 
 @dataclass
@@ -16,8 +17,8 @@ class Prepared:
     census: DataFrame
     pruned: DataFrame
     files: DataFrame
-    file_order: DataFrame
     facts: DataFrame
+    parse_errors: DataFrame
     skipped: DataFrame
     prompts: DataFrame
 
@@ -28,53 +29,57 @@ class Audited:
 
     findings: DataFrame
     rejects: DataFrame
+    counters: DataFrame
     summary: DataFrame
     gate: DataFrame
     report: DataFrame
 
 
 def prepare(scans: DataFrame, listed: DataFrame, files: DataFrame, dirs: DataFrame) -> Prepared:
-    """From listed files to routed prompts.
+    """From listed files to routed prompts in file order.
 
     ``scans(scan_id, target_path, model)``, ``listed(scan_id)`` for targets that exist,
-    ``files(scan_id, path, rel_path, content, read_error)``, ``dirs(scan_id, rel_path)``.
+    ``files(scan_id, path, rel_path, content, read_error)``, ``dirs(scan_id, rel_path)``. Contents
+    are read once to count relevant files and once per language to extract facts. Facts feed
+    prompts, counts and screens, so they are written once.
     """
     collected = select.collect_files(files)
-    chosen = select.select_files(collected, scans)
-    extracted = facts.extract(chosen)
+    counts = materialize(select.relevance_counts(collected))
+    chosen = select.select_files(collected, counts)
+    extracted = materialize(facts.extract(chosen))
+    ordered = prompt.prompts(extracted).join(select.number_files(extracted), ["scan_id", "path"])
     return Prepared(
         status=select.scan_status(scans, listed),
-        census=select.census(collected),
+        census=select.census(counts),
         pruned=select.pruned_directories(dirs),
         files=chosen,
-        file_order=select.number_files(chosen),
         facts=extracted,
+        parse_errors=facts.parse_rejects(extracted),
         skipped=facts.skip_census(extracted),
-        prompts=prompt.route_prompts(prompt.prompts(extracted), scans),
+        prompts=prompt.route_prompts(ordered, scans),
     )
 
 
 def conclude(
     scans: DataFrame, prompts: DataFrame, responses: DataFrame, moment: datetime
 ) -> Audited:
-    """From stored responses to ranked findings, gate and report.
-
-    ``responses`` carries ``file_order`` from :class:`Prepared`.
-    """
-    matched = prompt.match_responses(prompts, responses)
-    found, rejects = decode.decode(matched)
-    ranked = score.score(found)
+    """From stored responses to ranked findings, gate and report."""
+    found, rejects = decode.decode(prompt.match_responses(prompts, responses))
+    ranked = materialize(score.score(found))
     summarised = report.summary(ranked, scans)
     return Audited(
         findings=ranked,
         rejects=rejects,
+        counters=score.counters(found),
         summary=summarised,
         gate=report.gate(summarised),
         report=report.report(ranked, scans, moment),
     )
 
 
-def check(scans: DataFrame, installed: DataFrame, advisories: DataFrame) -> tuple[DataFrame, DataFrame]:
+def check(
+    scans: DataFrame, installed: DataFrame, advisories: DataFrame
+) -> tuple[DataFrame, DataFrame]:
     """Vulnerable packages of every inventory, and the status of each scan."""
     found = supply.vulnerable(installed, advisories)
     return supply.display_rows(found), supply.status(found, scans)

@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table, spread over all cores where it has fewer partitions than there are cores.
+
+    A large table has more partitions than that and is left as it is.
+    """
+    frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
 
 
 def _pick(key: Column, values: list[str]) -> Column:

@@ -12,8 +12,9 @@ from auditspark.functions import reply, text
 from auditspark.operators import decode, facts, prompt, report, score, screens, select, supply
 from auditspark.operators.extract_js import js_facts
 from auditspark.operators.extract_py import python_facts
+from auditspark.operators.joins import positions
 from auditspark.plans import derived
-from auditspark.session import tune
+from auditspark.session import materialize, tune
 from auditspark.sources import tables
 
 MOMENT = datetime(2026, 1, 2, 3, 4, 5, 678000, tzinfo=timezone.utc)
@@ -112,20 +113,26 @@ def f4_relevant_js(spark, sf):
     return marked.filter(F.col("ext").isin(".js", ".ts", ".mjs")).select("scan_id", "path", "relevant")
 
 
+def _selected(spark, sf, **options):
+    collected = _collected(spark, sf)
+    counts = materialize(select.relevance_counts(collected))
+    return select.select_files(collected, counts, **options)
+
+
 @query
 def f5_select_or_fall_back(spark, sf):
-    return select.select_files(_collected(spark, sf)).select("scan_id", "path", "relevant")
+    return _selected(spark, sf).select("scan_id", "path", "relevant")
 
 
 @query
 def j4_selected_with_flag(spark, sf):
     """The same selection through the salted join that takes over when scans are too many."""
-    return select.select_files(_collected(spark, sf), max_rows=0).select("scan_id", "path")
+    return _selected(spark, sf, max_rows=0).select("scan_id", "path")
 
 
 @query
 def a4_file_census(spark, sf):
-    return select.census(_collected(spark, sf))
+    return select.census(select.relevance_counts(_collected(spark, sf)))
 
 
 @query
@@ -211,7 +218,7 @@ def x9_js_functions(spark, sf):
 @query
 def x10_js_parameters(spark, sf):
     rows = facts.fact_rows(_js(spark, sf), "functions")
-    return rows.select("scan_id", "path", "name", F.posexplode("args").alias("at", "arg"))
+    return positions(rows, ["scan_id", "path", "name"], "args", "at", "arg")
 
 
 @query
@@ -307,7 +314,7 @@ def _typed(spark, sf):
 def j2_match_responses(spark, sf):
     """Prompts are asked for every event; failed calls stay visible in ``status``."""
     responses = derived.responses(spark, sf)
-    asked = responses.select("scan_id", "path", F.lit("").alias("prompt"))
+    asked = responses.select("scan_id", "path", "file_order")
     return prompt.match_responses(asked, responses).select("scan_id", "path", "status", "detail")
 
 
@@ -550,6 +557,11 @@ def c5_pinned_requirements(spark, sf):
 
 # --- screens -----------------------------------------------------------------------------------------
 
+def _stored_facts(sources):
+    """Facts for screens that read them in several branches."""
+    return materialize(facts.extract(sources))
+
+
 def _sources(spark, sf):
     columns = ["scan_id", "path", "ext", "content", "read_error"]
     return derived.python_files(spark, sf).select(columns).unionByName(
@@ -568,7 +580,7 @@ def v1_prompt_injection(spark, sf):
 @query
 def v2_tool_misuse(spark, sf):
     sources = _sources(spark, sf)
-    return screens.tool_misuse(facts.extract(sources), select.with_text(sources))
+    return screens.tool_misuse(_stored_facts(sources), select.with_text(sources))
 
 
 @query
@@ -590,10 +602,10 @@ def v6_privilege_escalation(spark, sf):
 @query
 def v7_unchecked_output(spark, sf):
     sources = _sources(spark, sf)
-    return screens.unchecked_output(facts.extract(sources), select.with_text(sources))
+    return screens.unchecked_output(_stored_facts(sources), select.with_text(sources))
 
 
 @query
 def v8_memory_poisoning(spark, sf):
     sources = _sources(spark, sf)
-    return screens.memory_poisoning(facts.extract(sources), select.with_text(sources))
+    return screens.memory_poisoning(_stored_facts(sources), select.with_text(sources))

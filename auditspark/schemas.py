@@ -25,9 +25,7 @@ FILES = (
     "scan_id string, path string, rel_path string, ext string, content binary, read_error string"
 )
 
-RESPONSES = (
-    "scan_id string, path string, file_order bigint, status string, raw string, detail string"
-)
+RESPONSES = "scan_id string, path string, status string, raw string, detail string"
 
 FINDING_FIELDS = (
     "id", "owasp_id", "title", "description", "severity", "file", "line", "remediation",
