@@ -19,10 +19,6 @@ def contains_any(text: Column, words) -> Column:
     return test
 
 
-def one_of(text: Column, choices) -> Column:
-    return text.isin(*choices)
-
-
 def last_segment(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

@@ -145,12 +145,18 @@ def _code(lines: Column) -> Column:
 
 
 def _unbalanced(code: Column) -> Column:
-    """True when some delimiter is opened and closed a different number of times."""
+    """True when some delimiter is opened and closed a different number of times.
 
-    def count(mark: str) -> Column:
-        return F.length(code) - F.length(F.replace(code, F.lit(mark), F.lit("")))
+    The array of one element names the code, so that it is computed once for all counts.
+    """
 
-    return (count("(") != count(")")) | (count("[") != count("]")) | (count("{") != count("}"))
+    def differs(text: Column) -> Column:
+        def count(mark: str) -> Column:
+            return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+        return (count("(") != count(")")) | (count("[") != count("]")) | (count("{") != count("}"))
+
+    return F.exists(F.array(code), differs)
 
 
 _BUILDERS = {

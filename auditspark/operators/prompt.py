@@ -1,6 +1,7 @@
 """Prompts for the files worth analysing, and the replies they got."""
 
 import json
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from auditspark import fixed_values as V
 from auditspark import schemas
 from auditspark.operators.facts import eligible
 from auditspark.operators.joins import BROADCAST_ROWS, attach
+from auditspark.operators.select import number_files
 from auditspark.sources.tables import endpoints
 
 
@@ -66,15 +68,51 @@ def route_prompts(
     return attach(prompts, routed, ["scan_id"], ["path"], max_rows=max_rows)
 
 
-def match_responses(prompts: DataFrame, responses: DataFrame) -> DataFrame:
-    """The response to each prompt, with the prompt's ``file_order``.
+def asked_files(facts: DataFrame) -> DataFrame:
+    """``scan_id, path, file_order`` of the files that get a prompt, in path order."""
+    return number_files(eligible(facts))
 
-    ``responses(scan_id, path, status, raw, detail)`` has one row per prompt; a prompt without one
-    counts as a failed call. Both sides are unique by scan and path, so no key is hot.
+
+def ask(
+    prompts: DataFrame, make_client: Callable[[], Callable[[str, str, str], str]]
+) -> DataFrame:
+    """Responses from a model, one call per prompt, made where the prompts are.
+
+    ``make_client`` runs once per task and returns a function of prompt, url and model name. A
+    ``ConnectionError`` is a lost connection, any other exception a failed call; both become rows,
+    and what they mean for a scan is decided later, in file order.
+    """
+
+    def call(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client = make_client()
+        for batch in source:
+            for row in batch.to_pylist():
+                status, raw, detail = "ok", None, None
+                try:
+                    raw = client(row["prompt"], row["url"], row["model_name"])
+                except ConnectionError as problem:
+                    status, detail = "connect_error", str(problem)
+                except Exception as problem:
+                    status, detail = "error", str(problem)
+                made = (row["scan_id"], row["path"], status, raw, detail)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([value], pa.string()) for value in made],
+                    names=["scan_id", "path", "status", "raw", "detail"],
+                )
+
+    needed = prompts.select("scan_id", "path", "prompt", "url", "model_name")
+    return needed.mapInArrow(call, schemas.RESPONSES)
+
+
+def match_responses(asked: DataFrame, responses: DataFrame) -> DataFrame:
+    """The response to each file of ``asked(scan_id, path, file_order)``.
+
+    ``responses(scan_id, path, status, raw, detail)`` has one row per prompt; a file without one
+    counts as a failed call. Both sides are unique by scan and path, so no key is hot, and the texts
+    of the prompts take no part.
     """
-    asked = prompts.select("scan_id", "path", "file_order")
     given = responses.select("scan_id", "path", "status", "raw", "detail")
-    matched = asked.join(given, ["scan_id", "path"], "left")
+    matched = asked.select("scan_id", "path", "file_order").join(given, ["scan_id", "path"], "left")
     return matched.withColumn("status", F.coalesce("status", F.lit("error"))).withColumn(
         "detail", F.when(F.col("status") != "ok", F.coalesce("detail", F.lit("no response")))
     )

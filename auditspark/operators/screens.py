@@ -2,7 +2,8 @@
 
 A screen yields candidate findings, not proof. What it looks for is this module's own definition;
 the vectors are the ones findings may name. Facts of one file sit in one row, so a condition on a
-single file is a condition on its arrays and moves no data; only the flow screen joins.
+single file is a condition on its arrays and moves no data; only the flow screen and the evaluation
+screen for JavaScript join. Screens read facts several times and expect them as a stored table.
 """
 
 from pyspark.sql import Column, DataFrame

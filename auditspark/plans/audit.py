@@ -20,6 +20,7 @@ class Prepared:
     facts: DataFrame
     parse_errors: DataFrame
     skipped: DataFrame
+    asked: DataFrame
     prompts: DataFrame
 
 
@@ -36,7 +37,7 @@ class Audited:
 
 
 def prepare(scans: DataFrame, listed: DataFrame, files: DataFrame, dirs: DataFrame) -> Prepared:
-    """From listed files to routed prompts in file order.
+    """From listed files to routed prompts.
 
     ``scans(scan_id, target_path, model)``, ``listed(scan_id)`` for targets that exist,
     ``files(scan_id, path, rel_path, content, read_error)``, ``dirs(scan_id, rel_path)``. Contents
@@ -47,7 +48,6 @@ def prepare(scans: DataFrame, listed: DataFrame, files: DataFrame, dirs: DataFra
     counts = materialize(select.relevance_counts(collected))
     chosen = select.select_files(collected, counts)
     extracted = materialize(facts.extract(chosen))
-    ordered = prompt.prompts(extracted).join(select.number_files(extracted), ["scan_id", "path"])
     return Prepared(
         status=select.scan_status(scans, listed),
         census=select.census(counts),
@@ -56,15 +56,21 @@ def prepare(scans: DataFrame, listed: DataFrame, files: DataFrame, dirs: DataFra
         facts=extracted,
         parse_errors=facts.parse_rejects(extracted),
         skipped=facts.skip_census(extracted),
-        prompts=prompt.route_prompts(ordered, scans),
+        asked=prompt.asked_files(extracted),
+        prompts=prompt.route_prompts(prompt.prompts(extracted), scans),
     )
 
 
 def conclude(
-    scans: DataFrame, prompts: DataFrame, responses: DataFrame, moment: datetime
+    scans: DataFrame, asked: DataFrame, responses: DataFrame, moment: datetime
 ) -> Audited:
-    """From stored responses to ranked findings, gate and report."""
-    found, rejects = decode.decode(prompt.match_responses(prompts, responses))
+    """From stored responses to ranked findings, gate and report.
+
+    ``asked`` comes from :class:`Prepared`. Responses should be a stored table, since a model that is
+    asked again may answer differently.
+    """
+    found, rejects = decode.decode(prompt.match_responses(asked, responses))
+    found = materialize(found)
     ranked = materialize(score.score(found))
     summarised = report.summary(ranked, scans)
     return Audited(

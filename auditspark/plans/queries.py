@@ -574,7 +574,7 @@ SCREEN = ["scan_id", "owasp_id", "title", "description", "severity", "file", "li
 
 @query
 def v1_prompt_injection(spark, sf):
-    return screens.prompt_injection(facts.extract(_sources(spark, sf)))
+    return screens.prompt_injection(_stored_facts(_sources(spark, sf)))
 
 
 @query
@@ -596,7 +596,7 @@ def v5_supply_chain(spark, sf):
 
 @query
 def v6_privilege_escalation(spark, sf):
-    return screens.privilege_escalation(facts.extract(_sources(spark, sf)))
+    return screens.privilege_escalation(_stored_facts(_sources(spark, sf)))
 
 
 @query

@@ -21,20 +21,11 @@ FACTS = (
     + ", ".join(f"{name} {kind}" for name, kind in FACT_TYPES.items())
 )
 
-FILES = (
-    "scan_id string, path string, rel_path string, ext string, content binary, read_error string"
-)
-
 RESPONSES = "scan_id string, path string, status string, raw string, detail string"
 
 FINDING_FIELDS = (
     "id", "owasp_id", "title", "description", "severity", "file", "line", "remediation",
 )
-FINDINGS = (
-    "scan_id string, seq bigint, id string, owasp_id string, title string, description string, "
-    "severity string, file string, line bigint, remediation string"
-)
-
 ADVISORIES = (
     "adv_pos int, package string, cve string, affected_below string, severity string, "
     "description string, remediation string"

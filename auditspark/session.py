@@ -16,10 +16,22 @@ SETTINGS = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Set the SQL settings that the stages rely on."""
+SHUFFLE_BYTES = 128 << 20
+
+
+def tune(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
+    """Set the SQL settings that the stages rely on.
+
+    With ``input_bytes``, the size of the largest table to be shuffled, the number of shuffle
+    partitions is raised so that each holds about ``SHUFFLE_BYTES``; adaptive execution joins small
+    ones again.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    if input_bytes is not None:
+        wanted = -(-input_bytes // SHUFFLE_BYTES)
+        present = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(present, wanted)))
     return spark
 
 

@@ -3,7 +3,9 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
+from auditspark.operators import prompt
 from auditspark.plans import audit
+from auditspark.session import materialize
 from auditspark.sources import srctree
 
 MOMENT = datetime(2026, 1, 2, 3, 4, 5, tzinfo=timezone.utc)
@@ -31,22 +33,22 @@ def test_from_trees_to_reports(spark, table, tmp_path):
     assert [r["names"] for r in ready.pruned.collect()] == [["node_modules"]]
     assert [r["path"] for r in ready.parse_errors.collect()] == [f"{targets['agent']}/c.py"]
     assert {tuple(r) for r in ready.skipped.collect()} == {("agent", "parse_error", 1)}
-    asked = ready.prompts.orderBy("scan_id", "file_order").collect()
+    asked = ready.asked.orderBy("scan_id", "file_order").collect()
     assert [(r["scan_id"], r["path"].rsplit("/", 1)[1], r["file_order"]) for r in asked] == [
         ("agent", "a.py", 1), ("agent", "b.js", 2), ("small", "only.py", 1),
     ]
-    assert {r["model_key"] for r in asked} == {"fast"}
+    assert {r["model_key"] for r in ready.prompts.collect()} == {"fast"}
 
     def answer(title, severity):
         return json.dumps([{"owasp_id": "ASI01", "title": title, "description": "d" * 12, "severity": severity, "file": "x"}])
 
-    raw = {"a.py": answer("A", "low"), "b.js": "```json\n" + answer("B", "critical") + "\n```", "only.py": "nothing"}
-    given = ready.prompts.select("scan_id", "path").collect()
-    responses = table(
-        [(r["scan_id"], r["path"], "ok", raw[r["path"].rsplit("/", 1)[1]], None) for r in given],
-        "scan_id string, path string, status string, raw string, detail string",
-    )
-    done = audit.conclude(scans, ready.prompts, responses, MOMENT)
+    replies = {"a.py": answer("A", "low"), "b.js": "```json\n" + answer("B", "critical") + "\n```", "only.py": "nothing"}
+
+    def make_client():
+        return lambda text, url, model: next(raw for name, raw in replies.items() if f"/{name}\"" in text)
+
+    responses = materialize(prompt.ask(ready.prompts, make_client))
+    done = audit.conclude(scans, ready.asked, responses, MOMENT)
     rows = done.findings.orderBy("scan_id", "report_pos").collect()
     assert [(r["scan_id"], r["id"], r["title"]) for r in rows] == [("agent", "GG-002", "B"), ("agent", "GG-001", "A")]
     assert {r["scan_id"]: r["gate_failed"] for r in done.gate.collect()} == {"agent": True, "small": False, "gone": False}

@@ -174,3 +174,22 @@ def test_fact_rows(table):
     extracted = facts.extract(select.with_suffix(table([("s", "a.py", b"import os\nf(g())", None)], FILES)))
     assert [tuple(row) for row in facts.fact_rows(extracted, "imports").collect()] == [("s", "a.py", 0, "import os")]
     assert facts.fact_rows(extracted, "calls").filter(F.col("pos") == 1).first()["call"] == "g()"
+
+
+def test_calls_to_a_model_become_rows(table):
+    def make_client():
+        def client(text, url, model):
+            if text == "lost":
+                raise ConnectionError("no server")
+            if text == "bad":
+                raise ValueError("status 500")
+            return f"{text} {url} {model}"
+
+        return client
+
+    rows = [("s", name, name, "u", "m") for name in ("fine", "lost", "bad")]
+    prompts = table(rows, "scan_id string, path string, prompt string, url string, model_name string")
+    made = {row["path"]: (row["status"], row["raw"], row["detail"]) for row in prompt.ask(prompts, make_client).collect()}
+    assert made == {
+        "fine": ("ok", "fine u m", None), "lost": ("connect_error", None, "no server"), "bad": ("error", None, "status 500"),
+    }
