@@ -79,12 +79,15 @@ def tool_misuse(facts: DataFrame, texts: DataFrame) -> DataFrame:
         _matches(F.col("name"), SINK_NAME) & (F.size("args") > 0)
     )
     parameters = F.flatten(F.transform("functions", lambda f: f["args"]))
+    evaluations = F.filter(
+        "calls", lambda call: F.regexp_extract(call["call"], EVAL_CALL, 1) != ""
+    )
     argument = F.regexp_extract("fact.call", EVAL_CALL, 1)
     evaluated = (
         positions(
-            facts.withColumn("known", parameters), ["scan_id", "path", "known"], "calls", item="fact"
+            facts.withColumn("known", parameters), ["scan_id", "path", "known"], evaluations, item="fact"
         )
-        .filter((argument != "") & F.array_contains("known", argument))
+        .filter(F.array_contains("known", argument))
         .select("scan_id", "path", "fact.lineno", argument.alias("name"))
     )
     js_parameters = (

@@ -9,14 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     """A given table, spread over all cores where it has fewer partitions than there are cores.
 
-    A large table has more partitions than that and is left as it is.
+    A large table has more partitions than that and is left as it is, and so is one that the next
+    step shuffles anyway (``spread=False``).
     """
     frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+    return frame if not spread or frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
 
 
 def _pick(key: Column, values: list[str]) -> Column:
@@ -27,7 +28,7 @@ def _pick(key: Column, values: list[str]) -> Column:
 # --- findings, from lineitem --------------------------------------------------------------------
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem")
+    items = table(spark, sf_dir, "lineitem", spread=False)
     # Lines of one order with one number are few; their order makes the number unique.
     twin = F.row_number().over(
         Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity")

@@ -12,7 +12,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Rows handed to Python carry whole files, so a batch holds few of them.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
 }
 
 
