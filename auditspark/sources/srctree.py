@@ -13,6 +13,8 @@ import json
 import os
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
+from itertools import batched, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from auditspark import fixed_values as V
+from auditspark.session import materialize
 
 ENTRIES = "scan_id string, target_path string, kind string, path string, rel_path string"
 CONTENTS = "scan_id string, path string, rel_path string, content binary, read_error string"
@@ -54,6 +57,38 @@ def _below(directory: str, dirs: list[str]) -> list[str]:
     return [path for path in paths if not os.path.islink(path)]
 
 
+def _walk(scan_id: str, target: str, start: str, deep: bool) -> Iterator[tuple]:
+    """Entries of one directory, or of all below it, or the one entry of a file.
+
+    A walk of one level ends with an ``enter`` entry for each directory that goes on.
+    """
+
+    def row(kind: str, path: str) -> tuple:
+        inside = os.path.relpath(path, target) if path != target else os.path.basename(path)
+        return (scan_id, target, kind, path, inside)
+
+    if os.path.isfile(start):
+        yield row("target", start)
+        if os.path.splitext(start)[1].lower() in V.SOURCE_SUFFIXES:
+            yield row("file", start)
+        return
+    if start == target and os.path.exists(target):
+        yield row("target", target)
+    waiting = [start]
+    while waiting:
+        directory = waiting.pop()
+        dirs, files = _level(directory)
+        for name in dirs:
+            yield row("dir", os.path.join(directory, name))
+        for name in files:
+            if os.path.splitext(name)[1].lower() in V.SOURCE_SUFFIXES:
+                yield row("file", os.path.join(directory, name))
+        if deep:
+            waiting.extend(_below(directory, dirs))
+        else:
+            yield from (row("enter", path) for path in _below(directory, dirs))
+
+
 class SourceTreeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.scans = json.loads(options["scans"])
@@ -72,26 +107,8 @@ class SourceTreeReader(DataSourceReader):
         return shares + [Share(*rest, deep=True) for rest in waiting]
 
     def read(self, share: Share) -> Iterator[tuple]:
-        def row(kind: str, path: str) -> tuple:
-            inside = os.path.relpath(path, share.target) if path != share.target else os.path.basename(path)
-            return (share.scan_id, share.target, kind, path, inside)
-
-        if os.path.isfile(share.directory):
-            yield row("file", share.directory)
-            return
-        if share.directory == share.target:
-            yield row("target", share.target)
-        waiting = [share.directory]
-        while waiting:
-            directory = waiting.pop()
-            dirs, files = _level(directory)
-            for name in dirs:
-                yield row("dir", os.path.join(directory, name))
-            for name in files:
-                if os.path.splitext(name)[1].lower() in V.SOURCE_SUFFIXES:
-                    yield row("file", os.path.join(directory, name))
-            if share.deep:
-                waiting.extend(_below(directory, dirs))
+        found = _walk(share.scan_id, share.target, share.directory, share.deep)
+        yield from (row for row in found if row[2] != "enter")
 
 
 class SourceTree(DataSource):
@@ -116,6 +133,38 @@ def entries(spark: SparkSession, targets: dict[str, str], splits: int = 64) -> D
     return reader.option("splits", splits).load()
 
 
+def entries_of(scans: DataFrame, levels: int = 3, tasks: int | None = None) -> DataFrame:
+    """The same for a table ``scans(scan_id, target_path)`` of any length.
+
+    Spark lists one level of all trees, spreads the directories found over the tasks, lists the next
+    level, and walks what is left below the last one. Names never pass through the driver, and a
+    scan with a third of all directories is shared out like all others.
+    """
+    tasks = tasks or 4 * scans.sparkSession.sparkContext.defaultParallelism
+    names = [field.split()[0] for field in ENTRIES.split(", ")]
+
+    def walker(deep: bool):
+        def walk(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            starts = (start for batch in source for start in batch.to_pylist())
+            rows = chain.from_iterable(
+                _walk(start["scan_id"], start["target_path"], start["path"], deep) for start in starts
+            )
+            for some in batched(rows, 10_000):
+                columns = [pa.array(column, pa.string()) for column in zip(*some)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+        return walk
+
+    starts = scans.select("scan_id", "target_path", F.col("target_path").alias("path"))
+    found = []
+    for level in range(levels):
+        spread = starts.repartition(tasks, "scan_id", "path")
+        listed = materialize(spread.mapInArrow(walker(level == levels - 1), ENTRIES))
+        found.append(listed.filter(F.col("kind") != "enter"))
+        starts = listed.filter(F.col("kind") == "enter").select("scan_id", "target_path", "path")
+    return reduce(DataFrame.unionByName, found)
+
+
 def dirs_of(listed: DataFrame) -> DataFrame:
     return listed.filter(F.col("kind") == "dir").select("scan_id", "rel_path")
 

@@ -45,6 +45,15 @@ def test_a_tree_gives_its_source_files_however_it_is_split(spark, tmp_path, spli
     assert select.directory_sample(named).first()["sample"] == ".venv, build, node_modules"
 
 
+@pytest.mark.parametrize("levels", [1, 2, 9])
+def test_a_table_of_scans_lists_the_same_entries(spark, table, tmp_path, levels):
+    targets = {"s": _tree(tmp_path / "s", NAMES), "t": str(tmp_path / "s/a.py"), "u": str(tmp_path / "gone")}
+    scans = table(list(targets.items()), "scan_id string, target_path string")
+    made = sorted(map(tuple, srctree.entries_of(scans, levels, tasks=3).collect()))
+    assert made == sorted(map(tuple, srctree.entries(spark, targets).collect()))
+    assert {row[0] for row in made if row[2] == "target"} == {"s", "t"}
+
+
 def test_a_file_as_target_is_never_pruned(spark, tmp_path):
     _tree(tmp_path, ["dist/a.py", "dist/b.txt"])
     targets = {"py": str(tmp_path / "dist/a.py"), "txt": str(tmp_path / "dist/b.txt")}
