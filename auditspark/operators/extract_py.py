@@ -3,6 +3,7 @@
 import ast
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,8 +40,8 @@ FLUSH_BYTES = 1 << 20
 _UNREADABLE = (SyntaxError, ValueError, RecursionError, MemoryError)
 
 
-def _source(node: ast.expr) -> str:
-    """An expression as source text; a bare name, by far the most frequent one, needs no unparser."""
+def _source(node: ast.AST) -> str:
+    """A node as source text; a bare name, by far the most frequent one, needs no unparser."""
     return node.id if type(node) is ast.Name else ast.unparse(node)
 
 
@@ -49,24 +50,25 @@ def _literal(text: str) -> str:
     return text[: V.LITERAL_CUT].encode("utf-8", "replace").decode("utf-8")
 
 
+# How a node becomes a fact; ``text`` turns an expression into its source.
 _SHAPES = {
-    "functions": lambda n: {
+    "functions": lambda n, text: {
         "name": n.name,
         "lineno": n.lineno,
         "args": [parameter.arg for parameter in n.args.args],
-        "decorators": [_source(mark) for mark in n.decorator_list],
+        "decorators": [text(mark) for mark in n.decorator_list],
     },
-    "classes": lambda n: {
-        "name": n.name, "lineno": n.lineno, "bases": [_source(base) for base in n.bases],
+    "classes": lambda n, text: {
+        "name": n.name, "lineno": n.lineno, "bases": [text(base) for base in n.bases],
     },
-    "imports": ast.unparse,
-    "calls": lambda n: {"call": ast.unparse(n), "lineno": n.lineno},
-    "assignments": lambda n: {
-        "targets": [_source(target) for target in n.targets],
-        "value": _source(n.value),
+    "imports": lambda n, text: text(n),
+    "calls": lambda n, text: {"call": text(n), "lineno": n.lineno},
+    "assignments": lambda n, text: {
+        "targets": [text(target) for target in n.targets],
+        "value": text(n.value),
         "lineno": n.lineno,
     },
-    "strings": lambda n: {"value": _literal(n.value), "lineno": n.lineno},
+    "strings": lambda n, text: {"value": _literal(n.value), "lineno": n.lineno},
 }
 
 
@@ -75,16 +77,18 @@ def facts_of(path: str, content: bytes | None, read_error: str | None) -> dict:
     if read_error is not None or content is None:
         return {"error": read_error or "no content"}
     found = defaultdict(list)
+    # A call that is assigned is asked for twice.
+    text = cache(_source)
     try:
-        text = content.decode("utf-8").replace("\r\n", "\n").replace("\r", "\n")
+        code = content.decode("utf-8").replace("\r\n", "\n").replace("\r", "\n")
         # Breadth first: the order of every list below.
-        for node in ast.walk(ast.parse(text, filename=path)):
+        for node in ast.walk(ast.parse(code, filename=path)):
             kind = _KINDS.get(type(node))
             long_text = kind != "strings" or (
                 isinstance(node.value, str) and len(node.value) > V.LITERAL_MIN
             )
             if kind and long_text:
-                found[kind].append(_SHAPES[kind](node))
+                found[kind].append(_SHAPES[kind](node, text))
     except _UNREADABLE as problem:
         return {"error": str(problem)}
     return {kind: found[kind] for kind in schemas.FACT_TYPES}
