@@ -1,14 +1,14 @@
 """Facts of JavaScript and TypeScript files, found line by line with Spark's own functions.
 
 There is no grammar here: a fact is what one line shows, except imports, which may span lines.
-Comment lines are blanked first. Every list is built inside the row of its file, so nothing moves.
+Comment lines are dropped first. Every list is built inside the row of its file, so nothing moves.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditspark import fixed_values as V
-from auditspark.functions.text import decoded
+from auditspark.functions.text import contains_any, decoded
 from auditspark import schemas
 
 NAME = r"[A-Za-z_$][\w$]*"
@@ -34,11 +34,21 @@ NOT_CALLS = ("if", "for", "while", "switch", "catch", "function", "return", "awa
 
 
 def _lines(text: Column) -> Column:
-    """Lines of a file; a line that holds only comment becomes empty."""
-    return F.transform(
+    """Lines of a file with their numbers; empty lines and lines of comment only are left out."""
+    numbered = F.transform(
         F.split(text, "\n"),
-        lambda line: F.when(F.regexp_like(line, F.lit(r"^\s*(?://|/\*|\*)")), F.lit("")).otherwise(line),
+        lambda line, index: F.struct(line.alias("text"), (index + 1).alias("lineno")),
     )
+    return F.filter(
+        numbered,
+        lambda line: (line["text"] != "")
+        & ~F.regexp_like(line["text"], F.lit(r"^\s*(?://|/\*|\*)")),
+    )
+
+
+def _having(lines: Column, *marks: str) -> Column:
+    """Lines with one of ``marks``: a cheap test that spares most lines the patterns."""
+    return F.filter(lines, lambda line: contains_any(line["text"], marks))
 
 
 def _names(parameters: Column) -> Column:
@@ -56,7 +66,8 @@ def _closed(rest: Column) -> Column:
 
 
 def _functions(lines: Column) -> Column:
-    def of_line(line: Column, index: Column) -> Column:
+    def of_line(numbered: Column) -> Column:
+        line = numbered["text"]
         declared = F.regexp_extract(line, FUNCTION, 1)
         bound = F.regexp_extract(line, ARROW, 1)
         bare = F.regexp_extract(line, ARROW, 3)
@@ -67,57 +78,59 @@ def _functions(lines: Column) -> Column:
         )
         return F.struct(
             F.when(declared != "", declared).otherwise(bound).alias("name"),
-            (index + 1).alias("lineno"),
+            numbered["lineno"].alias("lineno"),
             arguments.alias("args"),
             F.array().cast("array<string>").alias("decorators"),
         )
 
-    return F.filter(F.transform(lines, of_line), lambda fact: fact["name"] != "")
+    return F.filter(F.transform(_having(lines, "function", "=>"), of_line), lambda fact: fact["name"] != "")
 
 
 def _classes(lines: Column) -> Column:
-    def of_line(line: Column, index: Column) -> Column:
+    def of_line(numbered: Column) -> Column:
+        line = numbered["text"]
         base = F.regexp_extract(line, CLASS, 2)
         return F.struct(
             F.regexp_extract(line, CLASS, 1).alias("name"),
-            (index + 1).alias("lineno"),
+            numbered["lineno"].alias("lineno"),
             F.filter(F.array(base), lambda name: name != "").alias("bases"),
         )
 
-    return F.filter(F.transform(lines, of_line), lambda fact: fact["name"] != "")
+    return F.filter(F.transform(_having(lines, "class"), of_line), lambda fact: fact["name"] != "")
 
 
 def _calls(lines: Column) -> Column:
-    def of_line(line: Column, index: Column) -> Column:
-        bare = F.regexp_replace(line, QUOTED, '""')
+    def of_line(numbered: Column) -> Column:
+        bare = F.regexp_replace(numbered["text"], QUOTED, '""')
         heads = F.when(
             ~F.regexp_like(bare, F.lit(METHOD)), F.regexp_extract_all(bare, F.lit(CALL), 1)
         ).otherwise(F.array().cast("array<string>"))
         real = F.filter(heads, lambda head: ~head.isin(*NOT_CALLS))
         return F.transform(
-            real, lambda head: F.struct(head.alias("call"), (index + 1).alias("lineno"))
+            real, lambda head: F.struct(head.alias("call"), numbered["lineno"].alias("lineno"))
         )
 
-    return F.flatten(F.transform(lines, of_line))
+    return F.flatten(F.transform(_having(lines, "("), of_line))
 
 
 def _assignments(lines: Column) -> Column:
-    def of_line(line: Column, index: Column) -> Column:
+    def of_line(numbered: Column) -> Column:
+        line = numbered["text"]
         declared = F.regexp_extract(line, DECLARED, 1)
         target = F.when(declared != "", declared).otherwise(F.regexp_extract(line, ASSIGNED, 1))
         value = F.when(declared != "", F.regexp_extract(line, DECLARED, 2)).otherwise(
             F.regexp_extract(line, ASSIGNED, 2)
         )
         return F.struct(
-            F.array(target).alias("targets"), value.alias("value"), (index + 1).alias("lineno")
+            F.array(target).alias("targets"), value.alias("value"), numbered["lineno"].alias("lineno")
         )
 
-    return F.filter(F.transform(lines, of_line), lambda fact: fact["targets"][0] != "")
+    return F.filter(F.transform(_having(lines, "=", "let ", "const "), of_line), lambda fact: fact["targets"][0] != "")
 
 
 def _strings(lines: Column) -> Column:
-    def of_line(line: Column, index: Column) -> Column:
-        quoted = F.regexp_extract_all(line, F.lit(f"({QUOTED})"), 1)
+    def of_line(numbered: Column) -> Column:
+        quoted = F.regexp_extract_all(numbered["text"], F.lit(f"({QUOTED})"), 1)
         fragments = F.flatten(
             F.transform(
                 quoted,
@@ -131,16 +144,17 @@ def _strings(lines: Column) -> Column:
             long,
             lambda part: F.struct(
                 F.substr(part, F.lit(1), F.lit(V.LITERAL_CUT)).alias("value"),
-                (index + 1).alias("lineno"),
+                numbered["lineno"].alias("lineno"),
             ),
         )
 
-    return F.flatten(F.transform(lines, of_line))
+    return F.flatten(F.transform(_having(lines, '"', "'", "`"), of_line))
 
 
 def _code(lines: Column) -> Column:
     """The file without string literals and trailing comments."""
-    bare = F.regexp_replace(F.array_join(lines, "\n"), QUOTED, "")
+    text = F.array_join(F.transform(lines, lambda line: line["text"]), "\n")
+    bare = F.regexp_replace(text, QUOTED, "")
     return F.regexp_replace(bare, r"//[^\n]*+", "")
 
 
