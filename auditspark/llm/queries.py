@@ -99,8 +99,8 @@ WITH doc AS (
   )
 ), hit AS (SELECT doc_id, p, size, item_id FROM doc_window JOIN item_window USING (size, words)
 ), hit_word AS (
-  SELECT doc_id, count(DISTINCT at) AS n_hit
-  FROM (SELECT doc_id, unnest(range(p, p + size)) AS at FROM (SELECT DISTINCT doc_id, p, size FROM hit)) GROUP BY doc_id
+  SELECT doc_id, count(DISTINCT word_no) AS n_hit
+  FROM (SELECT doc_id, unnest(range(p, p + size)) AS word_no FROM (SELECT DISTINCT doc_id, p, size FROM hit)) GROUP BY doc_id
 ), hit_item AS (
   SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hit) GROUP BY doc_id
