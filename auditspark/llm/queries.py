@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm import decontaminate, lines, pieces, quality, simhash, toxicity
+from auditspark.llm import chat, decontaminate, lines, neighbours, pieces, quality, shards, simhash, toxicity, urls
 from auditspark.llm.common import label_fold
 
 TOXIC_FOLDS, TOXIC_HELD = 4, 2
@@ -53,6 +53,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose number is divisible by 50."""
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, nearest=5)
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
     """The model of the labelled documents outside the held-out part."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -65,6 +70,39 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(quality.scores(table(spark, sf_dir, "documents"), model), QUALITY_FOLDS, QUALITY_HELD, 0.5)
 
 
+RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of the rules on every page; a page that no list holds is allowed."""
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages"), rules, default="allow")
+
+
+PROBE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, rebuilt from events, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"
+    )
+    probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
+    events = chat.events_of_rows(rows.unionByName(probe))
+    return chat.read_back(chat.formatted(chat.fold(events)))
+
+
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token sequences of all documents in training order, as fixed-size records."""
+    return shards.training_order(table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         query.__name__: query
@@ -74,7 +112,11 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op3_line_dedup,
             op4_sentencepiece,
             op5_decontamination,
+            op6_neighbours,
             op7_quality,
+            op8_url_filter,
+            op9_chat,
+            op10_training_order,
         )
     }
 
@@ -112,5 +154,39 @@ FROM doc LEFT JOIN hit_word USING (doc_id) LEFT JOIN hit_item USING (doc_id)
 """
 
 
+OP8_SQL = r"""
+WITH page AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages
+), rules(h, p, v) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), fit AS (
+  SELECT page_id, host, path, h || p AS rule, v,
+    row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS place
+  FROM page LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM fit WHERE place = 1
+"""
+
+OP9_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), sized AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|<role>|</role>|\\'))
+    + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15 ELSE 14 + length(role) END AS chars
+  FROM said
+)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {"op5_decontamination": OP5_SQL}
+    return {"op5_decontamination": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_chat": OP9_SQL}

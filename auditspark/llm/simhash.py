@@ -9,7 +9,8 @@ view. Inside a key the fingerprints are sorted by Gray rank, which brings finger
 bits together; runs of them form nodes that hold the bits all members share (a mask and a pattern),
 runs of nodes form upper nodes. A search walks down from the upper nodes, adds up the differences in
 the bits each node newly fixes, and leaves a node with all its members once the sum passes the
-radius. Only a spanning forest of the links of a key leaves its task.
+radius. Of a key's links only as many pairs leave its task as are needed to connect the same
+fingerprints.
 """
 
 from collections.abc import Iterator
@@ -165,7 +166,7 @@ class GrayIndex:
 
 
 def linked(values: np.ndarray, groups: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links inside every group, as two arrays of fingerprints."""
+    """Pairs that connect what the links inside every group connect: each fingerprint and its smallest relative."""
     if not len(values):
         return values, values
     index = GrayIndex(values, groups)
@@ -213,7 +214,7 @@ def _link_groups(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
 
 
 def links(distinct: DataFrame, radius: int = 4, limit: int = GROUP_LIMIT) -> DataFrame:
-    """``a, b``: links between different fingerprints that connect all that are within the radius."""
+    """``a, b``: pairs of fingerprints that connect whatever links within the radius connect."""
     units = split_groups(_views(distinct, radius), ["key"], "fingerprint", limit)
     laid = units.repartition("key", "unit").sortWithinPartitions("key", "unit")
     return laid.select("key", "unit", "fingerprint").mapInArrow(
@@ -225,7 +226,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, limit: int
     """``doc_id, fingerprint, component_id, n_links`` for every row of ``docs``.
 
     ``component_id`` is the smallest document number that links lead to, the row's own included;
-    ``n_links`` counts the spanning links of its component. Null and empty texts have fingerprint
+    ``n_links`` counts the links that it takes to hold its component together. Null and empty texts have fingerprint
     zero and are linked like any other. A row without ``doc_id`` is fingerprinted and linked, and
     never gives its component a name; where no row of a component has a number, the name is null.
     Repeated rows stay repeated. Other columns are not looked at.
