@@ -1,9 +1,8 @@
 """Removal of lines that repeat, also with small changes, across all documents.
 
 Equal lines meet by a 128-bit hash. Every distinct line has a MinHash signature over its character
-shingles: one hash per shingle, the smallest per bin, empty bins filled from their neighbours. Bands
-of the signature bring similar lines together; the exact Jaccard similarity of their shingle sets
-decides. Links become components, and of each component the line that comes first in the corpus (by
+shingles. Bands of the signature bring similar lines together; the exact Jaccard similarity of their
+shingle sets decides. Links become components, and of each component the line that comes first in the corpus (by
 document number, then line number) is kept.
 
 Pairs of a band are not listed. First every line of a band is compared with the band's smallest
@@ -20,7 +19,6 @@ from pyspark.sql import functions as F
 
 from auditspark.llm.common import SpanHash, Texts, map_slices, mix, split_groups
 from auditspark.llm.components import components
-from auditspark.operators.joins import fits_broadcast
 from auditspark.session import materialize
 
 SHINGLE = 8
@@ -53,27 +51,21 @@ def _char_shingles(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(column: pa.Array, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """One 64-bit value per text and band; texts that are equal as shingle sets get equal values."""
+    """One 64-bit value per text and band; texts that are equal as shingle sets get equal values.
+
+    A band's value mixes ``rows`` minima, each over all shingles of the text in an order of its own.
+    """
     texts = Texts(column)
     hashes, made = _char_shingles(texts, size)
-    bins = bands * rows
-    slot = ((hashes >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
-    owner = np.repeat(np.arange(texts.size, dtype=np.uint64) * np.uint64(bins), made)
-    empty = np.uint64((1 << 64) - 1)
-    table = np.full(texts.size * bins, empty, np.uint64)
-    np.minimum.at(table, (owner + slot).astype(np.int64), mix(hashes))
-    table = table.reshape(-1, bins)
-    filled = table.copy()
-    for step in range(1, bins):
-        holes = filled == empty
-        if not holes.any() or (made == 0).all():
-            break
-        borrowed = np.roll(table, -step, axis=1)
-        np.copyto(filled, borrowed + np.uint64(step), where=holes & (borrowed != empty))
-    banded = filled.reshape(-1, bands, rows)
-    value = np.zeros(banded.shape[:2], np.uint64)
-    for row in range(rows):
-        value = mix(value * np.uint64(31) + banded[:, :, row])
+    some = np.flatnonzero(made)
+    cuts = (np.cumsum(made) - made)[some]
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    orders = mix(np.arange(1, bands * rows + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+    value = np.zeros((texts.size, bands), np.uint64)
+    for at, order in enumerate(orders):
+        least = np.minimum.reduceat(short * order, cuts) if len(cuts) else np.zeros(0, np.uint32)
+        band = at // rows
+        value[some, band] = mix(value[some, band] * np.uint64(31) + least)
     return value ^ mix(np.arange(bands, dtype=np.uint64))[None, :]
 
 
@@ -119,13 +111,8 @@ def _verify(pairs: DataFrame, size: int, least: float) -> DataFrame:
 
 
 def _texts_of(lines: DataFrame, needed: DataFrame) -> DataFrame:
-    """``node, line`` for the nodes of ``needed(node, h1, h2)``, a stored table.
-
-    A small table is broadcast behind a check of its size, otherwise both sides are shuffled.
-    """
-    small = fits_broadcast(needed)
-    side = F.broadcast(needed) if small else needed
-    found = lines.select("h1", "h2", "line").join(side, ["h1", "h2"])
+    """``node, line`` for the nodes of ``needed(node, h1, h2)``."""
+    found = lines.select("h1", "h2", "line").join(needed, ["h1", "h2"])
     return found.groupBy("node").agg(F.min("line").alias("line"))
 
 
@@ -266,8 +253,7 @@ def without_repeats(docs: DataFrame, **settings) -> DataFrame:
     found = materialize(dropped_lines(docs, **settings)).select(
         F.col("doc_id").alias("__doc"), F.col("dropped").alias("__dropped")
     )
-    side = F.broadcast(found) if fits_broadcast(found) else found
-    joined = docs.join(side, F.col("doc_id") == F.col("__doc"), "left")
+    joined = docs.join(found, F.col("doc_id") == F.col("__doc"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
