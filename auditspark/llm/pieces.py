@@ -25,7 +25,7 @@ from auditspark.llm.common import SpanHash, Texts, list_array, map_slices, mix,
 
 MARK = "▁"
 SHARPNESS = 1.0
-SLICE = 1 << 19
+SLICE, LATTICE = 1 << 21, 1 << 18
 MODEL = "piece_bpe_32k.model"
 
 
@@ -107,12 +107,27 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(pieces, first_byte, hashes[order], ids[order], np.unique(sizes), weights, slots, known, data, (ends - sizes)[order])
 
 
+_LOW_BYTES = np.array([(1 << 8 * size) - 1 for size in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def _eight(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as one number each; beyond the end stand zeros."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
 def _equal_spans(one: np.ndarray, at: np.ndarray, two: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether the spans of two byte arrays are equal, one flag per pair of spans."""
     if not len(at):
         return np.zeros(0, bool)
-    same = one[ragged(at, size)] == two[ragged(place, size)]
-    return np.logical_and.reduceat(same, np.cumsum(size) - size)
+    differ = (_eight(one)[at] ^ _eight(two)[place]) & _LOW_BYTES[np.minimum(size, 8)]
+    same = differ == 0
+    long = np.flatnonzero(same & (size > 8))
+    if len(long):
+        at, place, rest = at[long] + 8, place[long] + 8, size[long] - 8
+        equal = one[ragged(at, rest)] == two[ragged(place, rest)]
+        same[long] = np.logical_and.reduceat(equal, np.cumsum(rest) - rest)
+    return same
 
 
 class Lattice:
@@ -191,8 +206,10 @@ class Lattice:
         self.low[target[heads]] = heads
         self.high[target[heads]] = np.r_[heads[1:], len(target)]
         running = np.cumsum(share)
-        before = np.r_[0, running][self.low[target]]
-        self.drawn = running - before
+        if len(heads):
+            before = np.r_[0, running[heads[1:] - 1]]
+            running -= np.repeat(before, np.diff(np.r_[heads, len(target)]))
+        self.drawn = running
 
     def pick(self, node: np.ndarray, chance: np.ndarray) -> np.ndarray:
         """The edge into each node that its chance (from 0 to 1) falls on."""
@@ -233,20 +250,30 @@ def encode_batch(column: pa.Array, keys: np.ndarray, path: str, seed: int = 0, s
     _, kept, shared = np.unique(value, return_index=True, return_inverse=True)
     if not (size[kept][shared] == size).all() or not _equal_spans(data, begin, data, begin[kept][shared], size).all():
         kept = shared = np.arange(len(begin))
-    lattice = Lattice(data[ragged(begin[kept], size[kept])], size[kept], words, sharpness)
     owner = np.searchsorted(text_end, begin, "right")
     stream = mix(keys.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(seed))
-    node, start = lattice.end[shared], lattice.begin[shared]
     number = np.full(len(data), -1, np.int32)
-    active = np.arange(len(begin))
-    while len(active):
-        place = begin[active] + node[active] - start[active]
-        inner = (place - text_begin[owner[active]]).astype(np.uint64)
-        chance = (mix(stream[owner[active]] + inner * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) * 2.0**-53
-        edge = lattice.pick(node[active], chance)
-        node[active] = lattice.source[edge]
-        number[begin[active] + node[active] - start[active]] = lattice.piece[edge]
-        active = active[node[active] > start[active]]
+    # Lattices are built for some of the distinct words at a time, which keeps them in the cache.
+    by_word = np.argsort(shared, kind="stable")
+    loads = np.cumsum(size[kept])
+    cuts = np.searchsorted(loads, np.arange(0, int(loads[-1]) + LATTICE, LATTICE))
+    places = np.searchsorted(shared[by_word], cuts)
+    for low, high, first, last in zip(cuts[:-1], cuts[1:], places[:-1], places[1:]):
+        if low == high:
+            continue
+        some = kept[low:high]
+        lattice = Lattice(data[ragged(begin[some], size[some])], size[some], words, sharpness)
+        word = by_word[first:last]
+        node, start = lattice.end[shared[word] - low], lattice.begin[shared[word] - low]
+        place, text, left = begin[word], owner[word], text_begin[owner[word]]
+        while len(word):
+            inner = (place + node - start - left).astype(np.uint64)
+            chance = (mix(stream[text] + inner * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) * 2.0**-53
+            edge = lattice.pick(node, chance)
+            node = lattice.source[edge]
+            number[place + node - start] = lattice.piece[edge]
+            more = node > start
+            word, node, start, place, text, left = (value[more] for value in (word, node, start, place, text, left))
     at = np.flatnonzero(number >= 0)
     lengths = np.searchsorted(at, text_end) - np.searchsorted(at, text_begin)
     return list_array(pa.array(number[at]), lengths)
