@@ -1,209 +1,365 @@
-"""Facts of JavaScript and TypeScript files, found line by line with Spark's own functions.
+"""Facts of JavaScript and TypeScript files, found with Spark's own functions.
 
-There is no grammar here: a fact is what one line shows, except imports, which may span lines.
-Comment lines are dropped first. Every list is built inside the row of its file, so nothing moves.
+There is no grammar here. A file is cut into tokens once: comments, literals, and what lies between.
+In the masked text a comment is blank and a literal is a short mark with the token's place, both with
+their own line ends, so neither can be taken for code and line numbers hold. Where a construct may
+start, a mark with the line's number is put in; from there a pattern reads on, over several lines if
+need be, up to the bracket or the line end that closes the construct. Marks of literals turn back
+into the literals at the end. Every list is built inside the row of its file, so nothing moves.
+
+All repetition is possessive: a pattern never goes back over what it has read.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditspark import fixed_values as V
-from auditspark.functions.text import contains_any, decoded
 from auditspark import schemas
+from auditspark.functions.text import contains_any, decoded
+
+# Private characters that frame the marks; a file's own ones become "?" where they stand in code.
+LITERAL, LITERAL_END, PLACE, PLACE_END = "\ue000", "\ue001", "\ue002", "\ue003"
+
+NAME = r"[A-Za-z_$][\w$]*+"
+OPERATOR_BEFORE = (
+    r"(?<=(?:\A|[=(,:;!&|?{\[~^+\-*%<>]|\b(?:return|typeof|case|in|of|do|else|void|delete|throw|new|await|yield))"
+    r"[ \t\n]{0,16})"
+)
+TEMPLATE = r"`[^`\\$]*+(?:(?:\\(?s:.)|\$\{(?:[^`{}]++|\{[^{}]*+\}|`[^`]*+`)*+\}|\$)[^`\\$]*+)*+`"
+TOKEN = (
+    r"//[^\n]*+"
+    r"|/\*[^*]*+(?:\*(?!/)[^*]*+)*+\*/"
+    rf"|{TEMPLATE}"
+    r'|"[^"\\\n]*+(?:\\(?s:.)[^"\\\n]*+)*+"'
+    r"|'[^'\\\n]*+(?:\\(?s:.)[^'\\\n]*+)*+'"
+    rf"|{OPERATOR_BEFORE}/(?![/*])(?:[^/\\\[\n]++|\\[^\n]|\[(?:[^\]\\\n]++|\\[^\n])*+\])++/[A-Za-z]*+"
+    r"|[^/\"'`]++"
+    r"|(?s:.)"
+)
+FRAGMENT_END = r"\\(?s:.)|\$\{(?:[^{}]++|\{[^{}]*+\})*+\}"
+
+# Text between brackets with brackets in it; deeper than this a construct ends at the bracket.
+DEPTH = 12
 
-NAME = r"[A-Za-z_$][\w$]*"
-# Possessive quantifiers keep matching linear, and free of recursion, on lines of any length.
-QUOTED = (
-    r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-    r"|'[^'\\]*+(?:\\.[^'\\]*+)*+'"
-    r"|`[^`\\]*+(?:\\.[^`\\]*+)*+`"
+
+def _nested(depth: int) -> str:
+    inner = r"[^()\[\]{}]*+"
+    for _ in range(depth):
+        inner = rf"(?:[^()\[\]{{}}]++|[(\[{{]{inner}[)\]}}])*+"
+    return inner
+
+
+INSIDE = _nested(DEPTH)
+BRACKETED = rf"[(\[{{]{INSIDE}[)\]}}]"
+MASK = rf"{LITERAL}[^{LITERAL_END}]*+{LITERAL_END}"
+MARK = rf"{PLACE}\d++{PLACE_END}"
+# A line end inside a statement: something on either side shows that it goes on.
+GOES_ON = (
+    r"\n(?=\s*+(?:[.?:&|+*/%=<>,-]|instanceof\b|in\b))"
+    r"|(?<=[=+\-*/%&|?:<>,.][ \t]{0,40})\n"
 )
+# A statement also ends where the next one of its kind is marked; so no text is read again and again.
+STATEMENT = rf"(?:{MASK}|[^()\[\]{{}};\n{LITERAL}{PLACE}]++|{BRACKETED}|{GOES_ON})*+"
+VALUE = rf"(?:{MASK}|[^()\[\]{{}};,\n{LITERAL}{PLACE}]++|{BRACKETED}|{GOES_ON})*+"
+
+BEGINS = r"(?:^|[;{}]|\bexport\b|\bdefault\b)[ \t]*+"
+# What a construct starts with: text that stays before the mark, and the start itself.
+STARTS = {
+    "function": rf"({BEGINS})(?=(?:async[ \t]++)?function[ \t]++{NAME})",
+    "class": rf"({BEGINS})(?=class[ \t]++{NAME})",
+    "declaration": r"((?:^|[;{}(:]|\bexport\b)[ \t]*+)(?=(?:const|let)\b)",
+    "assignment": (
+        rf"((?:^|[;}}]|(?:\)|\belse|\bdo)[ \t]*+\{{?+|(?:=>|\btry|\bfinally)[ \t]*+\{{)[ \t]*+)"
+        rf"(?={NAME}(?:\.{NAME}|\[[^\[\]]*+\])*+\s*+=(?![=>]))"
+    ),
+    "call": (
+        rf"((?<![\w$.#])(?<!\bnew[ \t]{{1,9}})|(?<=[)\]])(?=\??\.)|(?<=^[ \t]{{0,200}})(?=\??\.))"
+        rf"(?=(?:new[ \t]++)?\??\.?{NAME}(?:[ \t]*+\??\.[ \t]*+#?{NAME})*+[ \t]*+(?:<[\w$.,|\[\] ]*+>)?(?:\?\.)?\()"
+    ),
+}
+# A cheap test that spares most lines the patterns.
+HINTS = {
+    "function": ("function",), "class": ("class",), "declaration": ("const", "let"), "assignment": ("=",), "call": ("(",),
+}
 
-FUNCTION = rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+({NAME})\s*(?:<[^>]*>)?\s*\((.*)"
-ARROW = (
-    rf"^\s*(?:export\s+)?(?:const|let)\s+({NAME})\s*(?::[^=]+)?=\s*(?:async\s+)?"
-    rf"(?:\((.*?)\)(?:\s*:[^=]+)?|({NAME}))\s*=>"
+FUNCTION = rf"(?:async[ \t]++)?function[ \t]++({NAME})\s*+(?:<[^>()]*+>\s*+)?(?:\(({INSIDE})\))?"
+CLASS = rf"class[ \t]++({NAME})(?:\s*+<[^>{{]*+>)?(?:\s++extends\s++([\w$.]++))?"
+DECLARATION = rf"(?:const|let)\b({STATEMENT})"
+ASSIGNMENT = rf"({NAME}(?:\.{NAME}|\[[^\[\]]*+\])*+)\s*+=\s*+({VALUE})"
+CALL = (
+    rf"((?:new[ \t]++)?\??\.?{NAME}(?:[ \t]*+\??\.[ \t]*+#?{NAME})*+)[ \t]*+(?:<[\w$.,|\[\] ]*+>)?(?:\?\.)?"
+    rf"(\((?:{INSIDE}\))?)(\s*+(?::\s*+[\w$<>\[\]|., ]++)?\{{)?"
 )
-CLASS = rf"^\s*(?:export\s+)?(?:default\s+)?class\s+({NAME})(?:\s*<[^>]*>)?(?:\s+extends\s+([\w$.]+))?"
-IMPORT = r"(?m)^[ \t]*(import\s[^;'\"]*['\"][^'\"\n]*['\"];?)"
-DECLARED = rf"^\s*(?:export\s+)?(?:const|let)\s+({NAME})\s*(?::[^=]+?)?\s*(?:=(?![=>])\s*(.*?))?\s*;?\s*$"
-ASSIGNED = rf"^\s*({NAME}(?:\.{NAME}|\[[^\]]*\])*)\s*=(?![=>])\s*(.*?)\s*;?\s*$"
-CALL = rf"(?<![\w$])(?<!function )(?<!function\* )((?:new\s+)?{NAME}(?:\s*+\??\.\s*+{NAME})*+)\s*\("
-METHOD = rf"^\s*(?:static\s+|async\s+|get\s+|set\s+|\*\s*)*{NAME}\s*\([^()]*\)\s*(?::[^{{]+)?\{{\s*$"
-NOT_CALLS = ("if", "for", "while", "switch", "catch", "function", "return", "await", "typeof")
-
-
-def _lines(text: Column) -> Column:
-    """Lines of a file with their numbers; empty lines and lines of comment only are left out."""
-    numbered = F.transform(
-        F.split(text, "\n"),
-        lambda line, index: F.struct(line.alias("text"), (index + 1).alias("lineno")),
-    )
-    return F.filter(
-        numbered,
-        lambda line: (line["text"] != "")
-        & ~F.regexp_like(line["text"], F.lit(r"^\s*(?://|/\*|\*)")),
+DECLARATOR = rf"(?:{MASK}|[^,()\[\]{{}}<{LITERAL}]++|<[\w$.,\s|\[\]]*+>|<|{BRACKETED})++"
+DECLARED = (
+    rf"(?s)^\s*+({NAME}|\{{{INSIDE}\}}|\[{INSIDE}\])\s*+!?+\s*+"
+    rf"(?::(?:{MASK}|[^=()\[\]{{}}{LITERAL}]++|=>|{BRACKETED})*+)?(?:=(?!=)\s*+(.*+))?$"
+)
+ARROW = rf"^(?:async\s*+)?(?:<[^()]*+>\s*+)?(?:\(({INSIDE})\)(?:\s*+:[^=;]*+)?|({NAME})\s*+)\s*+=>"
+IMPORT = (
+    rf"(?m)(?:^|;)[ \t]*+(import(?=[\s{{*{LITERAL}])[\w$*{{}},\s]*+{MASK}"
+    r"(?:[ \t]*+(?:with|assert)\s*+\{[^}]*+\})?;?+)"
+)
+PARAMETER = rf"^\s*+(?:(?:public|private|protected|readonly)\s++)*+(?:\.\.\.\s*+)?({NAME})"
+# An operator that lacks what should follow it.
+DANGLING = r"(?:(?<!\+)\+|(?<!-)-|[*/%&|^=<~])\s*+[;)\]]"
+# Text between tags may hold single quotes.
+TAGS = r"</[A-Za-z>]|/>"
+NOT_CALLS = ("if", "for", "while", "switch", "catch", "function", "return", "await", "typeof", "with", "super")
+
+
+def _no_names() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _is_comment(token: Column) -> Column:
+    return F.startswith(token, F.lit("//")) | F.startswith(token, F.lit("/*"))
+
+
+def _is_literal(token: Column) -> Column:
+    first = F.substr(token, F.lit(1), F.lit(1))
+    return (F.length(token) > 1) & first.isin('"', "'", "`", "/") & ~_is_comment(token)
+
+
+def _masked(tokens: Column) -> Column:
+    def of_token(token: Column, place: Column) -> Column:
+        ends = F.regexp_replace(token, r"[^\n]++", "")
+        return (
+            F.when(_is_comment(token), F.concat(F.lit(" "), ends))
+            .when(_is_literal(token), F.concat(F.lit(LITERAL), place.cast("string"), ends, F.lit(LITERAL_END)))
+            .otherwise(F.translate(token, LITERAL + LITERAL_END + PLACE + PLACE_END, "????"))
+        )
+
+    return F.array_join(F.transform(tokens, of_token), "")
+
+
+def _restored(text: Column, tokens: Column) -> Column:
+    """Code with its literals, without marks."""
+    pieces = F.regexp_extract_all(text, F.lit(rf"({LITERAL}[^{LITERAL_END}]*+{LITERAL_END}?+|{MARK}|[^{LITERAL}{PLACE}]++|(?s:.))"), 1)
+    place = lambda piece: F.regexp_extract(piece, r"(\d++)", 1).cast("int")
+    return F.array_join(
+        F.transform(
+            pieces,
+            lambda piece: F.when(F.startswith(piece, F.lit(LITERAL)), F.get(tokens, place(piece)))
+            .when(F.startswith(piece, F.lit(PLACE)), F.lit(""))
+            .otherwise(piece),
+        ),
+        "",
     )
 
 
-def _having(lines: Column, *marks: str) -> Column:
-    """Lines with one of ``marks``: a cheap test that spares most lines the patterns."""
-    return F.filter(lines, lambda line: contains_any(line["text"], marks))
+def _unmarked(text: Column) -> Column:
+    return F.regexp_replace(text, MARK, "")
+
+
+def _marked(lines: Column, kind: str) -> Column:
+    """The masked text with a mark of the line's number wherever a construct of a kind may start."""
+
+    def of_line(line: Column, index: Column) -> Column:
+        mark = F.concat(F.lit("$1" + PLACE), (index + 1).cast("string"), F.lit(PLACE_END))
+        fits = contains_any(line, HINTS[kind])
+        if kind == "assignment":
+            # A name after an open list is a default of it.
+            before = F.get(lines, F.when(index > 0, index - 1))
+            fits &= ~F.coalesce(F.regexp_like(before, F.lit(r"[,(][ \t]*+$")), F.lit(False))
+        return F.when(fits, F.regexp_replace(line, F.lit(STARTS[kind]), mark)).otherwise(line)
+
+    return F.array_join(F.transform(lines, of_line), "\n")
+
+
+def _found(marked: Column, pattern: str, groups: int) -> Column:
+    """For every mark that ``pattern`` follows: the line number and the pattern's groups, g1, g2, ..."""
+    whole = F.lit(rf"{PLACE}(\d++){PLACE_END}(?={pattern})")
+    parts = [F.regexp_extract_all(marked, whole, at) for at in range(1, groups + 2)]
+    zipped = F.arrays_zip(*[part.alias(f"g{at}") for at, part in enumerate(parts)])
+    return F.transform(
+        zipped,
+        lambda row: F.struct(
+            row["g0"].cast("int").alias("lineno"), *[row[f"g{at}"].alias(f"g{at}") for at in range(1, groups + 1)]
+        ),
+    )
 
 
 def _names(parameters: Column) -> Column:
     """Names in a parameter list; defaults, types and rest marks go, destructured ones drop out."""
-    flat = F.regexp_replace(parameters, r"\{[^{}]*\}|\[[^\[\]]*\]|\([^()]*\)|<[^<>]*>", "")
-    found = F.transform(
-        F.split(flat, ","), lambda part: F.regexp_extract(part, rf"^\s*(?:\.\.\.)?\s*({NAME})", 1)
-    )
-    return F.filter(found, lambda name: name != "")
+    parts = F.regexp_extract_all(_unmarked(parameters), F.lit(f"({DECLARATOR})"), 1)
+    return F.filter(F.transform(parts, lambda part: F.regexp_extract(part, PARAMETER, 1)), lambda name: name != "")
 
 
-def _closed(rest: Column) -> Column:
-    """Parameter text up to the parenthesis that closes it; one nested level is understood."""
-    return F.regexp_extract(rest, r"^((?:[^()]++|\([^()]*+\))*+)", 1)
+def _in_order(facts: Column) -> Column:
+    """By line; facts of one line stay in their order."""
+    return F.array_sort(facts, lambda a, b: a["lineno"] - b["lineno"])
 
 
-def _functions(lines: Column) -> Column:
-    def of_line(numbered: Column) -> Column:
-        line = numbered["text"]
-        declared = F.regexp_extract(line, FUNCTION, 1)
-        bound = F.regexp_extract(line, ARROW, 1)
-        bare = F.regexp_extract(line, ARROW, 3)
-        arguments = (
-            F.when(declared != "", _names(_closed(F.regexp_extract(line, FUNCTION, 2))))
-            .when(bare != "", F.array(bare))
-            .otherwise(_names(F.regexp_extract(line, ARROW, 2)))
-        )
-        return F.struct(
-            F.when(declared != "", declared).otherwise(bound).alias("name"),
-            numbered["lineno"].alias("lineno"),
-            arguments.alias("args"),
-            F.array().cast("array<string>").alias("decorators"),
-        )
+def _functions(marked: dict[str, Column], declared: Column, tokens: Column) -> Column:
+    def function(name: Column, lineno: Column, arguments: Column) -> Column:
+        return F.struct(name.alias("name"), lineno.alias("lineno"), arguments.alias("args"), _no_names().alias("decorators"))
 
-    return F.filter(F.transform(_having(lines, "function", "=>"), of_line), lambda fact: fact["name"] != "")
+    plain = F.transform(
+        _found(marked["function"], FUNCTION, 2), lambda row: function(row["g1"], row["lineno"], _names(row["g2"]))
+    )
 
+    def bound(row: Column) -> Column:
+        bare = F.regexp_extract(row["raw"], ARROW, 2)
+        return function(row["name"], row["lineno"], F.when(bare != "", F.array(bare)).otherwise(_names(F.regexp_extract(row["raw"], ARROW, 1))))
 
-def _classes(lines: Column) -> Column:
-    def of_line(numbered: Column) -> Column:
-        line = numbered["text"]
-        base = F.regexp_extract(line, CLASS, 2)
-        return F.struct(
-            F.regexp_extract(line, CLASS, 1).alias("name"),
-            numbered["lineno"].alias("lineno"),
-            F.filter(F.array(base), lambda name: name != "").alias("bases"),
-        )
+    arrows = F.transform(F.filter(declared, lambda row: F.regexp_like(row["raw"], F.lit(ARROW))), bound)
+    return _in_order(F.concat(plain, arrows))
 
-    return F.filter(F.transform(_having(lines, "class"), of_line), lambda fact: fact["name"] != "")
 
+def _classes(marked: dict[str, Column], declared: Column, tokens: Column) -> Column:
+    return F.transform(
+        _found(marked["class"], CLASS, 2),
+        lambda row: F.struct(
+            row["g1"].alias("name"), row["lineno"].alias("lineno"),
+            F.filter(F.array(row["g2"]), lambda name: name != "").alias("bases"),
+        ),
+    )
 
-def _calls(lines: Column) -> Column:
-    def of_line(numbered: Column) -> Column:
-        bare = F.regexp_replace(numbered["text"], QUOTED, '""')
-        heads = F.when(
-            ~F.regexp_like(bare, F.lit(METHOD)), F.regexp_extract_all(bare, F.lit(CALL), 1)
-        ).otherwise(F.array().cast("array<string>"))
-        real = F.filter(heads, lambda head: ~head.isin(*NOT_CALLS))
-        return F.transform(
-            real, lambda head: F.struct(head.alias("call"), numbered["lineno"].alias("lineno"))
-        )
 
-    return F.flatten(F.transform(_having(lines, "("), of_line))
+def _calls(marked: dict[str, Column], declared: Column, tokens: Column) -> Column:
+    """Calls with their arguments; a call on the result of another one is named by its own member."""
+    rows = _found(marked["call"], CALL, 3)
+    word = lambda row: F.regexp_extract(row["g1"], r"^(?:new[ \t]++)?(.*+)$", 1)
+    # A name with brackets and a body behind it is a method, not a call.
+    real = F.filter(
+        rows,
+        lambda row: ~word(row).isin(*NOT_CALLS)
+        & ((row["g3"] == "") | F.contains(row["g1"], F.lit(".")) | F.startswith(row["g1"], F.lit("new "))),
+    )
+    return F.transform(
+        real,
+        lambda row: F.struct(
+            _restored(F.concat(F.regexp_replace(row["g1"], r"^\??\.", ""), row["g2"]), tokens).alias("call"),
+            row["lineno"].alias("lineno"),
+        ),
+    )
 
 
-def _assignments(lines: Column) -> Column:
-    def of_line(numbered: Column) -> Column:
-        line = numbered["text"]
-        declared = F.regexp_extract(line, DECLARED, 1)
-        target = F.when(declared != "", declared).otherwise(F.regexp_extract(line, ASSIGNED, 1))
-        value = F.when(declared != "", F.regexp_extract(line, DECLARED, 2)).otherwise(
-            F.regexp_extract(line, ASSIGNED, 2)
+def _declared(marked: Column) -> Column:
+    """``name, raw, lineno`` of every declarator of ``const`` and ``let``; ``raw`` is its masked value."""
+
+    def of_statement(row: Column) -> Column:
+        parts = F.regexp_extract_all(_unmarked(row["g1"]), F.lit(f"({DECLARATOR})"), 1)
+        made = F.transform(
+            parts,
+            lambda part: F.struct(
+                F.regexp_extract(part, DECLARED, 1).alias("name"),
+                F.rtrim(F.regexp_extract(part, DECLARED, 2)).alias("raw"),
+                row["lineno"].alias("lineno"),
+            ),
         )
+        return F.filter(made, lambda one: one["name"] != "")
+
+    return F.flatten(F.transform(_found(marked, DECLARATION, 1), of_statement))
+
+
+def _assignments(marked: dict[str, Column], declared: Column, tokens: Column) -> Column:
+    def assigned(target: Column, value: Column, lineno: Column) -> Column:
         return F.struct(
-            F.array(target).alias("targets"), value.alias("value"), numbered["lineno"].alias("lineno")
+            F.array(_restored(target, tokens)).alias("targets"),
+            F.btrim(_restored(value, tokens), F.lit(" \t\n")).alias("value"),
+            lineno.alias("lineno"),
         )
 
-    return F.filter(F.transform(_having(lines, "=", "let ", "const "), of_line), lambda fact: fact["targets"][0] != "")
+    fresh = F.transform(declared, lambda row: assigned(row["name"], row["raw"], row["lineno"]))
+    later = F.transform(
+        _found(marked["assignment"], ASSIGNMENT, 2), lambda row: assigned(row["g1"], row["g2"], row["lineno"])
+    )
+    return _in_order(F.concat(fresh, later))
 
 
-def _strings(lines: Column) -> Column:
-    def of_line(numbered: Column) -> Column:
-        quoted = F.regexp_extract_all(numbered["text"], F.lit(f"({QUOTED})"), 1)
-        fragments = F.flatten(
-            F.transform(
-                quoted,
-                lambda text: F.split(
-                    F.substr(text, F.lit(2), F.length(text) - 2), r"\\.|\$\{[^}]*\}"
-                ),
-            )
-        )
-        long = F.filter(fragments, lambda part: F.length(part) > V.LITERAL_MIN)
+def _strings(lines: Column, tokens: Column) -> Column:
+    def of_literal(place: Column, index: Column) -> Column:
+        literal = F.get(tokens, place.cast("int"))
+        inner = F.substr(literal, F.lit(2), F.length(literal) - 2)
+        parts = F.when(F.startswith(literal, F.lit("/")), _no_names()).otherwise(F.split(inner, FRAGMENT_END))
+        long = F.filter(parts, lambda part: F.length(part) > V.LITERAL_MIN)
         return F.transform(
             long,
             lambda part: F.struct(
-                F.substr(part, F.lit(1), F.lit(V.LITERAL_CUT)).alias("value"),
-                numbered["lineno"].alias("lineno"),
+                F.substr(part, F.lit(1), F.lit(V.LITERAL_CUT)).alias("value"), (index + 1).alias("lineno")
             ),
         )
 
-    return F.flatten(F.transform(_having(lines, '"', "'", "`"), of_line))
+    def of_line(line: Column, index: Column) -> Column:
+        places = F.regexp_extract_all(line, F.lit(rf"{LITERAL}(\d++)"), 1)
+        return F.flatten(F.transform(places, lambda place: of_literal(place, index)))
+
+    return F.flatten(F.transform(lines, of_line))
 
 
-def _code(lines: Column) -> Column:
-    """The file without string literals and trailing comments."""
-    text = F.array_join(F.transform(lines, lambda line: line["text"]), "\n")
-    bare = F.regexp_replace(text, QUOTED, "")
-    return F.regexp_replace(bare, r"//[^\n]*+", "")
+def _values(lines: Column) -> Column:
+    """Names that stand as the value of a property, with their lines."""
 
+    def of_line(line: Column, index: Column) -> Column:
+        names = F.when(
+            F.contains(line, F.lit(":")), F.array_distinct(F.regexp_extract_all(line, F.lit(rf":\s*+({NAME})"), 1))
+        ).otherwise(_no_names())
+        return F.transform(names, lambda name: F.struct(name.alias("name"), (index + 1).alias("lineno")))
 
-def _unbalanced(code: Column) -> Column:
-    """True when some delimiter is opened and closed a different number of times.
+    return F.flatten(F.transform(lines, of_line))
 
-    The array of one element names the code, so that it is computed once for all counts.
+
+def _broken(masked: Column) -> Column:
+    """True for a quote or a comment that does not end, brackets that do not match, and operators without operand.
+
+    Matching pairs are taken out from the inside, level by level; below that many levels it is
+    enough that every kind of bracket opens as often as it closes.
     """
+    left = F.aggregate(
+        F.sequence(F.lit(1), F.lit(3 * DEPTH)),
+        F.regexp_replace(masked, r"[^()\[\]{}]++", ""),
+        lambda text, _: F.regexp_replace(text, r"\(\)|\[\]|\{\}", ""),
+    )
 
-    def differs(text: Column) -> Column:
+    def uneven(text: Column) -> Column:
         def count(mark: str) -> Column:
             return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
 
-        return (count("(") != count(")")) | (count("[") != count("]")) | (count("{") != count("}"))
+        crossed = F.regexp_like(text, F.lit(r"\([\]}]|\[[)}]|\{[)\]]|^[)\]}]|[(\[{]$"))
+        return (count("(") != count(")")) | (count("[") != count("]")) | (count("{") != count("}")) | crossed
 
-    return F.exists(F.array(code), differs)
+    open_quote = F.regexp_like(masked, F.lit("[\"'`]")) & ~F.regexp_like(masked, F.lit(TAGS))
+    return (
+        F.exists(F.array(left), uneven)
+        | open_quote
+        | F.contains(masked, F.lit("/*"))
+        | F.regexp_like(masked, F.lit(DANGLING))
+    )
 
 
-_BUILDERS = {
-    "functions": _functions,
-    "classes": _classes,
-    "calls": _calls,
-    "assignments": _assignments,
-    "strings": _strings,
-}
+_BUILDERS = {"functions": _functions, "classes": _classes, "calls": _calls, "assignments": _assignments}
 
 
 def js_facts(files: DataFrame) -> DataFrame:
     """One row of facts per file of ``files(scan_id, path, content, read_error)``."""
-    read = files.select(
-        "scan_id", "path", "read_error", decoded(F.col("content")).alias("_text")
-    )
-    read = read.withColumn("_lines", _lines(F.col("_text")))
-    read = read.withColumn("_code", _code(F.col("_lines")))
+    read = files.select("scan_id", "path", "read_error", decoded(F.col("content")).alias("_text"))
+    read = read.withColumn("_tokens", F.regexp_extract_all("_text", F.lit(f"({TOKEN})"), 1))
+    read = read.withColumn("_masked", _masked(F.col("_tokens"))).withColumn("_lines", F.split("_masked", "\n", -1))
     error = (
         F.when(F.col("read_error").isNotNull(), F.col("read_error"))
         .when(F.col("_text").isNull(), F.lit("not valid UTF-8"))
-        .when(_unbalanced(F.col("_code")), F.lit(V.JS_SYNTAX_ERROR))
+        .when(_broken(F.col("_masked")), F.lit(V.JS_SYNTAX_ERROR))
     )
-    checked = read.withColumn("error", error)
+    checked = read.withColumn("error", error).withColumn("_lines", F.when(F.col("error").isNull(), F.col("_lines")))
+    checked = checked.withColumns({f"_{kind}": _marked(F.col("_lines"), kind) for kind in STARTS})
+    checked = checked.withColumn("_declared", _declared(F.col("_declaration")))
+    marked = {kind: F.col(f"_{kind}") for kind in STARTS}
 
     def fact(kind: str) -> Column:
+        tokens = F.col("_tokens")
         if kind == "imports":
-            found = F.regexp_extract_all("_text", F.lit(IMPORT), 1)
+            found = F.transform(
+                F.regexp_extract_all("_masked", F.lit(IMPORT), 1), lambda text: _restored(text, tokens)
+            )
+        elif kind == "strings":
+            found = _strings(F.col("_lines"), tokens)
         else:
-            found = _BUILDERS[kind](F.col("_lines"))
+            found = _BUILDERS[kind](marked, F.col("_declared"), tokens)
         return F.when(F.col("error").isNull(), found).cast(schemas.FACT_TYPES[kind]).alias(kind)
 
     return checked.select(
-        "scan_id", "path", F.lit("js").alias("lang"), "error",
-        *[fact(kind) for kind in schemas.FACT_TYPES],
+        "scan_id", "path", F.lit("js").alias("lang"), "error", *[fact(kind) for kind in schemas.FACT_TYPES],
+        _values(F.col("_lines")).cast(schemas.VALUES).alias("values"),
     )

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditspark import fixed_values as V
+from auditspark import schemas
 from auditspark.operators.extract_js import js_facts
 from auditspark.operators.extract_py import python_facts
 from auditspark.operators.joins import positions
@@ -12,7 +13,8 @@ from auditspark.operators.joins import positions
 def extract(files: DataFrame) -> DataFrame:
     """Facts of all files: the JavaScript family by its suffixes, everything else as Python."""
     is_js = F.col("ext").isin(*V.JS_SUFFIXES)
-    return python_facts(files.filter(~is_js)).unionByName(js_facts(files.filter(is_js)))
+    python = python_facts(files.filter(~is_js)).withColumn("values", F.lit(None).cast(schemas.VALUES))
+    return python.unionByName(js_facts(files.filter(is_js)))
 
 
 def fact_rows(facts: DataFrame, kind: str) -> DataFrame:

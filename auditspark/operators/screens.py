@@ -1,9 +1,9 @@
 """Evidence screens: one per vector, each a query over facts or lines.
 
 A screen yields candidate findings, not proof. What it looks for is this module's own definition;
-the vectors are the ones findings may name. Facts of one file sit in one row, so a condition on a
-single file is a condition on its arrays and moves no data; only the flow screen and the evaluation
-screen for JavaScript join. Screens read facts several times and expect them as a stored table.
+the vectors are the ones findings may name. Facts of one file sit in one row, so every condition is
+one on the arrays of a row and moves no data. Only the screens for secrets and for pins read texts.
+Screens read facts several times and expect them as a stored table.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -16,8 +16,8 @@ from auditspark.operators.joins import positions
 
 USER_INPUT = r"(?i)user_?(?:input|query|message|request)|raw_?input"
 SINK_NAME = r"(?i)execute|command|sql|shell"
-EVAL_CALL = r"^(?:eval|exec)\((\w+)"
-EVAL_LINE = r"(?:^|[^\w.])(?:eval|exec)\(\s*(\w+)"
+EVAL_CALL = r"^(?:eval|exec)\(\s*(\w+)"
+SECRET_WORD = r"(?i)token|password|secret|api_?key"
 SECRET_FIELD = r"(?i)^\s*[\"']?(\w*(?:token|password|secret|api_?key)\w*)[\"']?\s*:\s*[^\s:]"
 DESTRUCTIVE_NAME = r"(?i)^(?:delete|drop|remove|purge|wipe|truncate|destroy)"
 AUTHORISATION = (
@@ -60,10 +60,6 @@ def lines_of(texts: DataFrame) -> DataFrame:
     return rows.select("scan_id", "path", "ext", (F.col("at") + 1).alias("lineno"), "line")
 
 
-def _js_lines(texts: DataFrame) -> DataFrame:
-    return lines_of(texts.filter(F.col("ext").isin(*V.JS_SUFFIXES)))
-
-
 def prompt_injection(facts: DataFrame) -> DataFrame:
     """A prompt variable is built from user input."""
     rows = fact_rows(facts, "assignments").filter(
@@ -73,7 +69,7 @@ def prompt_injection(facts: DataFrame) -> DataFrame:
     return _candidates(rows, "ASI01", F.col("lineno"), F.get("targets", F.lit(0)))
 
 
-def tool_misuse(facts: DataFrame, texts: DataFrame) -> DataFrame:
+def tool_misuse(facts: DataFrame) -> DataFrame:
     """Functions with a sink's name and a parameter, and evaluation of a parameter."""
     named = fact_rows(facts, "functions").filter(
         _matches(F.col("name"), SINK_NAME) & (F.size("args") > 0)
@@ -90,33 +86,22 @@ def tool_misuse(facts: DataFrame, texts: DataFrame) -> DataFrame:
         .filter(F.array_contains("known", argument))
         .select("scan_id", "path", "fact.lineno", argument.alias("name"))
     )
-    js_parameters = (
-        facts.filter(F.col("lang") == "js")
-    )
-    js_parameters = positions(
-        js_parameters, ["scan_id", "path"], F.array_distinct(parameters), item="name"
-    )
-    js_evaluated = (
-        _js_lines(texts)
-        .select("scan_id", "path", "lineno", F.regexp_extract("line", EVAL_LINE, 1).alias("name"))
-        .filter(F.col("name") != "")
-        .join(js_parameters, ["scan_id", "path", "name"], "left_semi")
-    )
     columns = ["scan_id", "path", "lineno", "name"]
     rows = named.select(columns).unionByName(evaluated.select(columns))
-    rows = rows.unionByName(js_evaluated.select(columns))
     return _candidates(rows, "ASI02", F.col("lineno"), F.col("name"))
 
 
 def state_leakage(texts: DataFrame) -> DataFrame:
     """Fields whose name speaks of a secret; read from lines, since facts leave them out."""
-    rows = lines_of(texts).withColumn("field", F.regexp_extract("line", SECRET_FIELD, 1))
+    speaking = texts.filter(_matches(F.col("text"), SECRET_WORD))
+    rows = lines_of(speaking).withColumn("field", F.regexp_extract("line", SECRET_FIELD, 1))
     return _candidates(rows.filter(F.col("field") != ""), "ASI03", F.col("lineno"), F.col("field"))
 
 
 def supply_chain(texts: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Pinned versions below an advisory's threshold."""
-    found = supply.vulnerable(supply.pinned(texts), advisories)
+    """Pinned versions below an advisory's threshold, in the style of either language."""
+    pins = supply.pinned(texts).unionByName(supply.pinned_js(texts.filter(F.col("ext").isin(*V.JS_SUFFIXES))))
+    found = supply.vulnerable(pins, advisories)
     evidence = F.concat("package", F.lit(" "), "installed", F.lit(" "), "cve")
     return _candidates(found, "ASI05", F.lit(None), evidence)
 
@@ -130,52 +115,51 @@ def privilege_escalation(facts: DataFrame) -> DataFrame:
     return _candidates(rows, "ASI06", F.col("lineno"), F.col("name"))
 
 
-def unchecked_output(facts: DataFrame, texts: DataFrame) -> DataFrame:
+def unchecked_output(facts: DataFrame) -> DataFrame:
     """Uses of a variable that holds model output, after its first such assignment.
 
-    Only the first assignment per name matters, so the join has one row per file and name on one
-    side, and each use comes out once however often the name was assigned before. Files that never
-    speak of model output are left out by tests on their own row, before anything is exploded.
+    Uses are the words of a Python call and the values of properties in JavaScript; each comes out
+    once however often the name was assigned before.
     """
 
-    def speaks(value: Column, targets: Column) -> Column:
-        return _matches(value, MODEL_OUTPUT) | F.exists(
-            targets, lambda name: _matches(name, MODEL_OUTPUT)
+    def speaks(assigned: Column) -> Column:
+        return _matches(assigned["value"], MODEL_OUTPUT) | F.exists(
+            assigned["targets"], lambda name: _matches(name, MODEL_OUTPUT)
         )
 
-    facts = facts.filter(F.exists("assignments", lambda a: speaks(a["value"], a["targets"])))
-    texts = texts.filter(_matches(F.col("text"), MODEL_OUTPUT))
-    first = (
-        fact_rows(facts, "assignments")
-        .filter(speaks(F.col("value"), F.col("targets")))
-        .select("scan_id", "path", "lineno", F.explode("targets").alias("name"))
-        .groupBy("scan_id", "path", "name")
-        .agg(F.min("lineno").alias("since"))
+    held = F.flatten(
+        F.transform(
+            F.filter("assignments", speaks),
+            lambda assigned: F.transform(
+                assigned["targets"], lambda name: F.struct(name.alias("name"), assigned["lineno"].alias("lineno"))
+            ),
+        )
     )
-    words = F.array_distinct(F.regexp_extract_all("call", F.lit(r"(\w+)"), 1))
-    python_uses = (
-        fact_rows(facts.filter(F.col("lang") == "py"), "calls")
-        .select("scan_id", "path", "lineno", F.explode(words).alias("name"))
+
+    def words(call: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(call["call"], F.lit(r"(\w+)"), 1))
+        return F.transform(found, lambda name: F.struct(name.alias("name"), call["lineno"].alias("lineno")))
+
+    python_uses = F.flatten(F.transform("calls", words))
+    uses = F.array_distinct(F.when(F.col("lang") == "py", python_uses).otherwise(F.col("values")))
+    # The array of one element names what is held, so that it is computed once for all uses.
+    flowing = F.flatten(
+        F.transform(
+            F.array(held),
+            lambda known: F.filter(
+                uses, lambda use: F.exists(known, lambda one: (one["name"] == use["name"]) & (one["lineno"] < use["lineno"]))
+            ),
+        )
     )
-    values = F.array_distinct(F.regexp_extract_all("line", F.lit(r":\s*(\w+)"), 1))
-    js_uses = _js_lines(texts).select("scan_id", "path", "lineno", F.explode(values).alias("name"))
-    uses = python_uses.unionByName(js_uses).distinct()
-    rows = uses.join(first, ["scan_id", "path", "name"]).filter(F.col("since") < F.col("lineno"))
+    speaking = facts.filter(F.exists("assignments", speaks))
+    rows = positions(speaking, ["scan_id", "path"], flowing, item="use").select("scan_id", "path", "use.*")
     return _candidates(rows, "ASI07", F.col("lineno"), F.col("name"))
 
 
-def memory_poisoning(facts: DataFrame, texts: DataFrame) -> DataFrame:
+def memory_poisoning(facts: DataFrame) -> DataFrame:
     """Saver objects in files that compile with a checkpointer."""
     persists = F.exists("calls", lambda call: _matches(call["call"], PERSISTING_COMPILE))
-    python = fact_rows(facts.filter((F.col("lang") == "py") & persists), "calls")
-    js_files = texts.filter(
-        F.col("ext").isin(*V.JS_SUFFIXES) & _matches(F.col("text"), r"compile\([^)]*checkpointer")
-    ).select("scan_id", "path")
-    js = fact_rows(facts.filter(F.col("lang") == "js"), "calls").join(
-        js_files, ["scan_id", "path"], "left_semi"
-    )
-    columns = ["scan_id", "path", "lineno", "call"]
-    rows = python.select(columns).unionByName(js.select(columns))
+    rows = fact_rows(facts.filter(persists), "calls")
     return _candidates(
         rows.filter(_matches(F.col("call"), SAVER)), "ASI08", F.col("lineno"), F.col("call")
     )
@@ -185,12 +169,12 @@ def all_screens(facts: DataFrame, texts: DataFrame, advisories: DataFrame) -> Da
     """Candidates of every vector."""
     found = prompt_injection(facts)
     for more in (
-        tool_misuse(facts, texts),
+        tool_misuse(facts),
         state_leakage(texts),
         supply_chain(texts, advisories),
         privilege_escalation(facts),
-        unchecked_output(facts, texts),
-        memory_poisoning(facts, texts),
+        unchecked_output(facts),
+        memory_poisoning(facts),
     ):
         found = found.unionByName(more)
     return found

@@ -7,6 +7,8 @@ from auditspark.functions.text import is_below, package_key, version_triple
 from auditspark.operators.joins import BROADCAST_ROWS, attach, positions
 
 # A name is taken whole or not at all, so a long run of name characters is read once.
+# JavaScript names a version behind the package, which may have a scope.
+JS_PIN = r"(?<![\w@/.-])((?:@[\w.-]++/)?[A-Za-z][\w.-]*+)@([0-9][^\"'`\s,;)]*)"
 PIN = r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]++)==([0-9][^\"'\s,;]*)"
 
 
@@ -62,3 +64,16 @@ def pinned(texts: DataFrame) -> DataFrame:
         F.substring_index("pin", "==", 1).alias("package"),
         F.regexp_extract("pin", r"(?s)==(.*)\z", 1).alias("version"),
     )
+
+
+def pinned_js(texts: DataFrame) -> DataFrame:
+    """The same for each ``name@version``; packages of the scope of an advisory's family get its name."""
+    pins = F.regexp_extract_all("text", F.lit(JS_PIN), 0)
+    name = F.regexp_extract("pin", JS_PIN, 1)
+    member = F.regexp_extract(name, r"^@langchain/(.*)$", 1)
+    family = F.when(F.startswith(member, F.lit("langgraph")), member).otherwise(F.concat(F.lit("langchain-"), member))
+    return positions(texts, ["scan_id", "path"], pins, item="pin").select(
+        "scan_id", "path",
+        F.when(member == "", name).otherwise(family).alias("package"),
+        F.regexp_extract("pin", JS_PIN, 2).alias("version"),
+    )

@@ -161,7 +161,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         doc % 13 == 0,
         F.concat(
             F.lit('\nNEEDS = ["langchain-community==0.2.5", "langgraph==1.'),
-            (doc % 5).cast("string"), F.lit('.9", \'LangChain_Core==1.1\']\nuser_token: str\n'),
+            (doc % 5).cast("string"), F.lit('.9", \'LangChain_Core==1.1\', "@langchain/core@1.0.3"]\nuser_token: str\n'),
         ),
     ).otherwise("")
     content = F.concat(marker, "text", pin).cast("binary")
@@ -257,6 +257,27 @@ def word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- JavaScript files, from supplier and customer -------------------------------------------------
 
+# Code over several lines and several constructs on one, beside comments and literals that look like code.
+JS_BLOCK = """// don't stop (here
+/* block ( comment
+   call(2) function ghost() {
+*/
+const odd = /[(]/.test(label);
+const prompt = `first line of a system prompt
+second ${label} line that is quite long`;
+function spread(
+  input,
+  depth = 2,
+) {
+  return eval(input);
+}
+const first = 1, second = (x) => x;
+function line(x) { const y = wrap(x); y.z = 2; return y; }
+step(1).then(go)
+  .catch(stop);
+"""
+
+
 def js_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").select(
         F.lit("js").alias("kind"), F.col("s_suppkey").alias("key"), F.col("s_name").alias("name")
@@ -280,7 +301,9 @@ def js_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("const pick = (a"), typed, F.lit(", b) => a + b;\nlet one = item => item;\nvar old = 1;\nlet later;\n"),
         F.when(key % 2 == 0, F.lit("const memory = new MemorySaver();\nconst app = graph.compile({ checkpointer: memory });\n")).otherwise(""),
         F.when(key % 5 == 0, F.lit("const text = `a template literal of ${label} that goes on and on`;\n")).otherwise(""),
-        F.when(key % 13 == 0, F.lit("function broken(\n")).otherwise(""),
+        F.lit(JS_BLOCK),
+        F.when(key % 13 == 0, F.lit("function broken(\n")).when(key % 17 == 0, F.lit("const bad = 1 +;\n"))
+        .when(key % 19 == 0, F.lit("x = ([)];\n")).otherwise(""),
     )
     scan = F.when(key % 3 == 0, "hot").otherwise(F.concat(F.lit("js"), (key % 7).cast("string")))
     return owners.select(

@@ -197,7 +197,7 @@ files AS (
       CASE WHEN source IN ('src4', 'src5') AND scan_id <> 'hot' THEN '' ELSE {_pick("doc_id", derived.MARKERS)} END
       || text || CASE WHEN doc_id % 13 = 0 THEN chr(10)
         || 'NEEDS = ["langchain-community==0.2.5", "langgraph==1.' || (doc_id % 5)
-        || '.9", ''LangChain_Core==1.1'']' || chr(10) || 'user_token: str' || chr(10) ELSE '' END END AS text
+        || '.9", ''LangChain_Core==1.1'', "@langchain/core@1.0.3"]' || chr(10) || 'user_token: str' || chr(10) ELSE '' END END AS text
   FROM shaped),
 walked AS (
   SELECT *, len(list_filter(segments, lambda s: starts_with(s, '.') OR s IN {_in(V.PRUNED_DIRECTORIES)})) = 0 AS open
@@ -257,9 +257,9 @@ literals AS (
 """
 
 
-def _ordered(source: str, columns: str) -> str:
+def _ordered(source: str, columns: str, order: str = "depth, lineno") -> str:
     return (
-        f"SELECT scan_id, path, row_number() OVER (PARTITION BY path ORDER BY depth, lineno) - 1 AS pos, "
+        f"SELECT scan_id, path, row_number() OVER (PARTITION BY path ORDER BY {order}) - 1 AS pos, "
         f"{columns}, CAST(lineno AS BIGINT) AS lineno FROM {source}"
     )
 
@@ -343,24 +343,34 @@ owners AS (
   UNION ALL SELECT 'ts', c_custkey, c_name FROM customer),
 jsfiles AS (
   SELECT *, CASE WHEN k % 3 = 0 THEN 'hot' ELSE 'js' || (k % 7) END AS scan_id,
-    CASE WHEN k % 3 = 0 THEN 'hot' ELSE 'js' || (k % 7) END AS s, k % 2 = 0 AS saves, k % 5 = 0 AS templated, k % 13 = 0 AS broken,
+    CASE WHEN k % 3 = 0 THEN 'hot' ELSE 'js' || (k % 7) END AS s, k % 2 = 0 AS saves, k % 5 = 0 AS templated, k % 13 = 0 OR k % 17 = 0 OR k % 19 = 0 AS broken,
     CASE kind WHEN 'ts' THEN ': string' ELSE '' END AS mark
   FROM owners),
 js AS (
-  SELECT *, '/repos/' || s || '/n' || k || '.' || kind AS path, CASE WHEN saves THEN 24 ELSE 22 END AS t0
+  SELECT *, '/repos/' || s || '/n' || k || '.' || kind AS path, CASE WHEN saves THEN 24 ELSE 22 END AS t0,
+    22 + CASE WHEN saves THEN 2 ELSE 0 END + CASE WHEN templated THEN 1 ELSE 0 END AS n0
   FROM jsfiles),
 whole AS (SELECT * FROM js WHERE NOT broken),
 js_functions AS (
   SELECT scan_id, path, 0 AS pos, 'runCommand' || k AS name, 12 AS lineno, ['input', 'limit', 'rest'] AS args FROM whole
   UNION ALL SELECT scan_id, path, 1, 'pick', 18, ['a', 'b'] FROM whole
-  UNION ALL SELECT scan_id, path, 2, 'one', 19, ['item'] FROM whole),
+  UNION ALL SELECT scan_id, path, 2, 'one', 19, ['item'] FROM whole
+  UNION ALL SELECT scan_id, path, 3, 'spread', n0 + 7, ['input', 'depth'] FROM whole
+  UNION ALL SELECT scan_id, path, 4, 'second', n0 + 13, ['x'] FROM whole
+  UNION ALL SELECT scan_id, path, 5, 'line', n0 + 14, ['x'] FROM whole),
 js_calls AS (
-  SELECT scan_id, path, 9 AS lineno, 0 AS depth, 'step' AS call FROM whole
-  UNION ALL SELECT scan_id, path, 12, 0, 'max' FROM whole
-  UNION ALL SELECT scan_id, path, 15, 0, 'add' FROM whole
-  UNION ALL SELECT scan_id, path, 16, 0, 'eval' FROM whole
-  UNION ALL SELECT scan_id, path, 22, 0, 'new MemorySaver' FROM whole WHERE saves
-  UNION ALL SELECT scan_id, path, 23, 0, 'graph.compile' FROM whole WHERE saves),
+  SELECT scan_id, path, 9 AS lineno, 0 AS depth, 'step(state)' AS call FROM whole
+  UNION ALL SELECT scan_id, path, 12, 0, 'max(1, 2)' FROM whole
+  UNION ALL SELECT scan_id, path, 15, 0, 'add(total, ' || k || ')' FROM whole
+  UNION ALL SELECT scan_id, path, 16, 0, 'eval(input)' FROM whole
+  UNION ALL SELECT scan_id, path, 22, 0, 'new MemorySaver()' FROM whole WHERE saves
+  UNION ALL SELECT scan_id, path, 23, 0, 'graph.compile({ checkpointer: memory })' FROM whole WHERE saves
+  UNION ALL SELECT scan_id, path, n0 + 4, 0, 'test(label)' FROM whole
+  UNION ALL SELECT scan_id, path, n0 + 11, 0, 'eval(input)' FROM whole
+  UNION ALL SELECT scan_id, path, n0 + 14, 0, 'wrap(x)' FROM whole
+  UNION ALL SELECT scan_id, path, n0 + 15, 0, 'step(1)' FROM whole
+  UNION ALL SELECT scan_id, path, n0 + 15, 1, 'then(go)' FROM whole
+  UNION ALL SELECT scan_id, path, n0 + 16, 0, 'catch(stop)' FROM whole),
 js_assigned AS (
   SELECT scan_id, path, 6 AS lineno, 0 AS depth, 'label' AS targets, '"owner of this file: ' || owner || '"' AS value FROM whole
   UNION ALL SELECT scan_id, path, 13, 0, 'rawLlmOutput', 'state.llmOutput' FROM whole
@@ -370,10 +380,19 @@ js_assigned AS (
   UNION ALL SELECT scan_id, path, 21, 0, 'later', '' FROM whole
   UNION ALL SELECT scan_id, path, 22, 0, 'memory', 'new MemorySaver()' FROM whole WHERE saves
   UNION ALL SELECT scan_id, path, 23, 0, 'app', 'graph.compile({ checkpointer: memory })' FROM whole WHERE saves
-  UNION ALL SELECT scan_id, path, t0, 0, 'text', '`a template literal of ${label} that goes on and on`' FROM whole WHERE templated),
+  UNION ALL SELECT scan_id, path, t0, 0, 'text', '`a template literal of ${label} that goes on and on`' FROM whole WHERE templated
+  UNION ALL SELECT scan_id, path, n0 + 4, 0, 'odd', '/[(]/.test(label)' FROM whole
+  UNION ALL SELECT scan_id, path, n0 + 5, 0, 'prompt',
+    '`first line of a system prompt' || chr(10) || 'second ${label} line that is quite long`' FROM whole
+  UNION ALL SELECT scan_id, path, n0 + 13, 0, 'first', '1' FROM whole
+  UNION ALL SELECT scan_id, path, n0 + 13, 1, 'second', '(x) => x' FROM whole
+  UNION ALL SELECT scan_id, path, n0 + 14, 0, 'y', 'wrap(x)' FROM whole
+  UNION ALL SELECT scan_id, path, n0 + 14, 1, 'y.z', '2' FROM whole),
 js_literals AS (
   SELECT scan_id, path, 6 AS lineno, 0 AS depth, 'owner of this file: ' || owner AS value FROM whole
-  UNION ALL SELECT scan_id, path, t0, 0, 'a template literal of ' FROM whole WHERE templated)
+  UNION ALL SELECT scan_id, path, t0, 0, 'a template literal of ' FROM whole WHERE templated
+  UNION ALL SELECT scan_id, path, n0 + 5, 0, 'first line of a system prompt' || chr(10) || 'second ' FROM whole
+  UNION ALL SELECT scan_id, path, n0 + 5, 1, ' line that is quite long' FROM whole)
 """
 
 # --- inventories, from part ---------------------------------------------------------------------------
@@ -485,7 +504,7 @@ def all_oracles() -> dict[str, str]:
                 CASE WHEN bad THEN 0 ELSE 1 + CASE WHEN d THEN 2 ELSE 0 END + CASE WHEN b THEN 4 ELSE 0 END
                   + CASE WHEN c THEN 2 ELSE 0 END END AS n FROM pyfiles f
               UNION ALL SELECT scan_id, 'js', broken,
-                CASE WHEN broken THEN 0 ELSE 4 + CASE WHEN saves THEN 2 ELSE 0 END END FROM js)
+                CASE WHEN broken THEN 0 ELSE 10 + CASE WHEN saves THEN 2 ELSE 0 END END FROM js)
             SELECT scan_id, lang, count(*) AS n_files, count(*) FILTER (failed) AS n_errors,
               CAST(sum(n) AS BIGINT) AS n_calls FROM per_file GROUP BY ALL""",
         "x9_js_functions": js + """
@@ -500,9 +519,9 @@ def all_oracles() -> dict[str, str]:
             SELECT scan_id, path, CAST(0 AS BIGINT) AS pos,
               'import { StateGraph } from "@langchain/langgraph";' AS "import" FROM whole
             UNION ALL SELECT scan_id, path, 1, 'import {' || chr(10) || '  tool,' || chr(10) || '} from ''@langchain/core'';' FROM whole""",
-        "x13_js_calls": js + _ordered("js_calls", "call"),
-        "x14_js_assignments": js + _ordered("js_assigned", "targets, value"),
-        "x15_js_strings": js + _ordered("js_literals", "value"),
+        "x13_js_calls": js + _ordered("js_calls", "call", "lineno, depth"),
+        "x14_js_assignments": js + _ordered("js_assigned", "targets, value", "lineno, depth"),
+        "x15_js_strings": js + _ordered("js_literals", "value", "lineno, depth"),
         "x16_js_parse_errors": js + f"""
             SELECT scan_id, path, 'parse' AS stage, {_q(V.JS_SYNTAX_ERROR)} AS reason FROM js WHERE broken""",
         "f6_eligible_files": py + "SELECT scan_id, path FROM good WHERE b OR c",
@@ -639,7 +658,8 @@ def all_oracles() -> dict[str, str]:
             SELECT scan_id, path, 8 AS line, 'run_sql_' || k AS evidence FROM good WHERE b
             UNION ALL SELECT scan_id, path, 12, 'limit' FROM good WHERE b
             UNION ALL SELECT scan_id, path, 12, 'runCommand' || k FROM whole
-            UNION ALL SELECT scan_id, path, 16, 'input' FROM whole"""),
+            UNION ALL SELECT scan_id, path, 16, 'input' FROM whole
+            UNION ALL SELECT scan_id, path, n0 + 11, 'input' FROM whole"""),
         "v3_state_leakage": files + ", " + """
             rows AS (SELECT scan_id, path, unnest(string_split(text, chr(10))) AS l,
               generate_subscripts(string_split(text, chr(10)), 1) AS line FROM files),
@@ -649,7 +669,9 @@ def all_oracles() -> dict[str, str]:
         "v5_supply_chain": files + ", " + f"""
             thresholds(package, cve, affected_below) AS (
               VALUES {", ".join(f"({_q(r[0])}, {_q(r[1])}, {_q(r[2])})" for r in V.ADVISORIES)}),
-            parts AS (SELECT *, split_part(pin, '==', 1) AS p, pin[strpos(pin, '==') + 2:] AS v FROM pins),
+            parts AS (SELECT scan_id, path, split_part(pin, '==', 1) AS p, pin[strpos(pin, '==') + 2:] AS v FROM pins
+              UNION ALL SELECT scan_id, path, 'langchain-core', '1.0.3' FROM files
+              WHERE contains(text, '"@langchain/core@1.0.3"') AND ext IN {_in(V.JS_SUFFIXES)}),
             runs AS (SELECT *, list_transform(regexp_extract_all(split_part(v, '+', 1), '[0-9]+'), lambda x: CAST(x AS HUGEINT)) AS r FROM parts)
             """ + _screen("ASI05", """
             SELECT scan_id, path, NULL AS line, t.package || ' ' || v || ' ' || cve AS evidence
@@ -663,5 +685,5 @@ def all_oracles() -> dict[str, str]:
             UNION ALL SELECT scan_id, path, 16, 'rawLlmOutput' FROM whole"""),
         "v8_memory_poisoning": both + _screen("ASI08", """
             SELECT scan_id, path, d0 AS line, 'MemorySaver()' AS evidence FROM good WHERE d AND k % 8 = 0
-            UNION ALL SELECT scan_id, path, 22, 'new MemorySaver' FROM whole WHERE saves"""),
+            UNION ALL SELECT scan_id, path, 22, 'new MemorySaver()' FROM whole WHERE saves"""),
     }

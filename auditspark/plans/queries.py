@@ -579,8 +579,7 @@ def v1_prompt_injection(spark, sf):
 
 @query
 def v2_tool_misuse(spark, sf):
-    sources = _sources(spark, sf)
-    return screens.tool_misuse(_stored_facts(sources), select.with_text(sources))
+    return screens.tool_misuse(_stored_facts(_sources(spark, sf)))
 
 
 @query
@@ -590,7 +589,7 @@ def v3_state_leakage(spark, sf):
 
 @query
 def v5_supply_chain(spark, sf):
-    texts = select.with_text(derived.files(spark, sf))
+    texts = select.with_text(select.with_suffix(derived.files(spark, sf)))
     return screens.supply_chain(texts, tables.advisories(spark))
 
 
@@ -601,11 +600,9 @@ def v6_privilege_escalation(spark, sf):
 
 @query
 def v7_unchecked_output(spark, sf):
-    sources = _sources(spark, sf)
-    return screens.unchecked_output(_stored_facts(sources), select.with_text(sources))
+    return screens.unchecked_output(_stored_facts(_sources(spark, sf)))
 
 
 @query
 def v8_memory_poisoning(spark, sf):
-    sources = _sources(spark, sf)
-    return screens.memory_poisoning(_stored_facts(sources), select.with_text(sources))
+    return screens.memory_poisoning(_stored_facts(_sources(spark, sf)))

@@ -7,6 +7,9 @@ CALLS = "array<struct<call:string,lineno:int>>"
 ASSIGNMENTS = "array<struct<targets:array<string>,value:string,lineno:int>>"
 STRINGS = "array<struct<value:string,lineno:int>>"
 
+# Names used as values of properties; for screens only, no part of a prompt.
+VALUES = "array<struct<name:string,lineno:int>>"
+
 FACT_TYPES = {
     "functions": FUNCTIONS,
     "classes": CLASSES,

@@ -105,7 +105,7 @@ def test_js_imports_calls_assignments_and_strings(table):
         '// skipped(1)\nlet w;\nif (check(w)) { run(w) }\nconst s = "a quoted text that is long enough" + `templates that are long ${w} and short`;\n'
     ), "x.mjs")
     assert made["imports"] == ['import fs from "fs";', "import {\n  a,\n} from './b'"]
-    assert [c["call"] for c in made["calls"]] == ["new Foo", "bar", "check", "run"]
+    assert [c["call"] for c in made["calls"]] == ["new Foo(bar(1))", "bar(1)", "check(w)", "run(w)"]
     assert [(a["targets"], a["lineno"]) for a in made["assignments"]] == [(["x"], 5), (["x.y"], 6), (["w"], 9), (["s"], 11)]
     assert made["assignments"][2]["value"] == ""
     assert [s["value"] for s in made["strings"]] == ["a quoted text that is long enough", "templates that are long "]
@@ -120,6 +120,76 @@ def test_delimiters_in_strings_and_comments_do_not_count(table):
     assert _one(table, 'const a = "(";\n// (\nconst b = 1; // {\nconst c = `[`;\n', "x.js")["error"] is None
 
 
+def test_js_over_several_lines(table):
+    made = _one(table, (
+        "async function spread<T>(\n  input: string,\n  depth = max(1, 2),\n  { a, b },\n  ...rest\n): Promise<void> {\n"
+        '  return eval(input, "x(y)");\n}\nconst prompt = `first line of a system prompt\nsecond ${prompt} line that is quite long`;\n'
+        "const chain = g.compile({ saver: new MemorySaver(),\n  x: 1 })\nconst arrow = (p, q) =>\n  p + q;\n"
+        "step(1).then(go)\n  .catch(stop);\nlet m: Map<string, number> = new Map();\nconst f: (a: string) => void = async item => { foo(item) }\n"
+    ), "x.ts")
+    assert [(f["name"], f["lineno"], f["args"]) for f in made["functions"]] == [
+        ("spread", 1, ["input", "depth", "rest"]), ("arrow", 13, ["p", "q"]), ("f", 18, ["item"]),
+    ]
+    assert [(c["call"], c["lineno"]) for c in made["calls"]] == [
+        ("max(1, 2)", 3), ('eval(input, "x(y)")', 7), ("g.compile({ saver: new MemorySaver(),\n  x: 1 })", 11), ("new MemorySaver()", 11),
+        ("step(1)", 15), ("then(go)", 15), ("catch(stop)", 16), ("new Map()", 17), ("foo(item)", 18),
+    ]
+    assert [(a["targets"], a["value"]) for a in made["assignments"]] == [
+        (["prompt"], "`first line of a system prompt\nsecond ${prompt} line that is quite long`"),
+        (["chain"], "g.compile({ saver: new MemorySaver(),\n  x: 1 })"), (["arrow"], "(p, q) =>\n  p + q"),
+        (["m"], "new Map()"), (["f"], "async item => { foo(item) }"),
+    ]
+    assert [(s["value"], s["lineno"]) for s in made["strings"]] == [
+        ("first line of a system prompt\nsecond ", 9), (" line that is quite long", 9),
+    ]
+
+
+def test_several_js_constructs_on_one_line(table):
+    made = _one(table, "const a = 1, b = (x) => x; function line(x) { const y = wrap(x); y.z = 2; return y; }\nif (a) c = d;\n", "x.js")
+    assert [(f["name"], f["args"]) for f in made["functions"]] == [("b", ["x"]), ("line", ["x"])] or (
+        [(f["name"], f["args"]) for f in made["functions"]] == [("line", ["x"]), ("b", ["x"])]
+    )
+    assert [(a["targets"][0], a["value"]) for a in made["assignments"]] == [("a", "1"), ("b", "(x) => x"), ("y", "wrap(x)"), ("y.z", "2"), ("c", "d")]
+
+
+@pytest.mark.parametrize("content", [
+    "x = 1; // don't\n", "/* one (\n call(1) function ghost() {\n*/ x = 1;\n", "const odd = /[(]/.test(x);\n", "x = a / b / c;\n",
+    "const a = x++; y--;\n", "export * from 'x';\n", "<div>don't</div>;\n", "const t = `a ${b ? `c(` : 1}'`;\n", "* leading\n",
+])
+def test_valid_js_is_kept(table, content):
+    made = _one(table, content, "x.js")
+    assert made["error"] is None
+    assert not any("call" in c["call"] or "ghost" in c["call"] for c in made["calls"])
+    assert all(f["name"] != "ghost" for f in made["functions"])
+
+
+@pytest.mark.parametrize("content", ["return x +;\n", "x = ([)];\n", "} {\n", "x = 'abc\n", "/* open\n", "a = `abc\n"])
+def test_broken_js_is_an_error_row(table, content):
+    assert _one(table, content, "x.js")["error"]
+
+
+LONG = {
+    "blanks": "let a" + " " * 100_000 + "b", "tabs": "x = b" + "\t" * 100_000 + "c", "types": "const a = " + ") :" * 33_000,
+    "open": "(" * 100_000, "colons": ":" * 100_000, "calls": "a(" * 50_000, "nested": "a(" * 30_000 + ")" * 30_000, "quotes": "'" * 100_000,
+    "templates": "`${" * 30_000, "slashes": "=/a" * 30_000, "equals": "a = " * 30_000, "lines": "a =\n" * 20_000, "types again": "const a: " * 20_000,
+    "comments": "/*" * 50_000, "escapes": '"' + "\\n" * 60_000 + '"', "tags": "<a" * 40_000, "imports": "import " * 20_000, "chain": "a(1).b(2)" * 10_000,
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_time_grows_with_length_only(table, name):
+    """A pattern that goes back and forth over such a text takes minutes."""
+    import time
+
+    def seconds(content):
+        start = time.perf_counter()
+        _one(table, content, "x.ts")
+        return time.perf_counter() - start
+
+    seconds("x = 1;")
+    assert seconds(LONG[name]) < seconds("x = 1;") + 5
+
+
 def test_very_long_lines(table):
     long = 'const s = "' + "a\\n" * 60_000 + '"; const t = f(' + "(1)," * 5_000 + "2);\n"
     made = _one(table, long + "function g(" + "a(1)," * 3_000 + "b) {}\n", "x.js")

@@ -41,7 +41,7 @@ app = StateGraph(State).compile()
 '''
 BAD_JS = '''
 import { StateGraph } from "@langchain/langgraph";
-const needs = ["langgraph==1.1.0"];
+const needs = "@langchain/langgraph@1.1.0";
 const State = Annotation.Root({
   apiKey: Annotation({ value: null }),
 });
@@ -64,7 +64,7 @@ const app = graph.compile({ checkpointer: memory });
 '''
 GOOD_JS = '''
 import { StateGraph } from "@langchain/langgraph";
-const needs = ["langgraph==1.2.0"];
+const needs = "@langchain/langgraph@1.2.0";
 const State = Annotation.Root({
   question: Annotation({ value: null }),
 });
@@ -105,5 +105,5 @@ def test_every_screen_hits_its_plant_and_spares_the_clean_agent(spark, table, su
 def test_each_use_of_model_output_comes_out_once(table):
     source = "reply = llm_output\n" * 5 + "store(reply)\nstore(reply, reply)\nearly(other)\n"
     files = select.with_suffix(table([("s", "a.py", source.encode(), None)], FILES))
-    rows = screens.unchecked_output(facts.extract(files), select.with_text(files)).collect()
+    rows = screens.unchecked_output(facts.extract(files)).collect()
     assert sorted(row["line"] for row in rows) == [6, 7]
