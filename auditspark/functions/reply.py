@@ -43,12 +43,25 @@ def bracket_slice(text: Column) -> Column:
 STEPS = (strip, drop_thinking, unfence, bracket_slice, strip)
 
 
+def _finite(text: Column) -> Column:
+    """Bare ``NaN``, ``Infinity`` and ``-Infinity`` outside strings as a number that is not whole.
+
+    Like them it is a number, and like them it fits no field of a finding.
+    """
+    pieces = F.regexp_extract_all(
+        text, F.lit(r'("[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+"|-?+(?:NaN|Infinity)\b|[^"NI-]++|(?s:.))'), 1
+    )
+    plain = F.transform(pieces, lambda piece: F.when(piece.isin("NaN", "Infinity", "-Infinity"), F.lit("0.5")).otherwise(piece))
+    return F.when(F.regexp_like(text, F.lit("NaN|Infinity")), F.array_join(plain, "")).otherwise(text)
+
+
 def strict_json(text: Column) -> Column:
     """``{"x": value}`` as VARIANT when ``text`` is exactly one JSON value, else NULL.
 
     The parser forgives text after a value. No trailing text survives both an object and an array
     around it, so asking for both makes the parse strict.
     """
+    text = _finite(text)
     as_member = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
     as_element = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     return F.when(as_element.isNotNull(), as_member)
@@ -69,7 +82,7 @@ def items(value: Column, text: Column) -> Column:
 
 
 def whole_number(value: Column) -> Column:
-    """A JSON value as a whole number where it denotes one, else NULL.
+    """A JSON value as a whole number of up to 38 digits where it denotes one, else NULL.
 
     Whole numbers, floats without a fraction, booleans, and text such as ``" 42 "``, ``"+5"``,
     ``"1_000"`` or ``"42.0"`` all count.
@@ -79,15 +92,25 @@ def whole_number(value: Column) -> Column:
     trimmed = F.btrim(plain, F.lit(V.NUMBER_BLANKS))
     digits = F.regexp_replace(F.substring_index(trimmed, ".", 1), "_", "")
     written = F.when(
-        F.regexp_like(trimmed, F.lit(r"\A[+-]?[0-9]+(_[0-9]+)*(\.0+)?\z")), digits.try_cast("bigint")
+        F.regexp_like(trimmed, F.lit(r"\A[+-]?[0-9]+(_[0-9]+)*(\.0+)?\z")), digits.try_cast("decimal(38,0)")
     )
     real = F.try_variant_get(value, "$", "double")
     floated = F.when(
-        (real == F.floor(real)) & (F.abs(real) < F.lit(float(2**63))), real.try_cast("bigint")
+        (real == F.floor(real)) & (F.abs(real) < F.lit(1e38)), real.try_cast("decimal(38,0)")
     )
-    whole = F.try_variant_get(value, "$", "bigint")
+    whole = F.try_variant_get(value, "$", "bigint").cast("decimal(38,0)")
+    wide = F.try_variant_get(value, "$", "decimal(38,0)")
     return (
         F.when(kind.isin("BIGINT", "BOOLEAN"), whole)
+        .when(F.regexp_like(kind, F.lit(r"^DECIMAL\(\d+,0\)$")), wide)
         .when(kind == "STRING", written)
         .when((kind == "DOUBLE") | F.startswith(kind, F.lit("DECIMAL")), floated)
     )
+
+
+def beyond_numbers(value: Column) -> Column:
+    """True for a whole number of more digits than :func:`whole_number` holds."""
+    plain = F.btrim(F.try_variant_get(value, "$", "string"), F.lit(V.NUMBER_BLANKS))
+    written = (F.schema_of_variant(value) == "STRING") & F.regexp_like(plain, F.lit(r"\A[+-]?[0-9]+(_[0-9]+)*(\.0+)?\z"))
+    huge = (F.schema_of_variant(value) == "DOUBLE") & (F.abs(F.try_variant_get(value, "$", "double")) >= F.lit(1e38))
+    return F.coalesce((written | huge) & whole_number(value).isNull(), F.lit(False))

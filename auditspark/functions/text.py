@@ -54,7 +54,7 @@ def package_key(name: Column) -> Column:
 
 
 def version_triple(version: Column) -> Column:
-    """First three digit runs before any ``+``, missing ones 0, as an array that compares."""
+    """First three digit runs before any ``+`` as numbers, missing ones 0, beyond 38 digits NULL."""
     public = F.substring_index(version, "+", 1)
     runs = F.transform(
         F.regexp_extract_all(public, F.lit(r"([0-9]+)"), 1),
@@ -65,7 +65,15 @@ def version_triple(version: Column) -> Column:
 
 
 def is_below(installed: Column, threshold: Column) -> Column:
-    """Version comparison by triple; anything that cannot be compared is not below."""
-    left, right = version_triple(installed), version_triple(threshold)
-    readable = ~F.exists(left, lambda part: part.isNull())
-    return F.coalesce(readable & (left < right), F.lit(False))
+    """Version comparison by the first three digit runs, of any length; no version is not below.
+
+    Without leading zeros the longer run is the larger number, and equally long ones compare as text.
+    """
+
+    def runs(version: Column) -> Column:
+        found = F.regexp_extract_all(F.substring_index(version, "+", 1), F.lit(r"([0-9]+)"), 1)
+        padded = F.slice(F.concat(found, F.array(*[F.lit("0")] * 3)), 1, 3)
+        bare = F.transform(padded, lambda run: F.ltrim(run, F.lit("0")))
+        return F.transform(bare, lambda run: F.struct(F.length(run).alias("size"), run.alias("digits")))
+
+    return F.coalesce(runs(installed) < runs(threshold), F.lit(False))

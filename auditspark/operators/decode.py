@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auditspark import fixed_values as V
 from auditspark import schemas
-from auditspark.functions.reply import STEPS, items, strict_json, whole_number
+from auditspark.functions.reply import STEPS, beyond_numbers, items, strict_json, whole_number
 from auditspark.operators.joins import BROADCAST_ROWS, attach
 from auditspark.operators.numbering import blocks_of, running_sum
 from auditspark.session import materialize
@@ -74,7 +74,7 @@ def typed_items(exploded: DataFrame) -> DataFrame:
     """Items as finding columns, with ``item_error`` where an item is not a finding.
 
     A missing key takes its default; a key that is there must have the right type, and JSON null
-    has the right type only for ``line``.
+    has the right type only for ``line``. A line number of more than 38 digits is left out, its finding stays.
     """
     keys = (*_TEXT_FIELDS, "severity", "line")
     members = exploded.select(
@@ -89,6 +89,7 @@ def typed_items(exploded: DataFrame) -> DataFrame:
             for key, default in V.DEFAULTS.items()
         ],
         whole_number(F.col("_line")).alias("line"),
+        beyond_numbers(F.col("_line")).alias("_beyond"),
     )
 
     def wrong(name: str) -> Column:
@@ -99,7 +100,9 @@ def typed_items(exploded: DataFrame) -> DataFrame:
     error = error.when(wrong("severity") | unknown, F.lit("bad_severity"))
     for name in _TEXT_FIELDS:
         error = error.when(wrong(name), F.lit(f"bad_{name}"))
-    no_number = F.col("line").isNull() & (F.coalesce("_line_kind", F.lit("VOID")) != "VOID")
+    no_number = (
+        F.col("line").isNull() & (F.coalesce("_line_kind", F.lit("VOID")) != "VOID") & ~F.col("_beyond")
+    )
     error = error.when(no_number, F.lit("bad_line"))
     payload = F.coalesce(F.col("item").cast("string"), F.col("reply"))
 

@@ -8,10 +8,7 @@ from pyspark.sql import functions as F
 from auditspark import fixed_values as V
 from auditspark import schemas
 from auditspark.functions.text import location, strip
-from auditspark.operators.joins import BROADCAST_ROWS, attach, positions
-from auditspark.session import materialize
-
-PART_SIZE = 10_000
+from auditspark.operators.joins import positions
 
 
 def summary(findings: DataFrame, scans: DataFrame) -> DataFrame:
@@ -46,56 +43,33 @@ def header_time(moment: Column) -> Column:
     return F.date_format(moment, "yyyy-MM-dd HH:mm 'UTC'")
 
 
-def report(
-    ranked: DataFrame,
-    scans: DataFrame,
-    moment: datetime,
-    part_size: int = PART_SIZE,
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """One nested object per scan, in parts of at most ``part_size`` findings each.
-
-    A scan within ``part_size`` is a single object, ``part_no`` 0. A larger one goes on in further
-    parts that repeat its header, so no row has to hold all findings of a scan.
-    """
-    fields = [F.col(name) for name in schemas.FINDING_FIELDS]
-    part_no = F.floor((F.col("report_pos") - 1) / part_size)
-    parts = (
-        ranked.withColumn("part_no", part_no)
-        .groupBy("scan_id", "part_no")
-        .agg(F.sort_array(F.collect_list(F.struct("report_pos", *fields))).alias("_placed"))
-        .select(
-            "scan_id", "part_no",
-            F.transform(
-                "_placed", lambda f: F.struct(*[f[n].alias(n) for n in schemas.FINDING_FIELDS])
-            ).alias("findings"),
-        )
-    )
-    header = summary(ranked, scans).select(
+def header(unique: DataFrame, scans: DataFrame, moment: datetime) -> DataFrame:
+    """The head of each scan's report, counted from findings that need not be ranked yet."""
+    return summary(unique, scans).select(
         "scan_id",
         F.lit(V.REPORT_VERSION).alias("tool_version"),
         iso_time(F.lit(moment)).alias("timestamp"),
         "total_findings",
         F.struct(*V.SEVERITY_RANK).alias("summary"),
     )
-    header = materialize(header)
-    filled = attach(parts, header, ["scan_id"], ["part_no"], how="inner", max_rows=max_rows)
-    no_findings = F.array().cast(parts.schema["findings"].dataType)
-    empty = header.filter(F.col("total_findings") == 0).select(
-        "*", F.lit(0).cast("bigint").alias("part_no"), no_findings.alias("findings")
-    )
-    columns = [
-        "scan_id", "part_no", "tool_version", "timestamp", "total_findings", "summary", "findings",
-    ]
-    return filled.select(columns).unionByName(empty.select(columns))
 
 
-def report_json(reports: DataFrame) -> DataFrame:
-    """Each report object as JSON text; an absent line stays as null."""
-    body = F.struct("tool_version", "timestamp", "total_findings", "summary", "findings")
-    return reports.select(
-        "scan_id", "part_no", F.to_json(body, {"ignoreNullFields": "false"}).alias("report")
+def report(unique: DataFrame, ranked: DataFrame, scans: DataFrame, moment: datetime) -> DataFrame:
+    """``scan_id, report_pos, report``: the report of every scan as lines of JSON.
+
+    One layout for scans of any size: line 0 is the head, line ``n`` the finding at place ``n``. No
+    row holds more than one finding, and an absent line number stays as null.
+    """
+    keep_nulls = {"ignoreNullFields": "false"}
+    head = F.struct("tool_version", "timestamp", "total_findings", "summary")
+    heads = header(unique, scans, moment).select(
+        "scan_id", F.lit(0).cast("bigint").alias("report_pos"), F.to_json(head, keep_nulls).alias("report")
+    )
+    body = F.struct(*schemas.FINDING_FIELDS)
+    lines = ranked.select(
+        "scan_id", F.col("report_pos").cast("bigint").alias("report_pos"), F.to_json(body, keep_nulls).alias("report")
     )
+    return heads.unionByName(lines)
 
 
 def findings_table(ranked: DataFrame) -> DataFrame:

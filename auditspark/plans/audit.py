@@ -71,15 +71,16 @@ def conclude(
     """
     found, rejects = decode.decode(prompt.match_responses(asked, responses))
     found = materialize(found)
-    ranked = materialize(score.score(found))
-    summarised = report.summary(ranked, scans)
+    unique = materialize(score.deduplicate(score.valid(found)))
+    ranked = materialize(score.rank(unique))
+    summarised = report.summary(unique, scans)
     return Audited(
         findings=ranked,
         rejects=rejects,
         counters=score.counters(found),
         summary=summarised,
         gate=report.gate(summarised),
-        report=report.report(ranked, scans, moment),
+        report=report.report(unique, ranked, scans, moment),
     )
 
 

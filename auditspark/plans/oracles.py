@@ -5,7 +5,7 @@ Only fixed values and the text templates of the derived inputs are shared with t
 
 from auditspark import fixed_values as V
 from auditspark.plans import derived
-from auditspark.plans.queries import MOMENT, PART_SIZE
+from auditspark.plans.queries import MOMENT
 
 
 def _q(text: str) -> str:
@@ -601,22 +601,16 @@ def all_oracles() -> dict[str, str]:
         "f15_strict_gate": findings + "SELECT scan_id, critical > 0 OR high > 0 AS gate_failed FROM summary",
         "s9_findings_rows": findings + f"SELECT scan_id, report_pos, {EIGHT} FROM ranked",
         "a8_report": findings + f"""
-            , parts AS (SELECT scan_id, (report_pos - 1) // {PART_SIZE} AS part_no, count(*) AS n_here,
-                string_agg(id, ',' ORDER BY report_pos) AS ids FROM ranked GROUP BY ALL)
-            SELECT s.scan_id, coalesce(part_no, 0) AS part_no, '{V.REPORT_VERSION}' AS tool_version,
-              '{TIMESTAMP}' AS "timestamp", total_findings, critical, high, medium, low,
-              coalesce(n_here, 0) AS n_here, coalesce(ids, '') AS ids
-            FROM summary s LEFT JOIN parts p ON s.scan_id = p.scan_id""",
+            SELECT scan_id, '{V.REPORT_VERSION}' AS tool_version, '{TIMESTAMP}' AS "timestamp", total_findings,
+              critical, high, medium, low FROM summary""",
         "s8_report_json": findings + f"""
-            , parts AS (SELECT scan_id, (report_pos - 1) // {PART_SIZE} AS part_no,
-                string_agg(CAST(json_object('id', id, 'owasp_id', owasp_id, 'title', title, 'description', description,
-                  'severity', severity, 'file', file, 'line', line, 'remediation', remediation) AS VARCHAR), ',' ORDER BY report_pos) AS body
-              FROM ranked GROUP BY ALL)
-            SELECT s.scan_id, coalesce(part_no, 0) AS part_no,
+            SELECT scan_id, CAST(0 AS BIGINT) AS report_pos,
               '{{"tool_version":"{V.REPORT_VERSION}","timestamp":"{TIMESTAMP}","total_findings":' || total_findings
               || ',"summary":{{"critical":' || critical || ',"high":' || high || ',"medium":' || medium || ',"low":' || low
-              || '}},"findings":[' || coalesce(body, '') || ']}}' AS report
-            FROM summary s LEFT JOIN parts p ON s.scan_id = p.scan_id""",
+              || '}}}}' AS report FROM summary
+            UNION ALL SELECT scan_id, CAST(report_pos AS BIGINT), CAST(json_object('id', id, 'owasp_id', owasp_id, 'title', title,
+              'description', description, 'severity', severity, 'file', file, 'line', line, 'remediation', remediation) AS VARCHAR)
+            FROM ranked""",
         "p1_location": findings + f"SELECT scan_id, seq, {LOCATION} AS location FROM findings",
         "p2_findings_table": findings + f"""
             SELECT scan_id, report_pos, id, upper(severity) AS severity, owasp_id, title, {LOCATION} AS location FROM ranked""",
@@ -636,6 +630,12 @@ def all_oracles() -> dict[str, str]:
             SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY {RANK} DESC, first_seq) AS report_pos, {EIGHT}
             FROM placed WHERE nth = 1""",
         # packages
+        "s6_advisories": packages + """
+            SELECT CAST(adv_pos AS BIGINT) AS adv_pos, a.package, cve, affected_below, severity, count(i.scan_id) AS n_installed
+            FROM advisories a LEFT JOIN installed i ON lower(regexp_replace(i.package, '[-_.]+', '-', 'g')) = a.package
+            GROUP BY ALL""",
+        "s7_inventory": packages + """
+            SELECT scan_id, lower(regexp_replace(package, '[-_.]+', '-', 'g')) AS package, version FROM installed""",
         "c1_version_triples": packages + """
             SELECT scan_id, package, version, t[1] AS major, t[2] AS minor, t[3] AS patch FROM triples""",
         "f14_below_threshold": packages + """

@@ -19,7 +19,6 @@ from auditspark.sources import tables
 
 MOMENT = datetime(2026, 1, 2, 3, 4, 5, 678000, tzinfo=timezone.utc)
 FINDING = ["scan_id", *schemas.FINDING_FIELDS]
-PART_SIZE = 50
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -459,22 +458,19 @@ def s9_findings_rows(spark, sf):
     return score.findings_rows(_ranked(spark, sf))
 
 
-def _report(spark, sf):
-    return report.report(_ranked(spark, sf), derived.scans(spark, sf), MOMENT, part_size=PART_SIZE)
-
-
 @query
 def a8_report(spark, sf):
-    return _report(spark, sf).select(
-        "scan_id", "part_no", "tool_version", "timestamp", "total_findings", "summary.*",
-        F.size("findings").alias("n_here"),
-        F.array_join(F.transform("findings", lambda f: f["id"]), ",").alias("ids"),
-    )
+    """The head of every scan's report."""
+    unique = score.deduplicate(score.valid(derived.findings(spark, sf)))
+    head = report.header(unique, derived.scans(spark, sf), MOMENT)
+    return head.select("scan_id", "tool_version", "timestamp", "total_findings", "summary.*")
 
 
 @query
 def s8_report_json(spark, sf):
-    return report.report_json(_report(spark, sf))
+    """All lines of all reports."""
+    unique = materialize(score.deduplicate(score.valid(derived.findings(spark, sf))))
+    return report.report(unique, score.rank(unique), derived.scans(spark, sf), MOMENT)
 
 
 @query
@@ -515,6 +511,24 @@ def _vulnerable(spark, sf):
     return supply.vulnerable(derived.inventories(spark, sf), tables.advisories(spark))
 
 
+@query
+def s6_advisories(spark, sf):
+    """Every advisory with the number of installed packages that it speaks of."""
+    installed = derived.inventories(spark, sf).select(text.package_key(F.col("package")).alias("key"))
+    counts = installed.groupBy("key").agg(F.count("*").alias("n_installed"))
+    known = tables.advisories(spark).select("adv_pos", "package", "cve", "affected_below", "severity")
+    joined = known.join(counts, text.package_key(F.col("package")) == F.col("key"), "left").drop("key")
+    return joined.withColumn("n_installed", F.coalesce("n_installed", F.lit(0)))
+
+
+@query
+def s7_inventory(spark, sf):
+    """Installed packages under the names by which advisories look them up."""
+    return derived.inventories(spark, sf).select(
+        "scan_id", text.package_key(F.col("package")).alias("package"), "version"
+    )
+
+
 @query
 def c1_version_triples(spark, sf):
     return supply.with_triple(derived.inventories(spark, sf)).select(

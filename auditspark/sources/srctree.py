@@ -1,5 +1,7 @@
 """``spark.read.format("srctree")`` lists the source files below target paths; contents come after.
 
+For a table of targets use :func:`entries_of`, which lists the trees level by level as Spark jobs.
+
 Options of the format: ``scans`` (JSON object of scan id to target path) and ``splits`` (about how
 many partitions to plan, default 64). Planning looks at directory names, breadth first, until there
 are enough directories to share out; the rest of the walk happens in the tasks. Names that start
@@ -11,6 +13,7 @@ so a directory or a scan that holds a third of all files is still read by all ta
 
 import json
 import os
+import re
 from collections import deque
 from collections.abc import Iterator
 from functools import reduce
@@ -25,6 +28,8 @@ from auditspark import fixed_values as V
 from auditspark.session import materialize
 
 ENTRIES = "scan_id string, target_path string, kind string, path string, rel_path string"
+# Stands before a byte of a file name that is not UTF-8; no path holds this character itself.
+ESCAPE = "\x00"
 CONTENTS = "scan_id string, path string, rel_path string, content binary, read_error string"
 
 
@@ -40,14 +45,29 @@ def _pruned(name: str) -> bool:
 
 
 def _level(directory: str) -> tuple[list[str], list[str]]:
-    """Names of the sub-directories and of the other entries of a directory."""
+    """Names of the sub-directories and of the other entries of a directory.
+
+    An entry whose kind cannot be told, such as a link to itself, is no directory; it takes nothing
+    else with it. A directory that cannot be read is empty.
+    """
     dirs, files = [], []
     try:
-        with os.scandir(directory) as entries:
-            for entry in entries:
-                (dirs if entry.is_dir() else files).append(entry.name)
+        entries = os.scandir(directory)
     except OSError:
-        pass
+        return dirs, files
+    with entries:
+        while True:
+            try:
+                entry = next(entries, None)
+            except OSError:
+                break
+            if entry is None:
+                break
+            try:
+                inner = entry.is_dir()
+            except OSError:
+                inner = False
+            (dirs if inner else files).append(entry.name)
     return dirs, files
 
 
@@ -57,15 +77,28 @@ def _below(directory: str, dirs: list[str]) -> list[str]:
     return [path for path in paths if not os.path.islink(path)]
 
 
+def _text(path: str) -> str:
+    """A path as valid text. Bytes of a name that are not UTF-8 are spelled out; :func:`_path` undoes it."""
+    return "".join(
+        f"{ESCAPE}{ord(char) - 0xDC00:02x}" if 0xDC80 <= ord(char) <= 0xDCFF else char for char in path
+    )
+
+
+def _path(text: str) -> str:
+    return re.sub(f"{ESCAPE}([89a-f][0-9a-f])", lambda found: chr(0xDC00 + int(found[1], 16)), text)
+
+
 def _walk(scan_id: str, target: str, start: str, deep: bool) -> Iterator[tuple]:
     """Entries of one directory, or of all below it, or the one entry of a file.
 
     A walk of one level ends with an ``enter`` entry for each directory that goes on.
     """
 
+    start = _path(start)
+
     def row(kind: str, path: str) -> tuple:
         inside = os.path.relpath(path, target) if path != target else os.path.basename(path)
-        return (scan_id, target, kind, path, inside)
+        return (scan_id, target, kind, _text(path), _text(inside))
 
     if os.path.isfile(start):
         yield row("target", start)
@@ -133,36 +166,33 @@ def entries(spark: SparkSession, targets: dict[str, str], splits: int = 64) -> D
     return reader.option("splits", splits).load()
 
 
-def entries_of(scans: DataFrame, levels: int = 3, tasks: int | None = None) -> DataFrame:
-    """The same for a table ``scans(scan_id, target_path)`` of any length.
+def entries_of(scans: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The same for a table ``scans(scan_id, target_path)`` of any length and trees of any depth.
 
     Spark lists one level of all trees, spreads the directories found over the tasks, lists the next
-    level, and walks what is left below the last one. Names never pass through the driver, and a
-    scan with a third of all directories is shared out like all others.
+    level, and so on until no directory is left. A task holds single directories only, names never
+    pass through the driver, and a tree with a third of all files is shared out like all others.
     """
     tasks = tasks or 4 * scans.sparkSession.sparkContext.defaultParallelism
     names = [field.split()[0] for field in ENTRIES.split(", ")]
 
-    def walker(deep: bool):
-        def walk(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            starts = (start for batch in source for start in batch.to_pylist())
-            rows = chain.from_iterable(
-                _walk(start["scan_id"], start["target_path"], start["path"], deep) for start in starts
-            )
-            for some in batched(rows, 10_000):
-                columns = [pa.array(column, pa.string()) for column in zip(*some)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-        return walk
+    def walk(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = (start for batch in source for start in batch.to_pylist())
+        rows = chain.from_iterable(
+            _walk(start["scan_id"], start["target_path"], start["path"], deep=False) for start in starts
+        )
+        for some in batched(rows, 10_000):
+            columns = [pa.array(column, pa.string()) for column in zip(*some)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     starts = scans.select("scan_id", "target_path", F.col("target_path").alias("path"))
     found = []
-    for level in range(levels):
-        spread = starts.repartition(tasks, "scan_id", "path")
-        listed = materialize(spread.mapInArrow(walker(level == levels - 1), ENTRIES))
+    while True:
+        listed = materialize(starts.repartition(tasks, "scan_id", "path").mapInArrow(walk, ENTRIES))
         found.append(listed.filter(F.col("kind") != "enter"))
         starts = listed.filter(F.col("kind") == "enter").select("scan_id", "target_path", "path")
-    return reduce(DataFrame.unionByName, found)
+        if starts.isEmpty():
+            return reduce(DataFrame.unionByName, found)
 
 
 def dirs_of(listed: DataFrame) -> DataFrame:
@@ -181,10 +211,10 @@ def files_of(listed: DataFrame, tasks: int | None = None) -> DataFrame:
             for row in batch.to_pylist():
                 content = error = None
                 try:
-                    with open(row["path"], "rb") as stream:
+                    with open(_path(row["path"]), "rb") as stream:
                         content = stream.read()
                 except OSError as problem:
-                    error = str(problem)
+                    error = _text(str(problem))
                 yield pa.RecordBatch.from_pydict(
                     {name: [value] for name, value in row.items()}
                     | {

@@ -23,9 +23,10 @@ def responses(spark: SparkSession, path: str, form: str = "parquet") -> DataFram
     return spark.read.schema(schemas.RESPONSES).format(form).load(path)
 
 
-def write_reports(reports: DataFrame, path: str) -> None:
-    """One JSON object per report part, absent values as null."""
-    reports.write.option("ignoreNullFields", "false").json(path)
+def write_reports(lines: DataFrame, path: str) -> None:
+    """Report lines as JSON objects; the files in their order hold each scan's lines in order."""
+    ordered = lines.repartitionByRange("scan_id", "report_pos").sortWithinPartitions("scan_id", "report_pos")
+    ordered.write.json(path)
 
 
 def write_findings(rows: DataFrame, path: str) -> None:

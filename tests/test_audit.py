@@ -54,6 +54,7 @@ def test_from_trees_to_reports(spark, table, tmp_path):
     assert {r["scan_id"]: r["gate_failed"] for r in done.gate.collect()} == {"agent": True, "small": False, "gone": False}
     assert [(r["scan_id"], r["reason"]) for r in done.rejects.collect()] == [("small", "not_json")]
     assert {r["scan_id"]: r["kept"] for r in done.counters.collect()} == {"agent": 2}
-    reports = {r["scan_id"]: r for r in done.report.collect()}
-    assert [f["title"] for f in reports["agent"]["findings"]] == ["B", "A"] and reports["gone"]["findings"] == []
+    reports = {(r["scan_id"], r["report_pos"]): json.loads(r["report"]) for r in done.report.collect()}
+    assert [reports["agent", n]["title"] for n in (1, 2)] == ["B", "A"]
+    assert set(reports) == {("agent", 0), ("agent", 1), ("agent", 2), ("small", 0), ("gone", 0)}
     assert done.summary.filter(F.col("total_findings") > 0).count() == 1

@@ -45,11 +45,10 @@ def test_a_tree_gives_its_source_files_however_it_is_split(spark, tmp_path, spli
     assert select.directory_sample(named).first()["sample"] == ".venv, build, node_modules"
 
 
-@pytest.mark.parametrize("levels", [1, 2, 9])
-def test_a_table_of_scans_lists_the_same_entries(spark, table, tmp_path, levels):
+def test_a_table_of_scans_lists_the_same_entries(spark, table, tmp_path):
     targets = {"s": _tree(tmp_path / "s", NAMES), "t": str(tmp_path / "s/a.py"), "u": str(tmp_path / "gone")}
     scans = table(list(targets.items()), "scan_id string, target_path string")
-    made = sorted(map(tuple, srctree.entries_of(scans, levels, tasks=3).collect()))
+    made = sorted(map(tuple, srctree.entries_of(scans, tasks=3).collect()))
     assert made == sorted(map(tuple, srctree.entries(spark, targets).collect()))
     assert {row[0] for row in made if row[2] == "target"} == {"s", "t"}
 
@@ -79,6 +78,33 @@ def test_linked_directories_are_not_followed_and_dangling_links_are_errors(spark
     assert made["a.py"] is None and "No such file" in made["gone.py"] and set(made) == {"a.py", "gone.py"}
 
 
+@pytest.mark.parametrize("listing", ["source", "table"])
+def test_nothing_is_lost_beside_odd_entries(spark, table, tmp_path, listing):
+    root = tmp_path / "root"
+    deep = "/".join(f"l{n}" for n in range(10)) + "/x.py"
+    _tree(root, ["a.py", "b.py", "c/d.py", "e/f.js", "g.ts", "h.mjs", deep])
+    os.symlink(root / "self.py", root / "self.py")
+    with open(os.fsencode(str(root)) + b"/caf\xe9.py", "w") as stream:
+        stream.write("x = 1\n")
+    (root / "closed").mkdir()
+    (root / "closed" / "y.py").write_text("y = 1\n")
+    os.chmod(root / "closed", 0)
+    try:
+        if listing == "source":
+            listed = srctree.entries(spark, {"s": str(root)})
+        else:
+            listed = srctree.entries_of(table([("s", str(root))], "scan_id string, target_path string"))
+        made = {row["rel_path"]: (row["content"], row["read_error"]) for row in srctree.files_of(listed).collect()}
+    finally:
+        os.chmod(root / "closed", 0o700)
+    names = {"a.py", "b.py", "c/d.py", "e/f.js", "g.ts", "h.mjs", deep}
+    assert names <= set(made) and all(made[name][1] is None for name in names)
+    odd = f"caf{srctree.ESCAPE}e9.py"
+    assert bytes(made[odd][0]) == b"x = 1\n"
+    assert made["self.py"][1]
+    assert set(made) - names - {odd, "self.py"} <= {"closed/y.py"}
+
+
 def test_missing_targets_have_an_error_and_empty_ones_have_none(spark, table, tmp_path):
     (tmp_path / "empty").mkdir()
     targets = {"empty": str(tmp_path / "empty"), "gone": str(tmp_path / "gone")}

@@ -110,30 +110,23 @@ def test_summary_and_gate_cover_scans_without_findings(table):
     assert {row["scan_id"]: row["gate_failed"] for row in report.gate(made).collect()} == {"s": True, "t": False, "u": False}
 
 
-def test_report_is_one_object_and_goes_on_in_parts(table):
+def test_report_has_one_layout(table, tmp_path):
     scans = table([("s",), ("quiet",)], "scan_id string")
-    ranked = score.score(table([_finding(i, f"T{i}", "low", line=None) for i in range(1, 8)], FINDINGS))
-    whole = {row["scan_id"]: row for row in report.report(ranked, scans, MOMENT).collect()}
-    assert [f["id"] for f in whole["s"]["findings"]] == [f"GG-00{i}" for i in range(1, 8)]
-    assert whole["s"]["timestamp"] == MOMENT.isoformat()
-    assert (whole["quiet"]["total_findings"], whole["quiet"]["findings"]) == (0, [])
-    for limit in (100, 0):
-        parts = report.report(ranked, scans, MOMENT, part_size=3, max_rows=limit).collect()
-        parts = sorted((row for row in parts if row["scan_id"] == "s"), key=lambda row: row["part_no"])
-        assert [len(row["findings"]) for row in parts] == [3, 3, 1]
-        assert {row["total_findings"] for row in parts} == {7}
-        assert [f["id"] for row in parts for f in row["findings"]] == [f"GG-00{i}" for i in range(1, 8)]
-
-
-def test_report_sink_keeps_null_lines(table, tmp_path):
-    ranked = score.score(table([_finding(1, line=None)], FINDINGS))
-    reports = report.report(ranked, table([("s",)], "scan_id string"), MOMENT)
-    tables.write_reports(reports, str(tmp_path / "report"))
-    lines = [line for file in (tmp_path / "report").glob("*.json") for line in file.read_text().splitlines()]
-    written = json.loads(lines[0])
-    assert len(lines) == 1 and written["findings"][0]["line"] is None
-    assert written["summary"] == {"critical": 0, "high": 1, "medium": 0, "low": 0}
-    assert written == {"scan_id": "s", "part_no": 0} | json.loads(report.report_json(reports).first()["report"])
+    unique = score.deduplicate(score.valid(table([_finding(i, f"T{i}", "low", line=None) for i in range(1, 8)], FINDINGS)))
+    lines = report.report(unique, score.rank(unique), scans, MOMENT)
+    made = {(row["scan_id"], row["report_pos"]): json.loads(row["report"]) for row in lines.collect()}
+    assert set(made) == {("quiet", 0), *(("s", n) for n in range(8))}
+    assert made["s", 0] == {
+        "tool_version": "0.1.0", "timestamp": MOMENT.isoformat(), "total_findings": 7,
+        "summary": {"critical": 0, "high": 0, "medium": 0, "low": 7},
+    }
+    assert made["quiet", 0]["total_findings"] == 0
+    assert [made["s", n]["id"] for n in range(1, 8)] == [f"GG-00{n}" for n in range(1, 8)]
+    assert made["s", 1]["line"] is None
+    tables.write_reports(lines, str(tmp_path / "report"))
+    written = [json.loads(line) for file in sorted((tmp_path / "report").glob("*.json")) for line in file.read_text().splitlines()]
+    assert [(row["scan_id"], row["report_pos"]) for row in written] == sorted(made)
+    assert all(json.loads(row["report"]) == made[row["scan_id"], row["report_pos"]] for row in written)
 
 
 def test_findings_sink(spark, table, tmp_path):

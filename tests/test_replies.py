@@ -53,6 +53,23 @@ CASES = {
 }
 
 
+def test_numbers_of_any_size_keep_their_finding(table):
+    lines = ["12345678901234567890", '"' + "9" * 20 + '"', '"' + "9" * 60 + '"', "1" + "0" * 60, "7"]
+    found, rejects = _decode(table, *[TEXT.replace('"line": 3', f'"line": {line}').join("[]") for line in lines])
+    assert not rejects
+    assert [row["line"] for row in found] == [12345678901234567890, int("9" * 20), None, None, 7]
+
+
+def test_numbers_that_are_none_spoil_their_item_only(table):
+    for word in ("NaN", "Infinity", "-Infinity"):
+        bad = TEXT.replace('"line": 3', f'"line": {word}')
+        other = TEXT.replace('"T"', '"NaN, \\"-Infinity\\" and so on"')
+        extra = TEXT.replace("{", f'{{"score": {word}, ', 1)
+        found, rejects = _decode(table, f"[{bad},{other},{extra}]")
+        assert [row["title"] for row in found] == ['NaN, "-Infinity" and so on', "T"]
+        assert [row["reason"] for row in rejects] == ["bad_line"]
+
+
 def test_each_reply_gives_its_findings_and_numbers(table):
     probe = TEXT.replace('"T"', '"probe"')
     rows = []

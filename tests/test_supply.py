@@ -22,6 +22,15 @@ def test_inventories_against_the_sample_advisories(spark, table, limit):
     ]
 
 
+def test_long_digit_runs_compare_by_value(table):
+    from auditspark.functions.text import is_below
+
+    long = "9" * 60
+    cases = [("0.2." + long, "0.3", True), ("0." + long, "0.3", False), ("1." + long, "1." + long + "0", True), ("01.002", "1.2", False), ("1.10", "1.9", False)]
+    rows = table([(*case[:2],) for case in cases], "a string, b string")
+    assert [row[0] for row in rows.select(is_below(rows.a, rows.b)).collect()] == [case[2] for case in cases]
+
+
 def test_check(spark, table):
     scans = table([("a",), ("b",)], "scan_id string")
     shown, status = audit.check(scans, table([("a", "langgraph", "1.0")], INSTALLED), tables.advisories(spark))
