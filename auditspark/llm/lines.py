@@ -23,7 +23,7 @@ from auditspark.session import materialize
 
 SHINGLE = 8
 SIMILAR = 0.8
-BANDS = 10
+BANDS = 8
 ROWS = 4
 GROUP_LIMIT = 512
 
@@ -192,8 +192,21 @@ def repeated_lines(
     )
     first_links = materialize(_verify(filled, size, least))
     roots = materialize(components(first_links))
-    placed = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    apart = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    # What is left are pairs without the band's smallest line, in bands of three lines or more. Bands of
+    # the same lines, as most bands of close copies are, count once.
+    placed = members.filter("node <> least").join(roots, "node", "left").select(
+        "band", "node", F.coalesce("root", "node").alias("root")
+    )
+    apart = (
+        placed.groupBy("band")
+        .agg(
+            F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"),
+            F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64("node", F.lit("second"))).alias("two"),
+        )
+        .filter("low <> high")
+        .groupBy("n", "one", "two")
+        .agg(F.min("band").alias("band"))
+    )
     mixed = split_groups(placed.join(apart.select("band"), "band"), ["band"], "node", limit)
     laid = mixed.join(texts, "node").repartition("band", "unit").sortWithinPartitions("band", "unit", "root", "node")
     more_links = materialize(
