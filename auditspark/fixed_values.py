@@ -58,6 +58,11 @@ ENDPOINTS = (
     ("reasoning", "http://127.0.0.1:8081/v1/chat/completions", "qwen3.5-35b-a3b"),
 )
 
+# What a model is asked for: little randomness, a bounded reply, within a time.
+TEMPERATURE = 0.1
+REPLY_TOKENS = 2048
+CALL_SECONDS = 120
+
 # --- findings -----------------------------------------------------------------------------------
 
 THINK_OPEN, THINK_CLOSE = "<think>", "</think>"

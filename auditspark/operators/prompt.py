@@ -2,6 +2,8 @@
 
 import json
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,35 +75,64 @@ def asked_files(facts: DataFrame) -> DataFrame:
     return number_files(eligible(facts))
 
 
+def requests(prompts: DataFrame, instructions: str) -> DataFrame:
+    """``scan_id, path, url, body, deadline_s``: what a model server is sent for each routed prompt.
+
+    ``body`` is the JSON of a chat request: model, messages (``instructions``, then the prompt),
+    temperature and token limit. ``deadline_s`` is how long a call may take.
+    """
+    system = F.struct(F.lit("system").alias("role"), F.lit(instructions).alias("content"))
+    user = F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))
+    body = F.struct(
+        F.col("model_name").alias("model"),
+        F.array(system, user).alias("messages"),
+        F.lit(V.TEMPERATURE).alias("temperature"),
+        F.lit(V.REPLY_TOKENS).alias("max_tokens"),
+    )
+    return prompts.select(
+        "scan_id", "path", "url", F.to_json(body).alias("body"), F.lit(V.CALL_SECONDS).alias("deadline_s")
+    )
+
+
 def ask(
-    prompts: DataFrame, make_client: Callable[[], Callable[[str, str, str], str]]
+    asked: DataFrame,
+    make_client: Callable[[], Callable[[str, str, int], str]],
+    tasks: int,
+    threads: int = 1,
 ) -> DataFrame:
-    """Responses from a model, one call per prompt, made where the prompts are.
+    """Responses from a model, one call per row of :func:`requests`.
 
-    ``make_client`` runs once per task and returns a function of prompt, url and model name. A
-    ``ConnectionError`` is a lost connection, any other exception a failed call; both become rows,
-    and what they mean for a scan is decided later, in file order.
+    Calls take long and rows are small, so rows are spread by count over ``tasks`` tasks, each with
+    ``threads`` calls at a time. ``make_client`` runs once per task and returns a function of url,
+    body and deadline that threads may share. A ``ConnectionError`` is a lost connection, any other
+    exception a failed call; both become rows, and what they mean for a scan is decided later, in
+    file order. Store the result: a task that runs again asks again.
     """
 
-    def call(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = make_client()
-        for batch in source:
-            for row in batch.to_pylist():
-                status, raw, detail = "ok", None, None
-                try:
-                    raw = client(row["prompt"], row["url"], row["model_name"])
-                except ConnectionError as problem:
-                    status, detail = "connect_error", str(problem)
-                except Exception as problem:
-                    status, detail = "error", str(problem)
-                made = (row["scan_id"], row["path"], status, raw, detail)
+
+        def call(row: dict) -> tuple:
+            status, raw, detail = "ok", None, None
+            try:
+                raw = client(row["url"], row["body"], row["deadline_s"])
+            except ConnectionError as problem:
+                status, detail = "connect_error", str(problem)
+            except Exception as problem:
+                status, detail = "error", str(problem)
+            return row["scan_id"], row["path"], status, raw, detail
+
+        rows = (row for batch in source for row in batch.to_pylist())
+        with ThreadPoolExecutor(threads) as pool:
+            for some in batched(rows, 4 * threads):
+                made = list(pool.map(call, some))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([value], pa.string()) for value in made],
+                    [pa.array(values, pa.string()) for values in zip(*made)],
                     names=["scan_id", "path", "status", "raw", "detail"],
                 )
 
-    needed = prompts.select("scan_id", "path", "prompt", "url", "model_name")
-    return needed.mapInArrow(call, schemas.RESPONSES)
+    needed = asked.select("scan_id", "path", "url", "body", "deadline_s")
+    return needed.repartition(tasks, "scan_id", "path").mapInArrow(run, schemas.RESPONSES)
 
 
 def match_responses(asked: DataFrame, responses: DataFrame) -> DataFrame:

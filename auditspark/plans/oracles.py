@@ -542,7 +542,9 @@ def all_oracles() -> dict[str, str]:
               CASE WHEN model = 'reasoning' THEN {_q(V.ENDPOINTS[1][2])} ELSE {_q(V.ENDPOINTS[0][2])} END AS model_name
             FROM chosen""",
         # replies
-        "j2_match_responses": replies + "SELECT scan_id, path, status, detail FROM responses",
+        "j2_match_responses": replies + """
+            SELECT scan_id, path, CASE WHEN file_order % 17 = 3 THEN 'error' ELSE status END AS status,
+              CASE WHEN file_order % 17 = 3 THEN 'no response' ELSE detail END AS detail FROM responses""",
         "f11_before_connection_loss": replies + "SELECT scan_id, path, status FROM reached",
         "f12_failed_calls": replies + """
             SELECT scan_id, path, 'call' AS stage, status AS reason, detail AS payload FROM reached WHERE status = 'error'""",

@@ -311,10 +311,11 @@ def _typed(spark, sf):
 
 @query
 def j2_match_responses(spark, sf):
-    """Prompts are asked for every event; failed calls stay visible in ``status``."""
+    """Prompts are asked for every event; some responses never came, failed calls stay visible."""
     responses = derived.responses(spark, sf)
     asked = responses.select("scan_id", "path", "file_order")
-    return prompt.match_responses(asked, responses).select("scan_id", "path", "status", "detail")
+    given = responses.filter(F.col("file_order") % 17 != 3)
+    return prompt.match_responses(asked, given).select("scan_id", "path", "status", "detail")
 
 
 @query

@@ -2,6 +2,9 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,8 +14,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Rows handed to Python carry whole files, so a batch holds few of them.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
+    # Rows handed to Python may carry whole files, so batches are bounded by bytes.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 
@@ -47,6 +50,27 @@ def durable_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_run: ContextVar[str] = ContextVar("run", default="")
+
+
+@contextmanager
+def intermediate_tables(spark: SparkSession) -> Iterator[str]:
+    """Keep the tables of one run in a folder of its own, and remove it when the block ends.
+
+    Results that read such tables have to be written or collected inside the block. Without a block
+    the tables are left to the clean-up of the shared folder.
+    """
+    name = f"run-{uuid.uuid4().hex}"
+    token = _run.set(f"{name}/")
+    folder = f"{durable_folder(spark).rstrip('/')}/auditspark/{name}"
+    try:
+        yield folder
+    finally:
+        _run.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(frame: DataFrame) -> DataFrame:
     """Write ``frame`` once to the shared folder and go on from the written table.
 
@@ -54,6 +78,6 @@ def materialize(frame: DataFrame) -> DataFrame:
     feeds several joins. The table outlives the loss of executors.
     """
     spark = frame.sparkSession
-    path = f"{durable_folder(spark).rstrip('/')}/auditspark/{uuid.uuid4().hex}"
+    path = f"{durable_folder(spark).rstrip('/')}/auditspark/{_run.get()}{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

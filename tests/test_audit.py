@@ -45,9 +45,9 @@ def test_from_trees_to_reports(spark, table, tmp_path):
     replies = {"a.py": answer("A", "low"), "b.js": "```json\n" + answer("B", "critical") + "\n```", "only.py": "nothing"}
 
     def make_client():
-        return lambda text, url, model: next(raw for name, raw in replies.items() if f"/{name}\"" in text)
+        return lambda url, body, deadline: next(raw for name, raw in replies.items() if f"/{name}\\\"" in body)
 
-    responses = materialize(prompt.ask(ready.prompts, make_client))
+    responses = materialize(prompt.ask(prompt.requests(ready.prompts, "Find what is wrong."), make_client, tasks=2))
     done = audit.conclude(scans, ready.asked, responses, MOMENT)
     rows = done.findings.orderBy("scan_id", "report_pos").collect()
     assert [(r["scan_id"], r["id"], r["title"]) for r in rows] == [("agent", "GG-002", "B"), ("agent", "GG-001", "A")]

@@ -246,20 +246,33 @@ def test_fact_rows(table):
     assert facts.fact_rows(extracted, "calls").filter(F.col("pos") == 1).first()["call"] == "g()"
 
 
+def test_requests_carry_all_parameters(table):
+    prompts = table([("s", "a.py", "look at é", "u", "m")], "scan_id string, path string, prompt string, url string, model_name string")
+    row = prompt.requests(prompts, "be strict").first()
+    assert (row["url"], row["deadline_s"]) == ("u", 120)
+    assert json.loads(row["body"]) == {
+        "model": "m", "temperature": 0.1, "max_tokens": 2048,
+        "messages": [{"role": "system", "content": "be strict"}, {"role": "user", "content": "look at é"}],
+    }
+
+
 def test_calls_to_a_model_become_rows(table):
     def make_client():
-        def client(text, url, model):
-            if text == "lost":
+        def client(url, body, deadline):
+            if body == "lost":
                 raise ConnectionError("no server")
-            if text == "bad":
+            if body == "bad":
                 raise ValueError("status 500")
-            return f"{text} {url} {model}"
+            return f"{body} {url} {deadline}"
 
         return client
 
-    rows = [("s", name, name, "u", "m") for name in ("fine", "lost", "bad")]
-    prompts = table(rows, "scan_id string, path string, prompt string, url string, model_name string")
-    made = {row["path"]: (row["status"], row["raw"], row["detail"]) for row in prompt.ask(prompts, make_client).collect()}
-    assert made == {
-        "fine": ("ok", "fine u m", None), "lost": ("connect_error", None, "no server"), "bad": ("error", None, "status 500"),
+    rows = [("s", name, "u", name, 9) for name in ("fine", "lost", "bad", *(f"n{n}" for n in range(60)))]
+    asked = table(rows, "scan_id string, path string, url string, body string, deadline_s int").coalesce(1)
+    answered = prompt.ask(asked, make_client, tasks=5, threads=3)
+    assert answered.rdd.getNumPartitions() == 5
+    made = {row["path"]: (row["status"], row["raw"], row["detail"]) for row in answered.collect()}
+    assert len(made) == 63 and made["n7"] == ("ok", "n7 u 9", None)
+    assert {name: made[name] for name in ("fine", "lost", "bad")} == {
+        "fine": ("ok", "fine u 9", None), "lost": ("connect_error", None, "no server"), "bad": ("error", None, "status 500"),
     }
