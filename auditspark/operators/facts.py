@@ -12,7 +12,8 @@ from auditspark.operators.joins import positions
 
 def extract(files: DataFrame) -> DataFrame:
     """Facts of all files: the JavaScript family by its suffixes, everything else as Python."""
-    is_js = F.col("ext").isin(*V.JS_SUFFIXES)
+    # Stored files lie in a folder per language, which the other language's branch does not open.
+    is_js = F.col("lang") == "js" if "lang" in files.columns else F.col("ext").isin(*V.JS_SUFFIXES)
     python = python_facts(files.filter(~is_js)).withColumn("values", F.lit(None).cast(schemas.VALUES))
     return python.unionByName(js_facts(files.filter(is_js)))
 

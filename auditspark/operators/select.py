@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from auditspark import fixed_values as V
 from auditspark.functions.text import contains_any, decoded, last_segment, suffix
-from auditspark.operators.joins import BROADCAST_ROWS, attach
+from auditspark.operators.joins import BROADCAST_BYTES, flag_known
 from auditspark.operators.numbering import number_by_text
+from auditspark.session import materialize
 
 
 def _is_pruned(name: Column) -> Column:
@@ -63,8 +64,11 @@ def relevant_js(text: Column) -> Column:
 def with_relevance(files: DataFrame) -> DataFrame:
     """Add ``relevant``: does the file look like agent code?
 
-    Markers hold no line breaks, so the bytes can be searched before line ends are unified.
+    Markers hold no line breaks, so the bytes can be searched before line ends are unified. Files that
+    have the column keep it.
     """
+    if "relevant" in files.columns:
+        return files
     text = F.col("content").cast("string")
     readable = F.col("read_error").isNull() & F.is_valid_utf8(text)
     marked = F.when(F.col("ext").isin(*V.JS_SUFFIXES), relevant_js(text)).otherwise(
@@ -89,17 +93,24 @@ def census(counts: DataFrame) -> DataFrame:
     )
 
 
-def select_files(
-    files: DataFrame, counts: DataFrame, max_rows: int = BROADCAST_ROWS
-) -> DataFrame:
+def stored_files(files: DataFrame) -> DataFrame:
+    """Collected files with ``relevant`` and ``lang``, written once with a folder per language.
+
+    Later steps read of it what they need: counts the narrow columns, extraction one language.
+    """
+    lang = F.when(F.col("ext").isin(*V.JS_SUFFIXES), "js").otherwise("py")
+    return materialize(with_relevance(files).withColumn("lang", lang), by="lang")
+
+
+def select_files(files: DataFrame, counts: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Relevant files of each scan, or all its files when none is relevant.
 
-    ``counts`` is the stored result of ``relevance_counts``, one row per scan. Only scans without any
-    relevant file are joined, so contents are read once more here but do not move.
+    ``counts`` is the stored result of ``relevance_counts``, one row per scan. Only the names of scans
+    without any relevant file travel, contents stay where they are.
     """
-    unmarked = counts.filter(F.col("n_relevant") == 0).select("scan_id", F.lit(True).alias("_all"))
-    flagged = attach(with_relevance(files), unmarked, ["scan_id"], ["path"], max_rows=max_rows)
-    return flagged.filter(F.col("relevant") | F.col("_all").isNotNull()).drop("_all")
+    unmarked = counts.filter(F.col("n_relevant") == 0)
+    flagged = flag_known(with_relevance(files), unmarked, "scan_id", "_all", max_bytes)
+    return flagged.filter(F.col("relevant") | F.col("_all")).drop("_all").select(*with_relevance(files).columns)
 
 
 def pruned_directories(dirs: DataFrame) -> DataFrame:

@@ -41,10 +41,11 @@ def prepare(scans: DataFrame, listed: DataFrame, files: DataFrame, dirs: DataFra
 
     ``scans(scan_id, target_path, model)``, ``listed(scan_id)`` for targets that exist,
     ``files(scan_id, path, rel_path, content, read_error)``, ``dirs(scan_id, rel_path)``. Contents
-    are read once to count relevant files and once per language to extract facts. Facts feed
-    prompts, counts and screens, so they are written once.
+    are read once to mark relevant files; the marked files are stored per language, so extraction
+    reads each file once more and counts read no contents. Facts feed prompts, counts and screens,
+    so they are written once.
     """
-    collected = select.collect_files(files)
+    collected = select.stored_files(select.collect_files(files))
     counts = materialize(select.relevance_counts(collected))
     chosen = select.select_files(collected, counts)
     extracted = materialize(facts.extract(chosen))

@@ -125,8 +125,8 @@ def f5_select_or_fall_back(spark, sf):
 
 @query
 def j4_selected_with_flag(spark, sf):
-    """The same selection through the salted join that takes over when scans are too many."""
-    return _selected(spark, sf, max_rows=0).select("scan_id", "path")
+    """The same selection with the names of scans broadcast in several parts."""
+    return _selected(spark, sf, max_bytes=64).select("scan_id", "path")
 
 
 @query

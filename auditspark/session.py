@@ -71,13 +71,15 @@ def intermediate_tables(spark: SparkSession) -> Iterator[str]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(frame: DataFrame) -> DataFrame:
+def materialize(frame: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``frame`` once to the shared folder and go on from the written table.
 
+    ``by`` names a column with few values that gets a folder for each of them.
+
     Used where two branches of a plan must see the same rows, or where a costly narrow result
     feeds several joins. The table outlives the loss of executors.
     """
     spark = frame.sparkSession
     path = f"{durable_folder(spark).rstrip('/')}/auditspark/{_run.get()}{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    (frame.write.partitionBy(by) if by else frame.write).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

@@ -133,14 +133,14 @@ def test_markers_are_tested_per_language(table):
     }
 
 
-@pytest.mark.parametrize("limit", [100, 0])
+@pytest.mark.parametrize("limit", [32 << 20, 8])
 def test_scans_without_relevant_files_keep_all(table, limit):
     files = _files(table, [
         ("one", "a.py", "StateGraph"), ("one", "b.py", "x"), ("one", "c.js", "y"),
         ("none", "a.py", "x"), ("none", "b.js", "y"), ("broken", "a.py", b"\xff"),
     ])
     counts = materialize(select.relevance_counts(files))
-    chosen = select.select_files(files, counts, max_rows=limit)
+    chosen = select.select_files(files, counts, max_bytes=limit)
     assert sorted((row["scan_id"], row["path"]) for row in chosen.collect()) == [
         ("broken", "a.py"), ("none", "a.py"), ("none", "b.js"), ("one", "a.py"),
     ]
@@ -149,6 +149,17 @@ def test_scans_without_relevant_files_keep_all(table, limit):
     assert [row["path"] for row in select.unreadable(chosen).collect()] == ["a.py"]
 
 
+@pytest.mark.parametrize("limit", [32 << 20, 8])
+def test_contents_are_not_moved(table, limit):
+    files = select.stored_files(_files(table, [("one", "a.py", "StateGraph"), ("none", "b.js", "y"), ("two", "c.py", "x")]))
+    counts = materialize(select.relevance_counts(files))
+    chosen = select.select_files(files, counts, max_bytes=limit)
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and sorted(_names(chosen, "path")) == ["a.py", "b.js", "c.py"]
+    counted = select.relevance_counts(files)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<scan_id:string,relevant:boolean>" in counted
+
+
 def test_file_order_is_code_point_order_in_any_partitioning(spark, table):
     paths = ["a/b.py", "a-b/x.py", "a.py", "A/z.py", "é.py", "\U0001f600.py", "￿.py", "a/b/c.py", *[f"n{i}.py" for i in range(300)]]
     rows = [(scan, path, path, b"", None) for scan in ("s", "t") for path in paths]
