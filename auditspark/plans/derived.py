@@ -243,6 +243,18 @@ def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def answers(asked: DataFrame) -> DataFrame:
+    """A reply to every asked file but those whose number is divisible by 7: one finding about the file."""
+    number = F.regexp_extract("path", r"(\d+)\.py$", 1).cast("bigint")
+    finding = (
+        '[{"owasp_id":"ASI01","title":"T","description":"User text reaches the prompt","severity":"high","file":"%p","line":1}]'
+    )
+    return asked.filter(number % 7 != 0).select(
+        "scan_id", "path", F.lit("ok").alias("status"), F.replace(F.lit(finding), F.lit("%p"), F.col("path")).alias("raw"),
+        F.lit(None).cast("string").alias("detail"),
+    )
+
+
 def word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Python file per document, with one assignment per word of its text."""
     words = F.size(F.split("text", " "))

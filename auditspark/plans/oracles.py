@@ -632,6 +632,13 @@ def all_oracles() -> dict[str, str]:
             SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY {RANK} DESC, first_seq) AS report_pos, {EIGHT}
             FROM placed WHERE nth = 1""",
         # packages
+        "audit_run": py + """
+            , answered AS (SELECT scan_id, count(*) AS n FROM good WHERE (b OR c) AND k % 7 <> 0 GROUP BY scan_id),
+            everyone AS (SELECT DISTINCT scan_id FROM pyfiles)
+            SELECT e.scan_id, CAST(0 AS BIGINT) AS critical, CAST(coalesce(n, 0) AS BIGINT) AS high, CAST(0 AS BIGINT) AS medium,
+              CAST(0 AS BIGINT) AS low, CAST(coalesce(n, 0) AS BIGINT) AS total_findings, coalesce(n, 0) > 0 AS gate_failed,
+              CAST(coalesce(n, 0) + 1 AS BIGINT) AS n_lines
+            FROM everyone e LEFT JOIN answered a ON e.scan_id = a.scan_id""",
         "s6_advisories": packages + """
             SELECT CAST(adv_pos AS BIGINT) AS adv_pos, a.package, cve, affected_below, severity, count(i.scan_id) AS n_installed
             FROM advisories a LEFT JOIN installed i ON lower(regexp_replace(i.package, '[-_.]+', '-', 'g')) = a.package

@@ -13,7 +13,7 @@ from auditspark.operators import decode, facts, prompt, report, score, screens,
 from auditspark.operators.extract_js import js_facts
 from auditspark.operators.extract_py import python_facts
 from auditspark.operators.joins import positions
-from auditspark.plans import derived
+from auditspark.plans import audit, derived
 from auditspark.session import materialize, tune
 from auditspark.sources import tables
 
@@ -512,6 +512,19 @@ def _vulnerable(spark, sf):
     return supply.vulnerable(derived.inventories(spark, sf), tables.advisories(spark))
 
 
+@query
+def audit_run(spark, sf):
+    """A whole run: files to facts and prompts, an answer for most prompts, findings, reports."""
+    files = derived.python_files(spark, sf).withColumn("rel_path", text.last_segment(F.col("path")))
+    scans = files.select("scan_id").distinct().select(
+        "scan_id", F.concat(F.lit("/repos/"), "scan_id").alias("target_path"), F.lit("fast").alias("model")
+    )
+    ready = audit.prepare(scans, files.select("scan_id"), files.drop("ext"), files.select("scan_id", "rel_path"))
+    done = audit.conclude(scans, ready.asked, derived.answers(ready.asked), MOMENT)
+    lines = done.report.groupBy("scan_id").agg(F.count("*").alias("n_lines"))
+    return done.summary.join(done.gate, "scan_id").join(lines, "scan_id")
+
+
 @query
 def s6_advisories(spark, sf):
     """Every advisory with the number of installed packages that it speaks of."""
