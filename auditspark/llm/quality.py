@@ -14,14 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import LOWER, SpanHash, Texts, byte_class, map_slices, mix
+from auditspark.llm.common import LOWER, SpanHash, Texts, byte_class, map_slices, mix, slices
 from auditspark.operators.joins import fits_broadcast
 
 TERMS = 1 << 15
 DIMENSIONS = 32
 NEIGHBOURS = 15
 SAMPLE_PER_CLASS = 1500
-SAMPLE_CHARS = 100_000
+SAMPLE_CHARS = 20_000
 KIND_WEIGHT = np.array([1.0, 1.0, 0.5])
 
 WORD_BYTES = ~byte_class(r"[\x20\x09-\x0D]")
@@ -41,6 +41,17 @@ class Model:
     prior: float
 
 
+def _all_terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The same for a column of any size, slice by slice."""
+    batch, parts, size = pa.RecordBatch.from_arrays([column], ["text"]), [], 0
+    for part in slices(iter([batch]), "text"):
+        text, term, count, rows = _terms(part.column("text"))
+        parts.append((text + size, term, count))
+        size += rows
+    text, term, count = (np.concatenate([part[n] for part in parts] or [np.zeros(0, np.int64)]) for n in range(3))
+    return text, term, count, size
+
+
 def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Sorted distinct (text, term) pairs with counts: text, term, count; and the number of texts."""
     texts = Texts(column)
@@ -91,7 +102,7 @@ def _project(text: np.ndarray, term: np.ndarray, weight: np.ndarray, size: int,
 
 def fit(texts: pa.Array, labels: np.ndarray, prior: float, dimensions: int = DIMENSIONS) -> Model:
     """Factor the sample's term weights by randomised subspace iteration and keep its vectors."""
-    text, term, count, size = _terms(texts)
+    text, term, count, size = _all_terms(texts)
     seen = np.bincount(term, minlength=TERMS)
     idf = np.where(seen > 0, np.log1p(size / np.maximum(seen, 1)), 0.0)
     weight = _weights(text, term, count, size, idf)

@@ -13,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import SpanHash, Texts, byte_class, list_array, map_slices
+from auditspark.llm.common import SpanHash, Texts, byte_class, list_array, map_slices, slices
 from auditspark.llm.quality import labelled_sample
 
 BUCKETS = 1 << 18
 EDGES = (4, 5, 6)
 SAMPLE_PER_CLASS = 1200
-SAMPLE_CHARS = 100_000
+SAMPLE_CHARS = 50_000
 ROUNDS = 100
 WORD_BYTES = byte_class(r"[0-9a-z\x80-\xFF]")
 STOPS = byte_class(r"[.!?\n]")
@@ -34,7 +34,10 @@ class Model:
 
 
 class Sentences:
-    """Sentences of a slice of texts, with the features of their words."""
+    """Sentences of some texts, with the features of their words.
+
+    ``low``/``high`` are the sentences of each text, ``of_word`` the sentence of each word.
+    """
 
     def __init__(self, column: pa.Array):
         self.texts = Texts(column, lower=True)
@@ -53,6 +56,19 @@ class Sentences:
             kinds.append(hashes.of(np.maximum(end - width, begin), end) + np.uint64(width << 28))
         self.features = [(kind % np.uint64(BUCKETS)).astype(np.int32) for kind in kinds]
 
+    @classmethod
+    def joined(cls, column: pa.Array) -> "Sentences":
+        """Sentences of a column of any size, made slice by slice; their places are not kept."""
+        batch = pa.RecordBatch.from_arrays([column], ["text"])
+        parts = [cls(part.column("text")) for part in slices(iter([batch]), "text")]
+        whole = cls(pa.array([], pa.string()))
+        shifts = np.cumsum([0, *(len(part.starts) for part in parts)])
+        for name in ("low", "high", "of_word"):
+            setattr(whole, name, np.concatenate([getattr(whole, name), *(getattr(part, name) + at for part, at in zip(parts, shifts))]))
+        whole.starts = np.zeros(int(shifts[-1]), np.int8)
+        whole.features = [np.concatenate([one, *(part.features[n] for part in parts)]) for n, one in enumerate(whole.features)]
+        return whole
+
     def logits(self, model: Model) -> np.ndarray:
         by_word = np.zeros(len(self.of_word))
         for feature in self.features:
@@ -108,7 +124,7 @@ def fit(
 ) -> Model:
     """Minimise the log loss of the noisy-or by full steps with a rate per weight."""
     model = Model(np.zeros(BUCKETS), base)
-    sentences = Sentences(texts)
+    sentences = Sentences.joined(texts)
     if not len(labels):
         return Model(model.weights.astype(np.float32), base)
     owner = np.repeat(np.arange(len(labels)), sentences.high - sentences.low)
