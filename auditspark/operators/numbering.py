@@ -8,6 +8,7 @@ rows of a block, over the totals of the blocks, over the totals of the larger bl
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditspark.operators.joins import attach
 from auditspark.session import materialize
 
 # Each level holds at most this many bits' worth of distinct numbers per block of the level above.
@@ -69,12 +70,20 @@ def number_by_text(rows: DataFrame, by: str, text: str, out: str) -> DataFrame:
     """Number the rows of each ``by`` from 1 in code-point order of the unique column ``text``.
 
     Text has no blocks of its own, so Spark's range partitioning makes them. Range bounds come from
-    a sample and may differ between two runs of a plan; therefore the ranged rows are written once.
+    a sample and may differ between two runs of a plan; therefore the ranged rows are written once,
+    sorted, each with its place in its partition. What comes before a partition's share of a group is
+    a sum over a small table with a row per group and partition.
     """
     ranged = materialize(
         rows.select(by, text)
         .repartitionByRange(by, text)
+        .sortWithinPartitions(by, text)
+        .withColumn("_place", F.monotonically_increasing_id())
         .withColumn("_slice", F.spark_partition_id())
     )
-    numbered = running_sum(ranged, [by], [["_slice"]], [text], F.lit(1), "_before")
-    return numbered.select(by, text, (F.col("_before") + 1).alias(out))
+    shares = ranged.groupBy(by, "_slice").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    known = materialize(shares.select(by, "_slice", "_first", before))
+    numbered = attach(ranged, known, [by, "_slice"], [text], how="inner")
+    return numbered.select(by, text, (F.col("_before") + F.col("_place") - F.col("_first") + 1).alias(out))

@@ -15,7 +15,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Rows handed to Python may carry whole files, so batches are bounded by bytes.
-    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
 }
 
 
