@@ -106,6 +106,12 @@ class SpanHash:
         return mix(raw + (ends - starts).astype(np.uint64))
 
 
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as one number each; beyond the end stand zeros."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices ``starts[i], starts[i]+1, ...`` for every span, behind one another."""
     total = int(lengths.sum())

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import SpanHash, Texts, map_slices, mix, split_groups
+from auditspark.llm.common import SpanHash, Texts, eight_bytes, map_slices, mix, split_groups
 from auditspark.llm.components import components
 from auditspark.session import materialize
 
@@ -39,15 +39,29 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def _char_shingles(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every shingle of ``size`` characters, and how many each text has (one if shorter)."""
+    """32-bit hash of every shingle of ``size`` characters, and how many each text has (one if shorter).
+
+    A shingle of eight bytes is hashed as one number, any other one as a span.
+    """
     begins = np.flatnonzero((texts.data & 0xC0) != 0x80)
     low, high = texts.bounds(begins)
     chars = high - low
     made = np.where(chars == 0, 0, np.maximum(chars - size + 1, 1))
-    first = np.repeat(low - np.cumsum(made) + made, made) + np.arange(int(made.sum()))
-    stop = np.r_[begins, len(texts.data)]
-    ends = stop[np.minimum(first + size, np.repeat(high, made))]
-    return SpanHash(texts.data).of(begins[first], ends), made
+    # Every character begins a shingle but for the last ones of a text; a short text is one shingle.
+    first = np.ones(len(begins), bool)
+    for back in range(1, size):
+        first[np.maximum(high - back, low)[chars > 0]] = False
+    short = np.flatnonzero((chars > 0) & (chars < size))
+    first[low[short]] = True
+    starts = begins[first]
+    ends = np.concatenate([begins[size:], np.full(min(size, len(begins)), len(texts.data))])[first]
+    ends[(np.cumsum(made) - made)[short]] = texts.ends[short]
+    values = eight_bytes(texts.data)[starts]
+    values = (values ^ (values >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
+    other = np.flatnonzero(ends - starts != 8)
+    if len(other):
+        values[other] = SpanHash(texts.data).of(starts[other], ends[other])
+    return (values >> np.uint64(32)).astype(np.uint32), made
 
 
 def signatures(column: pa.Array, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -56,10 +70,9 @@ def signatures(column: pa.Array, size: int = SHINGLE, bands: int = BANDS, rows:
     A band's value mixes ``rows`` minima, each over all shingles of the text in an order of its own.
     """
     texts = Texts(column)
-    hashes, made = _char_shingles(texts, size)
+    short, made = _char_shingles(texts, size)
     some = np.flatnonzero(made)
     cuts = (np.cumsum(made) - made)[some]
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
     orders = mix(np.arange(1, bands * rows + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
     value = np.zeros((texts.size, bands), np.uint64)
     for at, order in enumerate(orders):
@@ -266,7 +279,8 @@ def without_repeats(docs: DataFrame, **settings) -> DataFrame:
     found = materialize(dropped_lines(docs, **settings)).select(
         F.col("doc_id").alias("__doc"), F.col("dropped").alias("__dropped")
     )
-    joined = docs.join(found, F.col("doc_id") == F.col("__doc"), "left")
+    # Documents that lose lines are as many as documents, so both sides are shuffled at every size.
+    joined = docs.join(found.hint("merge"), F.col("doc_id") == F.col("__doc"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

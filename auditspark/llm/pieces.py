@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import SpanHash, Texts, list_array, map_slices, mix, ragged
+from auditspark.llm.common import SpanHash, Texts, eight_bytes, list_array, map_slices, mix, ragged
 
 MARK = "▁"
 SHARPNESS = 1.0
@@ -110,17 +110,11 @@ def vocabulary(path: str) -> Vocabulary:
 _LOW_BYTES = np.array([(1 << 8 * size) - 1 for size in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
-def _eight(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from every place on, as one number each; beyond the end stand zeros."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-
-
 def _equal_spans(one: np.ndarray, at: np.ndarray, two: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether the spans of two byte arrays are equal, one flag per pair of spans."""
     if not len(at):
         return np.zeros(0, bool)
-    differ = (_eight(one)[at] ^ _eight(two)[place]) & _LOW_BYTES[np.minimum(size, 8)]
+    differ = (eight_bytes(one)[at] ^ eight_bytes(two)[place]) & _LOW_BYTES[np.minimum(size, 8)]
     same = differ == 0
     long = np.flatnonzero(same & (size > 8))
     if len(long):

@@ -256,8 +256,9 @@ def distinct_documents(docs: DataFrame, words: int = 4, radius: int = 4, limit:
     found = near_duplicates(numbered.withColumn("doc_id", F.col("__row")), words, radius, limit)
     placed = found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
-    leaders = (
-        numbered.select("__row", "doc_id").join(placed, "__row").groupBy("__group").agg(F.min(order).alias("first"))
-    )
-    kept = materialize(leaders.select(F.col("first.__row").alias("__row")))
-    return numbered.join(kept, "__row", "left_semi").select(*docs.columns)
+    ranked = materialize(numbered.select("__row", order.alias("order")).join(placed, "__row"))
+    leaders = ranked.groupBy("__group").agg(F.min("order").alias("first"))
+    # Most documents stay, so the table of those that go is the smaller one.
+    goes = ranked.join(leaders, ranked["__group"] == leaders["__group"])
+    gone = materialize(goes.filter(F.col("__row") != F.col("first.__row")).select("__row"))
+    return numbered.join(gone, "__row", "left_anti").select(*docs.columns)

@@ -161,16 +161,16 @@ def test_line_classes_match_brute_force(spark):
         classes[root[line]].append(place)
     want = {place: min(members) for members in classes.values() if len(members) > 1 for place in members}
     for limit in (512, 2):
-        found = lines.repeated_lines(docs, limit=limit).collect()
+        found = lines.repeated_lines(docs, limit=limit, bands=40).collect()
         assert {(row.doc_id, row.line_no): (row.keeper_doc, row.keeper_line) for row in found} == want
     gone = defaultdict(list)
     for place, keeper in want.items():
         if place != keeper:
             gone[place[0]].append(place[1])
-    report = {row.doc_id: (row.n_lines, row.n_dropped, row.dropped) for row in lines.line_report(docs).collect()}
+    report = {row.doc_id: (row.n_lines, row.n_dropped, row.dropped) for row in lines.line_report(docs, bands=40).collect()}
     assert report[100] == (0, 0, []) and report[101] == (1, 0, [])
     assert all(report[doc][2] == sorted(dropped) and report[doc][1] == len(dropped) for doc, dropped in gone.items())
-    kept = {row.doc_id: row for row in lines.without_repeats(docs).collect()}
+    kept = {row.doc_id: row for row in lines.without_repeats(docs, bands=40).collect()}
     for row in docs.collect():
         if row.doc_id in gone:
             left = [line for number, line in enumerate(row.text.split("\n")) if number not in gone[row.doc_id]]
