@@ -9,12 +9,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditspark.session import materialize
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+# An exchange with Python hands over at most so many bytes at a time.
+BATCH_BYTES = 8 << 20
 
 _RANDOM = np.random.default_rng(20240607)
 BYTE_CODES = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -141,6 +143,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             low = high
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the bytes of an Arrow batch to ``BATCH_BYTES``, if it is higher.
+
+    Documents may be long, and a batch is held on both sides of the exchange.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def map_slices(
     frame: DataFrame,
     function: Callable[[pa.RecordBatch], pa.RecordBatch],
@@ -154,6 +166,7 @@ def map_slices(
         for batch in slices(batches, column, limit):
             yield function(batch)
 
+    bound_batches(frame.sparkSession)
     return frame.mapInArrow(run, schema)
 
 

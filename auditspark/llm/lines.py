@@ -10,7 +10,7 @@ line only. After that, bands whose lines still lie in different components are c
 tasks that get the lines' texts and skip what is already connected; large ones are cut into blocks.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from auditspark.llm.common import SpanHash, Texts, eight_bytes, map_slices, mix, split_groups
 from auditspark.llm.components import components
+from auditspark.llm.urls import BITS_PER_KEY, MAX_BYTES, Filter, build_filter, passing
 from auditspark.session import materialize
 
 SHINGLE = 8
@@ -26,6 +27,7 @@ SIMILAR = 0.8
 BANDS = 8
 ROWS = 4
 GROUP_LIMIT = 512
+SLICE = 1 << 18
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -89,7 +91,7 @@ def _signed(lines: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
         names = ["doc_id", "line_no", "h1", "h2"]
         return pa.RecordBatch.from_arrays([*(batch.column(name) for name in names), packed], [*names, "bands"])
 
-    return map_slices(lines, run, "doc_id long, line_no int, h1 long, h2 long, bands array<long>", "line")
+    return map_slices(lines, run, "doc_id long, line_no int, h1 long, h2 long, bands array<long>", "line", SLICE)
 
 
 def shingle_set(line: str, size: int = SHINGLE) -> set[str]:
@@ -123,10 +125,54 @@ def _verify(pairs: DataFrame, size: int, least: float) -> DataFrame:
     return pairs.select("a", "b", "line_a", "line_b").mapInArrow(run, "a long, b long")
 
 
+def _small_filter(keys: DataFrame, pair: Callable) -> Filter | None:
+    """A Bloom filter over a stored table, for a broadcast; None if it would pass the bound on its size."""
+    number = keys.count()
+    return build_filter(keys, 0, number, pair) if number * BITS_PER_KEY // 8 <= MAX_BYTES else None
+
+
+def _members(distinct: DataFrame, shared: DataFrame) -> DataFrame:
+    """``node, h1, h2, band, least`` for every line in a band of several lines.
+
+    A filter of those bands, if it is small enough, leaves out most of the others before the join.
+    """
+
+    def pair(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        band = batch.column("band").to_numpy().view(np.uint64)
+        return band, mix(band)
+
+    known = _small_filter(shared.select("band"), pair)
+    if known is None:
+        rows = distinct.select("node", "h1", "h2", F.explode("bands").alias("band"))
+    else:
+        held = distinct.sparkSession.sparkContext.broadcast(known)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bands = batch.column("bands")
+                flat = bands.flatten().to_numpy().view(np.uint64)
+                kept = np.flatnonzero(held.value.holds(flat, mix(flat)))
+                owner = bands.value_parent_indices().take(pa.array(kept))
+                columns = [batch.column(name).take(owner) for name in ("node", "h1", "h2")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(flat[kept].view(np.int64))], ["node", "h1", "h2", "band"])
+
+        rows = distinct.select("node", "h1", "h2", "bands").mapInArrow(run, "node long, h1 long, h2 long, band long")
+    return rows.join(shared.select("band", "least"), "band")
+
+
 def _texts_of(lines: DataFrame, needed: DataFrame) -> DataFrame:
-    """``node, line`` for the nodes of ``needed(node, h1, h2)``."""
-    found = lines.select("h1", "h2", "line").join(needed, ["h1", "h2"])
-    return found.groupBy("node").agg(F.min("line").alias("line"))
+    """``node, line`` for the nodes of ``needed(node, h1, h2)``, a stored table.
+
+    A filter of the needed lines, if it is small enough, keeps the texts of most others from the join.
+    """
+
+    def pair(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(batch.column(name).to_numpy().view(np.uint64) for name in ("h1", "h2"))
+
+    rows = lines.select(F.col("line").alias("key"), "h1", "h2")
+    known = _small_filter(needed.select("h1", "h2"), pair)
+    found = (rows if known is None else passing(rows, known)).join(needed, ["h1", "h2"])
+    return found.groupBy("node").agg(F.min("key").alias("line"))
 
 
 def _fully(batches: Iterator[pa.RecordBatch], size: int, least: float) -> Iterator[pa.RecordBatch]:
@@ -193,9 +239,7 @@ def repeated_lines(
         .agg(F.count("*").alias("n"), F.min("node").alias("least"))
         .filter("n > 1")
     )
-    members = materialize(
-        distinct.select("node", "h1", "h2", F.explode("bands").alias("band")).join(shared.select("band", "least"), "band")
-    )
+    members = materialize(_members(distinct, shared))
     needed = materialize(members.select("node", "h1", "h2").distinct())
     texts = materialize(_texts_of(lines, needed))
     pairs = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()

@@ -25,7 +25,7 @@ from auditspark.llm.common import SpanHash, Texts, eight_bytes, list_array, map_
 
 MARK = "▁"
 SHARPNESS = 1.0
-SLICE, LATTICE = 1 << 21, 1 << 18
+SLICE, LATTICE = 1 << 20, 1 << 18
 MODEL = "piece_bpe_32k.model"
 
 

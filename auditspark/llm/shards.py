@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import mix, slices
+from auditspark.llm.common import bound_batches, mix, slices
 from auditspark.session import materialize
 
 SEQUENCE_TOKENS = 512
@@ -89,6 +89,7 @@ def tokenised(docs: DataFrame, ranks: str, length: int) -> DataFrame:
             columns += [pa.array(counts, pa.int32()), pa.array(tokens, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["task", "start", "doc_id", "n_sequences", "tokens"])
 
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return materialize(source.mapInArrow(run, "task int, start long, doc_id long, n_sequences int, tokens binary"))
 

@@ -7,7 +7,7 @@ chance go into the second, the listed keys that pass the second by chance into t
 until none is left; for keys of this corpus the answer of the cascade is then exact.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,13 +64,16 @@ def _pair(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return tuple(batch.column(name).to_numpy().view(np.uint64) for name in ("h1", "h2"))
 
 
-def _build(keys: DataFrame, level: int, number: int) -> Filter:
-    """A filter over a table of ``number`` keys; tasks set bits, words of bits come together by OR."""
+def build_filter(keys: DataFrame, level: int, number: int, pair: Callable = _pair) -> Filter:
+    """A filter over a table of ``number`` keys; tasks set bits, words of bits come together by OR.
+
+    ``pair`` takes two 64-bit hashes per row out of a batch, by default the columns ``h1, h2``.
+    """
     size = max(64, -(-number * BITS_PER_KEY // 64) * 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = Filter.places(*_pair(batch), level, size).ravel()
+            at = Filter.places(*pair(batch), level, size).ravel()
             bits = np.uint64(1) << (at & np.uint64(63))
             columns = pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(bits.view(np.int64))
             yield pa.RecordBatch.from_arrays(list(columns), ["word", "bits"])
@@ -81,7 +84,8 @@ def _build(keys: DataFrame, level: int, number: int) -> Filter:
     return Filter(level, size, words)
 
 
-def _passing(keys: DataFrame, level: Filter) -> DataFrame:
+def passing(keys: DataFrame, level: Filter) -> DataFrame:
+    """Those of ``key, h1, h2`` that a filter holds, or seems to hold."""
     shared = keys.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,8 +106,8 @@ def build_cascade(keys: DataFrame, universe: DataFrame, max_bytes: int = MAX_BYT
         return []
     if number * BITS_PER_KEY // 8 > max_bytes:
         return None
-    cascade = [_build(inside, 0, number)]
-    by_chance = _passing(_hashed(universe), cascade[0]).distinct()
+    cascade = [build_filter(inside, 0, number)]
+    by_chance = passing(_hashed(universe), cascade[0]).distinct()
     outside = materialize(by_chance.join(inside.select("key"), "key", "left_anti").select("key", "h1", "h2"))
     while len(cascade) < MAX_LEVELS:
         number = outside.count()
@@ -111,8 +115,8 @@ def build_cascade(keys: DataFrame, universe: DataFrame, max_bytes: int = MAX_BYT
             return cascade
         if number * BITS_PER_KEY // 8 > max_bytes:
             return None
-        cascade.append(_build(outside, len(cascade), number))
-        inside, outside = outside, materialize(_passing(inside, cascade[-1]))
+        cascade.append(build_filter(outside, len(cascade), number))
+        inside, outside = outside, materialize(passing(inside, cascade[-1]))
     return None
 
 
