@@ -28,6 +28,8 @@ BANDS = 8
 ROWS = 4
 GROUP_LIMIT = 512
 SLICE = 1 << 18
+# More lines than a document can have.
+LINES = 1 << 32
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -40,6 +42,11 @@ def lines_of(docs: DataFrame) -> DataFrame:
     )
 
 
+def _place() -> Column:
+    """Document and line number as one number of the same order."""
+    return (F.col("doc_id").cast("decimal(20,0)") * F.lit(LINES) + F.col("line_no")).cast("decimal(38,0)")
+
+
 def _char_shingles(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hash of every shingle of ``size`` characters, and how many each text has (one if shorter).
 
@@ -228,9 +235,14 @@ def repeated_lines(
     lines = lines_of(docs)
     signed = materialize(_signed(lines, size, bands, rows))
     # One row per distinct line. Its number is made once and stored with it.
+    # Its first place is one number, and its bands are single numbers, so that they aggregate by hash.
     distinct = materialize(
         signed.groupBy("h1", "h2")
-        .agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+        .agg(
+            F.min(_place()).alias("first"), F.count("*").alias("n"),
+            *[F.first(F.get("bands", F.lit(at))).alias(f"b{at}") for at in range(bands)],
+        )
+        .select("h1", "h2", "first", "n", F.array(*[f"b{at}" for at in range(bands)]).alias("bands"))
         .withColumn("node", F.monotonically_increasing_id())
     )
     shared = materialize(
@@ -285,8 +297,8 @@ def repeated_lines(
     return signed.select("doc_id", "line_no", "h1", "h2").join(several, ["h1", "h2"]).select(
         "doc_id",
         "line_no",
-        F.col("keeper.doc_id").alias("keeper_doc"),
-        F.col("keeper.line_no").alias("keeper_line"),
+        F.expr(f"(keeper - pmod(keeper, {LINES})) div {LINES}").cast("long").alias("keeper_doc"),
+        F.expr(f"pmod(keeper, {LINES})").cast("int").alias("keeper_line"),
     )
 
 
