@@ -24,7 +24,7 @@ from auditspark.session import materialize
 
 SHINGLE = 8
 SIMILAR = 0.8
-BANDS = 8
+BANDS = 12
 ROWS = 4
 GROUP_LIMIT = 512
 SLICE = 1 << 18

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from auditspark.llm import decontaminate, lines, pieces, quality, simhash, toxicity
+from auditspark.llm import decontaminate, lines, pieces, quality, queries, simhash, toxicity
 from auditspark.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id string, score string"
@@ -182,6 +182,39 @@ def test_line_classes_match_brute_force(spark):
             assert kept[row.doc_id].text == row.text
 
 
+def registered_lines(docs, folder):
+    """Rows of the registered query over ``docs``, with its own settings."""
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return queries.op3_line_dedup(docs.sparkSession, str(folder)).collect()
+
+
+def near_the_threshold(number):
+    """Pairs of lines of a similarity from 0.8 to 0.82, each pair of words of its own."""
+    rng, pairs = random.Random(21), []
+    while len(pairs) < number:
+        words = [f"{rng.choice(PLAIN)}{rng.randrange(10**6)}" for _ in range(rng.randrange(15, 40))]
+        one, other = " ".join(words), list(words)
+        for _ in range(rng.randrange(1, 4)):
+            other[rng.randrange(len(other))] = f"new{rng.randrange(1000)}"
+        two = " ".join(other)
+        if similar_lines(one, two):
+            left, right = lines.shingle_set(one), lines.shingle_set(two)
+            if len(left & right) <= 0.82 * len(left | right):
+                pairs.append((one, two))
+    return pairs
+
+
+def test_registered_line_query_finds_pairs_near_the_threshold(spark, tmp_path):
+    pairs = near_the_threshold(2000)
+    rows = [(2 * n + place, line) for n, pair in enumerate(pairs) for place, line in enumerate(pair)]
+    found = registered_lines(spark.createDataFrame(rows, "doc_id long, text string"), tmp_path)
+    dropped = {row.doc_id for row in found if row.n_dropped}
+    assert all(doc % 2 for doc in dropped)
+    recall = len(dropped) / len(pairs)
+    print(f"recall of pairs from 0.8 to 0.82: {recall}")
+    assert recall >= 0.997
+
+
 def test_line_banding_finds_nearly_all_similar_pairs():
     rng = random.Random(2)
     import pyarrow as pa
