@@ -204,6 +204,24 @@ def near_the_threshold(number):
     return pairs
 
 
+def test_registered_line_query_matches_brute_force(spark, tmp_path):
+    docs = line_docs(spark)
+    rows = [row for row in docs.collect() if row.doc_id is not None and row.text is not None]
+    at = {(row.doc_id, n): line for row in rows for n, line in enumerate(row.text.split("\n")) if line.strip(" ")}
+    texts = sorted(set(at.values()))
+    pairs = [(a, b) for n, a in enumerate(texts) for b in texts[:n] if similar_lines(a, b)]
+    root = joined(texts, pairs)
+    first, want = {}, defaultdict(list)
+    for place in sorted(at):
+        if first.setdefault(root[at[place]], place) != place:
+            want[place[0]].append(place[1])
+    found = {row.doc_id: row.dropped for row in registered_lines(docs, tmp_path) if row.n_dropped}
+    assert len(pairs) > 50 and found == want
+    classes = {(row.doc_id, row.line_no): (row.keeper_doc, row.keeper_line) for row in lines.repeated_lines(docs).collect()}
+    several = {first[root[at[doc, n]]] for doc, gone in want.items() for n in gone}
+    assert classes == {place: first[root[line]] for place, line in at.items() if first[root[line]] in several}
+
+
 def test_registered_line_query_finds_pairs_near_the_threshold(spark, tmp_path):
     pairs = near_the_threshold(2000)
     rows = [(2 * n + place, line) for n, pair in enumerate(pairs) for place, line in enumerate(pair)]
