@@ -3,7 +3,8 @@
 Equal lines meet by a 128-bit hash. Every distinct line has a MinHash signature over its character
 shingles. Bands of the signature bring similar lines together; the exact Jaccard similarity of their
 shingle sets decides. Links become components, and of each component the line that comes first in the corpus (by
-document number, then line number) is kept.
+document number, then line number) is kept. Lines belong to rows, so rows that share a document number
+take part like others; rows without one are left as they are.
 
 Pairs of a band are not listed. First every line of a band is compared with the band's smallest
 line only. After that, bands whose lines still lie in different components are compared fully, in
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import SpanHash, Texts, eight_bytes, map_slices, mix, split_groups
+from auditspark.llm.common import SpanHash, Texts, eight_bytes, map_slices, mix, split_groups, with_row_key
 from auditspark.llm.components import components
 from auditspark.llm.urls import BITS_PER_KEY, MAX_BYTES, Filter, build_filter, passing
 from auditspark.session import materialize
@@ -32,19 +33,32 @@ SLICE = 1 << 18
 LINES = 1 << 32
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no, line, h1, h2`` for every line that is not blank; numbers start at 0."""
-    split = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``, a number of its own for every row, in the order of the corpus."""
+    numbered = with_row_key(docs)
+    number = F.col("doc_id").cast("long")
+    if numbered.filter(~F.col("__row").eqNullSafe(number)).isEmpty():
+        return numbered
+    # Sorted partitions follow one another, so numbers counted in them rise with the order.
+    places = materialize(
+        numbered.select(number.alias("doc_id"), "__row")
+        .orderBy(F.col("doc_id").asc_nulls_last(), "__row")
+        .select("__row", F.monotonically_increasing_id().alias("__place"))
     )
-    return split.filter("doc_id is not null and trim(line) <> ''").select(
+    return materialize(numbered.join(places, "__row").select(*docs.columns, F.col("__place").alias("__row")))
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """``__row, line_no, line, h1, h2`` for every line that is not blank, of rows with a document number; numbers start at 0."""
+    split = docs.filter("doc_id is not null").select("__row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return split.filter("trim(line) <> ''").select(
         "*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2")
     )
 
 
 def _place() -> Column:
-    """Document and line number as one number of the same order."""
-    return (F.col("doc_id").cast("decimal(20,0)") * F.lit(LINES) + F.col("line_no")).cast("decimal(38,0)")
+    """Row and line number as one number of the same order."""
+    return (F.col("__row").cast("decimal(20,0)") * F.lit(LINES) + F.col("line_no")).cast("decimal(38,0)")
 
 
 def _char_shingles(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,10 +109,10 @@ def _signed(lines: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = signatures(batch.column("line"), size, bands, rows)
         packed = pa.FixedSizeListArray.from_arrays(pa.array(values.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))
-        names = ["doc_id", "line_no", "h1", "h2"]
+        names = ["__row", "line_no", "h1", "h2"]
         return pa.RecordBatch.from_arrays([*(batch.column(name) for name in names), packed], [*names, "bands"])
 
-    return map_slices(lines, run, "doc_id long, line_no int, h1 long, h2 long, bands array<long>", "line", SLICE)
+    return map_slices(lines, run, "__row long, line_no int, h1 long, h2 long, bands array<long>", "line", SLICE)
 
 
 def shingle_set(line: str, size: int = SHINGLE) -> set[str]:
@@ -217,7 +231,7 @@ def _fully(batches: Iterator[pa.RecordBatch], size: int, least: float) -> Iterat
     yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def repeated_lines(
+def _classes(
     docs: DataFrame,
     size: int = SHINGLE,
     least: float = SIMILAR,
@@ -225,12 +239,11 @@ def repeated_lines(
     rows: int = ROWS,
     limit: int = GROUP_LIMIT,
 ) -> DataFrame:
-    """``doc_id, line_no, keeper_doc, keeper_line`` for every line of a class of several lines.
+    """``__row, line_no, keeper_row, keeper_line`` for every line of a class of several lines of numbered rows.
 
     A class holds the lines that similarity of at least ``least`` connects; its keeper is the line
-    with the smallest document and line number. Blank lines and rows without a document number
-    belong to no class. Document numbers should be unique; of rows that share one, all are treated
-    as one document whose lines have the same numbers.
+    with the smallest row and line number. Blank lines and rows without a document number
+    belong to no class.
     """
     lines = lines_of(docs)
     signed = materialize(_signed(lines, size, bands, rows))
@@ -294,19 +307,32 @@ def repeated_lines(
         .join(keepers, "class", "left")
         .select("h1", "h2", F.coalesce("keeper", "first").alias("keeper"))
     )
-    return signed.select("doc_id", "line_no", "h1", "h2").join(several, ["h1", "h2"]).select(
-        "doc_id",
+    return signed.select("__row", "line_no", "h1", "h2").join(several, ["h1", "h2"]).select(
+        "__row",
         "line_no",
-        F.expr(f"(keeper - pmod(keeper, {LINES})) div {LINES}").cast("long").alias("keeper_doc"),
+        F.expr(f"(keeper - pmod(keeper, {LINES})) div {LINES}").cast("long").alias("keeper_row"),
         F.expr(f"pmod(keeper, {LINES})").cast("int").alias("keeper_line"),
     )
 
 
+def repeated_lines(docs: DataFrame, **settings) -> DataFrame:
+    """``doc_id, line_no, keeper_doc, keeper_line`` for every line of a class of several lines.
+
+    The keeper of a class is the line with the smallest document and line number. Rows that share a
+    number are compared like others. Rows without one belong to no class.
+    """
+    numbered = materialize(_numbered(docs).select("__row", F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    names = numbered.select("__row", "doc_id")
+    keepers = names.select(F.col("__row").alias("keeper_row"), F.col("doc_id").alias("keeper_doc"))
+    found = _classes(numbered, **settings).join(names, "__row").join(keepers, "keeper_row")
+    return found.select("doc_id", "line_no", "keeper_doc", "keeper_line")
+
+
 def dropped_lines(docs: DataFrame, **settings) -> DataFrame:
-    """``doc_id, dropped``: the sorted numbers of the lines that go, for documents that lose any."""
-    classes = repeated_lines(docs, **settings)
-    goes = classes.filter("doc_id <> keeper_doc or line_no <> keeper_line")
-    return goes.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
+    """``__row, dropped``: the sorted numbers of the lines that go, for numbered rows that lose any."""
+    classes = _classes(docs, **settings)
+    goes = classes.filter("__row <> keeper_row or line_no <> keeper_line")
+    return goes.groupBy("__row").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
 def _line_count(text: Column) -> Column:
@@ -315,13 +341,15 @@ def _line_count(text: Column) -> Column:
 
 def line_report(docs: DataFrame, **settings) -> DataFrame:
     """``doc_id, n_lines, n_dropped, dropped`` for every row of ``docs``; null text has no lines."""
-    counts = docs.select(
+    numbered = _numbered(docs)
+    counts = numbered.select(
+        "__row",
         F.col("doc_id").cast("long").alias("doc_id"),
         F.when(F.col("text").isNull(), 0).otherwise(_line_count(F.col("text"))).alias("n_lines"),
     )
-    found = dropped_lines(docs, **settings)
+    found = dropped_lines(numbered, **settings)
     none = F.array().cast("array<int>")
-    return counts.join(found, "doc_id", "left").select(
+    return counts.join(found, "__row", "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"), F.coalesce("dropped", none).alias("dropped")
     ).withColumn("n_dropped", F.greatest("n_dropped", F.lit(0)))
 
@@ -332,11 +360,12 @@ def without_repeats(docs: DataFrame, **settings) -> DataFrame:
     A document that consisted of repeated lines only goes. A text that was null, empty or blank
     before stays as it is, and so do rows without a document number. All columns are kept.
     """
-    found = materialize(dropped_lines(docs, **settings)).select(
-        F.col("doc_id").alias("__doc"), F.col("dropped").alias("__dropped")
+    numbered = _numbered(docs)
+    found = materialize(dropped_lines(numbered, **settings)).select(
+        F.col("__row").alias("__doc"), F.col("dropped").alias("__dropped")
     )
     # Documents that lose lines are as many as documents, so both sides are shuffled at every size.
-    joined = docs.join(found.hint("merge"), F.col("doc_id") == F.col("__doc"), "left")
+    joined = numbered.join(found.hint("merge"), F.col("__row") == F.col("__doc"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

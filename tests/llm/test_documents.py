@@ -233,6 +233,17 @@ def test_registered_line_query_finds_pairs_near_the_threshold(spark, tmp_path):
     assert recall >= 0.997
 
 
+def test_lines_of_rows_that_share_a_number(spark):
+    rng = random.Random(4)
+    same, one, two, three = (sentence(rng, 15) for _ in range(4))
+    rows = [(1, f"{one}\n{same}"), (2, f"{same}\n{two}"), (2, f"{three}\n{same}"), (3, one), (3, one), (None, f"{two}\n{same} end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    report = sorted(((row.doc_id, row.n_lines, row.dropped) for row in lines.line_report(docs).collect()), key=str)
+    assert report == sorted([(1, 2, []), (2, 2, [0]), (2, 2, [1]), (3, 1, [0]), (3, 1, [0]), (None, 2, [])], key=str)
+    kept = sorted(((row.doc_id, row.text) for row in lines.without_repeats(docs).collect()), key=str)
+    assert kept == sorted([(1, f"{one}\n{same}"), (2, two), (2, three), rows[-1]], key=str)
+
+
 def test_line_banding_finds_nearly_all_similar_pairs():
     rng = random.Random(2)
     import pyarrow as pa
