@@ -177,6 +177,14 @@ def list_array(values: pa.Array, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
+def free_name(frame: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``frame`` has it in any case."""
+    taken = {column.lower() for column in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def with_row_key(docs: DataFrame) -> DataFrame:
     """``docs`` with ``__row``, a number of its own for every row.
 

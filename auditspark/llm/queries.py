@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm import chat, decontaminate, lines, neighbours, pieces, quality, shards, simhash, toxicity, urls
+from auditspark.llm import chat, decontaminate, linefreq, lines, neighbours, pieces, quality, shards, simhash, toxicity, urls
 from auditspark.llm.common import label_fold
 
 TOXIC_FOLDS, TOXIC_HELD = 4, 2
@@ -103,6 +103,11 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.training_order(table(spark, sf_dir, "documents"))
 
 
+def op11_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word rules and cross-document line frequency of every document."""
+    return linefreq.judged(table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         query.__name__: query
@@ -117,6 +122,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_url_filter,
             op9_chat,
             op10_training_order,
+            op11_line_frequency,
         )
     }
 
@@ -187,6 +193,44 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+OP11_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS place, doc_id, source, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), line AS (
+  SELECT place, source, line, trim(regexp_replace(regexp_replace(
+    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS plain
+  FROM (SELECT place, source, unnest(string_split(text, chr(10))) AS line FROM doc)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), frequent AS (
+  SELECT source, plain FROM line GROUP BY source, plain HAVING count(DISTINCT place) > 20
+), removed AS (
+  SELECT place, sum(len(string_split(plain, ' '))) AS n
+  FROM line JOIN frequent f USING (plain) WHERE f.source IS NOT DISTINCT FROM line.source GROUP BY place
+), dup AS (SELECT place, count(*) - count(DISTINCT line) AS n FROM line GROUP BY place
+), win AS (
+  SELECT place, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS words
+  FROM (SELECT place, w, unnest(range(1, len(w) - 1)) AS p FROM doc WHERE len(w) > 2)
+), again AS (SELECT place, p FROM win QUALIFY count(*) OVER (PARTITION BY place, words) > 1
+), rep AS (SELECT place, count(DISTINCT q) AS n FROM (SELECT place, unnest([p, p + 1, p + 2]) AS q FROM again) GROUP BY place
+), counted AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(coalesce(removed.n, 0) AS BIGINT) AS n_removed_words
+  FROM doc LEFT JOIN dup USING (place) LEFT JOIN rep USING (place) LEFT JOIN removed USING (place)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - n_removed_words) >= 30 * n_words AS kept
+FROM counted
+"""
+
 
 def all_oracles() -> dict[str, str]:
-    return {"op5_decontamination": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_chat": OP9_SQL}
+    return {
+        "op5_decontamination": OP5_SQL,
+        "op8_url_filter": OP8_SQL,
+        "op9_chat": OP9_SQL,
+        "op11_line_frequency": OP11_SQL,
+    }
