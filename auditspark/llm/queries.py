@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm import chat, decontaminate, linefreq, lines, neighbours, pieces, quality, shards, simhash, toxicity, urls
+from auditspark.llm import chat, decontaminate, linefreq, lines, neighbours, phrases, pieces, quality, shards, simhash, toxicity, urls
 from auditspark.llm.common import label_fold
 
 TOXIC_FOLDS, TOXIC_HELD = 4, 2
@@ -108,6 +108,11 @@ def op11_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linefreq.judged(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language that stand together most strikingly."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         query.__name__: query
@@ -123,6 +128,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op9_chat,
             op10_training_order,
             op11_line_frequency,
+            op12_collocations,
         )
     }
 
@@ -226,6 +232,37 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM counted
 """
 
+OP12_SQL = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), said AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece
+), total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM said GROUP BY lang
+), gram AS (
+  SELECT lang, size, array_to_string(w[p:p + size - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS p
+    FROM said, (SELECT unnest(range(1, 6)) AS size) WHERE len(w) >= size)
+  GROUP BY ALL HAVING count(*) >= 100
+), part AS (
+  SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM gram WHERE size > 1
+), cut AS (
+  SELECT part.*, one.f AS l, two.f AS r, total.n,
+    CAST((1000::HUGEINT * a * n) // (one.f::HUGEINT * two.f) AS BIGINT) AS score
+  FROM part JOIN gram one ON one.lang = part.lang AND one.phrase = array_to_string(part.w[:k], ' ')
+    JOIN gram two ON two.lang = part.lang AND two.phrase = array_to_string(part.w[k + 1:], ' ')
+    JOIN total ON total.lang = part.lang
+), lowest AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), free AS (
+  SELECT * FROM lowest WHERE NOT EXISTS (
+    SELECT 1 FROM gram longer WHERE longer.lang = lowest.lang AND longer.size > lowest.size
+      AND 100 * longer.f >= 100 * lowest.a AND contains(' ' || longer.phrase || ' ', ' ' || lowest.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM free QUALIFY rank <= 2000
+"""
+
 
 def all_oracles() -> dict[str, str]:
     return {
@@ -233,4 +270,5 @@ def all_oracles() -> dict[str, str]:
         "op8_url_filter": OP8_SQL,
         "op9_chat": OP9_SQL,
         "op11_line_frequency": OP11_SQL,
+        "op12_collocations": OP12_SQL,
     }
