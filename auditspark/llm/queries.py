@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm import chat, decontaminate, linefreq, lines, neighbours, phrases, pieces, quality, shards, simhash, toxicity, urls
+from auditspark.llm import chat, decontaminate, linefreq, lines, neighbours, phrases, pieces, quality, shards, simhash, spelling, toxicity, urls
 from auditspark.llm.common import label_fold
 
 TOXIC_FOLDS, TOXIC_HELD = 4, 2
@@ -113,6 +113,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all texts with their spelling variants."""
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         query.__name__: query
@@ -129,6 +134,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op10_training_order,
             op11_line_frequency,
             op12_collocations,
+            op13_spelling,
         )
     }
 
