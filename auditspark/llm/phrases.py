@@ -22,11 +22,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditspark.llm import bloom
-from auditspark.llm.common import SpanHash, Texts, bound_batches, byte_class, mix, ragged, slices
+from auditspark.llm.common import SpanHash, Texts, bound_batches, byte_class, lean, mix, ragged, slices
 from auditspark.session import materialize
 
 LONGEST = 5
@@ -136,13 +137,30 @@ class Summary:
         return keys[counts + self.off >= self.threshold]
 
 
-_COUNTED = "part int, mass long, keys binary, counts binary, lang string"
+def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Counters in order of their keys as bytes: differences of keys, bytes of equal weight together, then counts."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    narrow = counts.astype(np.uint8) if counts.max() < 256 else counts.astype(np.uint64)
+    return pa.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes() + narrow.tobytes(), codec="lz4", asbytes=True)
+
+
+def unpacked(data: pa.Buffer, number: int, wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    """What ``packed`` packed: ``number`` counters, with counts of eight bytes or of one."""
+    body = np.frombuffer(pa.decompress(data, number * (16 if wide else 9), codec="lz4"), np.uint8)
+    steps = np.ascontiguousarray(body[:8 * number].reshape(8, -1).T).view(np.uint64).ravel()
+    counts = np.frombuffer(body[8 * number:], np.uint64 if wide else np.uint8)
+    return np.cumsum(steps, dtype=np.uint64), counts.astype(np.int64)
+
+
+_COUNTED = "part int, mass long, number int, wide boolean, counters binary, lang string"
 
 
 def _counted(docs: DataFrame, sizes: tuple[int, ...], parts: int, known: np.ndarray | None) -> DataFrame:
     """Counts of the n-grams of ``sizes`` per hash partition; for single words also the mass per language.
 
-    With ``known``, a filter, n-grams need all their words (pairs) or all their pairs (longer ones) in it.
+    For every partition a task gives a row with its counters and one with only their mass; languages
+    count as partitions below zero. With ``known``, a filter, n-grams need all their words (pairs)
+    or all their pairs (longer ones) in it.
     """
     shift = np.uint64(64 - (parts.bit_length() - 1))
     shared = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
@@ -158,17 +176,20 @@ def _counted(docs: DataFrame, sizes: tuple[int, ...], parts: int, known: np.ndar
                 found.append(key[whole])
         return found
 
+    def table_of(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.string())
+        arrays = [pa.array([row[at] for row in out], kind) for at, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays(arrays, ["part", "mass", "number", "wide", "counters", "lang"])
+
     def rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         part = (keys >> shift).astype(np.int64)
         heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
-        out = [[], [], [], []]
+        out = []
         for low, high in zip(heads.tolist(), np.r_[heads[1:], len(part)].tolist()):
             some = counts[low:high]
-            narrow = some.astype(np.uint8) if some.max() < 256 else some.astype(np.uint64)
-            for column, value in zip(out, (int(part[low]), int(some.sum()), keys[low:high].tobytes(), narrow.tobytes())):
-                column.append(value)
-        arrays = [pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())]
-        return pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(heads), pa.string())], ["part", "mass", "keys", "counts", "lang"])
+            out.append((int(part[low]), int(some.sum()), None, None, None, None))
+            out.append((int(part[low]), None, high - low, bool(some.max() > 255), packed(keys[low:high], some), None))
+        return table_of(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, mass = [], 0, {}
@@ -186,41 +207,44 @@ def _counted(docs: DataFrame, sizes: tuple[int, ...], parts: int, known: np.ndar
                 held, size = [], 0
         if size:
             yield rows(*added(*(np.concatenate([pair[n] for pair in held]) for n in (0, 1))))
-        if mass:
-            none = pa.nulls(len(mass), pa.binary())
-            arrays = [pa.nulls(len(mass), pa.int32()), pa.array(mass.values(), pa.int64()), none, none, pa.array(mass.keys(), pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, ["part", "mass", "keys", "counts", "lang"])
+        yield table_of([(-1 - _seed(lang) % 64, number, None, None, None, lang) for lang, number in mass.items()])
 
     bound_batches(docs.sparkSession)
-    return materialize(docs.mapInArrow(run, _COUNTED))
+    return docs.mapInArrow(lean(run), _COUNTED)
 
 
 def _surviving(counted: DataFrame, threshold: int) -> DataFrame:
-    """``key`` of all n-grams that may reach the threshold; a stored table."""
-    rows = counted.filter("part is not null")
-    # One row per partition, and there are never more than MOST_PARTS.
-    masses = rows.groupBy("part").agg(F.sum("mass").alias("total"))
-    laid = rows.join(F.broadcast(masses), "part").select("part", "total", "keys", "counts")
+    """``key`` of all n-grams that may reach the threshold, and ``lang, mass`` of the languages; a stored table.
+
+    Of each partition the masses come first, so its capacity is known before the counters are merged.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(summary: Summary) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(summary.survivors().view(np.int64))], ["key"])
+        def done(keys: np.ndarray) -> pa.RecordBatch:
+            none = [pa.nulls(len(keys), pa.string()), pa.nulls(len(keys), pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *none], ["key", "lang", "mass"])
 
-        part, summary = None, None
+        part, total, summary = None, 0, None
         for batch in batches:
-            columns = (batch.column(name) for name in ("part", "total", "keys", "counts"))
-            for number, total, keys, counts in zip(*columns):
-                if number.as_py() != part:
+            langs = batch.filter(pa.compute.is_valid(batch.column("lang")))
+            yield pa.RecordBatch.from_arrays([pa.nulls(langs.num_rows, pa.int64()), langs.column("lang"), langs.column("mass")], ["key", "lang", "mass"])
+            columns = (batch.column(name) for name in ("part", "mass", "number", "wide", "counters"))
+            for which, mass, number, wide, counters in zip(*columns):
+                if which.as_py() != part:
                     if summary is not None:
-                        yield done(summary)
-                    part, summary = number.as_py(), Summary(total.as_py(), threshold)
-                keys, counts = np.frombuffer(keys.as_buffer(), np.uint64), counts.as_buffer()
-                kind = np.uint8 if len(counts) == len(keys) else np.uint64
-                summary.merge(keys, np.frombuffer(counts, kind).astype(np.int64))
+                        yield done(summary.survivors())
+                    part, total, summary = which.as_py(), 0, None
+                if not counters.is_valid:
+                    total += mass.as_py()
+                    continue
+                if summary is None:
+                    summary = Summary(total, threshold)
+                summary.merge(*unpacked(counters.as_buffer(), number.as_py(), wide.as_py()))
         if summary is not None:
-            yield done(summary)
+            yield done(summary.survivors())
 
-    return materialize(laid.repartition("part").sortWithinPartitions("part").mapInArrow(run, "key long"))
+    laid = counted.repartition("part").sortWithinPartitions("part", F.col("counters").isNotNull())
+    return materialize(laid.mapInArrow(lean(run), "key long, lang string, mass long"))
 
 
 def _exactly(docs: DataFrame, longest: int, words: np.ndarray, group: int, groups: int) -> DataFrame:
@@ -247,7 +271,7 @@ def _exactly(docs: DataFrame, longest: int, words: np.ndarray, group: int, group
                 columns = [langs.take(pa.array(grams.owner[first])), phrases, pa.array(np.full(len(first), size, np.int32)), pa.array(counts)]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "size", "f"])
 
-    found = docs.mapInArrow(run, "lang string, phrase string, size int, f long")
+    found = docs.mapInArrow(lean(run), "lang string, phrase string, size int, f long")
     return found.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
 
 
@@ -263,10 +287,10 @@ def frequent(
     rounds = [(1,), (2,), tuple(range(3, longest + 1))][:min(longest, 3)]
     survivors, known, mass = [], None, None
     for sizes in rounds:
-        counted = _counted(texts, sizes, parts, known)
+        found = _surviving(_counted(texts, sizes, parts, known), threshold)
         if mass is None:
-            mass = materialize(counted.filter("lang is not null").groupBy("lang").agg(F.sum("mass").alias("n")))
-        keys = _surviving(counted, threshold)
+            mass = materialize(found.filter("lang is not null").groupBy("lang").agg(F.sum("mass").alias("n")))
+        keys = found.filter("lang is null").select("key")
         survivors.append(keys)
         number = keys.count()
         if not number:

@@ -135,3 +135,14 @@ def test_masses_of_languages(spark):
         want["und" if lang is None else lang] += len(re.findall(r"[^.,;:!?\x0A-\x0D\x20\x09]+", text or ""))
     assert {row.lang: row.n for row in mass.collect()} == dict(want)
     assert mass.agg(F.count("*")).first()[0] == len(want)
+
+
+@pytest.mark.parametrize("high", [3, 1 << 40])
+def test_counters_pack_and_unpack(high):
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 63, 5_000, dtype=np.uint64) * np.uint64(2))
+    counts = rng.integers(1, high, len(keys))
+    import pyarrow as pa
+
+    again, numbers = phrases.unpacked(pa.py_buffer(phrases.packed(keys, counts)), len(keys), bool(counts.max() > 255))
+    assert (again == keys).all() and (numbers == counts).all()
