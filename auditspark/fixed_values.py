@@ -7,6 +7,8 @@ They are part of the audited behaviour, so a change here changes what an audit r
 
 PY_SUFFIX = ".py"
 JS_SUFFIXES = (".js", ".ts", ".mjs")
+# Read as TypeScript, where "<" never begins a tag.
+TYPED_SUFFIX = ".ts"
 SOURCE_SUFFIXES = (PY_SUFFIX, *JS_SUFFIXES)
 
 # Directories left out of a scan at any depth (next to every directory that starts with a dot).

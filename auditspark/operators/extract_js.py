@@ -1,80 +1,80 @@
-"""Facts of JavaScript and TypeScript files, found with Spark's own functions.
+"""Facts of JavaScript and TypeScript files, found with Spark's own functions in a masked text.
 
-There is no grammar here. A file is cut into tokens once: comments, literals, and what lies between.
-In the masked text a comment is blank and a literal is a short mark with the token's place, both with
-their own line ends, so neither can be taken for code and line numbers hold. Where a construct may
-start, a mark with the line's number is put in; from there a pattern reads on, over several lines if
-need be, up to the bracket or the line end that closes the construct. Marks of literals turn back
-into the literals at the end. Every list is built inside the row of its file, so nothing moves.
+``js_scan`` passes over a file once: in what it returns comments are blank, literals are marks, and
+brackets that belong together carry the same number. Where a construct may start, a mark with the
+line's number is put in; from there a pattern reads on, over several lines if need be, up to the
+partner of a bracket or the line end that closes the construct. Marks of literals turn back into the
+literals at the end. Every list is built inside the row of its file, so nothing moves.
 
-All repetition is possessive: a pattern never goes back over what it has read.
+All repetition is possessive, but for the way from a bracket to its partner, which is one step at a
+time: a pattern never goes back over what it has read.
 """
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditspark import fixed_values as V
 from auditspark import schemas
 from auditspark.functions.text import contains_any, decoded
-
-# Private characters that frame the marks; a file's own ones become "?" where they stand in code.
-LITERAL, LITERAL_END, PLACE, PLACE_END = "\ue000", "\ue001", "\ue002", "\ue003"
+from auditspark.operators.js_scan import FRESH, LITERAL, LITERAL_END, PAIR, PAIR_END, PLACE, PLACE_END, SOFT, scanned
 
 NAME = r"[A-Za-z_$][\w$]*+"
-OPERATOR_BEFORE = (
-    r"(?<=(?:\A|[=(,:;!&|?{\[~^+\-*%<>]|\b(?:return|typeof|case|in|of|do|else|void|delete|throw|new|await|yield))"
-    r"[ \t\n]{0,16})"
-)
-TEMPLATE = r"`[^`\\$]*+(?:(?:\\(?s:.)|\$\{(?:[^`{}]++|\{[^{}]*+\}|`[^`]*+`)*+\}|\$)[^`\\$]*+)*+`"
-TOKEN = (
-    r"//[^\n]*+"
-    r"|/\*[^*]*+(?:\*(?!/)[^*]*+)*+\*/"
-    rf"|{TEMPLATE}"
-    r'|"[^"\\\n]*+(?:\\(?s:.)[^"\\\n]*+)*+"'
-    r"|'[^'\\\n]*+(?:\\(?s:.)[^'\\\n]*+)*+'"
-    rf"|{OPERATOR_BEFORE}/(?![/*])(?:[^/\\\[\n]++|\\[^\n]|\[(?:[^\]\\\n]++|\\[^\n])*+\])++/[A-Za-z]*+"
-    r"|[^/\"'`]++"
-    r"|(?s:.)"
-)
-FRAGMENT_END = r"\\(?s:.)|\$\{(?:[^{}]++|\{[^{}]*+\})*+\}"
+MASK = rf"{LITERAL}[^{LITERAL_END}]*+{LITERAL_END}"
+MARK = rf"{PLACE}\d++{PLACE_END}"
+HIDDEN = rf"(?:{MARK}|{PAIR}\d++{PAIR_END}|[{SOFT}{FRESH}])"
+_numbers = iter(range(10_000))
 
-# Text between brackets with brackets in it; deeper than this a construct ends at the bracket.
-DEPTH = 12
 
+def _between(opening: str, closing: str, inner: str = "") -> str:
+    """A span from a bracket to its partner; ``inner`` names the group of what lies between."""
+    pair = f"p{next(_numbers)}"
+    body = r"(?s:.*?)"
+    body = f"(?<{inner}>{body})" if inner else body
+    return rf"{opening}{PAIR}(?<{pair}>\d++){PAIR_END}{body}{PAIR}\k<{pair}>{PAIR_END}{closing}"
 
-def _nested(depth: int) -> str:
-    inner = r"[^()\[\]{}]*+"
-    for _ in range(depth):
-        inner = rf"(?:[^()\[\]{{}}]++|[(\[{{]{inner}[)\]}}])*+"
-    return inner
 
+def _bracketed() -> str:
+    return _between(r"[(\[{]", r"[)\]}]")
+
+
+def _typed(inner: str = "") -> str:
+    return _between("<", ">", inner)
 
-INSIDE = _nested(DEPTH)
-BRACKETED = rf"[(\[{{]{INSIDE}[)\]}}]"
-MASK = rf"{LITERAL}[^{LITERAL_END}]*+{LITERAL_END}"
-MARK = rf"{PLACE}\d++{PLACE_END}"
-# A line end inside a statement: something on either side shows that it goes on.
-GOES_ON = (
-    r"\n(?=\s*+(?:[.?:&|+*/%=<>,-]|instanceof\b|in\b))"
-    r"|(?<=[=+\-*/%&|?:<>,.][ \t]{0,40})\n"
-)
-# A statement also ends where the next one of its kind is marked; so no text is read again and again.
-STATEMENT = rf"(?:{MASK}|[^()\[\]{{}};\n{LITERAL}{PLACE}]++|{BRACKETED}|{GOES_ON})*+"
-VALUE = rf"(?:{MASK}|[^()\[\]{{}};,\n{LITERAL}{PLACE}]++|{BRACKETED}|{GOES_ON})*+"
 
-BEGINS = r"(?:^|[;{}]|\bexport\b|\bdefault\b)[ \t]*+"
+def _groups(pattern: str) -> dict[str, int]:
+    """Numbers of the named groups; all groups that count have names."""
+    return {name: at for at, name in enumerate(re.findall(r"\(\?<([A-Za-z]\w*)>", pattern), 1)}
+
+
+# A line end inside a statement, as something on either side shows that it goes on.
+GOES_ON_AFTER = (r"([=+\-*/%&|?:<>,.][ \t]*+)\n", f"$1{SOFT}\n")
+GOES_ON_BEFORE = (r"\n(?=\s*+(?:[.?:&|+*/%=<>,-]|instanceof\b|in\b))", f"{SOFT}\n")
+# A name behind ``new`` is no call of its own.
+AFTER_NEW = (r"(?<![\w$.])new([ \t]++)", f"new$1{FRESH}")
+CODE = rf"()\[\]{{}};\n{LITERAL}{PLACE}{PAIR}{SOFT}"
+
+
+def _statement(stop: str = "") -> str:
+    """Code up to the end of a statement, or to the next construct of its kind, so that no text is read again and again."""
+    return rf"(?:{MASK}|[^{CODE}<{stop}]++|{_typed()}|<|{_bracketed()}|{SOFT}++\n)*+"
+
+
+OPENED = rf"{PAIR}\d++{PAIR_END}"
+BEGINS = rf"(?:^|[;}}]|\{{{OPENED}|\bexport\b|\bdefault\b)[ \t]*+"
 # What a construct starts with: text that stays before the mark, and the start itself.
 STARTS = {
     "function": rf"({BEGINS})(?=(?:async[ \t]++)?function[ \t]++{NAME})",
     "class": rf"({BEGINS})(?=class[ \t]++{NAME})",
-    "declaration": r"((?:^|[;{}(:]|\bexport\b)[ \t]*+)(?=(?:const|let)\b)",
+    "declaration": rf"((?:^|[;}}:]|[{{(]{OPENED}|\bexport\b)[ \t]*+)(?=(?:const|let)\b)",
     "assignment": (
-        rf"((?:^|[;}}]|(?:\)|\belse|\bdo)[ \t]*+\{{?+|(?:=>|\btry|\bfinally)[ \t]*+\{{)[ \t]*+)"
+        rf"((?:^|[;}}]|(?:\)|\belse|\bdo)[ \t]*+(?:\{{{PAIR}\d++{PAIR_END})?+|(?:=>|\btry|\bfinally)[ \t]*+\{{{PAIR}\d++{PAIR_END})[ \t]*+)"
         rf"(?={NAME}(?:\.{NAME}|\[[^\[\]]*+\])*+\s*+=(?![=>]))"
     ),
     "call": (
-        rf"((?<![\w$.#])(?<!\bnew[ \t]{{1,9}})|(?<=[)\]])(?=\??\.)|(?<=^[ \t]{{0,200}})(?=\??\.))"
-        rf"(?=(?:new[ \t]++)?\??\.?{NAME}(?:[ \t]*+\??\.[ \t]*+#?{NAME})*+[ \t]*+(?:<[\w$.,|\[\] ]*+>)?(?:\?\.)?\()"
+        rf"(^[ \t]*+(?=\??\.)|(?<![\w$.#{FRESH}])|(?<=[)\]])(?=\??\.))"
+        rf"(?=(?:new[ \t]++{FRESH})?\??\.?{NAME}(?:[ \t]*+\??\.[ \t]*+#?{NAME})*+[ \t]*+(?:{_typed()})?(?:\?\.)?\()"
     ),
 }
 # A cheap test that spares most lines the patterns.
@@ -82,66 +82,52 @@ HINTS = {
     "function": ("function",), "class": ("class",), "declaration": ("const", "let"), "assignment": ("=",), "call": ("(",),
 }
 
-FUNCTION = rf"(?:async[ \t]++)?function[ \t]++({NAME})\s*+(?:<[^>()]*+>\s*+)?(?:\(({INSIDE})\))?"
-CLASS = rf"class[ \t]++({NAME})(?:\s*+<[^>{{]*+>)?(?:\s++extends\s++([\w$.]++))?"
-DECLARATION = rf"(?:const|let)\b({STATEMENT})"
-ASSIGNMENT = rf"({NAME}(?:\.{NAME}|\[[^\[\]]*+\])*+)\s*+=\s*+({VALUE})"
+FUNCTION = rf"(?:async[ \t]++)?function[ \t]++(?<name>{NAME})\s*+(?:{_typed()}\s*+)?(?:{_between('[(]', '[)]', 'inside')})?"
+CLASS = rf"class[ \t]++(?<name>{NAME})(?:\s*+{_typed()})?(?:\s++extends\s++(?<base>[\w$.]++))?"
+DECLARATION = rf"(?:const|let)\b(?<rest>{_statement()})"
+ASSIGNMENT = rf"(?<target>{NAME}(?:\.{NAME}|\[[^\[\]]*+\])*+)\s*+=[\s{SOFT}]*+(?<value>{_statement(',')})"
 CALL = (
-    rf"((?:new[ \t]++)?\??\.?{NAME}(?:[ \t]*+\??\.[ \t]*+#?{NAME})*+)[ \t]*+(?:<[\w$.,|\[\] ]*+>)?(?:\?\.)?"
-    rf"(\((?:{INSIDE}\))?)(\s*+(?::\s*+[\w$<>\[\]|., ]++)?\{{)?"
+    rf"(?<name>(?:new[ \t]++{FRESH})?\??\.?{NAME}(?:[ \t]*+\??\.[ \t]*+#?{NAME})*+)[ \t]*+(?<types>(?:{_typed()})?(?:\?\.)?)"
+    rf"(?<arguments>{_between('[(]', '[)]')})(?<body>\s*+(?::\s*+[\w$<>\[\]|., {PAIR}{PAIR_END}]++)?\{{)?"
 )
-DECLARATOR = rf"(?:{MASK}|[^,()\[\]{{}}<{LITERAL}]++|<[\w$.,\s|\[\]]*+>|<|{BRACKETED})++"
+DECLARATOR = rf"(?:{MASK}|{_typed()}|[^,()\[\]{{}}<{LITERAL}]++|<|{_bracketed()})++"
 DECLARED = (
-    rf"(?s)^\s*+({NAME}|\{{{INSIDE}\}}|\[{INSIDE}\])\s*+!?+\s*+"
-    rf"(?::(?:{MASK}|[^=()\[\]{{}}{LITERAL}]++|=>|{BRACKETED})*+)?(?:=(?!=)\s*+(.*+))?$"
+    rf"(?s)^\s*+(?<name>{NAME}|{_between('[{]', '[}]')}|{_between(chr(92) + '[', chr(92) + ']')})\s*+!?+\s*+"
+    rf"(?::(?:{MASK}|[^=()\[\]{{}}{LITERAL}]++|=>|{_bracketed()})*+)?(?:=(?!=)\s*+(?<value>.*+))?$"
+)
+ARROW = (
+    rf"^(?:async\b\s*+)?(?:{_typed()}\s*+)?"
+    rf"(?:{_between('[(]', '[)]', 'inside')}(?:\s*+:(?:[^=;()\[\]{{}}]++|{_bracketed()}|=>(?=\s*+[\w$.<>| ]++\s*+=>))*+)?|(?<bare>{NAME})\s*+)\s*+=>"
 )
-ARROW = rf"^(?:async\s*+)?(?:<[^()]*+>\s*+)?(?:\(({INSIDE})\)(?:\s*+:[^=;]*+)?|({NAME})\s*+)\s*+=>"
 IMPORT = (
-    rf"(?m)(?:^|;)[ \t]*+(import(?=[\s{{*{LITERAL}])[\w$*{{}},\s]*+{MASK}"
+    rf"(?m)(?:^|;)[ \t]*+(import(?=[\s{{*{LITERAL}{SOFT}])[\w$*{{}},\s{PAIR}{PAIR_END}{SOFT}]*+{MASK}"
     r"(?:[ \t]*+(?:with|assert)\s*+\{[^}]*+\})?;?+)"
 )
 PARAMETER = rf"^\s*+(?:(?:public|private|protected|readonly)\s++)*+(?:\.\.\.\s*+)?({NAME})"
-# An operator that lacks what should follow it.
-DANGLING = r"(?:(?<!\+)\+|(?<!-)-|[*/%&|^=<~])\s*+[;)\]]"
-# Text between tags may hold single quotes.
-TAGS = r"</[A-Za-z>]|/>"
-NOT_CALLS = ("if", "for", "while", "switch", "catch", "function", "return", "await", "typeof", "with", "super")
+# An operator that lacks what should follow it, a declaration or a function without its name.
+DANGLING = (
+    rf"(?:(?<!\+)\+|(?<!-)-|[*/%&|^=<~])\s*+(?:;|{PAIR}\d++{PAIR_END}[)\]])"
+    r"|\b(?:const|let)\s*+=(?!=)|(?:\A|[;}])\s*+(?:async\s++)?function\s*+\*?\s*+\("
+)
+NOT_CALLS = (
+    "if", "for", "while", "switch", "catch", "function", "return", "await", "typeof", "with", "super", "async", "case", "in", "of",
+    "new", "delete", "void", "throw", "yield", "else", "do",
+)
 
 
 def _no_names() -> Column:
     return F.array().cast("array<string>")
 
 
-def _is_comment(token: Column) -> Column:
-    return F.startswith(token, F.lit("//")) | F.startswith(token, F.lit("/*"))
-
-
-def _is_literal(token: Column) -> Column:
-    first = F.substr(token, F.lit(1), F.lit(1))
-    return (F.length(token) > 1) & first.isin('"', "'", "`", "/") & ~_is_comment(token)
-
-
-def _masked(tokens: Column) -> Column:
-    def of_token(token: Column, place: Column) -> Column:
-        ends = F.regexp_replace(token, r"[^\n]++", "")
-        return (
-            F.when(_is_comment(token), F.concat(F.lit(" "), ends))
-            .when(_is_literal(token), F.concat(F.lit(LITERAL), place.cast("string"), ends, F.lit(LITERAL_END)))
-            .otherwise(F.translate(token, LITERAL + LITERAL_END + PLACE + PLACE_END, "????"))
-        )
-
-    return F.array_join(F.transform(tokens, of_token), "")
-
-
 def _restored(text: Column, tokens: Column) -> Column:
     """Code with its literals, without marks."""
-    pieces = F.regexp_extract_all(text, F.lit(rf"({LITERAL}[^{LITERAL_END}]*+{LITERAL_END}?+|{MARK}|[^{LITERAL}{PLACE}]++|(?s:.))"), 1)
+    pieces = F.regexp_extract_all(text, F.lit(rf"({LITERAL}[^{LITERAL_END}]*+{LITERAL_END}?+|{HIDDEN}|[^{LITERAL}{PLACE}{PAIR}{SOFT}{FRESH}]++|(?s:.))"), 1)
     place = lambda piece: F.regexp_extract(piece, r"(\d++)", 1).cast("int")
     return F.array_join(
         F.transform(
             pieces,
             lambda piece: F.when(F.startswith(piece, F.lit(LITERAL)), F.get(tokens, place(piece)))
-            .when(F.startswith(piece, F.lit(PLACE)), F.lit(""))
+            .when(F.substr(piece, F.lit(1), F.lit(1)).isin(PLACE, PAIR, SOFT, FRESH), F.lit(""))
             .otherwise(piece),
         ),
         "",
@@ -149,37 +135,42 @@ def _restored(text: Column, tokens: Column) -> Column:
 
 
 def _unmarked(text: Column) -> Column:
-    return F.regexp_replace(text, MARK, "")
+    return F.regexp_replace(text, f"{MARK}|{SOFT}", "")
 
 
 def _marked(lines: Column, kind: str) -> Column:
     """The masked text with a mark of the line's number wherever a construct of a kind may start."""
 
-    def of_line(line: Column, index: Column) -> Column:
-        mark = F.concat(F.lit("$1" + PLACE), (index + 1).cast("string"), F.lit(PLACE_END))
+    def of_line(row: Column, index: Column) -> Column:
+        line = row["text"]
+        mark = F.concat(F.lit("$1" + PLACE), row["lineno"].cast("string"), F.lit(PLACE_END))
         fits = contains_any(line, HINTS[kind])
         if kind == "assignment":
             # A name after an open list is a default of it.
-            before = F.get(lines, F.when(index > 0, index - 1))
-            fits &= ~F.coalesce(F.regexp_like(before, F.lit(r"[,(][ \t]*+$")), F.lit(False))
+            before = F.get(lines, F.when(index > 0, index - 1))["text"]
+            fits &= ~F.coalesce(F.regexp_like(before, F.lit(rf"(?:,|\({PAIR}\d++{PAIR_END})[ \t{SOFT}]*+$")), F.lit(False))
         return F.when(fits, F.regexp_replace(line, F.lit(STARTS[kind]), mark)).otherwise(line)
 
     return F.array_join(F.transform(lines, of_line), "\n")
 
 
-def _found(marked: Column, pattern: str, groups: int) -> Column:
-    """For every mark that ``pattern`` follows: the line number and the pattern's groups, g1, g2, ..."""
-    whole = F.lit(rf"{PLACE}(\d++){PLACE_END}(?={pattern})")
-    parts = [F.regexp_extract_all(marked, whole, at) for at in range(1, groups + 2)]
-    zipped = F.arrays_zip(*[part.alias(f"g{at}") for at, part in enumerate(parts)])
+def _found(marked: Column, pattern: str) -> Column:
+    """For every mark that ``pattern`` follows: the line number and the pattern's named groups."""
+    whole = rf"{PLACE}(?<lineno>\d++){PLACE_END}(?={pattern})"
+    names = {name: at for name, at in _groups(whole).items() if not re.fullmatch(r"p\d+", name)}
+    parts = [F.regexp_extract_all(marked, F.lit(whole), at).alias(name) for name, at in names.items()]
     return F.transform(
-        zipped,
+        F.arrays_zip(*parts),
         lambda row: F.struct(
-            row["g0"].cast("int").alias("lineno"), *[row[f"g{at}"].alias(f"g{at}") for at in range(1, groups + 1)]
+            row["lineno"].cast("int").alias("lineno"), *[row[name].alias(name) for name in names if name != "lineno"]
         ),
     )
 
 
+def _group(text: Column, pattern: str, name: str) -> Column:
+    return F.regexp_extract(text, pattern, _groups(pattern)[name])
+
+
 def _names(parameters: Column) -> Column:
     """Names in a parameter list; defaults, types and rest marks go, destructured ones drop out."""
     parts = F.regexp_extract_all(_unmarked(parameters), F.lit(f"({DECLARATOR})"), 1)
@@ -196,12 +187,12 @@ def _functions(marked: dict[str, Column], declared: Column, tokens: Column) -> C
         return F.struct(name.alias("name"), lineno.alias("lineno"), arguments.alias("args"), _no_names().alias("decorators"))
 
     plain = F.transform(
-        _found(marked["function"], FUNCTION, 2), lambda row: function(row["g1"], row["lineno"], _names(row["g2"]))
+        _found(marked["function"], FUNCTION), lambda row: function(row["name"], row["lineno"], _names(row["inside"]))
     )
 
     def bound(row: Column) -> Column:
-        bare = F.regexp_extract(row["raw"], ARROW, 2)
-        return function(row["name"], row["lineno"], F.when(bare != "", F.array(bare)).otherwise(_names(F.regexp_extract(row["raw"], ARROW, 1))))
+        bare = _group(row["raw"], ARROW, "bare")
+        return function(row["name"], row["lineno"], F.when(bare != "", F.array(bare)).otherwise(_names(_group(row["raw"], ARROW, "inside"))))
 
     arrows = F.transform(F.filter(declared, lambda row: F.regexp_like(row["raw"], F.lit(ARROW))), bound)
     return _in_order(F.concat(plain, arrows))
@@ -209,49 +200,49 @@ def _functions(marked: dict[str, Column], declared: Column, tokens: Column) -> C
 
 def _classes(marked: dict[str, Column], declared: Column, tokens: Column) -> Column:
     return F.transform(
-        _found(marked["class"], CLASS, 2),
+        _found(marked["class"], CLASS),
         lambda row: F.struct(
-            row["g1"].alias("name"), row["lineno"].alias("lineno"),
-            F.filter(F.array(row["g2"]), lambda name: name != "").alias("bases"),
+            row["name"].alias("name"), row["lineno"].alias("lineno"),
+            F.filter(F.array(row["base"]), lambda name: name != "").alias("bases"),
         ),
     )
 
 
 def _calls(marked: dict[str, Column], declared: Column, tokens: Column) -> Column:
     """Calls with their arguments; a call on the result of another one is named by its own member."""
-    rows = _found(marked["call"], CALL, 3)
-    word = lambda row: F.regexp_extract(row["g1"], r"^(?:new[ \t]++)?(.*+)$", 1)
+    rows = _found(marked["call"], CALL)
+    word = lambda row: F.regexp_extract(row["name"], rf"^(?:new[ \t]++{FRESH})?(.*+)$", 1)
     # A name with brackets and a body behind it is a method, not a call.
     real = F.filter(
         rows,
         lambda row: ~word(row).isin(*NOT_CALLS)
-        & ((row["g3"] == "") | F.contains(row["g1"], F.lit(".")) | F.startswith(row["g1"], F.lit("new "))),
+        & ((row["body"] == "") | F.contains(row["name"], F.lit(".")) | F.startswith(row["name"], F.lit("new"))),
     )
-    return F.transform(
+    return _in_order(F.transform(
         real,
         lambda row: F.struct(
-            _restored(F.concat(F.regexp_replace(row["g1"], r"^\??\.", ""), row["g2"]), tokens).alias("call"),
+            _restored(F.concat(F.regexp_replace(row["name"], r"^\??\.", ""), row["types"], row["arguments"]), tokens).alias("call"),
             row["lineno"].alias("lineno"),
         ),
-    )
+    ))
 
 
 def _declared(marked: Column) -> Column:
     """``name, raw, lineno`` of every declarator of ``const`` and ``let``; ``raw`` is its masked value."""
 
     def of_statement(row: Column) -> Column:
-        parts = F.regexp_extract_all(_unmarked(row["g1"]), F.lit(f"({DECLARATOR})"), 1)
+        parts = F.regexp_extract_all(_unmarked(row["rest"]), F.lit(f"({DECLARATOR})"), 1)
         made = F.transform(
             parts,
             lambda part: F.struct(
-                F.regexp_extract(part, DECLARED, 1).alias("name"),
-                F.rtrim(F.regexp_extract(part, DECLARED, 2)).alias("raw"),
+                _group(part, DECLARED, "name").alias("name"),
+                F.rtrim(_group(part, DECLARED, "value")).alias("raw"),
                 row["lineno"].alias("lineno"),
             ),
         )
         return F.filter(made, lambda one: one["name"] != "")
 
-    return F.flatten(F.transform(_found(marked, DECLARATION, 1), of_statement))
+    return F.flatten(F.transform(_found(marked, DECLARATION), of_statement))
 
 
 def _assignments(marked: dict[str, Column], declared: Column, tokens: Column) -> Column:
@@ -264,69 +255,39 @@ def _assignments(marked: dict[str, Column], declared: Column, tokens: Column) ->
 
     fresh = F.transform(declared, lambda row: assigned(row["name"], row["raw"], row["lineno"]))
     later = F.transform(
-        _found(marked["assignment"], ASSIGNMENT, 2), lambda row: assigned(row["g1"], row["g2"], row["lineno"])
+        _found(marked["assignment"], ASSIGNMENT), lambda row: assigned(row["target"], row["value"], row["lineno"])
     )
     return _in_order(F.concat(fresh, later))
 
 
-def _strings(lines: Column, tokens: Column) -> Column:
-    def of_literal(place: Column, index: Column) -> Column:
-        literal = F.get(tokens, place.cast("int"))
-        inner = F.substr(literal, F.lit(2), F.length(literal) - 2)
-        parts = F.when(F.startswith(literal, F.lit("/")), _no_names()).otherwise(F.split(inner, FRAGMENT_END))
-        long = F.filter(parts, lambda part: F.length(part) > V.LITERAL_MIN)
-        return F.transform(
-            long,
-            lambda part: F.struct(
-                F.substr(part, F.lit(1), F.lit(V.LITERAL_CUT)).alias("value"), (index + 1).alias("lineno")
-            ),
-        )
-
-    def of_line(line: Column, index: Column) -> Column:
-        places = F.regexp_extract_all(line, F.lit(rf"{LITERAL}(\d++)"), 1)
-        return F.flatten(F.transform(places, lambda place: of_literal(place, index)))
-
-    return F.flatten(F.transform(lines, of_line))
-
-
 def _values(lines: Column) -> Column:
     """Names that stand as the value of a property, with their lines."""
 
-    def of_line(line: Column, index: Column) -> Column:
+    def of_line(row: Column) -> Column:
+        line = row["text"]
         names = F.when(
             F.contains(line, F.lit(":")), F.array_distinct(F.regexp_extract_all(line, F.lit(rf":\s*+({NAME})"), 1))
         ).otherwise(_no_names())
-        return F.transform(names, lambda name: F.struct(name.alias("name"), (index + 1).alias("lineno")))
+        return F.transform(names, lambda name: F.struct(name.alias("name"), row["lineno"].alias("lineno")))
 
     return F.flatten(F.transform(lines, of_line))
 
 
-def _broken(masked: Column) -> Column:
-    """True for a quote or a comment that does not end, brackets that do not match, and operators without operand.
-
-    Matching pairs are taken out from the inside, level by level; below that many levels it is
-    enough that every kind of bracket opens as often as it closes.
-    """
-    left = F.aggregate(
-        F.sequence(F.lit(1), F.lit(3 * DEPTH)),
-        F.regexp_replace(masked, r"[^()\[\]{}]++", ""),
-        lambda text, _: F.regexp_replace(text, r"\(\)|\[\]|\{\}", ""),
+def _numbered(text: Column, first: Column) -> Column:
+    for pattern, put in (AFTER_NEW, GOES_ON_AFTER, GOES_ON_BEFORE):
+        text = F.regexp_replace(text, pattern, put)
+    return F.transform(
+        F.split(text, "\n", -1), lambda line, index: F.struct(line.alias("text"), (first + index).alias("lineno"))
     )
 
-    def uneven(text: Column) -> Column:
-        def count(mark: str) -> Column:
-            return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
-
-        crossed = F.regexp_like(text, F.lit(r"\([\]}]|\[[)}]|\{[)\]]|^[)\]}]|[(\[{]$"))
-        return (count("(") != count(")")) | (count("[") != count("]")) | (count("{") != count("}")) | crossed
 
-    open_quote = F.regexp_like(masked, F.lit("[\"'`]")) & ~F.regexp_like(masked, F.lit(TAGS))
-    return (
-        F.exists(F.array(left), uneven)
-        | open_quote
-        | F.contains(masked, F.lit("/*"))
-        | F.regexp_like(masked, F.lit(DANGLING))
+def _lines(scan: Column) -> Column:
+    """``text, lineno`` of all masked lines; code out of templates and tags comes after the rest, as statements of its own."""
+    stop = lambda piece: F.struct(F.lit(";").alias("text"), piece["lineno"].alias("lineno"))
+    inner = F.transform(
+        scan["extra"], lambda piece: F.concat(F.array(stop(piece)), _numbered(piece["text"], piece["lineno"]))
     )
+    return F.concat(_numbered(scan["masked"], F.lit(1)), F.flatten(inner))
 
 
 _BUILDERS = {"functions": _functions, "classes": _classes, "calls": _calls, "assignments": _assignments}
@@ -335,26 +296,27 @@ _BUILDERS = {"functions": _functions, "classes": _classes, "calls": _calls, "ass
 def js_facts(files: DataFrame) -> DataFrame:
     """One row of facts per file of ``files(scan_id, path, content, read_error)``."""
     read = files.select("scan_id", "path", "read_error", decoded(F.col("content")).alias("_text"))
-    read = read.withColumn("_tokens", F.regexp_extract_all("_text", F.lit(f"({TOKEN})"), 1))
-    read = read.withColumn("_masked", _masked(F.col("_tokens"))).withColumn("_lines", F.split("_masked", "\n", -1))
+    tags = ~F.endswith(F.lower("path"), F.lit(V.TYPED_SUFFIX))
+    read = read.withColumn("_scan", scanned("_text", tags)).withColumn("_masked", F.col("_scan.masked"))
     error = (
         F.when(F.col("read_error").isNotNull(), F.col("read_error"))
         .when(F.col("_text").isNull(), F.lit("not valid UTF-8"))
-        .when(_broken(F.col("_masked")), F.lit(V.JS_SYNTAX_ERROR))
+        .when(F.col("_scan.broken") | F.regexp_like("_masked", F.lit(DANGLING)), F.lit(V.JS_SYNTAX_ERROR))
     )
-    checked = read.withColumn("error", error).withColumn("_lines", F.when(F.col("error").isNull(), F.col("_lines")))
+    checked = read.withColumn("error", error)
+    checked = checked.withColumn("_lines", F.when(F.col("error").isNull(), _lines(F.col("_scan"))))
     checked = checked.withColumns({f"_{kind}": _marked(F.col("_lines"), kind) for kind in STARTS})
     checked = checked.withColumn("_declared", _declared(F.col("_declaration")))
     marked = {kind: F.col(f"_{kind}") for kind in STARTS}
 
     def fact(kind: str) -> Column:
-        tokens = F.col("_tokens")
+        tokens = F.col("_scan.literals")
         if kind == "imports":
             found = F.transform(
                 F.regexp_extract_all("_masked", F.lit(IMPORT), 1), lambda text: _restored(text, tokens)
             )
         elif kind == "strings":
-            found = _strings(F.col("_lines"), tokens)
+            found = F.col("_scan.strings")
         else:
             found = _BUILDERS[kind](marked, F.col("_declared"), tokens)
         return F.when(F.col("error").isNull(), found).cast(schemas.FACT_TYPES[kind]).alias(kind)

@@ -287,6 +287,18 @@ const first = 1, second = (x) => x;
 function line(x) { const y = wrap(x); y.z = 2; return y; }
 step(1).then(go)
   .catch(stop);
+if (ok) /[(]/.test(label);
+handle = async (x) => go(x);
+const deep = [[[[[[[[[[[[[[[[[[[[inner(1)]]]]]]]]]]]]]]]]]]]];
+const tail = `a ${first ? `b ${probe(label)} c` : "}"} and a tail longer than twenty`;
+const spaced =                              /[)]/;
+"""
+# What only one of the two languages has: type parameters, or text between tags.
+TYPED_BLOCK = """const same = <T>(x: T): T => x;
+function wide<T extends Array<Map<string, U>>>(x: T) { probe(x); }
+"""
+TAGGED_BLOCK = """const view = <p title="a title longer than twenty">don't ( {show(label)}</p>;
+// no more
 """
 
 
@@ -314,8 +326,10 @@ def js_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 2 == 0, F.lit("const memory = new MemorySaver();\nconst app = graph.compile({ checkpointer: memory });\n")).otherwise(""),
         F.when(key % 5 == 0, F.lit("const text = `a template literal of ${label} that goes on and on`;\n")).otherwise(""),
         F.lit(JS_BLOCK),
+        F.when(F.col("kind") == "ts", TYPED_BLOCK).otherwise(TAGGED_BLOCK),
         F.when(key % 13 == 0, F.lit("function broken(\n")).when(key % 17 == 0, F.lit("const bad = 1 +;\n"))
-        .when(key % 19 == 0, F.lit("x = ([)];\n")).otherwise(""),
+        .when(key % 19 == 0, F.lit("x = ([)];\n")).when(key % 23 == 0, F.lit("const = 3;\n"))
+        .when(key % 29 == 0, F.lit("function () {}\n")).otherwise(""),
     )
     scan = F.when(key % 3 == 0, "hot").otherwise(F.concat(F.lit("js"), (key % 7).cast("string")))
     return owners.select(

@@ -343,7 +343,7 @@ owners AS (
   UNION ALL SELECT 'ts', c_custkey, c_name FROM customer),
 jsfiles AS (
   SELECT *, CASE WHEN k % 3 = 0 THEN 'hot' ELSE 'js' || (k % 7) END AS scan_id,
-    CASE WHEN k % 3 = 0 THEN 'hot' ELSE 'js' || (k % 7) END AS s, k % 2 = 0 AS saves, k % 5 = 0 AS templated, k % 13 = 0 OR k % 17 = 0 OR k % 19 = 0 AS broken,
+    CASE WHEN k % 3 = 0 THEN 'hot' ELSE 'js' || (k % 7) END AS s, k % 2 = 0 AS saves, k % 5 = 0 AS templated, k % 13 = 0 OR k % 17 = 0 OR k % 19 = 0 OR k % 23 = 0 OR k % 29 = 0 AS broken,
     CASE kind WHEN 'ts' THEN ': string' ELSE '' END AS mark
   FROM owners),
 js AS (
@@ -357,7 +357,9 @@ js_functions AS (
   UNION ALL SELECT scan_id, path, 2, 'one', 19, ['item'] FROM whole
   UNION ALL SELECT scan_id, path, 3, 'spread', n0 + 7, ['input', 'depth'] FROM whole
   UNION ALL SELECT scan_id, path, 4, 'second', n0 + 13, ['x'] FROM whole
-  UNION ALL SELECT scan_id, path, 5, 'line', n0 + 14, ['x'] FROM whole),
+  UNION ALL SELECT scan_id, path, 5, 'line', n0 + 14, ['x'] FROM whole
+  UNION ALL SELECT scan_id, path, 6, 'same', n0 + 22, ['x'] FROM whole WHERE kind = 'ts'
+  UNION ALL SELECT scan_id, path, 7, 'wide', n0 + 23, ['x'] FROM whole WHERE kind = 'ts'),
 js_calls AS (
   SELECT scan_id, path, 9 AS lineno, 0 AS depth, 'step(state)' AS call FROM whole
   UNION ALL SELECT scan_id, path, 12, 0, 'max(1, 2)' FROM whole
@@ -370,7 +372,13 @@ js_calls AS (
   UNION ALL SELECT scan_id, path, n0 + 14, 0, 'wrap(x)' FROM whole
   UNION ALL SELECT scan_id, path, n0 + 15, 0, 'step(1)' FROM whole
   UNION ALL SELECT scan_id, path, n0 + 15, 1, 'then(go)' FROM whole
-  UNION ALL SELECT scan_id, path, n0 + 16, 0, 'catch(stop)' FROM whole),
+  UNION ALL SELECT scan_id, path, n0 + 16, 0, 'catch(stop)' FROM whole
+  UNION ALL SELECT scan_id, path, n0 + 17, 0, 'test(label)' FROM whole
+  UNION ALL SELECT scan_id, path, n0 + 18, 0, 'go(x)' FROM whole
+  UNION ALL SELECT scan_id, path, n0 + 19, 0, 'inner(1)' FROM whole
+  UNION ALL SELECT scan_id, path, n0 + 20, 0, 'probe(label)' FROM whole
+  UNION ALL SELECT scan_id, path, n0 + 22, 0, 'show(label)' FROM whole WHERE kind = 'js'
+  UNION ALL SELECT scan_id, path, n0 + 23, 0, 'probe(x)' FROM whole WHERE kind = 'ts'),
 js_assigned AS (
   SELECT scan_id, path, 6 AS lineno, 0 AS depth, 'label' AS targets, '"owner of this file: ' || owner || '"' AS value FROM whole
   UNION ALL SELECT scan_id, path, 13, 0, 'rawLlmOutput', 'state.llmOutput' FROM whole
@@ -387,12 +395,21 @@ js_assigned AS (
   UNION ALL SELECT scan_id, path, n0 + 13, 0, 'first', '1' FROM whole
   UNION ALL SELECT scan_id, path, n0 + 13, 1, 'second', '(x) => x' FROM whole
   UNION ALL SELECT scan_id, path, n0 + 14, 0, 'y', 'wrap(x)' FROM whole
-  UNION ALL SELECT scan_id, path, n0 + 14, 1, 'y.z', '2' FROM whole),
+  UNION ALL SELECT scan_id, path, n0 + 14, 1, 'y.z', '2' FROM whole
+  UNION ALL SELECT scan_id, path, n0 + 18, 0, 'handle', 'async (x) => go(x)' FROM whole
+  UNION ALL SELECT scan_id, path, n0 + 19, 0, 'deep', repeat('[', 20) || 'inner(1)' || repeat(']', 20) FROM whole
+  UNION ALL SELECT scan_id, path, n0 + 20, 0, 'tail',
+    '`a ${first ? `b ${probe(label)} c` : "}"} and a tail longer than twenty`' FROM whole
+  UNION ALL SELECT scan_id, path, n0 + 21, 0, 'spaced', '/[)]/' FROM whole
+  UNION ALL SELECT scan_id, path, n0 + 22, 0, 'same', '<T>(x: T): T => x' FROM whole WHERE kind = 'ts'
+  UNION ALL SELECT scan_id, path, n0 + 22, 0, 'view', '<p title="a title longer than twenty">don''t ( {show(label)}</p>' FROM whole WHERE kind = 'js'),
 js_literals AS (
   SELECT scan_id, path, 6 AS lineno, 0 AS depth, 'owner of this file: ' || owner AS value FROM whole
   UNION ALL SELECT scan_id, path, t0, 0, 'a template literal of ' FROM whole WHERE templated
   UNION ALL SELECT scan_id, path, n0 + 5, 0, 'first line of a system prompt' || chr(10) || 'second ' FROM whole
-  UNION ALL SELECT scan_id, path, n0 + 5, 1, ' line that is quite long' FROM whole)
+  UNION ALL SELECT scan_id, path, n0 + 5, 1, ' line that is quite long' FROM whole
+  UNION ALL SELECT scan_id, path, n0 + 20, 0, ' and a tail longer than twenty' FROM whole
+  UNION ALL SELECT scan_id, path, n0 + 22, 0, 'a title longer than twenty' FROM whole WHERE kind = 'js')
 """
 
 # --- inventories, from part ---------------------------------------------------------------------------
@@ -504,7 +521,7 @@ def all_oracles() -> dict[str, str]:
                 CASE WHEN bad THEN 0 ELSE 1 + CASE WHEN d THEN 2 ELSE 0 END + CASE WHEN b THEN 4 ELSE 0 END
                   + CASE WHEN c THEN 2 ELSE 0 END END AS n FROM pyfiles f
               UNION ALL SELECT scan_id, 'js', broken,
-                CASE WHEN broken THEN 0 ELSE 10 + CASE WHEN saves THEN 2 ELSE 0 END END FROM js)
+                CASE WHEN broken THEN 0 ELSE 15 + CASE WHEN saves THEN 2 ELSE 0 END END FROM js)
             SELECT scan_id, lang, count(*) AS n_files, count(*) FILTER (failed) AS n_errors,
               CAST(sum(n) AS BIGINT) AS n_calls FROM per_file GROUP BY ALL""",
         "x9_js_functions": js + """

@@ -144,6 +144,54 @@ def test_js_over_several_lines(table):
     ]
 
 
+def test_js_type_parameters(table):
+    made = _one(table, (
+        "const f = <T>(x: T) => x\nconst g = async <T extends Array<U>>(x: T, y = {a: 1}): Promise<Map<T, U>> => y;\n"
+        "function q<T extends Array<U>>(x: T) { eval(x) }\nlet m: Map<string, Array<number>> = new Map<string, Array<number>>(), n = a < b, o = c > d;\n"
+        "const k = (z: (a: string) => void): void => { z(1) };\nclass P<T extends Q<R>> extends Base<T> {}\n"
+    ), "x.ts")
+    assert [(f["name"], f["args"]) for f in made["functions"]] == [("f", ["x"]), ("g", ["x", "y"]), ("q", ["x"]), ("k", ["z"])]
+    assert [c["call"] for c in made["calls"]] == ["eval(x)", "new Map<string, Array<number>>()", "z(1)"]
+    assert [(a["targets"][0], a["value"]) for a in made["assignments"]][2:5] == [
+        ("m", "new Map<string, Array<number>>()"), ("n", "a < b"), ("o", "c > d"),
+    ]
+    assert [(c["name"], c["bases"]) for c in made["classes"]] == [("P", ["Base"])]
+
+
+def test_js_slashes(table):
+    made = _one(table, (
+        "if (ok) /[(]/.test(s);\nx =                            /[(]/ ;\nfor (const x of xs) /a(b/.test(x);\nx = y++ / 2; z = (a) / (b);\n"
+        "const m = {a: 1} / 2;\nfunction f() {} /[{]/.exec(q);\nreturn /'/;\nlet z = new               Foo(1);\n"
+    ), "x.js")
+    assert made["error"] is None
+    assert [c["call"] for c in made["calls"]] == ["test(s)", "test(x)", "exec(q)", "new               Foo(1)"]
+    assert [a["value"] for a in made["assignments"]] == ["/[(]/", "y++ / 2", "(a) / (b)", "{a: 1} / 2", "new               Foo(1)"]
+
+
+def test_js_templates_and_tags_inside_one_another(table):
+    made = _one(table, (
+        'const t = `a ${x ? `b ${y(`c ${"a string deep inside it"} d`)} a fragment of the second` : "}"} and the tail of the first`;\n'
+        'const el = <div className="a long class name" {...rest}>don\'t ( {run(x, <b>it\'s</b>)}\n<br/> <A.B c={`${call(2)}`}/></div>;\n'
+        "const e = <><i/>)</>;\nstep(3);\n"
+    ), "x.js")
+    assert made["error"] is None
+    assert [(s["value"], s["lineno"]) for s in made["strings"]] == [
+        (" and the tail of the first", 1), (" a fragment of the second", 1), ("a string deep inside it", 1),
+    ]
+    assert [(c["call"], c["lineno"]) for c in made["calls"]] == [
+        ('y(`c ${"a string deep inside it"} d`)', 1), ("run(x, <b>it's</b>)", 2), ("call(2)", 3), ("step(3)", 5),
+    ]
+    assert [a["targets"][0] for a in made["assignments"]] == ["t", "el", "e"]
+
+
+def test_js_brackets_of_any_depth(table):
+    made = _one(table, "const d = " + "f([{a: " * 60 + "eval(x)" + "}])" * 60 + ";\nafter(1);\n", "x.js")
+    assert len(made["calls"]) == 62 and made["calls"][60]["call"] == "eval(x)"
+    assert made["calls"][0]["call"] == "f([{a: " * 60 + "eval(x)" + "}])" * 60
+    assert _one(table, "(" * 501 + ")" * 501, "x.js")["error"] and not _one(table, "(" * 499 + ")" * 499, "x.js")["error"]
+    assert _one(table, "`${" * 200 + "}`" * 200, "x.js")["error"]
+
+
 def test_several_js_constructs_on_one_line(table):
     made = _one(table, "const a = 1, b = (x) => x; function line(x) { const y = wrap(x); y.z = 2; return y; }\nif (a) c = d;\n", "x.js")
     assert [(f["name"], f["args"]) for f in made["functions"]] == [("b", ["x"]), ("line", ["x"])] or (
@@ -163,7 +211,7 @@ def test_valid_js_is_kept(table, content):
     assert all(f["name"] != "ghost" for f in made["functions"])
 
 
-@pytest.mark.parametrize("content", ["return x +;\n", "x = ([)];\n", "} {\n", "x = 'abc\n", "/* open\n", "a = `abc\n"])
+@pytest.mark.parametrize("content", ["return x +;\n", "x = ([)];\n", "} {\n", "x = 'abc\n", "/* open\n", "a = `abc\n", "const = 3;\n", "x;\nfunction () {}\n", "f(`${a)}`);\n"])
 def test_broken_js_is_an_error_row(table, content):
     assert _one(table, content, "x.js")["error"]
 
