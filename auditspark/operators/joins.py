@@ -49,19 +49,3 @@ def positions(
     exploded = frame.select(*keep, F.posexplode_outer(array).alias(at, item))
     return exploded.filter(F.col(at).isNotNull())
 
-
-def flag_known(large: DataFrame, keys: DataFrame, on: str, out: str, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Add ``out``: is the row's ``on`` among ``keys``, a stored table of distinct ones?
-
-    The large side never moves. Keys are broadcast in parts, cut by their hash so that a part holds
-    about ``max_bytes`` at most; more keys mean more parts.
-    """
-    total = keys.agg(F.coalesce(F.sum(F.octet_length(on) + 16), F.lit(0))).first()[0]
-    parts = max(1, -(-total // max_bytes))
-    slot = F.pmod(F.xxhash64(on), F.lit(parts))
-    flagged = large.withColumn(out, F.lit(False))
-    for number in range(parts):
-        some = keys.select(on).filter(slot == number).withColumn("_known", F.lit(True))
-        flagged = flagged.join(F.broadcast(some), on, "left")
-        flagged = flagged.withColumn(out, F.col(out) | F.col("_known").isNotNull()).drop("_known")
-    return flagged

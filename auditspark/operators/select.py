@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from auditspark import fixed_values as V
 from auditspark.functions.text import contains_any, decoded, last_segment, suffix
-from auditspark.operators.joins import BROADCAST_BYTES, flag_known
+from auditspark.operators.joins import attach
 from auditspark.operators.numbering import number_by_text
 from auditspark.session import materialize
 
@@ -93,24 +93,39 @@ def census(counts: DataFrame) -> DataFrame:
     )
 
 
-def stored_files(files: DataFrame) -> DataFrame:
-    """Collected files with ``relevant`` and ``lang``, written once with a folder per language.
+def stored_files(files: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Collected files with ``relevant``, ``lang`` and ``slot``, written once with a folder per language.
 
-    Later steps read of it what they need: counts the narrow columns, extraction one language.
+    ``slot`` is the task that wrote the file, and the buckets of the table are made of slots, so every
+    task writes one file per language and contents stay where they were read, however the files of a
+    scan are spread. Later steps read of the table what they need: counts the narrow columns,
+    extraction one language. ``buckets`` (by default the number of shuffle partitions) says how many
+    tasks read it in a join.
     """
+    buckets = buckets or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lang = F.when(F.col("ext").isin(*V.JS_SUFFIXES), "js").otherwise("py")
-    return materialize(with_relevance(files).withColumn("lang", lang), by="lang")
+    slot = F.spark_partition_id().alias("slot", metadata={"buckets": buckets})
+    return materialize(with_relevance(files).withColumn("lang", lang).select("*", slot), by="lang", buckets=(buckets, "slot"))
 
 
-def select_files(files: DataFrame, counts: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def select_files(files: DataFrame, counts: DataFrame) -> DataFrame:
     """Relevant files of each scan, or all its files when none is relevant.
 
-    ``counts`` is the stored result of ``relevance_counts``, one row per scan. Only the names of scans
-    without any relevant file travel, contents stay where they are.
+    ``files`` comes from ``stored_files`` and ``counts`` is the stored result of ``relevance_counts``,
+    one row per scan. Only pairs of scan and slot travel. For each slot the scans without any relevant
+    file are stored in the same buckets as the files and meet them there: contents are neither moved
+    nor sorted, and nothing is broadcast.
     """
-    unmarked = counts.filter(F.col("n_relevant") == 0)
-    flagged = flag_known(with_relevance(files), unmarked, "scan_id", "_all", max_bytes)
-    return flagged.filter(F.col("relevant") | F.col("_all")).drop("_all").select(*with_relevance(files).columns)
+    unmarked = counts.filter(F.col("n_relevant") == 0).select("scan_id")
+    places = files.filter(~F.col("relevant")).select("slot", "scan_id").distinct()
+    whole = attach(places, unmarked, ["scan_id"], ["slot"], how="inner")
+    slots = materialize(
+        whole.groupBy("slot").agg(F.collect_list("scan_id").alias("_whole")),
+        buckets=(files.schema["slot"].metadata["buckets"], "slot"),
+    )
+    # A row per slot, whose names are fewer than its files, so they make the table of a hash join.
+    joined = files.join(slots.hint("shuffle_hash"), "slot", "left")
+    return joined.filter(F.col("relevant") | F.array_contains("_whole", F.col("scan_id"))).select(*files.columns)
 
 
 def pruned_directories(dirs: DataFrame) -> DataFrame:

@@ -5,9 +5,16 @@ a table into one input row of a stage, by plain expressions that ``oracles`` sta
 One scan, ``hot``, receives a third of the rows.
 """
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from auditspark.session import durable_folder, materialize
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     """A given table, spread over all cores where it has fewer partitions than there are cores.
@@ -174,6 +181,36 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``scans(scan_id, target_path)`` of real trees below the shared folder that hold ``files``.
+
+    Tasks write the files. One that is to be unreadable becomes a link to nowhere. A task that runs
+    again puts the same files into the same places.
+    """
+    root = f"{durable_folder(spark).rstrip('/').removeprefix('file:')}/auditspark/tree-{uuid.uuid4().hex}"
+    if not root.startswith("/"):
+        raise RuntimeError("source trees need a shared folder that all machines mount")
+    root = "/" + root.lstrip("/")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                path = os.path.join(root, row["scan_id"], row["rel_path"])
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                part = f"{path}.{uuid.uuid4().hex}"
+                if row["content"] is None or row["read_error"] is not None:
+                    os.symlink("/nowhere/at/all", part)
+                else:
+                    with open(part, "wb") as stream:
+                        stream.write(row["content"])
+                os.replace(part, path)
+            yield batch.select(["scan_id"])
+
+    written = files(spark, sf_dir).select("scan_id", "rel_path", "content", "read_error").mapInArrow(write, "scan_id string")
+    scans = written.groupBy("scan_id").agg(F.count("*").alias("n_files"))
+    return materialize(scans.select("scan_id", F.concat(F.lit(f"{root}/"), "scan_id").alias("target_path")))
+
+
 def dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The directory of every file; directories above it carry no further names."""
     columns = _document_columns(spark, sf_dir)

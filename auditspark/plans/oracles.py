@@ -469,6 +469,10 @@ def all_oracles() -> dict[str, str]:
     return {
         # files
         "s1_collect_source_files": files + "SELECT scan_id, path, ext FROM collected",
+        "s1_source_tree": files + """
+            SELECT scan_id, rel_path, relevant, length(text) AS n_chars, md5(text) AS digest
+            FROM (SELECT *, bool_or(relevant) OVER (PARTITION BY scan_id) AS any_one FROM collected)
+            WHERE relevant OR NOT any_one""",
         "s2_single_file_target": files + f"SELECT scan_id, path FROM files WHERE ext IN {_in(V.SOURCE_SUFFIXES)}",
         "s3_target_status": files + f"""
             SELECT DISTINCT scan_id, '/repos/' || scan_id AS target_path, CAST(NULL AS VARCHAR) AS error FROM files

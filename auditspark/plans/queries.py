@@ -15,7 +15,7 @@ from auditspark.operators.extract_py import python_facts
 from auditspark.operators.joins import positions
 from auditspark.plans import audit, derived
 from auditspark.session import materialize, tune
-from auditspark.sources import tables
+from auditspark.sources import srctree, tables
 
 MOMENT = datetime(2026, 1, 2, 3, 4, 5, 678000, tzinfo=timezone.utc)
 FINDING = ["scan_id", *schemas.FINDING_FIELDS]
@@ -61,6 +61,16 @@ def s1_collect_source_files(spark, sf):
     return _collected(spark, sf).select("scan_id", "path", "ext")
 
 
+@query
+def s1_source_tree(spark, sf):
+    """Real trees listed, collected, read and selected, with the digest of every text."""
+    listed = srctree.entries_of(derived.source_tree(spark, sf))
+    files = select.stored_files(select.collect_files(srctree.files_of(listed)))
+    chosen = select.select_files(files, materialize(select.relevance_counts(files)))
+    read = select.with_text(chosen)
+    return read.select("scan_id", "rel_path", "relevant", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
 @query
 def s2_single_file_target(spark, sf):
     """Every file as its own target: directories above a target never count."""
@@ -112,10 +122,10 @@ def f4_relevant_js(spark, sf):
     return marked.filter(F.col("ext").isin(".js", ".ts", ".mjs")).select("scan_id", "path", "relevant")
 
 
-def _selected(spark, sf, **options):
-    collected = _collected(spark, sf)
+def _selected(spark, sf):
+    collected = select.stored_files(_collected(spark, sf))
     counts = materialize(select.relevance_counts(collected))
-    return select.select_files(collected, counts, **options)
+    return select.select_files(collected, counts)
 
 
 @query
@@ -125,8 +135,8 @@ def f5_select_or_fall_back(spark, sf):
 
 @query
 def j4_selected_with_flag(spark, sf):
-    """The same selection with the names of scans broadcast in several parts."""
-    return _selected(spark, sf, max_bytes=64).select("scan_id", "path")
+    """The same selection, without the flag."""
+    return _selected(spark, sf).select("scan_id", "path")
 
 
 @query

@@ -51,6 +51,7 @@ def durable_folder(spark: SparkSession) -> str:
 
 
 _run: ContextVar[str] = ContextVar("run", default="")
+_tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
 
 
 @contextmanager
@@ -61,25 +62,38 @@ def intermediate_tables(spark: SparkSession) -> Iterator[str]:
     the tables are left to the clean-up of the shared folder.
     """
     name = f"run-{uuid.uuid4().hex}"
-    token = _run.set(f"{name}/")
+    token, names = _run.set(f"{name}/"), _tables.set([])
     folder = f"{durable_folder(spark).rstrip('/')}/auditspark/{name}"
     try:
         yield folder
     finally:
+        for table in _tables.get():
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        _tables.reset(names)
         _run.reset(token)
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(frame: DataFrame, by: str | None = None) -> DataFrame:
+def materialize(frame: DataFrame, by: str | None = None, buckets: tuple[int, str] | None = None) -> DataFrame:
     """Write ``frame`` once to the shared folder and go on from the written table.
 
-    ``by`` names a column with few values that gets a folder for each of them.
+    ``by`` names a column with few values that gets a folder for each of them. ``buckets`` is a number
+    and a column: tables with the same number of buckets join on it without an exchange; such a table
+    gets a name in the session's catalogue, its files lie where those of the others do.
 
     Used where two branches of a plan must see the same rows, or where a costly narrow result
     feeds several joins. The table outlives the loss of executors.
     """
     spark = frame.sparkSession
-    path = f"{durable_folder(spark).rstrip('/')}/auditspark/{_run.get()}{uuid.uuid4().hex}"
-    (frame.write.partitionBy(by) if by else frame.write).parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    name = uuid.uuid4().hex
+    path = f"{durable_folder(spark).rstrip('/')}/auditspark/{_run.get()}{name}"
+    writer = frame.write.partitionBy(by) if by else frame.write
+    if buckets is None:
+        writer.parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
+    table = f"auditspark_{name}"
+    writer.bucketBy(*buckets).option("path", path).format("parquet").saveAsTable(table)
+    if _tables.get() is not None:
+        _tables.get().append(table)
+    return spark.table(table)

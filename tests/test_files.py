@@ -37,7 +37,7 @@ KEPT = [
 @pytest.mark.parametrize("splits", [1, 3, 64])
 def test_a_tree_gives_its_source_files_however_it_is_split(spark, tmp_path, splits):
     listed = srctree.entries(spark, {"s": _tree(tmp_path, NAMES)}, splits)
-    files = srctree.files_of(listed, tasks=4)
+    files = srctree.files_of(listed, task_bytes=1 << 17)
     assert _names(select.collect_files(files)) == KEPT
     assert {row["rel_path"]: row["content"].decode() for row in files.collect()} == {n: n for n in _names(files)}
     named = select.pruned_directories(srctree.dirs_of(listed))
@@ -133,14 +133,14 @@ def test_markers_are_tested_per_language(table):
     }
 
 
-@pytest.mark.parametrize("limit", [32 << 20, 8])
-def test_scans_without_relevant_files_keep_all(table, limit):
-    files = _files(table, [
+@pytest.mark.parametrize("buckets", [1, 5, None])
+def test_scans_without_relevant_files_keep_all(table, buckets):
+    files = select.stored_files(_files(table, [
         ("one", "a.py", "StateGraph"), ("one", "b.py", "x"), ("one", "c.js", "y"),
         ("none", "a.py", "x"), ("none", "b.js", "y"), ("broken", "a.py", b"\xff"),
-    ])
+    ]), buckets)
     counts = materialize(select.relevance_counts(files))
-    chosen = select.select_files(files, counts, max_bytes=limit)
+    chosen = select.select_files(files, counts)
     assert sorted((row["scan_id"], row["path"]) for row in chosen.collect()) == [
         ("broken", "a.py"), ("none", "a.py"), ("none", "b.js"), ("one", "a.py"),
     ]
@@ -149,17 +149,55 @@ def test_scans_without_relevant_files_keep_all(table, limit):
     assert [row["path"] for row in select.unreadable(chosen).collect()] == ["a.py"]
 
 
-@pytest.mark.parametrize("limit", [32 << 20, 8])
-def test_contents_are_not_moved(table, limit):
-    files = select.stored_files(_files(table, [("one", "a.py", "StateGraph"), ("none", "b.js", "y"), ("two", "c.py", "x")]))
+def test_contents_are_not_moved(table):
+    rows = [(f"s{n % 40}", f"a{n}.py", "StateGraph" if n % 40 > 20 else "x") for n in range(400)]
+    files = select.stored_files(_files(table, rows + [("none", "b.js", "y")]).repartition(7))
     counts = materialize(select.relevance_counts(files))
-    chosen = select.select_files(files, counts, max_bytes=limit)
+    chosen = select.select_files(files, counts)
     plan = chosen._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange hashpartitioning" not in plan and sorted(_names(chosen, "path")) == ["a.py", "b.js", "c.py"]
+    assert "Exchange" not in plan and "ShuffledHashJoin" in plan and "Sort" not in plan
+    assert chosen.count() == 401
     counted = select.relevance_counts(files)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<scan_id:string,relevant:boolean>" in counted
 
 
+def test_tasks_read_equal_bytes_and_a_huge_file_stands_alone(table):
+    shape = "scan_id string, path string, rel_path string, size long"
+    rows = [("hot" if n % 3 else f"s{n % 5}", f"{n:05}.py", "", 1000 * (n % 9)) for n in range(4000)] + [("s1", "00500x.py", "", 50 << 20)]
+    target = 8 << 20
+    dealt, slots = srctree.shared_out(table(rows, shape).repartition(6), target)
+    made = dealt.collect()
+    assert sorted(tuple(row)[:4] for row in made) == sorted(rows)
+    loads = {}
+    for row in made:
+        loads.setdefault(row["slot"], []).append(row["size"] + srctree.OPENING)
+    assert set(loads) == set(range(slots))
+    assert [len(some) for some in loads.values() if max(some) > target] == [1]
+    rest = sorted(sum(some) for some in loads.values() if max(some) <= target)
+    assert rest[-1] < target + srctree.OPENING + 8000 and rest[1] > target - srctree.OPENING - 8000
+    files = srctree.files_of(table([("s", "file", "/nowhere/a.py", "a.py", 5)] * 2, "scan_id string, kind string, path string, rel_path string, size long"), 1)
+    assert files.rdd.getNumPartitions() == 3 and files.filter("read_error is null").count() == 0
+
+
+def test_filters_are_taken_over_by_the_source(spark, tmp_path):
+    root = _tree(tmp_path, [*NAMES, "s/t/x.js", "s/tt/y.js", "st/z.js"])
+    listed = srctree.entries(spark, {"s": root}, 4)
+    some = listed.filter(F.col("kind") == "file").filter(F.col("ext").isin(".js", ".ts")).filter(F.startswith("rel_path", F.lit("s/t")))
+    assert _names(some) == ["s/t/x.js", "s/tt/y.js"]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan" in plan and "Filter (" not in plan
+    assert _names(listed.filter("kind = 'file' and rel_path like '%.mjs'")) == ["s/d.mjs"]
+    os.chmod(os.path.join(root, "st"), 0)
+    try:
+        reader = srctree.SourceTreeReader({"scans": '{"s": "%s"}' % root, "splits": "64"})
+        left = list(reader.pushFilters([srctree.StringStartsWith(("rel_path",), "s/t/u")]))
+        assert left == [] and {share.directory for share in reader.partitions()} == {
+            root, *(os.path.join(root, name) for name in ("s", "s/t", "s/t/u", "s/t/u/v")),
+        }
+    finally:
+        os.chmod(os.path.join(root, "st"), 0o700)
+
+
 def test_file_order_is_code_point_order_in_any_partitioning(spark, table):
     paths = ["a/b.py", "a-b/x.py", "a.py", "A/z.py", "é.py", "\U0001f600.py", "￿.py", "a/b/c.py", *[f"n{i}.py" for i in range(300)]]
     rows = [(scan, path, path, b"", None) for scan in ("s", "t") for path in paths]
