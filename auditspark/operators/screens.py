@@ -60,32 +60,102 @@ def lines_of(texts: DataFrame) -> DataFrame:
     return rows.select("scan_id", "path", "ext", (F.col("at") + 1).alias("lineno"), "line")
 
 
-def prompt_injection(facts: DataFrame) -> DataFrame:
-    """A prompt variable is built from user input."""
-    rows = fact_rows(facts, "assignments").filter(
-        F.exists("targets", lambda name: _matches(name, "(?i)prompt"))
-        & _matches(F.col("value"), USER_INPUT)
+def _none(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def _names_in(code: Column) -> Column:
+    """Names in a piece of code, with members and without; literals that hold no code do not count."""
+    bare = F.regexp_replace(code, r"\"[^\"{}\\]*+\"|'[^'{}\\]*+'", "''")
+    dotted = F.regexp_extract_all(bare, F.lit(r"([A-Za-z_$][\w$]*+(?:\.[A-Za-z_$][\w$]*+)*+)"), 1)
+    return F.array_union(dotted, F.transform(dotted, lambda name: F.substring_index(name, ".", 1)))
+
+
+# Steps of one line take effect in this order.
+_BOUND, _USED, _ASSIGNED = 0, 1, 2
+
+
+def _step(lineno: Column, order: int, at: Column, targets: Column, words: Column, soiled: Column, report: Column) -> Column:
+    return F.struct(
+        lineno.alias("lineno"), F.lit(order).alias("order"), at.alias("at"), targets.alias("targets"),
+        words.alias("words"), soiled.alias("soiled"), report.alias("report"),
+    )
+
+
+def _assigned(soils, reports) -> Column:
+    """A step for every assignment: does it soil its targets by itself, is it reported where they are soiled?"""
+    return F.transform(
+        "assignments",
+        lambda one, at: _step(one["lineno"], _ASSIGNED, at, one["targets"], _names_in(one["value"]), soils(one), reports(one)),
     )
-    return _candidates(rows, "ASI01", F.col("lineno"), F.get("targets", F.lit(0)))
+
+
+def _used(uses: Column) -> Column:
+    """A step for every use ``name, lineno`` of a name, reported where the name is soiled."""
+    return F.transform(
+        uses,
+        lambda use, at: _step(
+            use["lineno"], _USED, at, F.array(use["name"]), F.array(use["name"]), F.lit(False), F.lit(True)
+        ),
+    )
+
+
+def _flowing(steps: Column) -> Column:
+    """``lineno, name`` of the reported steps that something soiled reaches, following the lines of a file.
+
+    A fold over the steps carries the names that are soiled. An assignment from a soiled name soils
+    its targets, any other one cleans them; a use changes nothing.
+    """
+    start = F.struct(_none("string").alias("names"), _none("struct<lineno: int, name: string>").alias("found"))
+
+    def follow(done: Column, step: Column) -> Column:
+        reached = step["soiled"] | F.arrays_overlap(step["words"], done["names"])
+        names = F.when(step["order"] == _USED, done["names"]).when(
+            reached, F.array_union(done["names"], step["targets"])
+        ).otherwise(F.array_except(done["names"], step["targets"]))
+        hit = F.array(F.struct(step["lineno"].alias("lineno"), F.get(step["targets"], F.lit(0)).alias("name")))
+        found = F.when(reached & step["report"], F.concat(done["found"], hit)).otherwise(done["found"])
+        return F.struct(names.alias("names"), found.alias("found"))
+
+    return F.aggregate(F.sort_array(steps), start, follow, lambda done: done["found"])
+
+
+def _hits(rows: DataFrame, steps: Column) -> DataFrame:
+    found = positions(rows, ["scan_id", "path"], _flowing(steps), item="hit")
+    return found.select("scan_id", "path", "hit.lineno", "hit.name")
+
+
+def prompt_injection(facts: DataFrame) -> DataFrame:
+    """A prompt variable is built from user input, directly or by way of other variables."""
+
+    def soils(one: Column) -> Column:
+        return _matches(one["value"], USER_INPUT)
+
+    def prompts(one: Column) -> Column:
+        return F.exists(one["targets"], lambda name: _matches(name, "(?i)prompt"))
+
+    speaking = facts.filter(F.exists("assignments", soils) & F.exists("assignments", prompts))
+    rows = _hits(speaking, _assigned(soils, prompts))
+    return _candidates(rows, "ASI01", F.col("lineno"), F.col("name"))
 
 
 def tool_misuse(facts: DataFrame) -> DataFrame:
-    """Functions with a sink's name and a parameter, and evaluation of a parameter."""
+    """Functions with a sink's name and a parameter, and evaluation of what a parameter reaches."""
     named = fact_rows(facts, "functions").filter(
         _matches(F.col("name"), SINK_NAME) & (F.size("args") > 0)
     )
-    parameters = F.flatten(F.transform("functions", lambda f: f["args"]))
-    evaluations = F.filter(
-        "calls", lambda call: F.regexp_extract(call["call"], EVAL_CALL, 1) != ""
+    evaluations = F.filter("calls", lambda call: F.regexp_extract(call["call"], EVAL_CALL, 1) != "")
+    uses = F.transform(
+        evaluations,
+        lambda call: F.struct(F.regexp_extract(call["call"], EVAL_CALL, 1).alias("name"), call["lineno"].alias("lineno")),
     )
-    argument = F.regexp_extract("fact.call", EVAL_CALL, 1)
-    evaluated = (
-        positions(
-            facts.withColumn("known", parameters), ["scan_id", "path", "known"], evaluations, item="fact"
-        )
-        .filter(F.array_contains("known", argument))
-        .select("scan_id", "path", "fact.lineno", argument.alias("name"))
+    bound = F.transform(
+        "functions",
+        lambda one, at: _step(one["lineno"], _BOUND, at, one["args"], _none("string"), F.size(one["args"]) > 0, F.lit(False)),
     )
+    never = lambda one: F.lit(False)
+    evaluating = facts.filter(F.size(evaluations) > 0)
+    evaluated = _hits(evaluating, F.concat(bound, _used(uses), _assigned(never, never)))
     columns = ["scan_id", "path", "lineno", "name"]
     rows = named.select(columns).unionByName(evaluated.select(columns))
     return _candidates(rows, "ASI02", F.col("lineno"), F.col("name"))
@@ -107,19 +177,28 @@ def supply_chain(texts: DataFrame, advisories: DataFrame) -> DataFrame:
 
 
 def privilege_escalation(facts: DataFrame) -> DataFrame:
-    """Functions with a destructive name, in files that never ask for authorisation."""
-    guarded = F.exists("calls", lambda call: _matches(call["call"], AUTHORISATION))
-    rows = fact_rows(facts.filter(~guarded), "functions").filter(
-        _matches(F.col("name"), DESTRUCTIVE_NAME)
-    )
+    """Functions with a destructive name that neither ask for authorisation nor are decorated with it.
+
+    A function reaches from its first line to the line before the next function of the file.
+    """
+    lines = F.transform("functions", lambda one: one["lineno"])
+
+    def unguarded(one: Column) -> Column:
+        following = F.array_min(F.filter(lines, lambda line: line > one["lineno"]))
+        inside = lambda call: (call["lineno"] >= one["lineno"]) & (following.isNull() | (call["lineno"] < following))
+        asked = F.exists("calls", lambda call: inside(call) & _matches(call["call"], AUTHORISATION))
+        return ~asked & ~F.exists(one["decorators"], lambda text: _matches(text, AUTHORISATION))
+
+    found = F.filter("functions", lambda one: _matches(one["name"], DESTRUCTIVE_NAME) & unguarded(one))
+    rows = positions(facts, ["scan_id", "path"], found, item="fact").select("scan_id", "path", "fact.*")
     return _candidates(rows, "ASI06", F.col("lineno"), F.col("name"))
 
 
 def unchecked_output(facts: DataFrame) -> DataFrame:
-    """Uses of a variable that holds model output, after its first such assignment.
+    """Uses of a variable that holds model output, directly or by way of other variables.
 
     Uses are the words of a Python call and the values of properties in JavaScript; each comes out
-    once however often the name was assigned before.
+    once however often the name was assigned before. A name that was assigned anew holds what it was given then.
     """
 
     def speaks(assigned: Column) -> Column:
@@ -127,32 +206,15 @@ def unchecked_output(facts: DataFrame) -> DataFrame:
             assigned["targets"], lambda name: _matches(name, MODEL_OUTPUT)
         )
 
-    held = F.flatten(
-        F.transform(
-            F.filter("assignments", speaks),
-            lambda assigned: F.transform(
-                assigned["targets"], lambda name: F.struct(name.alias("name"), assigned["lineno"].alias("lineno"))
-            ),
-        )
-    )
-
     def words(call: Column) -> Column:
         found = F.array_distinct(F.regexp_extract_all(call["call"], F.lit(r"(\w+)"), 1))
         return F.transform(found, lambda name: F.struct(name.alias("name"), call["lineno"].alias("lineno")))
 
     python_uses = F.flatten(F.transform("calls", words))
     uses = F.array_distinct(F.when(F.col("lang") == "py", python_uses).otherwise(F.col("values")))
-    # The array of one element names what is held, so that it is computed once for all uses.
-    flowing = F.flatten(
-        F.transform(
-            F.array(held),
-            lambda known: F.filter(
-                uses, lambda use: F.exists(known, lambda one: (one["name"] == use["name"]) & (one["lineno"] < use["lineno"]))
-            ),
-        )
-    )
+    never = lambda one: F.lit(False)
     speaking = facts.filter(F.exists("assignments", speaks))
-    rows = positions(speaking, ["scan_id", "path"], flowing, item="use").select("scan_id", "path", "use.*")
+    rows = _hits(speaking, F.concat(_used(uses), _assigned(speaks, never)))
     return _candidates(rows, "ASI07", F.col("lineno"), F.col("name"))
 
 

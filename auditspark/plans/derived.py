@@ -269,6 +269,20 @@ def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             ("app = graph.compile(", F.when(key % 8 == 0, "checkpointer=saver").otherwise(""), ")"),
         ),
         block(key % 11 == 0, ("def broken(",)),
+        # What flows on over several steps, and a function that the guard of another one does not cover.
+        block(
+            (key % 5 != 0) & (key % 7 == 0) & (key % 11 != 0),
+            ("asked = user_message",),
+            ("copied = asked",),
+            ("system_prompt = copied",),
+            ("copied = 'fixed'",),
+            ("late_prompt = copied",),
+            ("def purge_", number, "(row):"),
+            ("    spare = row",),
+            ("    reply = model_reply",),
+            ("    passed = reply",),
+            ("    return exec(spare, passed)",),
+        ),
     )
     scan = F.when(key % 3 == 0, "hot").otherwise(F.col("p_brand"))
     return parts.select(
@@ -329,6 +343,9 @@ handle = async (x) => go(x);
 const deep = [[[[[[[[[[[[[[[[[[[[inner(1)]]]]]]]]]]]]]]]]]]]];
 const tail = `a ${first ? `b ${probe(label)} c` : "}"} and a tail longer than twenty`;
 const spaced =                              /[)]/;
+const reply = state.modelReply;
+const passed = reply;
+send({ body: passed });
 """
 # What only one of the two languages has: type parameters, or text between tags.
 TYPED_BLOCK = """const same = <T>(x: T): T => x;

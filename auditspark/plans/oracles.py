@@ -227,12 +227,14 @@ py AS (
     5 + CASE WHEN p_partkey % 5 <> 0 THEN 8 ELSE 0 END AS c0
   FROM part),
 pyfiles AS (
-  SELECT *, '/repos/' || scan_id || '/p' || k || '.py' AS path, c0 + CASE WHEN c THEN 3 ELSE 0 END AS d0
+  SELECT *, '/repos/' || scan_id || '/p' || k || '.py' AS path, c0 + CASE WHEN c THEN 3 ELSE 0 END AS d0,
+    c0 + CASE WHEN c THEN 3 ELSE 0 END + CASE WHEN d THEN 2 ELSE 0 END AS e0, b AND k % 7 = 0 AND NOT bad AS e
   FROM py),
 good AS (SELECT * FROM pyfiles WHERE NOT bad),
 functions AS (
   SELECT scan_id, path, 8 AS lineno, 'run_sql_' || k AS name, 'limit' AS args, 'tool' AS decorators FROM good WHERE b
-  UNION ALL SELECT scan_id, path, c0, 'delete_rows_' || k, 'table', '' FROM good WHERE c),
+  UNION ALL SELECT scan_id, path, c0, 'delete_rows_' || k, 'table', '' FROM good WHERE c
+  UNION ALL SELECT scan_id, path, e0 + 5, 'purge_' || k, 'row', '' FROM good WHERE e),
 calls_at AS (
   SELECT scan_id, path, 1 AS depth, 4 AS lineno, 'load_model(LABEL, ' || size || ')' AS call FROM good
   UNION ALL SELECT scan_id, path, 1, d0, 'MemorySaver()' FROM good WHERE d
@@ -242,7 +244,8 @@ calls_at AS (
   UNION ALL SELECT scan_id, path, 2, 12, 'eval(limit)' FROM good WHERE b
   UNION ALL SELECT scan_id, path, 2, c0 + 1, CASE WHEN k % 2 = 0 THEN 'require_admin(table)' ELSE 'pass_through(table)' END FROM good WHERE c
   UNION ALL SELECT scan_id, path, 2, c0 + 2, 'drop(f''remove every row from {table}'')' FROM good WHERE c
-  UNION ALL SELECT scan_id, path, 3, 11, 'clean(llm_output)' FROM good WHERE b),
+  UNION ALL SELECT scan_id, path, 3, 11, 'clean(llm_output)' FROM good WHERE b
+  UNION ALL SELECT scan_id, path, 2, e0 + 9, 'exec(spare, passed)' FROM good WHERE e),
 assigned AS (
   SELECT scan_id, path, 1 AS depth, 3 AS lineno, 'LABEL' AS targets, '''' || label || '''' AS value FROM good
   UNION ALL SELECT scan_id, path, 1, 4, 'model', 'load_model(LABEL, ' || size || ')' FROM good
@@ -250,7 +253,11 @@ assigned AS (
   UNION ALL SELECT scan_id, path, 1, d0 + 1, 'app', 'graph.compile(' || CASE WHEN k % 8 = 0 THEN 'checkpointer=saver' ELSE '' END || ')' FROM good WHERE d
   UNION ALL SELECT scan_id, path, 2, 9, 'prompt', '''Answer: '' + user_input' FROM good WHERE b
   UNION ALL SELECT scan_id, path, 2, 10, 'llm_output', 'model.invoke(prompt)' FROM good WHERE b
-  UNION ALL SELECT scan_id, path, 2, 11, 'result', 'execute(clean(llm_output))' FROM good WHERE b),
+  UNION ALL SELECT scan_id, path, 2, 11, 'result', 'execute(clean(llm_output))' FROM good WHERE b
+  UNION ALL SELECT scan_id, path, depth, e0 + step, targets, value FROM good, (
+    VALUES (1, 0, 'asked', 'user_message'), (1, 1, 'copied', 'asked'), (1, 2, 'system_prompt', 'copied'), (1, 3, 'copied', '''fixed'''),
+      (1, 4, 'late_prompt', 'copied'), (2, 6, 'spare', 'row'), (2, 7, 'reply', 'model_reply'), (2, 8, 'passed', 'reply')
+  ) AS flow(depth, step, targets, value) WHERE e),
 literals AS (
   SELECT scan_id, path, 1 AS depth, 3 AS lineno, label AS value FROM good WHERE length(label) > 20
   UNION ALL SELECT scan_id, path, 2, c0 + 2, 'remove every row from ' FROM good WHERE c)
@@ -358,8 +365,8 @@ js_functions AS (
   UNION ALL SELECT scan_id, path, 3, 'spread', n0 + 7, ['input', 'depth'] FROM whole
   UNION ALL SELECT scan_id, path, 4, 'second', n0 + 13, ['x'] FROM whole
   UNION ALL SELECT scan_id, path, 5, 'line', n0 + 14, ['x'] FROM whole
-  UNION ALL SELECT scan_id, path, 6, 'same', n0 + 22, ['x'] FROM whole WHERE kind = 'ts'
-  UNION ALL SELECT scan_id, path, 7, 'wide', n0 + 23, ['x'] FROM whole WHERE kind = 'ts'),
+  UNION ALL SELECT scan_id, path, 6, 'same', n0 + 25, ['x'] FROM whole WHERE kind = 'ts'
+  UNION ALL SELECT scan_id, path, 7, 'wide', n0 + 26, ['x'] FROM whole WHERE kind = 'ts'),
 js_calls AS (
   SELECT scan_id, path, 9 AS lineno, 0 AS depth, 'step(state)' AS call FROM whole
   UNION ALL SELECT scan_id, path, 12, 0, 'max(1, 2)' FROM whole
@@ -377,8 +384,9 @@ js_calls AS (
   UNION ALL SELECT scan_id, path, n0 + 18, 0, 'go(x)' FROM whole
   UNION ALL SELECT scan_id, path, n0 + 19, 0, 'inner(1)' FROM whole
   UNION ALL SELECT scan_id, path, n0 + 20, 0, 'probe(label)' FROM whole
-  UNION ALL SELECT scan_id, path, n0 + 22, 0, 'show(label)' FROM whole WHERE kind = 'js'
-  UNION ALL SELECT scan_id, path, n0 + 23, 0, 'probe(x)' FROM whole WHERE kind = 'ts'),
+  UNION ALL SELECT scan_id, path, n0 + 24, 0, 'send({ body: passed })' FROM whole
+  UNION ALL SELECT scan_id, path, n0 + 25, 0, 'show(label)' FROM whole WHERE kind = 'js'
+  UNION ALL SELECT scan_id, path, n0 + 26, 0, 'probe(x)' FROM whole WHERE kind = 'ts'),
 js_assigned AS (
   SELECT scan_id, path, 6 AS lineno, 0 AS depth, 'label' AS targets, '"owner of this file: ' || owner || '"' AS value FROM whole
   UNION ALL SELECT scan_id, path, 13, 0, 'rawLlmOutput', 'state.llmOutput' FROM whole
@@ -401,15 +409,17 @@ js_assigned AS (
   UNION ALL SELECT scan_id, path, n0 + 20, 0, 'tail',
     '`a ${first ? `b ${probe(label)} c` : "}"} and a tail longer than twenty`' FROM whole
   UNION ALL SELECT scan_id, path, n0 + 21, 0, 'spaced', '/[)]/' FROM whole
-  UNION ALL SELECT scan_id, path, n0 + 22, 0, 'same', '<T>(x: T): T => x' FROM whole WHERE kind = 'ts'
-  UNION ALL SELECT scan_id, path, n0 + 22, 0, 'view', '<p title="a title longer than twenty">don''t ( {show(label)}</p>' FROM whole WHERE kind = 'js'),
+  UNION ALL SELECT scan_id, path, n0 + 22, 0, 'reply', 'state.modelReply' FROM whole
+  UNION ALL SELECT scan_id, path, n0 + 23, 0, 'passed', 'reply' FROM whole
+  UNION ALL SELECT scan_id, path, n0 + 25, 0, 'same', '<T>(x: T): T => x' FROM whole WHERE kind = 'ts'
+  UNION ALL SELECT scan_id, path, n0 + 25, 0, 'view', '<p title="a title longer than twenty">don''t ( {show(label)}</p>' FROM whole WHERE kind = 'js'),
 js_literals AS (
   SELECT scan_id, path, 6 AS lineno, 0 AS depth, 'owner of this file: ' || owner AS value FROM whole
   UNION ALL SELECT scan_id, path, t0, 0, 'a template literal of ' FROM whole WHERE templated
   UNION ALL SELECT scan_id, path, n0 + 5, 0, 'first line of a system prompt' || chr(10) || 'second ' FROM whole
   UNION ALL SELECT scan_id, path, n0 + 5, 1, ' line that is quite long' FROM whole
   UNION ALL SELECT scan_id, path, n0 + 20, 0, ' and a tail longer than twenty' FROM whole
-  UNION ALL SELECT scan_id, path, n0 + 22, 0, 'a title longer than twenty' FROM whole WHERE kind = 'js')
+  UNION ALL SELECT scan_id, path, n0 + 25, 0, 'a title longer than twenty' FROM whole WHERE kind = 'js')
 """
 
 # --- inventories, from part ---------------------------------------------------------------------------
@@ -523,9 +533,9 @@ def all_oracles() -> dict[str, str]:
             , per_file AS (
               SELECT f.scan_id, 'py' AS lang, bad AS failed,
                 CASE WHEN bad THEN 0 ELSE 1 + CASE WHEN d THEN 2 ELSE 0 END + CASE WHEN b THEN 4 ELSE 0 END
-                  + CASE WHEN c THEN 2 ELSE 0 END END AS n FROM pyfiles f
+                  + CASE WHEN c THEN 2 ELSE 0 END + CASE WHEN e THEN 1 ELSE 0 END END AS n FROM pyfiles f
               UNION ALL SELECT scan_id, 'js', broken,
-                CASE WHEN broken THEN 0 ELSE 15 + CASE WHEN saves THEN 2 ELSE 0 END END FROM js)
+                CASE WHEN broken THEN 0 ELSE 16 + CASE WHEN saves THEN 2 ELSE 0 END END FROM js)
             SELECT scan_id, lang, count(*) AS n_files, count(*) FILTER (failed) AS n_errors,
               CAST(sum(n) AS BIGINT) AS n_calls FROM per_file GROUP BY ALL""",
         "x9_js_functions": js + """
@@ -683,10 +693,12 @@ def all_oracles() -> dict[str, str]:
             SELECT scan_id, path, split_part(pin, '==', 1) AS package, pin[strpos(pin, '==') + 2:] AS version FROM pins""",
         # screens
         "v1_prompt_injection": py + _screen(
-            "ASI01", "SELECT scan_id, path, 9 AS line, 'prompt' AS evidence FROM good WHERE b"),
+            "ASI01", """SELECT scan_id, path, 9 AS line, 'prompt' AS evidence FROM good WHERE b
+            UNION ALL SELECT scan_id, path, e0 + 2, 'system_prompt' FROM good WHERE e"""),
         "v2_tool_misuse": both + _screen("ASI02", """
             SELECT scan_id, path, 8 AS line, 'run_sql_' || k AS evidence FROM good WHERE b
             UNION ALL SELECT scan_id, path, 12, 'limit' FROM good WHERE b
+            UNION ALL SELECT scan_id, path, e0 + 9, 'spare' FROM good WHERE e
             UNION ALL SELECT scan_id, path, 12, 'runCommand' || k FROM whole
             UNION ALL SELECT scan_id, path, 16, 'input' FROM whole
             UNION ALL SELECT scan_id, path, n0 + 11, 'input' FROM whole"""),
@@ -709,10 +721,13 @@ def all_oracles() -> dict[str, str]:
             WHERE [coalesce(r[1], 0), coalesce(r[2], 0), coalesce(r[3], 0)]
               < list_transform(string_split(affected_below, '.'), lambda x: CAST(x AS HUGEINT))"""),
         "v6_privilege_escalation": py + _screen("ASI06", """
-            SELECT scan_id, path, c0 AS line, 'delete_rows_' || k AS evidence FROM good WHERE c AND k % 2 <> 0"""),
+            SELECT scan_id, path, c0 AS line, 'delete_rows_' || k AS evidence FROM good WHERE c AND k % 2 <> 0
+            UNION ALL SELECT scan_id, path, e0 + 5, 'purge_' || k FROM good WHERE e"""),
         "v7_unchecked_output": both + _screen("ASI07", """
             SELECT scan_id, path, 11 AS line, 'llm_output' AS evidence FROM good WHERE b
-            UNION ALL SELECT scan_id, path, 16, 'rawLlmOutput' FROM whole"""),
+            UNION ALL SELECT scan_id, path, e0 + 9, 'passed' FROM good WHERE e
+            UNION ALL SELECT scan_id, path, 16, 'rawLlmOutput' FROM whole
+            UNION ALL SELECT scan_id, path, n0 + 24, 'passed' FROM whole"""),
         "v8_memory_poisoning": both + _screen("ASI08", """
             SELECT scan_id, path, d0 AS line, 'MemorySaver()' AS evidence FROM good WHERE d AND k % 8 = 0
             UNION ALL SELECT scan_id, path, 22, 'new MemorySaver()' FROM whole WHERE saves"""),

@@ -107,3 +107,40 @@ def test_each_use_of_model_output_comes_out_once(table):
     files = select.with_suffix(table([("s", "a.py", source.encode(), None)], FILES))
     rows = screens.unchecked_output(facts.extract(files)).collect()
     assert sorted(row["line"] for row in rows) == [6, 7]
+
+
+def _screened(table, screen, source, path="a.py"):
+    files = select.with_suffix(table([("s", path, source.encode(), None)], FILES))
+    return sorted((row["line"], row["description"].rsplit(": ", 1)[1]) for row in screen(facts.extract(files)).collect())
+
+
+def test_user_input_over_several_steps(table):
+    source = (
+        "a = user_input\nb = a\nprompt = b\nb = 'clean'\nprompt = b\nc = f(a.text)\nc.d = c\nprompt_2 = 'Say ' + c.d\n"
+        "x = 'a'\nprompt_3 = x\na = 1\nprompt_4 = a\n"
+    )
+    assert _screened(table, screens.prompt_injection, source) == [(3, "prompt"), (8, "prompt_2")]
+    script = "const a = state.userInput;\nlet b = a;\nconst prompt = `Say ${b}`;\nb = 1;\nconst prompt2 = b;\n"
+    assert _screened(table, screens.prompt_injection, script, "a.js") == [(3, "prompt")]
+
+
+def test_evaluation_of_what_a_parameter_reaches(table):
+    source = "def f(x, y):\n    z = x\n    eval(z)\n    y = 1\n    eval(y)\neval(other)\ndef g(w): return exec(w)\n"
+    assert _screened(table, screens.tool_misuse, source) == [(3, "z"), (7, "w")]
+
+
+def test_guards_hold_for_their_own_function(table):
+    source = (
+        "def delete_a(x):\n    require_admin(x)\n    return drop(x)\ndef delete_b(x):\n    return drop(x)\n"
+        "@check_permission\ndef delete_c(x):\n    return drop(x)\n"
+    )
+    assert _screened(table, screens.privilege_escalation, source) == [(4, "delete_b")]
+    script = "function deleteA(x) {\n  hasRole(x);\n}\nfunction deleteB(x) {\n  drop(x);\n}\n"
+    assert _screened(table, screens.privilege_escalation, script, "a.js") == [(4, "deleteB")]
+
+
+def test_model_output_over_several_steps(table):
+    source = "a = llm_output\nb = a\nstore(b)\nb = 'fixed'\nstore(b)\nc = len(a)\nstore(c)\n"
+    assert _screened(table, screens.unchecked_output, source) == [(3, "b"), (6, "a"), (7, "c")]
+    script = "const a = state.llmOutput;\nlet b = a;\nsend({ x: b });\nb = 0;\nsend({ x: b });\n"
+    assert _screened(table, screens.unchecked_output, script, "a.js") == [(3, "b")]
