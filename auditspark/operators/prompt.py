@@ -1,12 +1,15 @@
 """Prompts for the files worth analysing, and the replies they got."""
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from itertools import batched
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +18,7 @@ from auditspark import schemas
 from auditspark.operators.facts import eligible
 from auditspark.operators.joins import BROADCAST_ROWS, attach
 from auditspark.operators.select import number_files
+from auditspark.session import materialize
 from auditspark.sources.tables import endpoints
 
 
@@ -94,11 +98,55 @@ def requests(prompts: DataFrame, instructions: str) -> DataFrame:
     )
 
 
+JOURNAL = "scan_id string, path string, digest string, raw string"
+
+
+class Journal:
+    """Answers of one task, written as they come, a small file for every few of them.
+
+    Files lie in ``folder`` under the number of the partition, whose requests are the same in every
+    attempt. A file appears under its name only when it is whole.
+    """
+
+    def __init__(self, folder: str, partition: int):
+        self.files, root = fs.FileSystem.from_uri(folder)
+        self.folder = f"{root.rstrip('/')}/{partition:06}"
+        self.files.create_dir(self.folder, recursive=True)
+
+    def answered(self) -> dict[tuple, str]:
+        """What earlier attempts of the task were answered."""
+        found = {}
+        for one in self.files.get_file_info(fs.FileSelector(self.folder)):
+            if one.path.endswith(".json"):
+                with self.files.open_input_stream(one.path) as stream:
+                    for line in stream.read().splitlines():
+                        row = json.loads(line)
+                        found[row["scan_id"], row["path"], row["digest"]] = row["raw"]
+        return found
+
+    def add(self, rows: list[dict]) -> None:
+        if not rows:
+            return
+        name = f"{self.folder}/{uuid.uuid4().hex}"
+        with self.files.open_output_stream(f"{name}.part") as stream:
+            stream.write("".join(f"{json.dumps(row)}\n" for row in rows).encode())
+        self.files.move(f"{name}.part", f"{name}.json")
+
+
+def journaled(spark: SparkSession, journal: str) -> DataFrame:
+    """``scan_id, path, digest, raw``: all answers that a journal holds, each once."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(journal)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    reader = spark.read.schema(JOURNAL).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
+    return reader.json(journal).dropDuplicates(["scan_id", "path", "digest"])
+
+
 def ask(
     asked: DataFrame,
     make_client: Callable[[], Callable[[str, str, int], str]],
     tasks: int,
     threads: int = 1,
+    journal: str | None = None,
 ) -> DataFrame:
     """Responses from a model, one call per row of :func:`requests`.
 
@@ -107,10 +155,28 @@ def ask(
     body and deadline that threads may share. A ``ConnectionError`` is a lost connection, any other
     exception a failed call; both become rows, and what they mean for a scan is decided later, in
     file order. Store the result: a task that runs again asks again.
+
+    With ``journal``, the address of a shared folder (``file:///...`` or any other that Spark and
+    Arrow both reach), answers are written there as they come. A task that runs again, or a later
+    run with the same journal, asks only what no answer is known to; a request is the same if scan,
+    path, url and body are. Failed calls are not written, so they are tried again.
     """
+    needed = asked.select(
+        "scan_id", "path", "url", "body", "deadline_s", F.md5(F.concat_ws("\n", "url", "body")).alias("digest")
+    )
+    known = folder = None
+    if journal is not None:
+        keys = ["scan_id", "path", "digest"]
+        # What is known when the run starts; what its tasks add they read themselves.
+        known = materialize(journaled(asked.sparkSession, journal).join(needed.select(keys), keys, "left_semi"))
+        needed = needed.join(known.select(keys), keys, "left_anti")
+        folder = f"{journal.rstrip('/')}/run-{uuid.uuid4().hex}"
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        client = make_client()
+        client, written, earlier = make_client(), None, {}
+        if folder is not None:
+            written = Journal(folder, TaskContext.get().partitionId())
+            earlier = written.answered()
 
         def call(row: dict) -> tuple:
             status, raw, detail = "ok", None, None
@@ -125,14 +191,25 @@ def ask(
         rows = (row for batch in source for row in batch.to_pylist())
         with ThreadPoolExecutor(threads) as pool:
             for some in batched(rows, 4 * threads):
-                made = list(pool.map(call, some))
+                keys = [(row["scan_id"], row["path"], row["digest"]) for row in some]
+                made = [(*key[:2], "ok", earlier[key], None) for key in keys if key in earlier]
+                fresh = [(key, row) for key, row in zip(keys, some) if key not in earlier]
+                answers = list(pool.map(call, [row for _, row in fresh]))
+                if written is not None:
+                    written.add([
+                        {"scan_id": key[0], "path": key[1], "digest": key[2], "raw": answer[3]}
+                        for (key, _), answer in zip(fresh, answers) if answer[2] == "ok"
+                    ])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(values, pa.string()) for values in zip(*made)],
+                    [pa.array(values, pa.string()) for values in zip(*made, *answers)],
                     names=["scan_id", "path", "status", "raw", "detail"],
                 )
 
-    needed = asked.select("scan_id", "path", "url", "body", "deadline_s")
-    return needed.repartition(tasks, "scan_id", "path").mapInArrow(run, schemas.RESPONSES)
+    answered = needed.repartition(tasks, "scan_id", "path").mapInArrow(run, schemas.RESPONSES)
+    if known is None:
+        return answered
+    none = F.lit(None).cast("string").alias("detail")
+    return answered.unionByName(known.select("scan_id", "path", F.lit("ok").alias("status"), "raw", none))
 
 
 def match_responses(asked: DataFrame, responses: DataFrame) -> DataFrame:

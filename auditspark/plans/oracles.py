@@ -472,6 +472,16 @@ def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(part.strip() for part in parts) + "\n"
 
 
+REPORT_LINES = f"""
+            SELECT scan_id, CAST(0 AS BIGINT) AS report_pos,
+              '{{"tool_version":"{V.REPORT_VERSION}","timestamp":"{TIMESTAMP}","total_findings":' || total_findings
+              || ',"summary":{{"critical":' || critical || ',"high":' || high || ',"medium":' || medium || ',"low":' || low
+              || '}}}}' AS report FROM summary
+            UNION ALL SELECT scan_id, CAST(report_pos AS BIGINT), CAST(json_object('id', id, 'owasp_id', owasp_id, 'title', title,
+              'description', description, 'severity', severity, 'file', file, 'line', line, 'remediation', remediation) AS VARCHAR)
+            FROM ranked"""
+
+
 def all_oracles() -> dict[str, str]:
     findings, replies, files = _with(FINDINGS), _with(RESPONSES), _with(FILES)
     py, js, packages = _with(PARTS), _with(SCRIPTS), _with(INVENTORIES)
@@ -576,6 +586,9 @@ def all_oracles() -> dict[str, str]:
         "j2_match_responses": replies + """
             SELECT scan_id, path, CASE WHEN file_order % 17 = 3 THEN 'error' ELSE status END AS status,
               CASE WHEN file_order % 17 = 3 THEN 'no response' ELSE detail END AS detail FROM responses""",
+        "j2_resumed_calls": replies + """
+            SELECT scan_id, path, 'ok' AS status,
+              CASE WHEN file_order % 3 = 1 THEN 'first u ' ELSE 'second u ' END || file_order AS raw FROM responses""",
         "f11_before_connection_loss": replies + "SELECT scan_id, path, status FROM reached",
         "f12_failed_calls": replies + """
             SELECT scan_id, path, 'call' AS stage, status AS reason, detail AS payload FROM reached WHERE status = 'error'""",
@@ -636,14 +649,8 @@ def all_oracles() -> dict[str, str]:
         "a8_report": findings + f"""
             SELECT scan_id, '{V.REPORT_VERSION}' AS tool_version, '{TIMESTAMP}' AS "timestamp", total_findings,
               critical, high, medium, low FROM summary""",
-        "s8_report_json": findings + f"""
-            SELECT scan_id, CAST(0 AS BIGINT) AS report_pos,
-              '{{"tool_version":"{V.REPORT_VERSION}","timestamp":"{TIMESTAMP}","total_findings":' || total_findings
-              || ',"summary":{{"critical":' || critical || ',"high":' || high || ',"medium":' || medium || ',"low":' || low
-              || '}}}}' AS report FROM summary
-            UNION ALL SELECT scan_id, CAST(report_pos AS BIGINT), CAST(json_object('id', id, 'owasp_id', owasp_id, 'title', title,
-              'description', description, 'severity', severity, 'file', file, 'line', line, 'remediation', remediation) AS VARCHAR)
-            FROM ranked""",
+        "s8_report_json": findings + REPORT_LINES,
+        "s8_report_files": findings + f"SELECT scan_id, report FROM ({REPORT_LINES})",
         "p1_location": findings + f"SELECT scan_id, seq, {LOCATION} AS location FROM findings",
         "p2_findings_table": findings + f"""
             SELECT scan_id, report_pos, id, upper(severity) AS severity, owasp_id, title, {LOCATION} AS location FROM ranked""",

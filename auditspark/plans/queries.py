@@ -1,5 +1,6 @@
 """The registered queries: each runs one operator over whole given tables."""
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -14,7 +15,7 @@ from auditspark.operators.extract_js import js_facts
 from auditspark.operators.extract_py import python_facts
 from auditspark.operators.joins import positions
 from auditspark.plans import audit, derived
-from auditspark.session import materialize, tune
+from auditspark.session import folder_address, materialize, tune
 from auditspark.sources import srctree, tables
 
 MOMENT = datetime(2026, 1, 2, 3, 4, 5, 678000, tzinfo=timezone.utc)
@@ -328,6 +329,39 @@ def j2_match_responses(spark, sf):
     return prompt.match_responses(asked, given).select("scan_id", "path", "status", "detail")
 
 
+def _first_client():
+    return lambda url, body, deadline: f"first {url} {body}"
+
+
+def _second_client():
+    return lambda url, body, deadline: f"second {url} {body}"
+
+
+@query
+def j2_resumed_calls(spark, sf):
+    """Two runs with one journal: the second one asks only what the first one was not answered."""
+    requests = derived.responses(spark, sf).select(
+        "scan_id", "path", F.lit("u").alias("url"), F.col("file_order").cast("string").alias("body"), F.lit(1).alias("deadline_s"),
+        "file_order",
+    )
+    journal = f"{folder_address(spark)}/auditspark/journal-{uuid.uuid4().hex}"
+    first = requests.filter(F.col("file_order") % 3 == 1)
+    materialize(prompt.ask(first, _first_client, tasks=8, threads=4, journal=journal))
+    answered = materialize(prompt.ask(requests, _second_client, tasks=8, threads=4, journal=journal))
+    return answered.select("scan_id", "path", "status", "raw")
+
+
+@query
+def s8_report_files(spark, sf):
+    """Reports written as one file per scan, and read back line by line."""
+    unique = materialize(score.deduplicate(score.valid(derived.findings(spark, sf))))
+    lines = report.report(unique, score.rank(unique), derived.scans(spark, sf), MOMENT)
+    path = f"{folder_address(spark)}/auditspark/reports-{uuid.uuid4().hex}"
+    tables.write_report_files(lines, path)
+    read = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("report"))
+    return read.select(F.url_decode(F.regexp_extract("file", r"([^/]+)\.jsonl$", 1)).alias("scan_id"), "report")
+
+
 @query
 def f11_before_connection_loss(spark, sf):
     return _reached(spark, sf).select("scan_id", "path", "status")

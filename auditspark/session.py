@@ -50,6 +50,14 @@ def durable_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def folder_address(spark: SparkSession) -> str:
+    """The shared folder as an address with a scheme."""
+    folder = durable_folder(spark).rstrip("/")
+    if "://" in folder:
+        return folder
+    return "file:///" + folder.removeprefix("file:").lstrip("/")
+
+
 _run: ContextVar[str] = ContextVar("run", default="")
 _tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
 

@@ -324,3 +324,61 @@ def test_calls_to_a_model_become_rows(table):
     assert {name: made[name] for name in ("fine", "lost", "bad")} == {
         "fine": ("ok", "fine u 9", None), "lost": ("connect_error", None, "no server"), "bad": ("error", None, "status 500"),
     }
+
+
+def _noting_client(log, failing=()):
+    """A client that notes every call and fails for some bodies."""
+
+    def make_client():
+        def client(url, body, deadline):
+            with open(log, "a") as stream:
+                stream.write(body + "\n")
+            if body in failing:
+                raise RuntimeError("gone")
+            return f"answer to {body}"
+
+        return client
+
+    return make_client
+
+
+def test_a_later_run_asks_only_what_is_not_answered(table, tmp_path):
+    rows = [("s", f"p{n}", "u", f"b{n}", 1) for n in range(40)]
+    asked = table(rows, "scan_id string, path string, url string, body string, deadline_s int")
+    journal, log = f"file://{tmp_path}/journal", tmp_path / "log"
+    first = prompt.ask(asked.filter("path < 'p3'"), _noting_client(log, ("b1", "b21")), tasks=3, threads=2, journal=journal).collect()
+    assert sum(row["status"] == "ok" for row in first) == len(first) - 2
+    before = log.read_text().split()
+    again = prompt.ask(asked, _noting_client(log), tasks=5, threads=2, journal=journal).collect()
+    assert sorted((r["path"], r["status"], r["raw"]) for r in again) == sorted((p, "ok", f"answer to {b}") for _, p, _, b, _ in rows)
+    later = log.read_text().split()[len(before):]
+    assert sorted(later) == sorted({f"b{n}" for n in range(40)} - set(before) | {"b1", "b21"})
+    changed = asked.withColumn("body", F.concat("body", F.lit("!"))).filter("path = 'p7'")
+    assert prompt.ask(changed, _noting_client(log), tasks=1, journal=journal).first()["raw"] == "answer to b7!"
+
+
+def test_a_task_that_runs_again_repeats_no_answered_call(table, tmp_path):
+    """The task dies in the middle of its calls; Spark's own evaluation starts it again."""
+    rows = [("s", f"p{n:02}", "u", f"b{n:02}", 1) for n in range(24)]
+    asked = table(rows, "scan_id string, path string, url string, body string, deadline_s int")
+    log, dead = tmp_path / "log", tmp_path / "dead"
+
+    def make_client():
+        def client(url, body, deadline):
+            with open(log, "a") as stream:
+                stream.write(body + "\n")
+            if len(open(log).read().split()) > 13 and not dead.exists():
+                dead.write_text("")
+                raise SystemExit(1)
+            return body.upper()
+
+        return client
+
+    answered = prompt.ask(asked, make_client, tasks=1, journal=f"file://{tmp_path}/journal")
+    with pytest.raises(Exception):
+        answered.collect()
+    made = answered.select("*").collect()
+    assert sorted((row["path"], row["raw"]) for row in made) == [(p, b.upper()) for _, p, _, b, _ in rows]
+    calls = log.read_text().split()
+    # Calls of the last, unfinished handful are asked again, those of whole ones are not.
+    assert len(calls) <= 24 + 4 and len(set(calls)) == 24

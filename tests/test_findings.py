@@ -2,6 +2,9 @@ import json
 import random
 from datetime import datetime, timezone
 
+import pytest
+from pyspark.sql import functions as F
+
 from auditspark.operators import report, score
 from auditspark.sources import tables
 
@@ -151,3 +154,30 @@ def test_report_time(spark, table):
     made = rows.select(report.iso_time(rows.t), report.header_time(rows.t)).collect()
     assert [row[0] for row in made] == [moment.isoformat() for moment in moments]
     assert made[0][1] == "2026-01-02 03:04 UTC"
+
+
+def test_one_report_file_per_scan(spark, table, tmp_path):
+    scans = {"hot": 300_000, "a/b ü": 5, "only head": 0, "x" * 300: 2}
+    rows = spark.createDataFrame(list(scans.items()), "scan_id string, n long")
+    lines = rows.select("scan_id", F.explode(F.sequence(F.lit(0).cast("long"), "n")).alias("report_pos"))
+    lines = lines.withColumn("report", F.concat(F.lit('{"é":'), F.col("report_pos").cast("string"), F.lit("}"))).repartition(7)
+    path = tmp_path / "reports"
+    tables.write_report_files(lines, str(path))
+    assert sorted(p.name for p in path.iterdir()) == sorted(map(tables.report_file, scans))
+    for scan, n in scans.items():
+        text = (path / tables.report_file(scan)).read_text()
+        assert text == "".join(f'{{"é":{at}}}\n' for at in range(n + 1))
+    with pytest.raises(Exception):
+        tables.write_report_files(lines, str(path))
+    tables.write_report_files(lines.filter("scan_id = 'hot' and report_pos < 3"), str(path), overwrite=True)
+    assert [p.name for p in path.iterdir()] == ["hot.jsonl"]
+
+
+def test_a_run_that_fails_leaves_no_report(spark, tmp_path):
+    lines = spark.range(50).select(
+        F.lit("s").alias("scan_id"), F.col("id").alias("report_pos"), F.lit("{}").alias("report")
+    )
+    broken = F.udf(lambda at: 1 // (at - 40) and "{}", "string")
+    with pytest.raises(Exception):
+        tables.write_report_files(lines.withColumn("report", broken("report_pos")), str(tmp_path / "reports"))
+    assert not [p for p in tmp_path.iterdir() if not p.name.startswith("reports.part-")] and not (tmp_path / "reports").exists()
