@@ -54,26 +54,20 @@ def package_key(name: Column) -> Column:
 
 
 def version_triple(version: Column) -> Column:
-    """First three digit runs before any ``+`` as numbers, missing ones 0, beyond 38 digits NULL."""
+    """First three digit runs before any ``+`` without leading zeros, missing ones ``0``; of any length."""
     public = F.substring_index(version, "+", 1)
-    runs = F.transform(
-        F.regexp_extract_all(public, F.lit(r"([0-9]+)"), 1),
-        lambda run: run.try_cast("decimal(38,0)"),
-    )
-    zeros = F.array(*[F.lit(0).cast("decimal(38,0)")] * 3)
-    return F.slice(F.concat(runs, zeros), 1, 3)
-
+    runs = F.regexp_extract_all(public, F.lit(r"([0-9]+)"), 1)
+    padded = F.slice(F.concat(runs, F.array(*[F.lit("0")] * 3)), 1, 3)
+    return F.transform(padded, lambda run: F.coalesce(F.nullif(F.ltrim(run, F.lit("0")), F.lit("")), F.lit("0")))
 
-def is_below(installed: Column, threshold: Column) -> Column:
-    """Version comparison by the first three digit runs, of any length; no version is not below.
 
-    Without leading zeros the longer run is the larger number, and equally long ones compare as text.
-    """
+def version_key(version: Column) -> Column:
+    """Text that orders versions as their triples do: of each number its length, then its digits."""
+    size = lambda run: F.lpad(F.length(run).cast("string"), 10, "0")
+    parts = F.transform(version_triple(version), lambda run: F.concat(size(run), run))
+    return F.when(version.isNotNull(), F.array_join(parts, "."))
 
-    def runs(version: Column) -> Column:
-        found = F.regexp_extract_all(F.substring_index(version, "+", 1), F.lit(r"([0-9]+)"), 1)
-        padded = F.slice(F.concat(found, F.array(*[F.lit("0")] * 3)), 1, 3)
-        bare = F.transform(padded, lambda run: F.ltrim(run, F.lit("0")))
-        return F.transform(bare, lambda run: F.struct(F.length(run).alias("size"), run.alias("digits")))
 
-    return F.coalesce(runs(installed) < runs(threshold), F.lit(False))
+def is_below(installed: Column, threshold: Column) -> Column:
+    """Version comparison by the first three digit runs, of any length; no version is not below."""
+    return F.coalesce(version_key(installed) < version_key(threshold), F.lit(False))

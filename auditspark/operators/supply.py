@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.functions.text import is_below, package_key, version_triple
+from auditspark.functions.text import is_below, package_key, version_key, version_triple
 from auditspark.operators.joins import BROADCAST_ROWS, attach, positions
 
 # A name is taken whole or not at all, so a long run of name characters is read once.
@@ -13,11 +13,10 @@ PIN = r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]++)==([0-9][^\"'\s,;]*)"
 
 
 def with_triple(installed: DataFrame) -> DataFrame:
-    """Add the three version numbers."""
+    """Add the three version numbers as text, and a key that orders versions by them."""
     parts = version_triple(F.col("version"))
-    return installed.select(
-        "*", *[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(("major", "minor", "patch"))]
-    )
+    numbers = [F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(("major", "minor", "patch"))]
+    return installed.select("*", *numbers, version_key(F.col("version")).alias("version_key"))
 
 
 def vulnerable(

@@ -401,7 +401,9 @@ def js_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 PACKAGES = [
     "langgraph", "LangChain_Core", "langchain-community", "langgraph.checkpoint-sqlite", "requests", "langchain-core",
 ]
-VERSIONS = ["1.2.6", "1.2", "1.2.6+local.9", "1.2rc1", "", "abc", "0.2.5", "1.1.9", "3.0.0", "v2", "1.%s.%k"]
+VERSIONS = [
+    "1.2.6", "1.2", "1.2.6+local.9", "1.2rc1", "", "abc", "0.2.5", "1.1.9", "3.0.0", "v2", "1.%s.%k",
+    "1.2.00%k" + "7" * 60, "0" * 50 + "1.1.9"]
 
 
 def inventories(spark: SparkSession, sf_dir: str) -> DataFrame:

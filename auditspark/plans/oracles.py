@@ -432,18 +432,21 @@ installed AS (
       '%s', CAST(p_size AS VARCHAR)), '%k', CAST(p_partkey AS VARCHAR)) END AS version
   FROM part),
 runs AS (
-  SELECT *, list_transform(regexp_extract_all(split_part(version, '+', 1), '[0-9]+'), lambda r: CAST(r AS BIGINT)) AS r
+  SELECT *, list_transform(regexp_extract_all(split_part(version, '+', 1), '[0-9]+'),
+    lambda r: CASE WHEN ltrim(r, '0') = '' THEN '0' ELSE ltrim(r, '0') END) AS r
   FROM installed),
 triples AS (
-  SELECT *, CASE WHEN version IS NOT NULL THEN [coalesce(r[1], 0), coalesce(r[2], 0), coalesce(r[3], 0)] END AS t FROM runs),
+  SELECT *, list_transform(t, lambda r: lpad(CAST(length(r) AS VARCHAR), 10, '0') || r) AS sized
+  FROM (SELECT *, CASE WHEN version IS NOT NULL THEN [coalesce(r[1], '0'), coalesce(r[2], '0'), coalesce(r[3], '0')] END AS t FROM runs)),
 advisories(adv_pos, package, cve, affected_below, severity, description, remediation) AS (
   VALUES {", ".join("(" + ", ".join([str(i), *map(_q, row)]) + ")" for i, row in enumerate(V.ADVISORIES))}),
 thresholds AS (
-  SELECT *, list_transform(string_split(affected_below, '.'), lambda r: CAST(r AS BIGINT)) AS below FROM advisories),
+  SELECT *, list_transform(string_split(affected_below, '.'), lambda r: lpad(CAST(length(r) AS VARCHAR), 10, '0') || r) AS below
+  FROM advisories),
 vulnerable AS (
   SELECT i.scan_id, a.*, i.version AS installed
   FROM triples i JOIN thresholds a ON lower(regexp_replace(i.package, '[-_.]+', '-', 'g')) = a.package
-  WHERE i.t < a.below)
+  WHERE i.sized < a.below)
 """
 
 # --- screens ------------------------------------------------------------------------------------------
@@ -684,9 +687,10 @@ def all_oracles() -> dict[str, str]:
         "s7_inventory": packages + """
             SELECT scan_id, lower(regexp_replace(package, '[-_.]+', '-', 'g')) AS package, version FROM installed""",
         "c1_version_triples": packages + """
-            SELECT scan_id, package, version, t[1] AS major, t[2] AS minor, t[3] AS patch FROM triples""",
+            SELECT scan_id, package, version, t[1] AS major, t[2] AS minor, t[3] AS patch,
+              array_to_string(sized, '.') AS version_key FROM triples""",
         "f14_below_threshold": packages + """
-            SELECT scan_id, package, version, coalesce(t < CAST([1, 2, 0] AS BIGINT[]), false) AS below FROM triples""",
+            SELECT scan_id, package, version, coalesce(sized < ['00000000011', '00000000012', '00000000010'], false) AS below FROM triples""",
         "j3_advisory_match": packages + "SELECT scan_id, CAST(adv_pos AS BIGINT) AS adv_pos, package, installed, cve FROM vulnerable",
         "c2_vulnerability_rows": packages + """
             SELECT scan_id, package, installed, affected_below, cve, severity, description, remediation FROM vulnerable""",

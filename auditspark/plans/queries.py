@@ -590,7 +590,7 @@ def s7_inventory(spark, sf):
 @query
 def c1_version_triples(spark, sf):
     return supply.with_triple(derived.inventories(spark, sf)).select(
-        "scan_id", "package", "version", "major", "minor", "patch"
+        "scan_id", "package", "version", "major", "minor", "patch", "version_key"
     )
 
 

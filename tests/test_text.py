@@ -71,3 +71,11 @@ def test_strict_json_takes_exactly_one_value(table):
     bad = ["", "[1] x", "[1],[2]", "1,2", '1,"y":2', "[1", "{", "[1,]", "01", '"a\nb"', "1}", "]", "[1]]", "// c\n1", "'a'"]
     made = _values(table, lambda x: reply.strict_json(x).isNotNull(), good + bad)
     assert made == [True] * len(good) + [False] * len(bad)
+
+
+def test_versions_of_any_length_keep_their_order(table):
+    long = "7" * 60
+    inputs = ["0." + long, "1.2", "1.2.00000", "1." + long[1:], "1." + long, "1.0" + long + "8", "10"]
+    made = _values(table, text.version_key, inputs)
+    assert made == sorted(made) and made[1] == made[2] and len(set(made)) == len(made) - 1
+    assert _values(table, text.version_triple, ["00" + long + ".000"]) == [[long, "0", "0"]]
