@@ -19,7 +19,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
@@ -203,22 +203,45 @@ def read_back(pieces: DataFrame) -> DataFrame:
 
 
 def events_of_rows(rows: DataFrame) -> DataFrame:
-    """The log behind finished rows ``conv_id, turn, role, text``: each text streamed in two deltas.
+    """A log that ends in the rows ``conv_id, turn, role, text``.
 
-    Rows of one turn are messages of their own, in order of role and text; null turns come first.
+    Rows of one turn are messages of their own, in order of role and text; null turns come first. By
+    a hash of its place a text is streamed in two deltas; or comes as a wrong draft that an edit puts
+    right, after a reply to the draft had begun; or as a draft that is discarded and generated
+    again in two deltas; or as a first half that is edited and then goes on.
     """
     tied = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
     numbered = rows.select(
+        "conv_id", "turn", F.row_number().over(tied).alias("copy"), "role", F.coalesce("text", F.lit("")).alias("text")
+    )
+    text = F.col("text")
+    half = F.floor(F.char_length(text) / 2).cast("int")
+    first, second = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.char_length(text))
+    draft = F.concat(F.lit("draft: "), F.reverse(text))
+
+    def event(step: int, kind: str, said: Column, reply: bool = False) -> Column:
+        return F.struct(
+            F.lit(step).alias("step"), F.lit(kind).alias("kind"), said.alias("text"), F.lit(int(reply)).alias("reply")
+        )
+
+    logs = [
+        F.array(event(0, "delta", first), event(1, "delta", second)),
+        F.array(event(0, "delta", draft), event(1, "delta", F.lit("a reply to a draft"), True), event(2, "edit", text)),
+        F.array(
+            event(0, "delta", draft), event(1, "regenerate", F.lit(None).cast("string")),
+            event(2, "delta", first), event(3, "delta", second),
+        ),
+        F.array(event(0, "delta", draft), event(1, "edit", first), event(2, "delta", second)),
+    ]
+    which = F.pmod(F.xxhash64("conv_id", "turn", "copy"), F.lit(len(logs)))
+    log = logs[0]
+    for number, other in enumerate(logs[1:], 1):
+        log = F.when(which == number, other).otherwise(log)
+    return numbered.select("conv_id", "turn", "copy", "role", F.explode(log).alias("event")).select(
         "conv_id",
-        F.struct("turn", F.row_number().over(tied).alias("copy")).alias("message"),
+        F.struct("turn", "copy", F.col("event.reply").alias("reply")).alias("message"),
+        F.struct("turn", "copy", F.col("event.step").alias("step")).alias("seq"),
         "role",
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
-    half = F.floor(F.char_length("text") / 2).cast("int")
-    deltas = F.array(
-        F.struct(F.lit(0).alias("seq"), F.substring(F.col("text"), F.lit(1), half).alias("text")),
-        F.struct(F.lit(1).alias("seq"), F.substring(F.col("text"), half + 1, F.char_length("text")).alias("text")),
-    )
-    return numbered.select("conv_id", "message", "role", F.explode(deltas).alias("part")).select(
-        "conv_id", "message", F.col("part.seq").alias("seq"), "role", F.lit("delta").alias("kind"), F.col("part.text").alias("text")
+        F.col("event.kind").alias("kind"),
+        F.col("event.text").alias("text"),
     )

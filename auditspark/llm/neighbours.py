@@ -14,6 +14,7 @@ block and lets the queries that reach it stream by; no side is gathered or broad
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -56,9 +57,16 @@ def _units(vectors: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """List column of equally long rows as doubles."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    """List column of equally long rows as doubles, each row scaled to components below 1.
+
+    The scale is a power of two, so cosines stay what they are to the last bit, and no product
+    of extreme components overflows or vanishes.
+    """
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    if not flat.size:
+        return flat
+    _, exponents = np.frexp(np.abs(flat).max(axis=1))
+    return np.ldexp(flat, -exponents[:, None])
 
 
 def _means(points: np.ndarray, number: int, rounds: int = 12) -> np.ndarray:
@@ -120,17 +128,15 @@ def fit(sample: np.ndarray, nearest: int, recall: float = RECALL, centroids: int
 def valid(vectors: DataFrame) -> DataFrame:
     """``vec_id, embedding`` of the rows that take part.
 
-    Left out are rows without a number, and vectors that are null, empty, zero, hold null or
-    non-finite components, or have another length than most.
+    Left out are rows without a number, and vectors that are null, empty, zero, or hold null or
+    non-finite components.
     """
     kind = dict(vectors.dtypes)["embedding"]
     wanted = kind if kind in ("array<float>", "array<double>") else "array<double>"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(wanted).alias("embedding"))
     finite = F.forall("embedding", lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)))
     some = F.exists("embedding", lambda x: x != 0)
-    good = rows.filter(F.col("vec_id").isNotNull() & F.coalesce(finite & some, F.lit(False)))
-    lengths = good.groupBy(F.size("embedding").alias("length")).count().orderBy(F.desc("count"), "length").first()
-    return good.filter(F.size("embedding") == (lengths["length"] if lengths else 0))
+    return rows.filter(F.col("vec_id").isNotNull() & F.coalesce(finite & some, F.lit(False)))
 
 
 def _placed(good: DataFrame, books: Codebooks) -> DataFrame:
@@ -246,18 +252,33 @@ def nearest_neighbours(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score`` for every row that ``is_query`` (a condition) admits.
 
-    Candidates are all rows with another number. ``score`` is the cosine of the original vectors in
+    Candidates are all rows with another number and as many components; vectors of several lengths
+    are searched length by length. ``score`` is the cosine of the original vectors in
     double precision; ties go to the smaller number. A query has fewer than ``nearest`` rows only if
     there are fewer candidates. See :func:`valid` for rows that take no part. A number that occurs
     in several rows gives several candidates, and as a query a single list over all its rows.
     Other columns are not looked at; an empty table gives an empty result.
     """
-    spark = vectors.sparkSession
-    shape = "query_id long, rank int, vec_id long, score double"
     good = valid(vectors)
+    # One row per length.
+    lengths = [row["length"] for row in good.select(F.size("embedding").alias("length")).distinct().collect()]
+    if not lengths:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = [
+        _nearest(good.filter(F.size("embedding") == length) if len(lengths) > 1 else good, is_query, nearest, recall, sample)
+        for length in sorted(lengths)
+    ]
+    every = reduce(DataFrame.unionByName, found)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= nearest).select(
+        "query_id", "rank", "vec_id", "score"
+    )
+
+
+def _nearest(good: DataFrame, is_query, nearest: int, recall: float, sample: int) -> DataFrame:
+    """``query_id, vec_id, score``: of every block the nearest of each query, for vectors of one length."""
+    spark = good.sparkSession
     chosen = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow().combine_chunks()
-    if not chosen.num_rows:
-        return spark.createDataFrame([], shape)
     books = fit(_matrix(chosen.column("embedding").combine_chunks()), nearest, recall)
     index = materialize(_placed(good, books))
     counts = np.zeros(len(books.halves[0]) * len(books.halves[1]), np.int64)
@@ -276,8 +297,4 @@ def nearest_neighbours(
     )
     asked = probes.select("block", F.lit(True).alias("is_query"), "vec_id", "embedding", F.lit(0).alias("cell"), "cells")
     laid = kept.unionByName(asked).repartition("block").sortWithinPartitions("block", "is_query")
-    found = laid.mapInArrow(lambda batches: _compare(batches, nearest), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= nearest).select(
-        "query_id", "rank", "vec_id", "score"
-    )
+    return laid.mapInArrow(lambda batches: _compare(batches, nearest), "query_id long, vec_id long, score double")

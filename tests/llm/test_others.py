@@ -216,3 +216,32 @@ def test_records_in_training_order(spark, tmp_path):
         assert read == [records[slot] for slot in range(first, first + number)]
     assert sorted(path.name for path in tmp_path.glob("*.bin")) == [shards.shard_name(n) for n in range(-(-len(found) // 50))]
     assert shards.training_order(docs.limit(0)).count() == 0
+
+
+def test_extreme_and_differently_long_vectors(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 0.0]), (2, [1.0, 1.0]), (3, [1e-200, 1e-200]), (4, [-5e-324, 0.0]), (5, [1.7e308, 1.7e308])]
+    rows += [(50, [1.0, 2.0, 3.0]), (51, [3.0, 2.0, 1e-300]), (100, [7.0])]
+    found = neighbours.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0)
+    made = {}
+    for row in found.orderBy("query_id", "rank").collect():
+        made.setdefault(row.query_id, []).append((row.vec_id, round(row.score, 9)))
+    # Equal directions differ in the last bit of their cosines.
+    made[0][:3] = sorted(made[0][:3])
+    assert made == {
+        0: [(2, 1.0), (3, 1.0), (5, 1.0), (1, 0.707106781), (4, -0.707106781)],
+        50: [(51, round(7 / math.sqrt(14 * 13), 9))],
+    }
+
+
+def test_the_log_needs_edits_and_regenerations(spark):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {c} of turn {t}") for c in range(6) for t in range(8)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    events = chat.events_of_rows(frame)
+    assert {row.kind for row in events.select("kind").distinct().collect()} == {"delta", "edit", "regenerate"}
+
+    def standing(log):
+        return sorted((row.conv_id, row.message.turn, row.role, row.text) for row in chat.fold(log).collect())
+
+    assert standing(events) == sorted(rows)
+    for kind in ("edit", "regenerate"):
+        assert standing(events.filter(F.col("kind") != kind)) != sorted(rows)
