@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditspark.llm.common import LOWER, SpanHash, Texts, byte_class, map_slices, mix, slices
@@ -21,7 +21,8 @@ TERMS = 1 << 15
 DIMENSIONS = 32
 NEIGHBOURS = 15
 SAMPLE_PER_CLASS = 1500
-SAMPLE_CHARS = 20_000
+# All labelled texts together; how long one of them is does not matter.
+SAMPLE_BYTES = 16 << 20
 KIND_WEIGHT = np.array([1.0, 1.0, 0.5])
 
 WORD_BYTES = ~byte_class(r"[\x20\x09-\x0D]")
@@ -149,13 +150,14 @@ def vote(model: Model, column: pa.Array, neighbours: int = NEIGHBOURS) -> np.nda
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int, chars: int
+    docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int, sample_bytes: int
 ) -> tuple[pa.Table, float]:
-    """Texts and labels of at most ``per_class`` rows of each class, and the share of label 1.
+    """Texts and labels of some labelled rows, and the share of label 1.
 
     Rows come from the labelled rows that ``learn`` (a condition on ``doc_id``) admits, in the order
-    of a hash of their number. Numbers with contradictory labels are left out, and so are texts of
-    more than ``chars`` characters. The share is that of all admitted labels.
+    of a hash of their number, short and long ones alike: of each class the first ``per_class``
+    documents, as far as their texts hold no more than half of ``sample_bytes`` together. Numbers with
+    contradictory labels or without a text are left out. The share is that of all admitted labels.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -166,25 +168,37 @@ def labelled_sample(
         .select("doc_id", "label")
     )
     share = known.agg(F.coalesce(F.avg("label"), F.lit(0.5))).first()[0]
-    short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).filter(
-        F.coalesce(F.char_length("text") <= chars, F.lit(False))
-    )
-    # Spare numbers make up for labelled rows whose text is missing or too long.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).filter("text is not null")
+    # Spare numbers make up for labelled rows whose text is missing.
     order = F.xxhash64("doc_id", F.lit("sample"))
     chosen = known.filter("label = 0").orderBy(order, "doc_id").limit(4 * per_class).unionByName(
         known.filter("label = 1").orderBy(order, "doc_id").limit(4 * per_class)
     )
     side = F.broadcast(chosen) if fits_broadcast(chosen) else chosen
-    rows = short.join(side, "doc_id").select("doc_id", "label", "text")
-    both = [
-        rows.filter(F.col("label") == value).orderBy(order, "doc_id", "text").limit(per_class) for value in (0, 1)
-    ]
-    return both[0].unionByName(both[1]).toArrow().combine_chunks(), float(share)
+    sizes = (
+        texts.select("doc_id", F.octet_length("text").cast("long").alias("size"))
+        .join(side, "doc_id")
+        .groupBy("doc_id", "label")
+        .agg(F.sum("size").alias("size"))
+    )
+    # No more than four times ``per_class`` rows of two numbers for each class.
+    before = Window.partitionBy("label").orderBy(order, "doc_id")
+    taken = (
+        sizes.withColumn("place", F.row_number().over(before))
+        .withColumn("sum", F.sum("size").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+        .filter((F.col("place") <= per_class) & (F.col("sum") <= sample_bytes // 2))
+        .select("doc_id", "label")
+    )
+    listed = docs.sparkSession.createDataFrame(taken.collect(), "doc_id long, label int")
+    rows = texts.join(F.broadcast(listed), "doc_id").select("doc_id", "label", "text")
+    return rows.orderBy("label", order, "doc_id", "text").toArrow().combine_chunks(), float(share)
 
 
-def learned(docs: DataFrame, labels: DataFrame, learn, per_class: int = SAMPLE_PER_CLASS, chars: int = SAMPLE_CHARS) -> Model:
+def learned(
+    docs: DataFrame, labels: DataFrame, learn, per_class: int = SAMPLE_PER_CLASS, sample_bytes: int = SAMPLE_BYTES
+) -> Model:
     """The model of the labelled rows that ``learn`` admits."""
-    rows, share = labelled_sample(docs, labels, "quality", learn, per_class, chars)
+    rows, share = labelled_sample(docs, labels, "quality", learn, per_class, sample_bytes)
     texts = rows.column("text").combine_chunks()
     return fit(texts, rows.column("label").to_numpy(), share)
 

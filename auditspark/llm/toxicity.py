@@ -14,12 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditspark.llm.common import SpanHash, Texts, byte_class, list_array, map_slices, slices
-from auditspark.llm.quality import labelled_sample
+from auditspark.llm.quality import SAMPLE_BYTES, labelled_sample
 
 BUCKETS = 1 << 18
 EDGES = (4, 5, 6)
 SAMPLE_PER_CLASS = 1200
-SAMPLE_CHARS = 50_000
 ROUNDS = 100
 WORD_BYTES = byte_class(r"[0-9a-z\x80-\xFF]")
 STOPS = byte_class(r"[.!?\n]")
@@ -155,9 +154,11 @@ def fit(
     return Model(model.weights.astype(np.float32), float(model.base))
 
 
-def learned(docs: DataFrame, labels: DataFrame, learn, per_class: int = SAMPLE_PER_CLASS, chars: int = SAMPLE_CHARS) -> Model:
+def learned(
+    docs: DataFrame, labels: DataFrame, learn, per_class: int = SAMPLE_PER_CLASS, sample_bytes: int = SAMPLE_BYTES
+) -> Model:
     """The model of at most ``per_class`` labelled rows of each class that ``learn`` admits."""
-    rows, _ = labelled_sample(docs, labels, "toxic", learn, per_class, chars)
+    rows, _ = labelled_sample(docs, labels, "toxic", learn, per_class, sample_bytes)
     return fit(rows.column("text").combine_chunks(), rows.column("label").to_numpy())
 
 
