@@ -12,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditspark.llm.common import lean
+
 # Sixteen to thirty-two bits of a filter for every key.
 KEYS_PER_WORD = 4
 MAX_BYTES = 64 << 20
-CHUNK_WORDS = 1 << 14
+CHUNK_WORDS = 1 << 11
 
 
 def words_for(number: int, max_bytes: int = MAX_BYTES) -> int:
@@ -88,7 +90,7 @@ def build(keys: DataFrame, sizes: dict[int, int]) -> dict[int, np.ndarray]:
         .mapInArrow(placed, "shard long, chunk long, key long")
         .repartition("shard", "chunk")
         .sortWithinPartitions("shard", "chunk")
-        .mapInArrow(set_bits, "shard long, chunk long, bits binary")
+        .mapInArrow(lean(set_bits), "shard long, chunk long, bits binary")
         .toArrow()
     )
     out = {number: np.zeros(size, np.uint64) for number, size in sizes.items()}

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditspark.llm import bloom
-from auditspark.llm.common import BASE, BASE_INVERSE, mix
+from auditspark.llm.common import BASE, BASE_INVERSE, lean, mix
 from auditspark.session import materialize
 
 LETTERS = "A-Za-zÀ-ÿ"
@@ -141,7 +141,7 @@ def _keyed(words: DataFrame, parts: np.ndarray) -> DataFrame:
             columns = [pa.array(shards_of(some.sizes, key, parts).astype(np.int32)), pa.array(key.view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, ["shard", "key"])
 
-    return words.select("word").mapInArrow(run, "shard int, key long")
+    return words.select("word").mapInArrow(lean(run), "shard int, key long")
 
 
 def _grouped(shards: dict[int, int], max_bytes: int) -> list[dict[int, int]]:
@@ -182,7 +182,7 @@ def _probed(words: DataFrame, held: dict[int, np.ndarray], parts: np.ndarray) ->
                 rows = batch.take(pa.array(owner))
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()), rows.column("word"), rows.column("n")], ["key", "word", "n"])
 
-    return words.select("word", "n").mapInArrow(run, "key string, word string, n long")
+    return words.select("word", "n").mapInArrow(lean(run), "key string, word string, n long")
 
 
 def near_pairs(words: DataFrame, max_bytes: int = bloom.MAX_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
