@@ -18,14 +18,15 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import SpanHash, Texts, eight_bytes, list_array, map_slices, mix, ragged
+from auditspark.llm.common import SpanHash, Texts, eight_bytes, lean, list_array, map_slices, mix, ragged
 
 MARK = "▁"
 SHARPNESS = 1.0
-SLICE, LATTICE = 1 << 20, 1 << 18
+SLICE, LATTICE = 1 << 18, 1 << 16
 MODEL = "piece_bpe_32k.model"
 
 
@@ -43,6 +44,8 @@ class Vocabulary:
     filter: np.ndarray
     data: np.ndarray
     begins: np.ndarray
+    body: np.ndarray
+    places: np.ndarray
 
 
 def default_model() -> str:
@@ -104,7 +107,12 @@ def vocabulary(path: str) -> Vocabulary:
     slots = np.searchsorted(hashes[order] >> SLOT_SHIFT, np.arange((1 << 16) + 1, dtype=np.uint64))
     weights = np.full(len(pieces), -np.log(float(len(pieces))))
     weights[ids] = -np.log(np.arange(len(ids)) + 2.0)
-    return Vocabulary(pieces, first_byte, hashes[order], ids[order], np.unique(sizes), weights, slots, known, data, (ends - sizes)[order])
+    # All pieces behind one another, and where each begins.
+    body = np.frombuffer(b"".join(pieces), np.uint8)
+    places = np.concatenate([[0], np.cumsum([len(piece) for piece in pieces])])
+    return Vocabulary(
+        pieces, first_byte, hashes[order], ids[order], np.unique(sizes), weights, slots, known, data, (ends - sizes)[order], body, places
+    )
 
 
 _LOW_BYTES = np.array([(1 << 8 * size) - 1 for size in range(8)] + [(1 << 64) - 1], np.uint64)
@@ -273,12 +281,44 @@ def encode_batch(column: pa.Array, keys: np.ndarray, path: str, seed: int = 0, s
     return list_array(pa.array(number[at]), lengths)
 
 
-def decode_batch(ids: pa.ListArray, path: str) -> list[str | None]:
-    """Texts of piece numbers; null stays null."""
-    pieces = vocabulary(path).pieces
-    return [
-        None if row is None else b"".join([pieces[number] for number in row])[1:].decode() for row in ids.to_pylist()
-    ]
+def decode_batch(ids: pa.ListArray, path: str) -> pa.Array:
+    """Texts of piece numbers; null stays null. The blank before the first word is taken off."""
+    words = vocabulary(path)
+    flat = ids.flatten().to_numpy()
+    sizes = words.places[flat + 1] - words.places[flat]
+    data = words.body[ragged(words.places[flat], sizes)]
+    counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+    ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
+    begins = np.concatenate([[0], ends[:-1]])
+    kept = np.ones(len(data), bool)
+    kept[begins[ends > begins]] = False
+    lengths = np.maximum(ends - begins - 1, 0)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    texts = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[kept].tobytes()))
+    return pc.if_else(ids.is_valid(), texts, pa.scalar(None, pa.large_string())).cast(pa.string())
+
+
+def _encoded(docs: DataFrame, path: str | None, seed: int, sharpness: float, check: bool) -> DataFrame:
+    path = path or default_model()
+    names = ["doc_id", "ids", *(["lossless"] if check else [])]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = batch.column("_key").to_numpy(zero_copy_only=False).view(np.uint64)
+        ids = encode_batch(batch.column("text"), keys, path, seed, sharpness)
+        missing = np.array(batch.column("text").is_null())
+        if missing.any():
+            ids = pa.ListArray.from_arrays(ids.offsets, ids.values, mask=pa.array(missing))
+        columns = [batch.column("doc_id"), ids]
+        if check:
+            same = pc.equal(decode_batch(ids, path), batch.column("text"))
+            columns.append(pc.if_else(pa.array(missing), True, same))
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id").alias("_key"))
+    shape = "doc_id long, ids array<int>" + (", lossless boolean" if check else "")
+    encoded = map_slices(source, run, shape, limit=SLICE)
+    number = F.greatest(F.coalesce(F.size("ids"), F.lit(0)), F.lit(0)).alias("n_tokens")
+    return encoded.select("doc_id", "ids", number, *names[2:])
 
 
 def encode(docs: DataFrame, path: str | None = None, seed: int = 0, sharpness: float = SHARPNESS) -> DataFrame:
@@ -288,19 +328,15 @@ def encode(docs: DataFrame, path: str | None = None, seed: int = 0, sharpness: f
     Null texts have null ``ids`` and no tokens, empty texts have empty ``ids``. Repeated rows get
     equal segmentations; rows without a number share one random stream. Other columns are ignored.
     """
-    path = path or default_model()
+    return _encoded(docs, path, seed, sharpness, check=False)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = batch.column("_key").to_numpy(zero_copy_only=False).view(np.uint64)
-        ids = encode_batch(batch.column("text"), keys, path, seed, sharpness)
-        missing = np.array(batch.column("text").is_null())
-        if missing.any():
-            ids = pa.ListArray.from_arrays(ids.offsets, ids.values, mask=pa.array(missing))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id").alias("_key"))
-    encoded = map_slices(source, run, "doc_id long, ids array<int>", limit=SLICE)
-    return encoded.withColumn("n_tokens", F.greatest(F.coalesce(F.size("ids"), F.lit(0)), F.lit(0)))
+def round_trip(docs: DataFrame, path: str | None = None, seed: int = 0, sharpness: float = SHARPNESS) -> DataFrame:
+    """What :func:`encode` returns, and ``lossless``: does decoding the pieces give the text again?
+
+    A null text has no pieces to decode and counts as lossless.
+    """
+    return _encoded(docs, path, seed, sharpness, check=True)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -311,7 +347,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                texts = pa.array(decode_batch(part.column("ids"), path), pa.string())
+                texts = decode_batch(part.column("ids"), path)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), texts], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")

@@ -44,8 +44,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sampled segmentation of every document."""
-    return pieces.encode(table(spark, sf_dir, "documents"), seed=1)
+    """A sampled segmentation of every document, decoded again."""
+    return pieces.round_trip(table(spark, sf_dir, "documents"), seed=1)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
