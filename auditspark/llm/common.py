@@ -5,6 +5,7 @@ alone is longer). In a slice all texts lie behind one another in one array, so t
 sums are computed for many texts at once.
 """
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -153,6 +154,33 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def release() -> None:
+    """Give memory that Arrow and the allocator keep for later back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        # Not every C library can do that.
+        return
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], every: int = 32) -> Callable:
+    """``run`` as a function of batches that gives unused memory back after some results and at its end.
+
+    Workers stay for later stages, and what they keep adds up.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, batch in enumerate(run(batches), 1):
+            yield batch
+            if number % every == 0:
+                del batch
+                release()
+        release()
+
+    return wrapped
+
+
 def map_slices(
     frame: DataFrame,
     function: Callable[[pa.RecordBatch], pa.RecordBatch],
@@ -167,7 +195,7 @@ def map_slices(
             yield function(batch)
 
     bound_batches(frame.sparkSession)
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(lean(run), schema)
 
 
 def list_array(values: pa.Array, lengths: np.ndarray) -> pa.Array:
@@ -185,8 +213,8 @@ def free_name(frame: DataFrame, name: str) -> str:
     return name
 
 
-def with_row_key(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__row``, a number of its own for every row.
+def with_row_key(docs: DataFrame, name: str = "__row") -> DataFrame:
+    """``docs`` with the column ``name``, a number of its own for every row.
 
     The document number serves where every row has one of its own; a count of that one column tells.
     Otherwise rows are numbered and stored, so that the numbers stay the same.
@@ -194,13 +222,13 @@ def with_row_key(docs: DataFrame) -> DataFrame:
     number = F.col("doc_id").cast("long")
     seen = docs.groupBy(number.alias("doc_id")).agg(F.count("*").alias("n"))
     if seen.filter("n > 1 or doc_id is null").isEmpty():
-        return docs.withColumn("__row", number)
-    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+        return docs.withColumn(name, number)
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()))
 
 
 def label_fold(column: str, parts: int):
-    """The remainder that decides which labelled rows may be learned from."""
-    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(parts))
+    """The remainder that decides which labelled rows may be learned from; a null counts as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(parts))
 
 
 def split_groups(members: DataFrame, key: list[str], item: str, limit: int) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import SpanHash, Texts, byte_class, list_array, map_slices, mix, with_row_key
+from auditspark.llm.common import SpanHash, Texts, byte_class, free_name, list_array, map_slices, mix, with_row_key
 from auditspark.session import materialize
 
 WINDOW = 13
@@ -298,7 +298,8 @@ def clean(
             return batch.filter(pa.array((hit == 0) | (20 * hit < counts)))
 
         return map_slices(docs, run, docs.schema)
-    numbered = with_row_key(docs)
-    found = overlaps(numbered.withColumn("doc_id", F.col("__row")), benchmark, window, gram, part_bytes)
-    bad = materialize(_judged(found).filter("contaminated").select(F.col("doc_id").alias("__row")))
-    return numbered.join(bad, "__row", "left_anti").select(*docs.columns)
+    row = free_name(docs, "__row")
+    numbered = with_row_key(docs, row)
+    found = overlaps(numbered.select(F.col(row).alias("doc_id"), "text"), benchmark, window, gram, part_bytes)
+    bad = materialize(_judged(found).filter("contaminated").select(F.col("doc_id").alias(row)))
+    return numbered.join(bad, row, "left_anti").select(*docs.columns)

@@ -9,6 +9,7 @@ take part like others; rows without one are left as they are.
 Pairs of a band are not listed. First every line of a band is compared with the band's smallest
 line only. After that, bands whose lines still lie in different components are compared fully, in
 tasks that get the lines' texts and skip what is already connected; large ones are cut into blocks.
+Every link goes into one search for components.
 """
 
 from collections.abc import Callable, Iterator
@@ -18,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import SpanHash, Texts, eight_bytes, map_slices, mix, split_groups, with_row_key
+from auditspark.llm.common import SpanHash, Texts, eight_bytes, free_name, lean, map_slices, mix, split_groups, with_row_key
 from auditspark.llm.components import components
-from auditspark.llm.urls import BITS_PER_KEY, MAX_BYTES, Filter, build_filter, passing
+from auditspark.llm.urls import BITS_PER_KEY, MAX_BYTES, Filter, build_filter
 from auditspark.session import materialize
 
 SHINGLE = 8
@@ -31,27 +32,36 @@ GROUP_LIMIT = 512
 SLICE = 1 << 18
 # More lines than a document can have.
 LINES = 1 << 32
+# White space of all kinds but the line feed; a line of nothing else is blank.
+WHITE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+# Bits of the picture of a shingle set.
+PICTURE = 2048
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__row``, a number of its own for every row, in the order of the corpus."""
-    numbered = with_row_key(docs)
+def _numbered(docs: DataFrame, row: str) -> DataFrame:
+    """``docs`` with ``row``, a number of its own for every row, in the order of the corpus."""
+    numbered = with_row_key(docs, row)
     number = F.col("doc_id").cast("long")
-    if numbered.filter(~F.col("__row").eqNullSafe(number)).isEmpty():
+    if numbered.filter(~F.col(row).eqNullSafe(number)).isEmpty():
         return numbered
     # Sorted partitions follow one another, so numbers counted in them rise with the order.
     places = materialize(
-        numbered.select(number.alias("doc_id"), "__row")
+        numbered.select(number.alias("doc_id"), F.col(row).alias("__row"))
         .orderBy(F.col("doc_id").asc_nulls_last(), "__row")
-        .select("__row", F.monotonically_increasing_id().alias("__place"))
+        .select(F.col("__row").alias("__old"), F.monotonically_increasing_id().alias("__place"))
     )
-    return materialize(numbered.join(places, "__row").select(*docs.columns, F.col("__place").alias("__row")))
+    joined = numbered.join(places, numbered[row] == places["__old"])
+    return materialize(joined.select(*(numbered[name] for name in docs.columns), F.col("__place").alias(row)))
+
+
+def _plain(numbered: DataFrame, row: str) -> DataFrame:
+    return numbered.select(F.col(row).alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """``__row, line_no, line, h1, h2`` for every line that is not blank, of rows with a document number; numbers start at 0."""
     split = docs.filter("doc_id is not null").select("__row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return split.filter("trim(line) <> ''").select(
+    return split.filter(F.btrim("line", F.lit(WHITE)) != "").select(
         "*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2")
     )
 
@@ -61,6 +71,14 @@ def _place() -> Column:
     return (F.col("__row").cast("decimal(20,0)") * F.lit(LINES) + F.col("line_no")).cast("decimal(38,0)")
 
 
+def _row_of(place: str) -> Column:
+    return F.expr(f"({place} - pmod({place}, {LINES})) div {LINES}").cast("long")
+
+
+def _line_of(place: str) -> Column:
+    return F.expr(f"pmod({place}, {LINES})").cast("int")
+
+
 def _char_shingles(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hash of every shingle of ``size`` characters, and how many each text has (one if shorter).
 
@@ -98,10 +116,18 @@ def signatures(column: pa.Array, size: int = SHINGLE, bands: int = BANDS, rows:
     cuts = (np.cumsum(made) - made)[some]
     orders = mix(np.arange(1, bands * rows + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
     value = np.zeros((texts.size, bands), np.uint64)
-    for at, order in enumerate(orders):
-        least = np.minimum.reduceat(short * order, cuts) if len(cuts) else np.zeros(0, np.uint32)
-        band = at // rows
-        value[some, band] = mix(value[some, band] * np.uint64(31) + least)
+    if not len(cuts):
+        return value ^ mix(np.arange(bands, dtype=np.uint64))[None, :]
+    # One array serves all orders; a new one each time would cost more than the sums.
+    product, least = np.empty_like(short), np.empty((rows, len(cuts)), np.uint32)
+    for band in range(bands):
+        for row in range(rows):
+            np.multiply(short, orders[band * rows + row], out=product)
+            np.minimum.reduceat(product, cuts, out=least[row])
+        mixed = np.zeros(len(cuts), np.uint64)
+        for row in least:
+            mixed = mix(mixed * np.uint64(31) + row)
+        value[some, band] = mixed
     return value ^ mix(np.arange(bands, dtype=np.uint64))[None, :]
 
 
@@ -130,20 +156,82 @@ def similar(one: set[str], two: set[str], least: float = SIMILAR) -> bool:
     return common * 1000 >= bound * (small + large - common)
 
 
+class Exact:
+    """Comparisons of lines by their shingles themselves, which are kept for lines that come again.
+
+    Where both lines are Latin-1, a shingle of eight characters is one number of eight bytes.
+    """
+
+    def __init__(self, size: int, least: float):
+        self.size, self.least = size, least
+        self.numbers: dict[str, np.ndarray | None] = {}
+        self.sets: dict[str, set[str]] = {}
+
+    def _numbers(self, line: str) -> np.ndarray | None:
+        if line not in self.numbers:
+            try:
+                data = np.frombuffer(line.encode("latin-1"), np.uint8)
+                fits = self.size == 8 <= len(data)
+            except UnicodeEncodeError:
+                fits = False
+            self.numbers[line] = np.unique(eight_bytes(data)[:len(data) - 7]) if fits else None
+        return self.numbers[line]
+
+    def _set(self, line: str) -> set[str]:
+        if line not in self.sets:
+            self.sets[line] = shingle_set(line, self.size)
+        return self.sets[line]
+
+    def similar(self, one: str, two: str) -> bool:
+        left, right = self._numbers(one), self._numbers(two)
+        if left is None or right is None:
+            return similar(self._set(one), self._set(two), self.least)
+        small, large = sorted((len(left), len(right)))
+        bound = round(self.least * 1000)
+        if small * 1000 < bound * large:
+            return False
+        both = np.sort(np.concatenate([left, right]))
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        return common * 1000 >= bound * (small + large - common)
+
+
+def _pictures(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A row of bits per line, in which each shingle sets the bit that its hash names, and the number of shingles."""
+    pictures, counts = np.zeros((len(column), PICTURE // 64), np.uint64), np.zeros(len(column), np.int64)
+    for low in range(0, len(column), 512):
+        short, made = _char_shingles(Texts(column.slice(low, 512)), size)
+        bits = np.zeros((len(made), PICTURE), bool)
+        bits.ravel()[np.repeat(np.arange(len(made)) * PICTURE, made) + short % np.uint32(PICTURE)] = True
+        pictures[low:low + 512] = np.packbits(bits, axis=1).view(np.uint64)
+        counts[low:low + 512] = made
+    return pictures, counts
+
+
+def _may_be_similar(ones: np.ndarray, n_ones: np.ndarray, twos: np.ndarray, n_twos: np.ndarray, least: float) -> np.ndarray:
+    """False for pairs of pictures whose lines cannot reach the similarity.
+
+    Every bit that only one picture has stands for a shingle that the lines do not share.
+    """
+    lacks = np.bitwise_count(ones & ~twos).sum(axis=-1, dtype=np.int64)
+    more = np.bitwise_count(twos & ~ones).sum(axis=-1, dtype=np.int64)
+    common = np.minimum(n_ones - lacks, n_twos - more)
+    return common * 1000 >= round(least * 1000) * (common + lacks + more)
+
+
 def _verify(pairs: DataFrame, size: int, least: float) -> DataFrame:
-    """Those of ``a, b, line_a, line_b`` that are similar; the set of a repeated left line is kept."""
+    """Those of ``a, b, line_a, line_b`` that are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, set()
         for batch in batches:
-            good = []
-            for one, two in zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist()):
-                if one != last:
-                    last, kept = one, shingle_set(one, size)
-                good.append(similar(kept, shingle_set(two, size), least))
+            maybe = _may_be_similar(
+                *_pictures(batch.column("line_a"), size), *_pictures(batch.column("line_b"), size), least
+            )
+            batch, exact = batch.filter(pa.array(maybe)), Exact(size, least)
+            lines = zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist())
+            good = [exact.similar(one, two) for one, two in lines]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.select("a", "b", "line_a", "line_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "line_a", "line_b").mapInArrow(lean(run), "a long, b long")
 
 
 def _small_filter(keys: DataFrame, pair: Callable) -> Filter | None:
@@ -153,7 +241,7 @@ def _small_filter(keys: DataFrame, pair: Callable) -> Filter | None:
 
 
 def _members(distinct: DataFrame, shared: DataFrame) -> DataFrame:
-    """``node, h1, h2, band, least`` for every line in a band of several lines.
+    """``node, row, line_no, band, least`` for every line in a band of several lines.
 
     A filter of those bands, if it is small enough, leaves out most of the others before the join.
     """
@@ -163,8 +251,9 @@ def _members(distinct: DataFrame, shared: DataFrame) -> DataFrame:
         return band, mix(band)
 
     known = _small_filter(shared.select("band"), pair)
+    narrow = distinct.select("node", F.col("first_row").alias("row"), F.col("first_line").alias("line_no"), "bands")
     if known is None:
-        rows = distinct.select("node", "h1", "h2", F.explode("bands").alias("band"))
+        rows = narrow.select("node", "row", "line_no", F.explode("bands").alias("band"))
     else:
         held = distinct.sparkSession.sparkContext.broadcast(known)
 
@@ -174,58 +263,78 @@ def _members(distinct: DataFrame, shared: DataFrame) -> DataFrame:
                 flat = bands.flatten().to_numpy().view(np.uint64)
                 kept = np.flatnonzero(held.value.holds(flat, mix(flat)))
                 owner = bands.value_parent_indices().take(pa.array(kept))
-                columns = [batch.column(name).take(owner) for name in ("node", "h1", "h2")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(flat[kept].view(np.int64))], ["node", "h1", "h2", "band"])
+                columns = [batch.column(name).take(owner) for name in ("node", "row", "line_no")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(flat[kept].view(np.int64))], ["node", "row", "line_no", "band"])
 
-        rows = distinct.select("node", "h1", "h2", "bands").mapInArrow(run, "node long, h1 long, h2 long, band long")
+        rows = narrow.mapInArrow(lean(run), "node long, row long, line_no int, band long")
     return rows.join(shared.select("band", "least"), "band")
 
 
 def _texts_of(lines: DataFrame, needed: DataFrame) -> DataFrame:
-    """``node, line`` for the nodes of ``needed(node, h1, h2)``, a stored table.
+    """``node, line`` for the nodes of ``needed(node, row, line_no)``, a stored table with one place per node.
 
-    A filter of the needed lines, if it is small enough, keeps the texts of most others from the join.
+    A filter of the needed places, if it is small enough, keeps most other lines from the join.
     """
 
     def pair(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(batch.column(name).to_numpy().view(np.uint64) for name in ("h1", "h2"))
+        row = batch.column("row").to_numpy().view(np.uint64)
+        line = batch.column("line_no").to_numpy().astype(np.uint64)
+        return mix(row * np.uint64(LINES) + line), mix(row ^ mix(line + np.uint64(1)))
 
-    rows = lines.select(F.col("line").alias("key"), "h1", "h2")
-    known = _small_filter(needed.select("h1", "h2"), pair)
-    found = (rows if known is None else passing(rows, known)).join(needed, ["h1", "h2"])
-    return found.groupBy("node").agg(F.min("key").alias("line"))
+    rows = lines.select(F.col("__row").alias("row"), "line_no", "line")
+    known = _small_filter(needed.select("row", "line_no"), pair)
+    if known is not None:
+        held = lines.sparkSession.sparkContext.broadcast(known)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(held.value.holds(*pair(batch))))
+
+        rows = rows.mapInArrow(lean(run), "row long, line_no int, line string")
+    return rows.join(needed, ["row", "line_no"]).select("node", "line")
 
 
 def _fully(batches: Iterator[pa.RecordBatch], size: int, least: float) -> Iterator[pa.RecordBatch]:
     """Links inside groups of ``band, unit, node, root, line`` that arrive in order of band and unit."""
 
     def emit(group: list[tuple]) -> list[tuple[int, int]]:
-        parent = {row[1]: row[1] for row in group}
+        """``group`` holds parts of columns: nodes, roots, lines, pictures and numbers of shingles."""
+        nodes, roots, lines = ([value for part in group for value in part[n]] for n in range(3))
+        if len(nodes) < 2:
+            return []
+        pictures, counts = (np.concatenate([part[n] for part in group]) for n in (3, 4))
+        parent, exact, found = {}, Exact(size, least), []
 
         def find(node: int) -> int:
-            while parent[node] != node:
+            while parent.setdefault(node, node) != node:
                 parent[node] = parent[parent[node]]
                 node = parent[node]
             return node
 
-        sets = [shingle_set(row[2], size) for row in group]
-        found = []
-        for at, (node, root, _) in enumerate(group):
-            for other in range(at):
-                if find(root) != find(group[other][1]) and similar(sets[at], sets[other], least):
-                    parent[find(root)] = find(group[other][1])
-                    found.append((node, group[other][0]))
+        # So many lines at a time are looked at against all others, as small groups are the rule.
+        step = max(1, (1 << 14) // len(nodes))
+        for low in range(0, len(nodes), step):
+            some = slice(low, low + step)
+            maybe = _may_be_similar(pictures[some, None], counts[some, None], pictures[None], counts[None], least)
+            for at, other in zip(*np.nonzero(maybe)):
+                at, other = low + int(at), int(other)
+                if other < at and find(roots[at]) != find(roots[other]) and exact.similar(lines[at], lines[other]):
+                    parent[find(roots[at])] = find(roots[other])
+                    found.append((nodes[at], nodes[other]))
         return found
 
     key, group = None, []
     for batch in batches:
         found = []
-        columns = (batch.column(name).to_pylist() for name in ("band", "unit", "node", "root", "line"))
-        for band, unit, node, root, line in zip(*columns):
-            if (band, unit) != key:
+        band, unit = (batch.column(name).to_numpy() for name in ("band", "unit"))
+        nodes, roots, lines = (batch.column(name).to_pylist() for name in ("node", "root", "line"))
+        pictures, counts = _pictures(batch.column("line"), size)
+        cuts = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (unit[1:] != unit[:-1])]).tolist() if len(band) else []
+        for low, high in zip(cuts, [*cuts[1:], len(band)]):
+            if (band[low], unit[low]) != key:
                 found += emit(group)
-                key, group = (band, unit), []
-            group.append((node, root, line))
+                key, group = (band[low], unit[low]), []
+            group.append((nodes[low:high], roots[low:high], lines[low:high], pictures[low:high], counts[low:high]))
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
     found = emit(group)
     yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
@@ -255,7 +364,10 @@ def _classes(
             F.min(_place()).alias("first"), F.count("*").alias("n"),
             *[F.first(F.get("bands", F.lit(at))).alias(f"b{at}") for at in range(bands)],
         )
-        .select("h1", "h2", "first", "n", F.array(*[f"b{at}" for at in range(bands)]).alias("bands"))
+        .select(
+            "h1", "h2", "first", "n", F.array(*[f"b{at}" for at in range(bands)]).alias("bands"),
+            _row_of("first").alias("first_row"), _line_of("first").alias("first_line"),
+        )
         .withColumn("node", F.monotonically_increasing_id())
     )
     shared = materialize(
@@ -265,7 +377,7 @@ def _classes(
         .filter("n > 1")
     )
     members = materialize(_members(distinct, shared))
-    needed = materialize(members.select("node", "h1", "h2").distinct())
+    needed = materialize(members.select("node", "row", "line_no").distinct())
     texts = materialize(_texts_of(lines, needed))
     pairs = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     filled = (
@@ -273,10 +385,11 @@ def _classes(
         .join(texts.select(F.col("node").alias("a"), F.col("line").alias("line_a")), "a")
     )
     first_links = materialize(_verify(filled, size, least))
-    roots = materialize(components(first_links))
+    # Lines of one label are connected. Which labels belong together is found at the end, at once.
+    labels = materialize(first_links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")))
     # What is left are pairs without the band's smallest line, in bands of three lines or more. Bands of
     # the same lines, as most bands of close copies are, count once.
-    placed = members.filter("node <> least").join(roots, "node", "left").select(
+    placed = members.filter("node <> least").join(labels, "node", "left").select(
         "band", "node", F.coalesce("root", "node").alias("root")
     )
     apart = (
@@ -290,16 +403,15 @@ def _classes(
         .agg(F.min("band").alias("band"))
     )
     mixed = split_groups(placed.join(apart.select("band"), "band"), ["band"], "node", limit)
-    laid = mixed.join(texts, "node").repartition("band", "unit").sortWithinPartitions("band", "unit", "root", "node")
+    # Comparing costs more than its bytes tell, so the number of tasks is named.
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = mixed.join(texts, "node").repartition(tasks, "band", "unit").sortWithinPartitions("band", "unit", "root", "node")
     more_links = materialize(
         laid.select("band", "unit", "node", "root", "line").mapInArrow(
-            lambda batches: _fully(batches, size, least), "a long, b long"
+            lean(lambda batches: _fully(batches, size, least)), "a long, b long"
         )
     )
-    if more_links.isEmpty():
-        joined = roots
-    else:
-        joined = materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more_links)))
+    joined = materialize(components(first_links.unionByName(more_links)))
     rooted = distinct.join(joined, "node", "left").select("h1", "h2", "first", "n", "root", F.coalesce("root", "node").alias("class"))
     keepers = rooted.filter("root is not null").groupBy("class").agg(F.min("first").alias("keeper"))
     several = (
@@ -310,29 +422,38 @@ def _classes(
     return signed.select("__row", "line_no", "h1", "h2").join(several, ["h1", "h2"]).select(
         "__row",
         "line_no",
-        F.expr(f"(keeper - pmod(keeper, {LINES})) div {LINES}").cast("long").alias("keeper_row"),
-        F.expr(f"pmod(keeper, {LINES})").cast("int").alias("keeper_line"),
+        _row_of("keeper").alias("keeper_row"),
+        _line_of("keeper").alias("keeper_line"),
     )
 
 
+def _named(classes: DataFrame, plain: DataFrame) -> DataFrame:
+    """Add ``keeper_doc``, the document number of the keeper's row."""
+    if plain.filter(~F.col("__row").eqNullSafe(F.col("doc_id"))).isEmpty():
+        return classes.withColumn("keeper_doc", F.col("keeper_row"))
+    names = plain.select(F.col("__row").alias("keeper_row"), F.col("doc_id").alias("keeper_doc"))
+    return classes.join(names, "keeper_row")
+
+
 def repeated_lines(docs: DataFrame, **settings) -> DataFrame:
     """``doc_id, line_no, keeper_doc, keeper_line`` for every line of a class of several lines.
 
     The keeper of a class is the line with the smallest document and line number. Rows that share a
     number are compared like others. Rows without one belong to no class.
     """
-    numbered = materialize(_numbered(docs).select("__row", F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    names = numbered.select("__row", "doc_id")
-    keepers = names.select(F.col("__row").alias("keeper_row"), F.col("doc_id").alias("keeper_doc"))
-    found = _classes(numbered, **settings).join(names, "__row").join(keepers, "keeper_row")
+    row = free_name(docs, "__row")
+    plain = materialize(_plain(_numbered(docs, row), row))
+    found = _named(_classes(plain, **settings), plain).join(plain.select("__row", "doc_id"), "__row")
     return found.select("doc_id", "line_no", "keeper_doc", "keeper_line")
 
 
+def _going(classes: DataFrame) -> DataFrame:
+    return classes.filter("__row <> keeper_row or line_no <> keeper_line")
+
+
 def dropped_lines(docs: DataFrame, **settings) -> DataFrame:
     """``__row, dropped``: the sorted numbers of the lines that go, for numbered rows that lose any."""
-    classes = _classes(docs, **settings)
-    goes = classes.filter("__row <> keeper_row or line_no <> keeper_line")
-    return goes.groupBy("__row").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
+    return _going(_classes(docs, **settings)).groupBy("__row").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
 def _line_count(text: Column) -> Column:
@@ -340,18 +461,24 @@ def _line_count(text: Column) -> Column:
 
 
 def line_report(docs: DataFrame, **settings) -> DataFrame:
-    """``doc_id, n_lines, n_dropped, dropped`` for every row of ``docs``; null text has no lines."""
-    numbered = _numbered(docs)
-    counts = numbered.select(
-        "__row",
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.when(F.col("text").isNull(), 0).otherwise(_line_count(F.col("text"))).alias("n_lines"),
+    """``doc_id, n_lines, n_dropped, dropped, keepers`` for every row of ``docs``; null text has no lines.
+
+    ``keepers`` says for every dropped line, in the same order, which line of which document stays.
+    """
+    row = free_name(docs, "__row")
+    plain = _plain(_numbered(docs, row), row)
+    counts = plain.select(
+        "__row", "doc_id", F.when(F.col("text").isNull(), 0).otherwise(_line_count(F.col("text"))).alias("n_lines")
+    )
+    goes = _named(_going(_classes(plain, **settings)), plain)
+    kept = F.struct("line_no", "keeper_doc", "keeper_line")
+    # The lines of one document.
+    found = goes.groupBy("__row").agg(F.sort_array(F.collect_list(kept)).alias("keepers"))
+    none = F.array().cast("array<struct<line_no: int, keeper_doc: bigint, keeper_line: int>>")
+    joined = counts.join(found, "__row", "left").withColumn("keepers", F.coalesce("keepers", none))
+    return joined.select(
+        "doc_id", "n_lines", F.size("keepers").alias("n_dropped"), F.col("keepers.line_no").alias("dropped"), "keepers"
     )
-    found = dropped_lines(numbered, **settings)
-    none = F.array().cast("array<int>")
-    return counts.join(found, "__row", "left").select(
-        "doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"), F.coalesce("dropped", none).alias("dropped")
-    ).withColumn("n_dropped", F.greatest("n_dropped", F.lit(0)))
 
 
 def without_repeats(docs: DataFrame, **settings) -> DataFrame:
@@ -360,28 +487,27 @@ def without_repeats(docs: DataFrame, **settings) -> DataFrame:
     A document that consisted of repeated lines only goes. A text that was null, empty or blank
     before stays as it is, and so do rows without a document number. All columns are kept.
     """
-    numbered = _numbered(docs)
-    found = materialize(dropped_lines(numbered, **settings)).select(
-        F.col("__row").alias("__doc"), F.col("dropped").alias("__dropped")
+    row, of, gone = (free_name(docs, name) for name in ("__row", "__doc", "__dropped"))
+    numbered = _numbered(docs, row)
+    found = materialize(dropped_lines(_plain(numbered, row), **settings)).select(
+        F.col("__row").alias(of), F.col("dropped").alias(gone)
     )
     # Documents that lose lines are as many as documents, so both sides are shuffled at every size.
-    joined = numbered.join(found.hint("merge"), F.col("__row") == F.col("__doc"), "left")
+    joined = numbered.join(found.hint("merge"), numbered[row] == found[of], "left").drop(of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for at, gone in enumerate(batch.column("__dropped").to_pylist()):
-                if gone:
-                    out = set(gone)
+            for at, dropped in enumerate(batch.column(gone).to_pylist()):
+                if dropped:
+                    out = set(dropped)
                     texts[at] = "\n".join(x for n, x in enumerate(texts[at].split("\n")) if n not in out)
             place = batch.schema.get_field_index("text")
-            changed = batch.set_column(place, "text", pa.array(texts, pa.string()))
-            yield changed.drop_columns(["__doc"])
+            yield batch.set_column(place, "text", pa.array(texts, pa.string()))
 
-    shape = joined.drop("__doc").schema
-    cut = joined.mapInArrow(run, shape)
-    blank = F.col("__dropped").isNotNull() & (F.trim(F.translate("text", "\n", "")) == "")
-    left = cut.filter(~F.coalesce(blank, F.lit(False))).drop("__dropped")
+    cut = joined.mapInArrow(lean(run), joined.schema)
+    blank = F.col(gone).isNotNull() & (F.btrim("text", F.lit(WHITE + "\n")) == "")
+    left = cut.filter(~F.coalesce(blank, F.lit(False)))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return left.select(*docs.columns)

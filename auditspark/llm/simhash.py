@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from auditspark.llm.common import Texts, byte_class, map_slices, split_groups, with_row_key
+from auditspark.llm.common import Texts, byte_class, free_name, map_slices, split_groups, with_row_key
 from auditspark.llm.components import components, hook
 from auditspark.session import materialize
 
@@ -252,13 +252,16 @@ def distinct_documents(docs: DataFrame, words: int = 4, radius: int = 4, limit:
     Of each component the row with the smallest document number stays, of repeated rows with that
     number one. Where no row of a component has a number, one of its rows stays.
     """
-    numbered = with_row_key(docs)
-    found = near_duplicates(numbered.withColumn("doc_id", F.col("__row")), words, radius, limit)
+    row = free_name(docs, "__row")
+    numbered = with_row_key(docs, row)
+    plain = numbered.select(F.col(row).alias("doc_id"), "text")
+    found = near_duplicates(plain, words, radius, limit)
     placed = found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
-    ranked = materialize(numbered.select("__row", order.alias("order")).join(placed, "__row"))
+    ordered = numbered.select("doc_id", F.col(row).alias("__row")).select("__row", order.alias("order"))
+    ranked = materialize(ordered.join(placed, "__row"))
     leaders = ranked.groupBy("__group").agg(F.min("order").alias("first"))
     # Most documents stay, so the table of those that go is the smaller one.
     goes = ranked.join(leaders, ranked["__group"] == leaders["__group"])
-    gone = materialize(goes.filter(F.col("__row") != F.col("first.__row")).select("__row"))
-    return numbered.join(gone, "__row", "left_anti").select(*docs.columns)
+    gone = materialize(goes.filter(F.col("__row") != F.col("first.__row")).select(F.col("__row").alias(row)))
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)

@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -152,7 +153,7 @@ def test_line_classes_match_brute_force(spark):
         for row in docs.collect()
         if row.doc_id is not None and row.text is not None
         for number, line in enumerate(row.text.split("\n"))
-        if line.strip(" ")
+        if line.strip()
     }
     texts = sorted(set(at.values()))
     root = joined(texts, [(a, b) for n, a in enumerate(texts) for b in texts[:n] if similar_lines(a, b)])
@@ -233,6 +234,32 @@ def test_registered_line_query_finds_pairs_near_the_threshold(spark, tmp_path):
     assert recall >= 0.997
 
 
+def test_lines_compare_alike_in_either_form():
+    rng = random.Random(8)
+    words = ["größe", "naïve", "plain", "“quoted”", "日本語", "ab", "x"]
+    for _ in range(600):
+        one = " ".join(rng.choices(words[:3] if rng.random() < 0.5 else words, k=rng.randrange(1, 25)))
+        two = one if rng.random() < 0.1 else "".join(c if rng.random() < 0.97 else rng.choice("ab é“") for c in one)
+        assert lines.Exact(8, 0.8).similar(one, two) == lines.similar(lines.shingle_set(one), lines.shingle_set(two))
+        pictures, counts = lines._pictures(pa.array([one, two]), 8)
+        if similar_lines(one, two):
+            assert lines._may_be_similar(pictures[:1], counts[:1], pictures[1:], counts[1:], 0.8).all()
+
+
+def test_white_lines_and_clashing_names(spark):
+    rows = [(1, "first line of all\r\n\r\n\t\nx", 5, "r", "d", "o", "g"), (2, "another line here\r\n\r\n\t\ny\u3000\n\u3000", 5, "r", "d", "o", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row long, __doc string, __dropped string, __group string, keepers string")
+    assert [row.n_dropped for row in lines.line_report(docs).collect()] == [0, 0]
+    for frame in (lines.without_repeats(docs), simhash.distinct_documents(docs), decontaminate.clean(docs, spark.createDataFrame([], "item_id long, text string"))):
+        assert frame.columns == docs.columns and sorted(map(tuple, frame.collect())) == rows
+    twice = docs.unionByName(docs.withColumn("doc_id", F.lit(3).cast("long"))).unionByName(docs)
+    kept = lines.without_repeats(twice)
+    assert kept.columns == docs.columns and {row["__row"] for row in kept.collect()} == {5}
+    report = {(row.doc_id, row.n_dropped): row for row in lines.line_report(twice.filter("doc_id <> 2")).collect()}
+    last = report[3, 2]
+    assert [tuple(one) for one in last.keepers][:1] == [(0, 1, 0)] and last.dropped == [one.line_no for one in last.keepers]
+
+
 def test_lines_of_rows_that_share_a_number(spark):
     rng = random.Random(4)
     same, one, two, three = (sentence(rng, 15) for _ in range(4))
@@ -325,6 +352,9 @@ def test_segmentations_are_lossless_and_reproducible(odd_docs, no_docs):
     assert sorted((str(row.doc_id), str(row.text)) for row in pieces.decode(encoded).collect()) == texts
     again = pieces.encode(odd_docs.repartition(1), seed=4)
     assert sorted(map(str, again.collect())) == sorted(map(str, encoded.collect()))
+    trip = pieces.round_trip(odd_docs, seed=4)
+    assert trip.filter("not lossless or lossless is null").count() == 0
+    assert sorted(map(str, trip.drop("lossless").collect())) == sorted(map(str, encoded.collect()))
     other = pieces.encode(odd_docs, seed=5)
     assert sorted(map(str, other.collect())) != sorted(map(str, encoded.collect()))
     assert encoded.filter("n_tokens <> coalesce(size(ids), 0) and ids is not null").count() == 0
