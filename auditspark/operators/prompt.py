@@ -37,6 +37,9 @@ def route(scans: DataFrame) -> DataFrame:
 
 
 _ENCODER = json.JSONEncoder(indent=2)
+# No element of a list takes fewer characters of indented JSON, so this many of them reach the limit.
+_LEAST_ELEMENT = len('\n      "",')
+_MOST_ELEMENTS = V.PROMPT_LIMIT // _LEAST_ELEMENT + 1
 
 
 def _indented(document: dict) -> str:
@@ -61,8 +64,10 @@ def prompts(facts: DataFrame) -> DataFrame:
 
     The length cut counts characters of indented JSON with ASCII escapes, which Spark's own JSON
     writer does not produce; the text is made in Arrow batches from rows that stay where they are.
+    Facts that would certainly lie behind the cut are not handed over.
     """
-    document = F.struct(F.col("path").alias("filepath"), *schemas.FACT_TYPES)
+    kinds = [F.slice(kind, 1, _MOST_ELEMENTS).alias(kind) for kind in schemas.FACT_TYPES]
+    document = F.struct(F.col("path").alias("filepath"), *kinds)
     return eligible(facts).select("scan_id", "path", _prompt_text(document).alias("prompt"))
 
 

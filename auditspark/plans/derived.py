@@ -16,15 +16,25 @@ from pyspark.sql import functions as F
 from auditspark.session import durable_folder, materialize
 
 
+ROWS_PER_TASK = 10_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """A given table, spread over all cores where it has fewer partitions than there are cores.
+    """A given table, spread over all cores where its rows lie in fewer partitions than there are cores.
 
-    A large table has more partitions than that and is left as it is, and so is one that the next
-    step shuffles anyway (``spread=False``).
+    Partitions are counted by their rows: a file has as many as its bytes make, but all rows of a row
+    group are in one of them. A table whose rows lie evenly is left as it is, and so is one that the
+    next step shuffles anyway (``spread=False``).
     """
     frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if not spread:
+        return frame
     cores = spark.sparkContext.defaultParallelism
-    return frame if not spread or frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+    # Without columns only the footers are read.
+    held = frame.groupBy(F.spark_partition_id()).count().agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()
+    if not held["n"] or held["most"] * cores <= 2 * held["n"]:
+        return frame
+    return frame.repartition(max(cores, -(-held["n"] // ROWS_PER_TASK)))
 
 
 def _pick(key: Column, values: list[str]) -> Column:
