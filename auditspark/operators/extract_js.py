@@ -24,6 +24,8 @@ NAME = r"[A-Za-z_$][\w$]*+"
 MASK = rf"{LITERAL}[^{LITERAL_END}]*+{LITERAL_END}"
 MARK = rf"{PLACE}\d++{PLACE_END}"
 HIDDEN = rf"(?:{MARK}|{PAIR}\d++{PAIR_END}|[{SOFT}{FRESH}])"
+# What frames the findings in a text: marks without a number, which no masked text has.
+FIND, FIELD, FIND_END = PAIR + PAIR_END, PLACE + PLACE_END, LITERAL + LITERAL_END
 _numbers = iter(range(10_000))
 
 
@@ -121,17 +123,19 @@ def _no_names() -> Column:
 
 def _restored(text: Column, tokens: Column) -> Column:
     """Code with its literals, without marks."""
-    pieces = F.regexp_extract_all(text, F.lit(rf"({LITERAL}[^{LITERAL_END}]*+{LITERAL_END}?+|{HIDDEN}|[^{LITERAL}{PLACE}{PAIR}{SOFT}{FRESH}]++|(?s:.))"), 1)
     place = lambda piece: F.regexp_extract(piece, r"(\d++)", 1).cast("int")
-    return F.array_join(
-        F.transform(
+
+    def put_back(code: Column) -> Column:
+        pieces = F.regexp_extract_all(code, F.lit(rf"({LITERAL}[^{LITERAL_END}]*+{LITERAL_END}?+|[^{LITERAL}]++)"), 1)
+        found = F.transform(
             pieces,
-            lambda piece: F.when(F.startswith(piece, F.lit(LITERAL)), F.get(tokens, place(piece)))
-            .when(F.substr(piece, F.lit(1), F.lit(1)).isin(PLACE, PAIR, SOFT, FRESH), F.lit(""))
-            .otherwise(piece),
-        ),
-        "",
-    )
+            lambda piece: F.when(F.startswith(piece, F.lit(LITERAL)), F.get(tokens, place(piece))).otherwise(piece),
+        )
+        return F.when(F.contains(code, F.lit(LITERAL)), F.array_join(found, "")).otherwise(code)
+
+    # The only element of an array is computed once, whatever reads it.
+    bare = F.array(F.regexp_replace(text, rf"{HIDDEN}|[{PLACE}{PAIR}]", ""))
+    return F.get(F.transform(bare, put_back), F.lit(0))
 
 
 def _unmarked(text: Column) -> Column:
@@ -155,18 +159,29 @@ def _marked(lines: Column, kind: str) -> Column:
 
 
 def _found(marked: Column, pattern: str) -> Column:
-    """For every mark that ``pattern`` follows: the line number and the pattern's named groups."""
+    """For every mark that ``pattern`` follows: the line number and the pattern's named groups.
+
+    The groups of a match are put into its place with marks around them, so the text is read once for all groups.
+    """
     whole = rf"{PLACE}(?<lineno>\d++){PLACE_END}(?={pattern})"
     names = {name: at for name, at in _groups(whole).items() if not re.fullmatch(r"p\d+", name)}
-    parts = [F.regexp_extract_all(marked, F.lit(whole), at).alias(name) for name, at in names.items()]
+    put = FIND + FIELD.join(f"${at}" for at in names.values()) + FIND_END
+    pieces = F.split(F.regexp_replace(marked, F.lit(whole), F.lit(put)), FIND, -1)
+    # A length that no array has; the array's own would compute it a second time.
+    rows = F.transform(F.slice(pieces, 2, 1 << 30), lambda piece: F.substring_index(piece, FIND_END, 1))
     return F.transform(
-        F.arrays_zip(*parts),
+        rows,
         lambda row: F.struct(
-            row["lineno"].cast("int").alias("lineno"), *[row[name].alias(name) for name in names if name != "lineno"]
+            _field(row, 0).cast("int").alias("lineno"),
+            *[_field(row, at).alias(name) for at, name in enumerate(names) if name != "lineno"],
         ),
     )
 
 
+def _field(row: Column, at: int) -> Column:
+    return F.substring_index(F.substring_index(row, FIELD, at + 1), FIELD, -1)
+
+
 def _group(text: Column, pattern: str, name: str) -> Column:
     return F.regexp_extract(text, pattern, _groups(pattern)[name])
 
@@ -194,7 +209,7 @@ def _functions(marked: dict[str, Column], declared: Column, tokens: Column) -> C
         bare = _group(row["raw"], ARROW, "bare")
         return function(row["name"], row["lineno"], F.when(bare != "", F.array(bare)).otherwise(_names(_group(row["raw"], ARROW, "inside"))))
 
-    arrows = F.transform(F.filter(declared, lambda row: F.regexp_like(row["raw"], F.lit(ARROW))), bound)
+    arrows = F.transform(F.filter(declared, lambda row: F.contains(row["raw"], F.lit("=>")) & F.regexp_like(row["raw"], F.lit(ARROW))), bound)
     return _in_order(F.concat(plain, arrows))
 
 
@@ -232,12 +247,17 @@ def _declared(marked: Column) -> Column:
 
     def of_statement(row: Column) -> Column:
         parts = F.regexp_extract_all(_unmarked(row["rest"]), F.lit(f"({DECLARATOR})"), 1)
+        # One pass for both groups; what is no declarator gets no field.
+        groups = _groups(DECLARED)
+        put = FIELD.join((f"${groups['name']}", f"${groups['value']}", ""))
+        split = F.filter(
+            F.transform(parts, lambda part: F.regexp_replace(part, F.lit(DECLARED), F.lit(put))),
+            lambda part: F.contains(part, F.lit(FIELD)),
+        )
         made = F.transform(
-            parts,
+            split,
             lambda part: F.struct(
-                _group(part, DECLARED, "name").alias("name"),
-                F.rtrim(_group(part, DECLARED, "value")).alias("raw"),
-                row["lineno"].alias("lineno"),
+                _field(part, 0).alias("name"), F.rtrim(_field(part, 1)).alias("raw"), row["lineno"].alias("lineno"),
             ),
         )
         return F.filter(made, lambda one: one["name"] != "")
@@ -295,12 +315,13 @@ _BUILDERS = {"functions": _functions, "classes": _classes, "calls": _calls, "ass
 
 def js_facts(files: DataFrame) -> DataFrame:
     """One row of facts per file of ``files(scan_id, path, content, read_error)``."""
-    read = files.select("scan_id", "path", "read_error", decoded(F.col("content")).alias("_text"))
     tags = ~F.endswith(F.lower("path"), F.lit(V.TYPED_SUFFIX))
-    read = read.withColumn("_scan", scanned("_text", tags)).withColumn("_masked", F.col("_scan.masked"))
+    read = scanned(
+        files.select("scan_id", "path", "read_error", decoded(F.col("content")).alias("_text"), tags.alias("_tags"))
+    ).withColumn("_masked", F.col("_scan.masked"))
     error = (
         F.when(F.col("read_error").isNotNull(), F.col("read_error"))
-        .when(F.col("_text").isNull(), F.lit("not valid UTF-8"))
+        .when(~F.col("_read"), F.lit("not valid UTF-8"))
         .when(F.col("_scan.broken") | F.regexp_like("_masked", F.lit(DANGLING)), F.lit(V.JS_SYNTAX_ERROR))
     )
     checked = read.withColumn("error", error)

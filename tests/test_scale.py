@@ -1,13 +1,15 @@
 """Work and memory that must not grow with the number of files a task holds."""
 
 import json
+import re
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from auditspark import fixed_values as V
-from auditspark.operators import extract_py, prompt
+from auditspark.operators import extract_py, facts, js_scan, prompt
+from auditspark.operators.extract_js import js_facts
 from auditspark.operators.extract_py import python_facts
 from auditspark.plans import derived
 
@@ -18,6 +20,24 @@ def _plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
+def test_parse_errors_pass_over_a_file_once(table):
+    files = table([("s", "a.js", b"f(", None), ("s", "b.js", b"f()", None)], FILES).repartition(2)
+    found = facts.parse_rejects(js_facts(files))
+    assert len(re.findall("MapInArrow|ArrowEvalPython", _plan(found))) == 1
+    assert [row["path"] for row in found.collect()] == ["a.js"]
+
+
+def test_the_pass_hands_over_results_in_small_batches():
+    text = "call(1);\n" * 2000
+    rows = [{"scan_id": "s", "path": f"{at}.js", "read_error": None, "_text": text if at % 9 else None, "_tags": True} for at in range(300)]
+    schema = pa.schema([("scan_id", pa.string()), ("path", pa.string()), ("read_error", pa.string()), ("_text", pa.string()), ("_tags", pa.bool_())])
+    made = list(js_scan._scan_all(iter([pa.RecordBatch.from_pylist(rows, schema)])))
+    assert max(batch.num_rows for batch in made) < 80
+    whole = pa.Table.from_batches(made).to_pylist()
+    assert [row["path"] for row in whole] == [row["path"] for row in rows]
+    assert [row["_scan"] is None for row in whole] == [not row["_read"] for row in whole] == [at % 9 == 0 for at in range(300)]
+
+
 def test_python_files_are_taken_in_small_slices():
     contents = [b"x" * 400_000, None, b"y" * 700_000, b"", b"z" * 3_000_000, b"q"]
     batch = pa.RecordBatch.from_arrays([pa.array(contents, pa.binary())], ["content"])
@@ -72,3 +92,9 @@ def test_a_table_of_one_row_group_is_spread(spark, tmp_path):
     finally:
         for key, value in kept.items():
             spark.conf.set(key, value)
+
+
+def test_a_search_reads_a_text_once_for_all_its_groups(table):
+    facts_of_one = js_facts(table([("s", "a.js", b"const a = f(1), b = (c) => g(c);", None)], FILES)).select("calls")
+    plan = _plan(facts_of_one)
+    assert plan.count("(?<arguments>") == 1
