@@ -629,9 +629,9 @@ def c5_pinned_requirements(spark, sf):
 
 # --- screens -----------------------------------------------------------------------------------------
 
-def _stored_facts(sources):
-    """Facts for screens that read them in several branches."""
-    return materialize(facts.extract(sources))
+def _stored_facts(sources, *kinds):
+    """Facts for a screen, which may read them in several branches; of the kinds that it reads."""
+    return materialize(facts.extract(sources).select("scan_id", "path", "lang", *kinds))
 
 
 def _sources(spark, sf):
@@ -646,12 +646,12 @@ SCREEN = ["scan_id", "owasp_id", "title", "description", "severity", "file", "li
 
 @query
 def v1_prompt_injection(spark, sf):
-    return screens.prompt_injection(_stored_facts(_sources(spark, sf)))
+    return screens.prompt_injection(_stored_facts(_sources(spark, sf), "assignments"))
 
 
 @query
 def v2_tool_misuse(spark, sf):
-    return screens.tool_misuse(_stored_facts(_sources(spark, sf)))
+    return screens.tool_misuse(_stored_facts(_sources(spark, sf), "functions", "calls", "assignments"))
 
 
 @query
@@ -667,14 +667,14 @@ def v5_supply_chain(spark, sf):
 
 @query
 def v6_privilege_escalation(spark, sf):
-    return screens.privilege_escalation(_stored_facts(_sources(spark, sf)))
+    return screens.privilege_escalation(_stored_facts(_sources(spark, sf), "functions", "calls"))
 
 
 @query
 def v7_unchecked_output(spark, sf):
-    return screens.unchecked_output(_stored_facts(_sources(spark, sf)))
+    return screens.unchecked_output(_stored_facts(_sources(spark, sf), "calls", "assignments", "values"))
 
 
 @query
 def v8_memory_poisoning(spark, sf):
-    return screens.memory_poisoning(_stored_facts(_sources(spark, sf)))
+    return screens.memory_poisoning(_stored_facts(_sources(spark, sf), "calls"))

@@ -11,7 +11,7 @@ from auditspark import fixed_values as V
 from auditspark.operators import extract_py, facts, js_scan, prompt
 from auditspark.operators.extract_js import js_facts
 from auditspark.operators.extract_py import python_facts
-from auditspark.plans import derived
+from auditspark.plans import derived, queries
 
 FILES = "scan_id string, path string, content binary, read_error string"
 
@@ -94,6 +94,13 @@ def test_a_table_of_one_row_group_is_spread(spark, tmp_path):
             spark.conf.set(key, value)
 
 
+def test_a_screen_stores_the_facts_it_reads(table):
+    sources = table([("s", "a.py", ".py", b"f()", None), ("s", "a.js", ".js", b"f()", None)], "scan_id string, path string, ext string, content binary, read_error string")
+    stored = queries._stored_facts(sources, "calls")
+    assert stored.columns == ["scan_id", "path", "lang", "calls"]
+    assert [len(row["calls"]) for row in stored.collect()] == [1, 1]
+
+
 def test_a_search_reads_a_text_once_for_all_its_groups(table):
     facts_of_one = js_facts(table([("s", "a.js", b"const a = f(1), b = (c) => g(c);", None)], FILES)).select("calls")
     plan = _plan(facts_of_one)
