@@ -16,10 +16,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import SpanHash, Texts, eight_bytes, free_name, lean, map_slices, mix, split_groups, with_row_key
+from auditspark.llm.common import (
+    SpanHash, Texts, bound_batches, eight_bytes, free_name, lean, map_slices, mix, slices, split_groups, with_row_key,
+)
 from auditspark.llm.components import components
 from auditspark.llm.urls import BITS_PER_KEY, MAX_BYTES, Filter, build_filter
 from auditspark.session import materialize
@@ -66,17 +69,37 @@ def lines_of(docs: DataFrame) -> DataFrame:
     )
 
 
-def _place() -> Column:
-    """Row and line number as one number of the same order."""
-    return (F.col("__row").cast("decimal(20,0)") * F.lit(LINES) + F.col("line_no")).cast("decimal(38,0)")
+class Places:
+    """Row and line number as one number of the same order: a long where the rows' numbers are small, else a decimal."""
 
+    def __init__(self, docs: DataFrame):
+        self.short = docs.filter(~F.col("__row").between(0, (1 << 31) - 1)).isEmpty()
 
-def _row_of(place: str) -> Column:
-    return F.expr(f"({place} - pmod({place}, {LINES})) div {LINES}").cast("long")
+    def of(self) -> Column:
+        if self.short:
+            return F.shiftleft("__row", 32) + F.col("line_no")
+        return (F.col("__row").cast("decimal(20,0)") * F.lit(LINES) + F.col("line_no")).cast("decimal(38,0)")
 
+    def row(self, place: str) -> Column:
+        if self.short:
+            return F.shiftright(place, 32)
+        return F.expr(f"({place} - pmod({place}, {LINES})) div {LINES}").cast("long")
 
-def _line_of(place: str) -> Column:
-    return F.expr(f"pmod({place}, {LINES})").cast("int")
+    def line(self, place: str) -> Column:
+        if self.short:
+            return F.col(place).bitwiseAND(LINES - 1).cast("int")
+        return F.expr(f"pmod({place}, {LINES})").cast("int")
+
+
+def _ends(starts: np.ndarray, size: int, before: np.ndarray) -> np.ndarray:
+    """Where ``size`` characters from each start end; ``before`` counts the bytes inside characters ahead of each place."""
+    ends = starts + size
+    while True:
+        # A byte at the end itself that belongs to the last character counts too.
+        further = starts + size + (before[ends + 1] - before[starts])
+        if np.array_equal(further, ends):
+            return ends
+        ends = further
 
 
 def _char_shingles(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,25 +107,47 @@ def _char_shingles(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
 
     A shingle of eight bytes is hashed as one number, any other one as a span.
     """
-    begins = np.flatnonzero((texts.data & 0xC0) != 0x80)
-    low, high = texts.bounds(begins)
-    chars = high - low
+    data = texts.data
+    inside = (data & 0xC0) == 0x80
+    inner = np.flatnonzero(inside)
+    chars = texts.ends - texts.starts
+    if len(inner):
+        before = np.zeros(len(data) + 2, np.int64)
+        np.cumsum(inside, out=before[1:-1])
+        before[-1] = before[-2]
+        chars = chars - (before[texts.ends] - before[texts.starts])
     made = np.where(chars == 0, 0, np.maximum(chars - size + 1, 1))
     # Every character begins a shingle but for the last ones of a text; a short text is one shingle.
-    first = np.ones(len(begins), bool)
-    for back in range(1, size):
-        first[np.maximum(high - back, low)[chars > 0]] = False
+    kept, some = ~inside, np.flatnonzero(chars)
+    first, last = texts.starts[some], texts.ends[some]
+    for _ in range(size - 1):
+        last = np.maximum(last - 1, first)
+        for _ in range(3 if len(inner) else 0):
+            last = last - inside[last]
+        kept[last] = False
     short = np.flatnonzero((chars > 0) & (chars < size))
-    first[low[short]] = True
-    starts = begins[first]
-    ends = np.concatenate([begins[size:], np.full(min(size, len(begins)), len(texts.data))])[first]
-    ends[(np.cumsum(made) - made)[short]] = texts.ends[short]
-    values = eight_bytes(texts.data)[starts]
-    values = (values ^ (values >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
+    kept[texts.starts[short]] = True
+    eights = eight_bytes(data)[:-1].copy()
+    values = eights >> np.uint64(29)
+    values ^= eights
+    values *= np.uint64(0x9FB21C651E98DF25)
+    values >>= np.uint64(32)
+    values = values.astype(np.uint32)[kept]
+    places, starts, ends = (np.cumsum(made) - made)[short], texts.starts[short], texts.ends[short]
+    if size != 8 or len(inner):
+        # A shingle of eight characters in other than eight bytes has a byte inside a character among its own.
+        wide = np.full(len(data), size != 8)
+        for back in range(1, 9):
+            wide[np.maximum(inner - back, 0)] = True
+        wide &= kept
+        wide[starts] = False
+        begins = np.flatnonzero(wide)
+        places, starts = np.append(places, np.flatnonzero(wide[kept])), np.append(starts, begins)
+        ends = np.append(ends, _ends(begins, size, before) if len(inner) else begins + size)
     other = np.flatnonzero(ends - starts != 8)
     if len(other):
-        values[other] = SpanHash(texts.data).of(starts[other], ends[other])
-    return (values >> np.uint64(32)).astype(np.uint32), made
+        values[places[other]] = SpanHash(data).of(starts[other], ends[other]) >> np.uint64(32)
+    return values, made
 
 
 def signatures(column: pa.Array, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -134,11 +179,12 @@ def signatures(column: pa.Array, size: int = SHINGLE, bands: int = BANDS, rows:
 def _signed(lines: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = signatures(batch.column("line"), size, bands, rows)
-        packed = pa.FixedSizeListArray.from_arrays(pa.array(values.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))
-        names = ["__row", "line_no", "h1", "h2"]
-        return pa.RecordBatch.from_arrays([*(batch.column(name) for name in names), packed], [*names, "bands"])
+        flat = [pa.array(np.ascontiguousarray(values[:, at]).view(np.int64)) for at in range(bands)]
+        return pa.RecordBatch.from_arrays([*(batch.column(name) for name in names), *flat], [*names, *made])
 
-    return map_slices(lines, run, "__row long, line_no int, h1 long, h2 long, bands array<long>", "line", SLICE)
+    names, made = ["__row", "line_no", "h1", "h2"], [f"b{at}" for at in range(bands)]
+    schema = ", ".join(["__row long, line_no int, h1 long, h2 long", *(f"{name} long" for name in made)])
+    return map_slices(lines, run, schema, "line", SLICE)
 
 
 def shingle_set(line: str, size: int = SHINGLE) -> set[str]:
@@ -174,9 +220,17 @@ class Exact:
                 fits = self.size == 8 <= len(data)
             except UnicodeEncodeError:
                 fits = False
-            self.numbers[line] = np.unique(eight_bytes(data)[:len(data) - 7]) if fits else None
+            self.numbers[line] = self._sorted(eight_bytes(data)[:len(data) - 7]) if fits else None
         return self.numbers[line]
 
+    @staticmethod
+    def _sorted(numbers: np.ndarray) -> np.ndarray:
+        """The distinct numbers in order; for so few, sorting takes less than ``np.unique``."""
+        numbers = np.sort(numbers)
+        first = np.ones(len(numbers), bool)
+        np.not_equal(numbers[1:], numbers[:-1], out=first[1:])
+        return numbers[first]
+
     def _set(self, line: str) -> set[str]:
         if line not in self.sets:
             self.sets[line] = shingle_set(line, self.size)
@@ -223,9 +277,11 @@ def _verify(pairs: DataFrame, size: int, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            maybe = _may_be_similar(
-                *_pictures(batch.column("line_a"), size), *_pictures(batch.column("line_b"), size), least
-            )
+            # Pairs with one line in common follow one another.
+            coded = batch.column("line_a").dictionary_encode()
+            pictures, counts = _pictures(coded.dictionary, size)
+            at = coded.indices.to_numpy()
+            maybe = _may_be_similar(pictures[at], counts[at], *_pictures(batch.column("line_b"), size), least)
             batch, exact = batch.filter(pa.array(maybe)), Exact(size, least)
             lines = zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist())
             good = [exact.similar(one, two) for one, two in lines]
@@ -240,6 +296,56 @@ def _small_filter(keys: DataFrame, pair: Callable) -> Filter | None:
     return build_filter(keys, 0, number, pair) if number * BITS_PER_KEY // 8 <= MAX_BYTES else None
 
 
+def _once_or_twice(bands: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every band in order, with its smallest node; bands that came more than once come twice."""
+    order = np.argsort(bands)
+    bands, nodes = bands[order], nodes[order]
+    first = np.flatnonzero(np.append(bands[:1] == bands[:1], bands[1:] != bands[:-1]))
+    times = np.minimum(np.diff(np.append(first, len(bands))), 2)
+    least = np.minimum.reduceat(nodes, first) if len(first) else nodes
+    return np.repeat(bands[first], times), np.repeat(least, times)
+
+
+def _shared(distinct: DataFrame, tasks: int) -> DataFrame:
+    """``band, least``: every band that several distinct lines have, with the smallest node among them.
+
+    Bands are dealt to ``tasks`` by their order, many in a row. Two rows tell that a band is shared, so
+    no more of them travel from a batch or stay in memory.
+    """
+    cuts = np.array([(at << 64) // tasks for at in range(1, tasks)], np.uint64)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("bands")
+            owner = column.value_parent_indices()
+            bands, nodes = _once_or_twice(column.flatten().to_numpy().view(np.uint64), batch.column("node").take(owner).to_numpy())
+            ends = [*np.searchsorted(bands, cuts).tolist(), len(bands)]
+            spans = [(at, low, high) for at, (low, high) in enumerate(zip([0, *ends], ends)) if low < high]
+            packed = [pa.array([values[low:high].tobytes() for _, low, high in spans], pa.binary()) for values in (bands, nodes)]
+            yield pa.RecordBatch.from_arrays([pa.array([at for at, _, _ in spans], pa.int32()), *packed], ["part", "bands", "nodes"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting, number = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            return _once_or_twice(*(np.concatenate([piece[n] for piece in [held, *waiting]]) for n in (0, 1)))
+
+        for batch in batches:
+            for bands, nodes in zip(batch.column("bands").to_pylist(), batch.column("nodes").to_pylist()):
+                waiting.append((np.frombuffer(bands, np.uint64), np.frombuffer(nodes, np.int64)))
+                number += len(waiting[-1][0])
+                if number > len(held[0]) + SLICE:
+                    held, waiting, number = merged(), [], 0
+        bands, nodes = merged()
+        at = np.flatnonzero(bands[1:] == bands[:-1])
+        for low in range(0, len(at), SLICE):
+            some = at[low:low + SLICE]
+            yield pa.RecordBatch.from_arrays([pa.array(bands[some].view(np.int64)), pa.array(nodes[some])], ["band", "least"])
+
+    packed = distinct.select("node", "bands").mapInArrow(lean(pack), "part int, bands binary, nodes binary")
+    return packed.repartitionById(tasks, "part").mapInArrow(lean(meet), "band long, least long")
+
+
 def _members(distinct: DataFrame, shared: DataFrame) -> DataFrame:
     """``node, row, line_no, band, least`` for every line in a band of several lines.
 
@@ -270,7 +376,19 @@ def _members(distinct: DataFrame, shared: DataFrame) -> DataFrame:
     return rows.join(shared.select("band", "least"), "band")
 
 
-def _texts_of(lines: DataFrame, needed: DataFrame) -> DataFrame:
+def _split(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``row, line_no, line`` for all lines of the texts of a batch ``row, text``, ``SLICE`` of them at most at a time."""
+    split = pc.split_pattern(batch.column("text"), "\n")
+    counts = pc.fill_null(pc.list_value_length(split), 0).to_numpy()
+    lines, owner = split.flatten(), np.repeat(np.arange(len(counts)), counts)
+    numbers = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+    for low in range(0, len(owner), SLICE):
+        some = slice(low, low + SLICE)
+        columns = [batch.column("row").take(pa.array(owner[some])), pa.array(numbers[some]), lines[some].cast(pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["row", "line_no", "line"])
+
+
+def _texts_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """``node, line`` for the nodes of ``needed(node, row, line_no)``, a stored table with one place per node.
 
     A filter of the needed places, if it is small enough, keeps most other lines from the join.
@@ -281,16 +399,20 @@ def _texts_of(lines: DataFrame, needed: DataFrame) -> DataFrame:
         line = batch.column("line_no").to_numpy().astype(np.uint64)
         return mix(row * np.uint64(LINES) + line), mix(row ^ mix(line + np.uint64(1)))
 
-    rows = lines.select(F.col("__row").alias("row"), "line_no", "line")
     known = _small_filter(needed.select("row", "line_no"), pair)
-    if known is not None:
-        held = lines.sparkSession.sparkContext.broadcast(known)
+    if known is None:
+        rows = lines_of(docs).select(F.col("__row").alias("row"), "line_no", "line")
+    else:
+        held = docs.sparkSession.sparkContext.broadcast(known)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(held.value.holds(*pair(batch))))
+            for batch in slices(batches, "text"):
+                for lines in _split(batch):
+                    yield lines.filter(pa.array(held.value.holds(*pair(lines))))
 
-        rows = rows.mapInArrow(lean(run), "row long, line_no int, line string")
+        texts = docs.filter("doc_id is not null").select(F.col("__row").alias("row"), "text")
+        bound_batches(docs.sparkSession)
+        rows = texts.mapInArrow(lean(run), "row long, line_no int, line string")
     return rows.join(needed, ["row", "line_no"]).select("node", "line")
 
 
@@ -354,31 +476,28 @@ def _classes(
     with the smallest row and line number. Blank lines and rows without a document number
     belong to no class.
     """
-    lines = lines_of(docs)
+    lines, places = lines_of(docs), Places(docs)
     signed = materialize(_signed(lines, size, bands, rows))
     # One row per distinct line. Its number is made once and stored with it.
     # Its first place is one number, and its bands are single numbers, so that they aggregate by hash.
     distinct = materialize(
         signed.groupBy("h1", "h2")
         .agg(
-            F.min(_place()).alias("first"), F.count("*").alias("n"),
-            *[F.first(F.get("bands", F.lit(at))).alias(f"b{at}") for at in range(bands)],
+            F.min(places.of()).alias("first"), F.count("*").alias("n"),
+            *[F.first(f"b{at}").alias(f"b{at}") for at in range(bands)],
         )
         .select(
             "h1", "h2", "first", "n", F.array(*[f"b{at}" for at in range(bands)]).alias("bands"),
-            _row_of("first").alias("first_row"), _line_of("first").alias("first_line"),
+            places.row("first").alias("first_row"), places.line("first").alias("first_line"),
         )
         .withColumn("node", F.monotonically_increasing_id())
     )
-    shared = materialize(
-        distinct.select("node", F.explode("bands").alias("band"))
-        .groupBy("band")
-        .agg(F.count("*").alias("n"), F.min("node").alias("least"))
-        .filter("n > 1")
-    )
+    # Costs of tasks in Python do not show in their bytes, so the number of tasks is named.
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = materialize(_shared(distinct, tasks))
     members = materialize(_members(distinct, shared))
     needed = materialize(members.select("node", "row", "line_no").distinct())
-    texts = materialize(_texts_of(lines, needed))
+    texts = materialize(_texts_of(docs, needed))
     pairs = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     filled = (
         pairs.join(texts.select(F.col("node").alias("b"), F.col("line").alias("line_b")), "b")
@@ -403,8 +522,6 @@ def _classes(
         .agg(F.min("band").alias("band"))
     )
     mixed = split_groups(placed.join(apart.select("band"), "band"), ["band"], "node", limit)
-    # Comparing costs more than its bytes tell, so the number of tasks is named.
-    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid = mixed.join(texts, "node").repartition(tasks, "band", "unit").sortWithinPartitions("band", "unit", "root", "node")
     more_links = materialize(
         laid.select("band", "unit", "node", "root", "line").mapInArrow(
@@ -422,8 +539,8 @@ def _classes(
     return signed.select("__row", "line_no", "h1", "h2").join(several, ["h1", "h2"]).select(
         "__row",
         "line_no",
-        _row_of("keeper").alias("keeper_row"),
-        _line_of("keeper").alias("keeper_line"),
+        places.row("keeper").alias("keeper_row"),
+        places.line("keeper").alias("keeper_line"),
     )
 
 

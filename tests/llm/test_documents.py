@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from auditspark.llm import decontaminate, lines, pieces, quality, queries, simhash, toxicity
+from auditspark.llm.common import Texts
 from auditspark.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id string, score string"
@@ -234,6 +235,56 @@ def test_registered_line_query_finds_pairs_near_the_threshold(spark, tmp_path):
     assert recall >= 0.997
 
 
+def test_shared_bands_are_packed_and_dealt_evenly(spark):
+    rng = random.Random(17)
+    rows = [(node, [-1 if node % 2 else rng.randrange(-2**63, 2**63), rng.randrange(300) << 40, 7 << 60 if node == 5 else rng.randrange(-2**63, 2**63)]) for node in range(3000)]
+    rng.shuffle(rows)
+    nodes = defaultdict(list)
+    for node, bands in rows:
+        for band in bands:
+            nodes[band].append(node)
+    want = {(band, min(found)) for band, found in nodes.items() if len(found) > 1}
+    for tasks in (1, 7):
+        distinct = spark.createDataFrame(rows, "node long, bands array<long>").repartition(5)
+        shared = lines._shared(distinct, tasks)
+        assert shared.rdd.getNumPartitions() == tasks
+        assert {(row.band % 2**64, row.least) for row in shared.collect()} == {(band % 2**64, least) for band, least in want}
+        assert lines._shared(distinct.limit(0), tasks).count() == 0
+        # Bands travel many in a row: no row for every line and band is made.
+        assert "Generate" not in shared._jdf.queryExecution().executedPlan().toString()
+
+
+def test_places_keep_the_order_of_rows_and_lines(spark):
+    for rows, short in (([0, 1, 7, (1 << 31) - 1], True), ([-5, 0, 3, 1 << 31, (1 << 62) + 1], False)):
+        pairs = [(row, line) for row in rows for line in (0, 1, (1 << 31) - 1)]
+        frame = spark.createDataFrame(pairs, "__row long, line_no int")
+        places = lines.Places(frame)
+        found = frame.withColumn("place", places.of()).withColumn("r", places.row("place")).withColumn("l", places.line("place"))
+        assert places.short == short
+        assert [(row.r, row.l) for row in found.orderBy("place").collect()] == pairs
+
+
+def test_texts_of_lines_far_down(spark):
+    rows = [(1, "a\n\nlast"), (2, None), (3, ""), (4, "\n" * 300000 + "deep é"), (None, "a")]
+    docs = spark.createDataFrame([(n, *row) for n, row in enumerate(rows)], "__row long, doc_id long, text string")
+    needed = spark.createDataFrame([(10, 0, 0), (11, 0, 2), (12, 3, 300000)], "node long, row long, line_no int")
+    assert sorted(map(tuple, lines._texts_of(docs, needed).collect())) == [(10, "a"), (11, "last"), (12, "deep é")]
+
+
+def test_shingle_hashes_tell_shingles_apart():
+    rng = random.Random(23)
+    kinds = ["ab c", "abé ", "é日x ", "日本語", "a\U0001f600b "]
+    some = ["".join(rng.choices(rng.choice(kinds) + "abcdef" * rng.randrange(9), k=rng.randrange(40))) for _ in range(1500)]
+    for texts in (some, [text for text in some if text.isascii()], [""], ["éééé", "abcdefgh", "a"]):
+        for size in (8, 3, 11):
+            values, made = lines._char_shingles(Texts(pa.array(texts)), size)
+            shingles = [text[at:at + size] for text in texts if text for at in range(max(1, len(text) - size + 1))]
+            assert made.tolist() == [max(1, len(text) - size + 1) if text else 0 for text in texts]
+            assert len(set(shingles)) == len(set(zip(shingles, values.tolist())))
+            # Of so many values of 32 bits a few may meet by chance.
+            assert len(set(shingles)) - len(set(values.tolist())) <= 3
+
+
 def test_lines_compare_alike_in_either_form():
     rng = random.Random(8)
     words = ["größe", "naïve", "plain", "“quoted”", "日本語", "ab", "x"]
