@@ -5,8 +5,10 @@ import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from itertools import batched
+from json.encoder import encode_basestring_ascii
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -36,35 +38,84 @@ def route(scans: DataFrame) -> DataFrame:
     )
 
 
-_ENCODER = json.JSONEncoder(indent=2)
 # No element of a list takes fewer characters of indented JSON, so this many of them reach the limit.
 _LEAST_ELEMENT = len('\n      "",')
 _MOST_ELEMENTS = V.PROMPT_LIMIT // _LEAST_ELEMENT + 1
-
-
-def _indented(document: dict) -> str:
-    """Indented JSON of one file's facts, cut at the limit; what lies behind it is never written."""
-    pieces, size = [], 0
-    for piece in _ENCODER.iterencode({document["filepath"]: document}):
-        pieces.append(piece)
-        size += len(piece)
-        if size > V.PROMPT_LIMIT:
-            return "".join(pieces)[: V.PROMPT_LIMIT] + V.PROMPT_CUT_MARK
-    return "".join(pieces)
+# Characters that JSON in ASCII holds as they are.
+_PLAIN = r"\A[ !#-\[\]-~]*\z"
+# Files whose prompts are made at once.
+_FILES = 256
+
+
+def _least(kind: pa.DataType, depth: int) -> int:
+    """Characters that a value takes at least, unless it is absent."""
+    if not pa.types.is_struct(kind):
+        return 1 if pa.types.is_integer(kind) else 2
+    return sum(len(f'\n{"  " * (depth + 1)}"{one.name}": ,') + _least(one.type, depth + 1) for one in kind)
+
+
+def _in_order(*parts: str | pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(*parts, "")
+
+
+def _quoted(texts: pa.Array) -> pa.Array:
+    """JSON strings in ASCII; what lies behind the limit is left out."""
+    texts = pc.utf8_slice_codeunits(texts, 0, V.PROMPT_LIMIT)
+    made, plain = _in_order('"', texts, '"'), pc.match_substring_regex(texts, _PLAIN)
+    if pc.all(plain).as_py() is not False:
+        return made
+    odd = pc.invert(plain)
+    escaped = [encode_basestring_ascii(text) for text in texts.filter(odd).to_pylist()]
+    return pc.replace_with_mask(made, odd, pa.array(escaped, pa.string()))
+
+
+def _json(values: pa.Array, depth: int = 0) -> pa.Array:
+    """Indented JSON of every value as it stands at a depth; it is whole up to the limit at least."""
+    kind, inner, end = values.type, "\n" + "  " * (depth + 1), "\n" + "  " * depth
+    if pa.types.is_list(kind):
+        least = _least(kind.value_type, depth + 1)
+        if values.values.null_count:
+            least = min(least, len("null"))
+        values = pc.list_slice(values, 0, V.PROMPT_LIMIT // (len(f"{inner},") + least) + 1)
+        sizes = pc.list_value_length(values)
+        offsets = pa.array([0], pa.int32()), pc.cumulative_sum(pc.fill_null(sizes, 0))
+        items = pa.ListArray.from_arrays(pa.concat_arrays(offsets), _json(values.flatten(), depth + 1))
+        made = _in_order(f"[{inner}", pc.binary_join(items, f",{inner}"), f"{end}]")
+        made = pc.if_else(pc.equal(sizes, 0), "[]", made)
+    elif pa.types.is_struct(kind):
+        fields = [
+            part for one, column in zip(kind, values.flatten())
+            for part in (f'{inner}"{one.name}": ', _json(column, depth + 1), ",")
+        ]
+        made = _in_order("{", *fields[:-1], f"{end}}}")
+        made = pc.if_else(values.is_valid(), made, None)
+    elif pa.types.is_string(kind):
+        made = _quoted(values)
+    else:
+        made = values.cast(pa.string())
+    return pc.fill_null(made, "null")
+
+
+def _prompts(documents: pa.StructArray) -> pa.Array:
+    """The prompts of some files, their facts cut at the limit."""
+    key = pc.fill_null(_quoted(documents.field("filepath")), '"null"')
+    body = _in_order("{\n  ", key, ": ", _json(documents, 1), "\n}")
+    cut = _in_order(pc.utf8_slice_codeunits(body, 0, V.PROMPT_LIMIT), V.PROMPT_CUT_MARK)
+    return _in_order(V.PROMPT_PREAMBLE, pc.if_else(pc.greater(pc.utf8_length(body), V.PROMPT_LIMIT), cut, body))
 
 
 @F.arrow_udf(T.StringType())
 def _prompt_text(documents: pa.Array) -> pa.Array:
-    texts = (V.PROMPT_PREAMBLE + _indented(document.as_py()) for document in documents)
-    return pa.array(texts, pa.string())
+    some = [_prompts(documents.slice(at, _FILES)) for at in range(0, len(documents), _FILES)]
+    return pa.concat_arrays(some) if some else pa.array([], pa.string())
 
 
 def prompts(facts: DataFrame) -> DataFrame:
     """``scan_id, path, prompt`` for every eligible file.
 
     The length cut counts characters of indented JSON with ASCII escapes, which Spark's own JSON
-    writer does not produce; the text is made in Arrow batches from rows that stay where they are.
-    Facts that would certainly lie behind the cut are not handed over.
+    writer does not produce; the text is made in Arrow batches from rows that stay where they are,
+    column by column. Facts that would certainly lie behind the cut are not handed over.
     """
     kinds = [F.slice(kind, 1, _MOST_ELEMENTS).alias(kind) for kind in schemas.FACT_TYPES]
     document = F.struct(F.col("path").alias("filepath"), *kinds)

@@ -17,6 +17,8 @@ from auditspark.session import durable_folder, materialize
 
 
 ROWS_PER_TASK = 10_000
+# Files of many statements each: tasks of seconds, so that cores end together.
+WORD_FILES_PER_TASK = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
@@ -317,10 +319,16 @@ def answers(asked: DataFrame) -> DataFrame:
 
 
 def word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Python file per document, with one assignment per word of its text."""
-    words = F.size(F.split("text", " "))
-    content = F.concat(F.lit("def f(a):\n    pass\n"), F.repeat(F.lit("x = y\n"), words))
-    return table(spark, sf_dir, "documents").select(
+    """A Python file per document, with one assignment per word of its text.
+
+    Reading a file costs far more than counting words, so rows are dealt evenly over many tasks, and
+    only their counts move.
+    """
+    documents = table(spark, sf_dir, "documents", spread=False)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-documents.count() // WORD_FILES_PER_TASK))
+    counted = documents.select("source", "doc_id", F.size(F.split("text", " ")).alias("words")).repartition(tasks)
+    content = F.concat(F.lit("def f(a):\n    pass\n"), F.repeat(F.lit("x = y\n"), F.col("words")))
+    return counted.select(
         F.col("source").alias("scan_id"),
         F.concat(F.lit("/repos/d"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"),
         content.cast("binary").alias("content"),

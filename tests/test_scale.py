@@ -1,6 +1,8 @@
 """Work and memory that must not grow with the number of files a task holds."""
 
+import gc
 import json
+import random
 import re
 
 import pyarrow as pa
@@ -68,6 +70,88 @@ def test_nested_columns_are_the_rows():
     assert extract_py._batch(rows).equals(pa.RecordBatch.from_pylist(rows, schema=extract_py._ARROW))
 
 
+def test_the_collector_rests_while_files_are_read(monkeypatch):
+    """It would walk through every tree of syntax again and again; small slices bound what it leaves."""
+    seen = []
+
+    class Files:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    def facts_of(*file):
+        seen.append(gc.isenabled())
+        if file[0] == "bad":
+            raise OSError
+        return whole(*file)
+
+    whole = extract_py.facts_of
+    monkeypatch.setattr(extract_py, "facts_of", facts_of)
+    run = python_facts(Files())
+
+    def batch(*paths):
+        rows = [{"scan_id": "s", "path": path, "content": b"x = y\n" * 10_000, "read_error": None} for path in paths]
+        kinds = [("scan_id", pa.string()), ("path", pa.string()), ("content", pa.binary()), ("read_error", pa.string())]
+        return iter([pa.RecordBatch.from_pylist(rows, pa.schema(kinds))])
+
+    made = []
+    for one in run(batch(*"abcdefg")):
+        assert gc.isenabled()
+        made.append(one)
+    assert seen == [False] * 7 and [one.num_rows for one in made] == [3, 3, 1]
+    assert pa.Table.from_batches(made)["path"].to_pylist() == list("abcdefg")
+    with pytest.raises(OSError):
+        list(run(batch("bad")))
+    assert gc.isenabled()
+
+
+def _facts(draw, kind, absent):
+    """Random facts of an Arrow type, some of them absent."""
+    if absent and draw.random() < 0.1:
+        return None
+    if pa.types.is_list(kind):
+        length = draw.choice([0, 1, 2, 3, 40, 1300]) if draw.random() < 0.1 else draw.randrange(3)
+        return [_facts(draw, kind.value_type, absent) for _ in range(length)]
+    if pa.types.is_struct(kind):
+        return {one.name: _facts(draw, one.type, absent) for one in kind}
+    if pa.types.is_integer(kind):
+        return draw.choice([0, 7, 12345, -3])
+    if draw.random() < 0.02:
+        return draw.choice(["x", "é", '"']) * draw.choice([11_990, 12_000, 30_000])
+    return "".join(draw.choice('ab<[] "\\/\n\t\x00\x1f\x7f\x80é\u2028€😀') for _ in range(draw.randrange(12)))
+
+
+def test_prompts_are_written_by_columns():
+    """The text is that of ``json``, which no fact is handed to: most facts of a long file lie behind the cut."""
+    draw = random.Random(7)
+    path, kinds = extract_py._ARROW.field("path").type, [extract_py._ARROW.field(kind) for kind in prompt.schemas.FACT_TYPES]
+    for absent in (False, True, False, True):
+        rows = [{"filepath": _facts(draw, path, absent)} | {one.name: _facts(draw, one.type, absent) for one in kinds} for _ in range(50)]
+        documents = pa.array(rows, pa.struct([("filepath", path), *kinds]))
+        wanted = []
+        for row in rows:
+            text = json.dumps({row["filepath"]: row}, indent=2)
+            cut = text[: V.PROMPT_LIMIT] + V.PROMPT_CUT_MARK
+            wanted.append(V.PROMPT_PREAMBLE + (cut if len(text) > V.PROMPT_LIMIT else text))
+        assert any(text.endswith(V.PROMPT_CUT_MARK) for text in wanted) and not all(text.endswith(V.PROMPT_CUT_MARK) for text in wanted)
+        assert prompt._prompts(documents).to_pylist() == wanted
+        assert prompt._prompts(documents.slice(7, 20)).to_pylist() == wanted[7:27]
+
+
+@pytest.mark.parametrize("over", [-1, 0, 1])
+def test_the_cut_begins_behind_the_limit(over):
+    draw = random.Random(1)
+    kinds = [extract_py._ARROW.field(kind) for kind in prompt.schemas.FACT_TYPES]
+    row = {"filepath": "a.py"} | {one.name: [] for one in kinds} | {"strings": [_facts(draw, kinds[-1].type.value_type, False) for _ in range(9)]}
+    row["imports"] = ["i" * (V.PROMPT_LIMIT + over - len(json.dumps({"a.py": row | {"imports": [""]}}, indent=2)))]
+    text = json.dumps({"a.py": row}, indent=2)
+    assert len(text) == V.PROMPT_LIMIT + over
+    made = prompt._prompts(pa.array([row], pa.struct([("filepath", pa.string()), *kinds]))).to_pylist()
+    assert made == [V.PROMPT_PREAMBLE + (text[: V.PROMPT_LIMIT] + V.PROMPT_CUT_MARK if over > 0 else text)]
+
+
 @pytest.mark.parametrize("line", ["x = y\n", "import q\n", "f()\n"])
 def test_facts_behind_the_cut_are_not_handed_over(table, line):
     content = "def f(): pass\n" + line * 20_000
@@ -105,3 +189,20 @@ def test_a_search_reads_a_text_once_for_all_its_groups(table):
     facts_of_one = js_facts(table([("s", "a.js", b"const a = f(1), b = (c) => g(c);", None)], FILES)).select("calls")
     plan = _plan(facts_of_one)
     assert plan.count("(?<arguments>") == 1
+
+
+def test_files_of_words_are_dealt_over_many_tasks(spark, tmp_path, monkeypatch):
+    """Whole tables of few row groups, and of more rows than a task takes; the texts stay where they are."""
+    texts = F.array(F.lit("a b  c"), F.lit(""), F.lit(None), F.lit(" "), F.lit("one\nline"))
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), texts[(F.col("id") % 5).cast("int")].alias("text"), F.lit("s").alias("source"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(derived, "WORD_FILES_PER_TASK", 300)
+    files = derived.word_files(spark, str(tmp_path))
+    held = [row["count"] for row in files.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) == 10 and max(held) <= 310
+    moved = _plan(files).split("Exchange RoundRobinPartitioning(10)")
+    assert len(moved) == 2 and "repeat(" in moved[0] and "split(" in moved[1]
+    lines = {0: 4, 1: 1, 2: None, 3: 2, 4: 1}
+    for row in files.collect():
+        known = lines[int(row["path"].removeprefix("/repos/d").removesuffix(".py")) % 5]
+        assert row["content"] == (None if known is None else b"def f(a):\n    pass\n" + b"x = y\n" * known)
