@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,22 +38,12 @@ def route(scans: DataFrame) -> DataFrame:
     )
 
 
-# No element of a list takes fewer characters of indented JSON, so this many of them reach the limit.
-_LEAST_ELEMENT = len('\n      "",')
-_MOST_ELEMENTS = V.PROMPT_LIMIT // _LEAST_ELEMENT + 1
 # Characters that JSON in ASCII holds as they are.
 _PLAIN = r"\A[ !#-\[\]-~]*\z"
 # Files whose prompts are made at once.
 _FILES = 256
 
 
-def _least(kind: pa.DataType, depth: int) -> int:
-    """Characters that a value takes at least, unless it is absent."""
-    if not pa.types.is_struct(kind):
-        return 1 if pa.types.is_integer(kind) else 2
-    return sum(len(f'\n{"  " * (depth + 1)}"{one.name}": ,') + _least(one.type, depth + 1) for one in kind)
-
-
 def _in_order(*parts: str | pa.Array) -> pa.Array:
     return pc.binary_join_element_wise(*parts, "")
 
@@ -70,13 +60,9 @@ def _quoted(texts: pa.Array) -> pa.Array:
 
 
 def _json(values: pa.Array, depth: int = 0) -> pa.Array:
-    """Indented JSON of every value as it stands at a depth; it is whole up to the limit at least."""
+    """Indented JSON of every value as it stands at a depth, each string whole up to the limit at least."""
     kind, inner, end = values.type, "\n" + "  " * (depth + 1), "\n" + "  " * depth
     if pa.types.is_list(kind):
-        least = _least(kind.value_type, depth + 1)
-        if values.values.null_count:
-            least = min(least, len("null"))
-        values = pc.list_slice(values, 0, V.PROMPT_LIMIT // (len(f"{inner},") + least) + 1)
         sizes = pc.list_value_length(values)
         offsets = pa.array([0], pa.int32()), pc.cumulative_sum(pc.fill_null(sizes, 0))
         items = pa.ListArray.from_arrays(pa.concat_arrays(offsets), _json(values.flatten(), depth + 1))
@@ -110,6 +96,21 @@ def _prompt_text(documents: pa.Array) -> pa.Array:
     return pa.concat_arrays(some) if some else pa.array([], pa.string())
 
 
+def _least(kind: T.DataType, depth: int) -> int:
+    """Characters of indented JSON that a value takes at least, unless it is absent."""
+    if not isinstance(kind, T.StructType):
+        return len('""') if isinstance(kind, T.StringType | T.ArrayType) else len("0")
+    fields = (len(f'\n{"  " * (depth + 1)}"{one.name}": ') + _least(one.dataType, depth + 1) for one in kind)
+    return len("{") + sum(fields) + len(",") * (len(kind) - 1) + len(f'\n{"  " * depth}}}')
+
+
+def _before_cut(facts: DataFrame, kind: str) -> Column:
+    """The facts of a kind without those that certainly lie behind the cut of a prompt."""
+    between, whole = len('\n      ,'), _least(facts.schema[kind].dataType.elementType, 3)
+    first, more = (F.slice(kind, 1, V.PROMPT_LIMIT // (between + least) + 1) for least in (whole, min(whole, len("null"))))
+    return F.when(F.exists(first, lambda one: one.isNull()), more).otherwise(first).alias(kind)
+
+
 def prompts(facts: DataFrame) -> DataFrame:
     """``scan_id, path, prompt`` for every eligible file.
 
@@ -117,8 +118,7 @@ def prompts(facts: DataFrame) -> DataFrame:
     writer does not produce; the text is made in Arrow batches from rows that stay where they are,
     column by column. Facts that would certainly lie behind the cut are not handed over.
     """
-    kinds = [F.slice(kind, 1, _MOST_ELEMENTS).alias(kind) for kind in schemas.FACT_TYPES]
-    document = F.struct(F.col("path").alias("filepath"), *kinds)
+    document = F.struct(F.col("path").alias("filepath"), *[_before_cut(facts, kind) for kind in schemas.FACT_TYPES])
     return eligible(facts).select("scan_id", "path", _prompt_text(document).alias("prompt"))
 
 

@@ -206,3 +206,18 @@ def test_files_of_words_are_dealt_over_many_tasks(spark, tmp_path, monkeypatch):
     for row in files.collect():
         known = lines[int(row["path"].removeprefix("/repos/d").removesuffix(".py")) % 5]
         assert row["content"] == (None if known is None else b"def f(a):\n    pass\n" + b"x = y\n" * known)
+
+
+def test_no_more_facts_are_handed_over_than_reach_the_limit(table):
+    """Absent facts take less room, so that more of them lie before the cut."""
+    call, text = {"call": "", "lineno": 1}, ["s", "a.py", "py", None, [{"name": "f", "lineno": 1, "args": [], "decorators": []}], [], []]
+    many = [[call] * 2000, [None] * 900, [call] * 30 + [None] * 600, [None] * 2000]
+    rows = [(*text, calls, [], []) for calls in many]
+    found = table(rows, prompt.schemas.FACTS)
+    documents = [json.dumps({"a.py": {"filepath": "a.py", "functions": row[4], "classes": [], "imports": [], "calls": row[7], "assignments": [], "strings": []}}, indent=2) for row in rows]
+    cut = [text[: V.PROMPT_LIMIT] + V.PROMPT_CUT_MARK if len(text) > V.PROMPT_LIMIT else text for text in documents]
+    assert [one.endswith(V.PROMPT_CUT_MARK) for one in cut] == [True, False, False, True]
+    assert sorted(row["prompt"] for row in prompt.prompts(found).collect()) == sorted(V.PROMPT_PREAMBLE + one for one in cut)
+    one, two = (len(json.dumps({"a.py": {"calls": [call] * number}}, indent=2)) for number in (1, 2))
+    handed = found.select(F.size(prompt._before_cut(found, "calls")).alias("n")).collect()
+    assert sorted(row["n"] for row in handed) == [V.PROMPT_LIMIT // (two - one) + 1, 630, 900, 1001]
